@@ -9,15 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlemill.llm.common import table
+from candlemill.llm.mixing import mix_sources
 from candlemill.llm.topk import exact_topk
+from candlemill.llm.warc import round_trip
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = round_trip(table(spark, sf_dir, "pages"))
+    return read.where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op4_warc": op4_warc,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLES = {
@@ -31,4 +44,29 @@ ORACLES = {
             from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0
         ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op4_warc": """
+        with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+        d as (select page_id, octet_length(b)::bigint as payload_bytes, sha256(b) as payload_digest from p),
+        m as (select *, min(page_id) over (partition by payload_digest) as first_id from d),
+        r as (select *, payload_bytes >= 100 and first_id is not null and (page_id is null or page_id > first_id) as again from m)
+        select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type,
+               case when again then first_id end as refers_to from r""",
+    "op9_mixing": """
+        with d as (
+            select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
+                   -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint + 0.5) / 281474976710656.0::double)
+                   / coalesce(1.0::double / (1.0::double + 20.0::double * (length(text) - length(regexp_replace(text, '[#$%&*!|<>{}\\\\^~=_]', '', 'g'))) / greatest(length(text), 1)), 1.0::double) as key
+            from documents
+        ), s as (select source, sum(size)::bigint as source_size from d group by source),
+        w as (select *, [3.0::double, 1.0, 2.0][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w, 2.0::double * source_size as cap from s),
+        l as (
+            select *, cap / w as fill, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over b, 0)) / (sum(w) over () - coalesce(sum(w) over b, 0)) as level
+            from w window b as (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding)
+        ), f as (select arg_min(level, fill) as level from l where level <= fill),
+        t as (select source, source_size, least(cap, coalesce((select level from f), 'infinity'::double) * w) as target, from l),
+        e as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs from t),
+        o as (select d.*, coalesce(sum(size) over (partition by source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as before from d)
+        select doc_id, size, source_size, target,
+               ((epochs + case when size > 0 and 2 * before + size <= 2 * (target - epochs * source_size) then 1 else 0 end) * size)::bigint as taken
+        from o join e on o.source is not distinct from e.source""",
 }
