@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from candlemill.llm.common import table
 from candlemill.llm.mixing import mix_sources
+from candlemill.llm.packing import pack
+from candlemill.llm.quality import classify
 from candlemill.llm.topk import exact_topk
 from candlemill.llm.warc import round_trip
 
@@ -23,6 +25,21 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def tokenizer_path() -> str:
+    """The installed vocabulary file; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,6 +47,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op4_warc": op4_warc,
+    "op7_quality": op7_quality,
+    "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
 }
 
