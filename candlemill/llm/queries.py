@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from candlemill.llm.common import table
 from candlemill.llm.mixing import mix_sources
+from candlemill.llm.neardup import near_duplicates
 from candlemill.llm.packing import pack
 from candlemill.llm.quality import classify
 from candlemill.llm.topk import exact_topk
@@ -44,12 +45,17 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op4_warc": op4_warc,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES = {
