@@ -65,13 +65,14 @@ def write_archives(pages: DataFrame, path: str, *, compress: bool = True, min_re
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload"))
-    light = rows.select("page_id", "digest", "n").where(F.col("n") >= min_revisit_bytes)
+    rows = rows.withColumn("record", F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("/"), "digest"))
+    light = rows.select("page_id", "digest", "n", "record").where(F.col("n") >= min_revisit_bytes)
     groups = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("members")).where("members > 1 and refers_to is not null")
-    revisits = light.select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest")).distinct().join(groups, F.col("r_digest") == F.col("digest")).where("r_page is null or r_page > refers_to").select("r_page", "r_digest", "refers_to")
+    revisits = light.select("page_id", "digest", "record").distinct().join(groups, "digest").where("page_id is null or page_id > refers_to").select("record", "refers_to")
     total = rows.agg(F.sum("n")).first()[0] or 0
     n = max(shuffle_partitions(spark), math.ceil(total / archive_bytes))
-    dealt = rows.repartition(n, "page_id", "digest")
-    typed = dealt.join(revisits, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
+    # One plain key for both, so that the join needs no second exchange of the payloads.
+    typed = rows.repartition(n, "record").join(revisits, "record", "left")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
