@@ -1,6 +1,6 @@
 """Packing documents into token sequences along a space-filling curve.
 
-Each document becomes a hashed bag-of-words vector, projected to a few dimensions by a fixed Gaussian matrix. The cell
+Each document becomes a hashed bag of its tokens, projected to a few dimensions by a fixed Gaussian matrix. The cell
 in which it falls gives its place on a Hilbert curve, so documents with like words lie near each other on the curve.
 All documents, in curve order, form one stream of tokens, cut every seq_len tokens: only the last sequence has padding.
 
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from candlemill.llm.common import running_total, stage_table
 
-SEQ_LEN, END_ID, DIMS, BITS, BUCKETS, SEED = 2048, 1, 3, 16, 1024, 20240101
-#: Words whose ids a task remembers at once; the memory is emptied when it is full.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+SEQ_LEN, END_ID, DIMS, BITS, BUCKET_BITS, SEED = 2048, 1, 3, 16, 10, 20240101
+_SPREAD = 2654435769  # 2**32 over the golden ratio: scatters token ids over the buckets
+#: Words in a generation of those that a Python worker remembers, and their greatest length.
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
+_STOPS = b".,"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -58,7 +60,11 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
 
 class Encoder:
     """Token ids of texts as little-endian bytes, word by word: the tokenizer drops white space before it merges, so a
-    text's ids are those of its words. A word's hash bucket comes along."""
+    text's ids are those of its words.
+
+    Words are remembered in two generations: when the young one is full it becomes the old one, and what is used again
+    moves back. Words of letters alone are encoded many at once and told apart by the ids that end a word.
+    """
 
     def __init__(self, path: str):
         import os
@@ -68,44 +74,98 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, tuple[bytes, int]] = {}
-
-    def words(self, texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
-        for text in texts:
-            words = text.split()
-            known, rare = self.known, {}
-            if missing := [w for w in set(words) if w not in known]:
-                if len(known) + len(missing) > CACHE_WORDS:
-                    known.clear()
-                    missing = list(set(words))
-                for i in range(0, len(missing), 4096):
-                    some = missing[i : i + 4096]
-                    for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
-                        (known if len(w) <= CACHE_CHARS and len(known) < CACHE_WORDS else rare)[w] = np.array(e.ids, self.width).tobytes(), zlib.crc32(w.lower()) % BUCKETS
-            if rare:
-                found = [known.get(w) or rare[w] for w in words]
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(word, ids) for each of words."""
+        texts = [w.decode("utf-8") for w in words]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        done: dict[int, bytes] = {}
+        for i in range(0, len(plain), 2048):
+            some = plain[i : i + 2048]
+            ids = np.array(self.tokenizer.encode(" ".join([texts[j] for j in some]), add_special_tokens=False).ids, self.width)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                whole, size = ids.tobytes(), self.width.itemsize
+                stops = (stops * size).tolist()
+                done.update(zip(some, (whole[x:y] for x, y in zip([0, *stops], stops, strict=False)), strict=True))
+        rest = [i for i in range(len(words)) if i not in done]
+        for i in range(0, len(rest), 2048):
+            some = rest[i : i + 2048]
+            for j, e in zip(some, self.tokenizer.encode_batch([texts[j] for j in some], add_special_tokens=False), strict=True):
+                done[j] = np.array(e.ids, self.width).tobytes()
+        return ((w, done[i]) for i, w in enumerate(words))
+
+    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the young generation lacks. It keeps them, but for those too long."""
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        found, stems, wanted = {}, [], []
+        old = self.old.get
+        for w in missing:
+            if (ids := old(w)) is not None:
+                found[w] = ids
+            elif w[-1] in _STOPS and w[-2:-1].isalnum():  # a token of its own after an ASCII letter or digit
+                stems.append(w)
             else:
-                found = [known[w] for w in words]
-            yield b"".join([f[0] for f in found]), np.fromiter((f[1] for f in found), np.int64, len(found))
+                wanted.append(w)
+        known = self.young.get
+        if stems:
+            ends = {x: ids for x, ids in self._encode([b"%c" % c for c in _STOPS])}
+            parts = {w[:-1] for w in stems}
+            wanted += parts.difference(wanted, self.young, found)
+        found.update(self._encode(wanted))
+        for w in stems:
+            x = w[:-1]
+            found[w] = (found.get(x) or known(x)) + ends[w[-1:]]
+        self.young.update(found if max(map(len, found), default=0) <= CACHE_CHARS else {w: ids for w, ids in found.items() if len(w) <= CACHE_CHARS})
+        return found
+
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text. Upper case is dropped first, as the tokenizer would."""
+        split = [t.lower().split() for t in texts]
+        every = set().union(*split)
+        found = self._learn(list(every.difference(self.young)))
+        if not self.young.keys() >= every:  # some are too long to keep, or a generation has passed
+            found |= self._learn(list(every.difference(self.young, found)))
+            found = {w: self.young.get(w) or found[w] for w in every}
+        else:
+            found = self.young
+        for words in split:
+            yield b"".join(map(found.__getitem__, words))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One for each Python worker, so that tasks share what it remembers."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, *, end_id: int = END_ID, dims: int = DIMS, bits: int = BITS) -> DataFrame:
     """Rows (doc_id, key, n, crc, ids): a document's place on the curve and its token ids with the end id, as bytes."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
-        project = np.random.default_rng(SEED).standard_normal((BUCKETS, dims))
+        encoder = encoder_of(tokenizer_path)
+        project = np.random.default_rng(SEED).standard_normal((1 << BUCKET_BITS, dims))
         end = np.array([end_id], encoder.width).tobytes()
         names = ["doc_id", "key", "n", "crc", "ids"]
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
                 ids, at = [], np.zeros((part.num_rows, dims))
-                for row, (made, buckets) in enumerate(encoder.words([t or b"" for t in part.column(1).to_pylist()])):
+                for row, made in enumerate(encoder.ids([t or b"" for t in part.column(1).to_pylist()])):
                     ids.append(made + end)
-                    if len(buckets):
-                        v = np.log1p(np.bincount(buckets, minlength=BUCKETS))
+                    if made:
+                        v = np.log1p(np.bincount(np.frombuffer(made, encoder.width) * np.uint32(_SPREAD) >> np.uint32(32 - BUCKET_BITS), minlength=1 << BUCKET_BITS))
                         at[row] = v @ project / np.sqrt(v @ v)
                 cells = np.clip((at + 4.0) / 8.0 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
