@@ -6,11 +6,14 @@ and a bucket keeps the smallest value of the first round that reached it, compre
 ten mantissa bits. Bands of five registers propose pairs; the Jaccard estimate of two sketches, corrected for registers
 that agree by chance, drops pairs that can't reach the limit; the rest are confirmed on the full sets.
 
-Only connections are needed, not all pairs. Each class first tries the smallest class of the bucket that it shares most
-often. Then, for buckets that still join several components, representatives of the components are tried, and in the end
-all pairs in such buckets that lie in different components. A group of thousands of near copies costs about as many
-comparisons as it has members, and no link between different components is skipped: two sets at the limit share no
-bucket with a probability of 3e-8.
+Only connections are needed, not all pairs, so that a group of thousands of near copies costs about as many comparisons
+as it has members. Each class names as its hub the class of its buckets that meets most others, in most groups the text
+that the others were copied from, and is compared with it on full sets. What is left are pairs in common buckets that
+these links don't connect. Let x and y have the hub c. At the limit of 75 % they share at least 3/7 (|x| + |y|) shingles,
+of which at most min(|x & c|, |y & c|) lie in c. So they share a known number of shingles outside c, and it is enough to
+look for pairs that share one of their rarest ones (a prefix filter on what each class has beyond its hub), among classes
+of fitting sizes. Where that number is zero, or the hubs differ, the pairs of a bucket are compared by sketches, inside the
+join. Two sets at the limit share no bucket with a probability of 3e-8; nothing else is left out.
 
 Contract for odd input: null and empty texts and texts of white space have an empty set and are linked with nothing. A
 row is a document of its own, even with a null or repeated id: its component is the smallest id of the rows that it is
@@ -38,7 +41,7 @@ BANDS, ROWS, MANTISSA = 64, 5, 10
 REGISTERS = BANDS * ROWS
 #: Six standard deviations below the limit: the least estimate, and the most parity bits of 320 that may differ.
 LEAST_ESTIMATE, MOST_BITS = 0.6, 75
-ROUNDS, CACHE_WORDS = 3, 300_000
+CACHE_WORDS = 300_000
 _C = (np.random.default_rng(5).integers(1, 1 << 62, 8, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -204,44 +207,87 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.where(needed("doc_id"))
 
 
-def _confirm(pairs: DataFrame, known: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets reach the limit, staged. known: (cls, first_id, sketch)."""
+def _sets(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(cls, first_id, sketch, s): the full sets of the known classes, as sorted shingle hashes."""
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
         for batch in batches:
-            keep = [estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)) >= LEAST_ESTIMATE for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            yield batch.select(["a", "b", "a_id", "b_id"]).filter(pa.array(keep, pa.bool_()))
+            for i in range(0, batch.num_rows, 256):
+                sets = [s for s in map(shingler, (t or b"" for t in batch.slice(i, 256).column(0).to_pylist())) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "s"])
+
+    found = _fetch(docs, known.select(F.col("first_id").alias("doc_id"))).select("text").mapInArrow(compute, "cls long, s binary")
+    return stage_table(known.join(found.groupBy("cls").agg(F.first("s").alias("s")), "cls"), "near-sets")
+
 
-    left = known.select(F.col("cls").alias("a"), F.col("first_id").alias("a_id"), F.col("sketch").alias("a_sketch"))
-    right = known.select(F.col("cls").alias("b"), F.col("first_id").alias("b_id"), F.col("sketch").alias("b_sketch"))
-    likely = pairs.join(left, "a").join(right, "b").select("a", "b", "a_id", "b_id", "a_sketch", "b_sketch").mapInArrow(close, "a long, b long, a_id long, b_id long")
-    likely = stage_table(likely, "near-likely")
-    texts = stage_table(_fetch(docs, likely.select(F.col("a_id").alias("doc_id")).unionByName(likely.select(F.col("b_id").alias("doc_id"))).distinct()), "near-texts")
+def _read(s: bytes) -> np.ndarray:
+    return np.frombuffer(s, np.uint64)
+
+
+def _beyond_hubs(sets: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(cls, hub, n, hub_n, inside, rest): a class's size, its hub's, how much they share and what the class has beyond."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        last: dict[int, tuple[bytes, np.ndarray]] = {}
+        last: list = [None, None]
+        for batch in batches:
+            out: list[tuple] = []
+            for cls, hub, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last[0] != hub:
+                    last = [hub, _read(t)]
+                mine = _read(s)
+                rest = np.setdiff1d(mine, last[1], assume_unique=True)
+                out.append((cls, hub, len(mine), len(last[1]), len(mine) - len(rest), rest.view(np.int64)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.list_(pa.int64()))], ["cls", "hub", "n", "hub_n", "inside", "rest"])
+
+    own = hubs.join(sets.select("cls", "s"), "cls")
+    both = own.join(sets.select(F.col("cls").alias("hub"), F.col("s").alias("t")), "hub").select("cls", "hub", "s", "t")
+    return stage_table(both.mapInArrow(compare, "cls long, hub long, n long, hub_n long, inside long, rest array<long>"), "near-beyond")
+
 
-        def full(side: int, text: bytes | None) -> np.ndarray:
-            if side not in last or last[side][0] != text:
-                last[side] = text, shingler(text or b"")
-            return last[side][1]
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose full sets reach the limit. The estimate spares the comparison where it can."""
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                p, q = full(0, x), full(1, y)
-                if not len(p) or not len(q) or class_id(p) != a or class_id(q) != b:  # another row with the same id
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            for k, l, s, t in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                good = estimate(np.frombuffer(k, np.uint16), np.frombuffer(l, np.uint16)) >= LEAST_ESTIMATE
+                if good:
+                    x, y = _read(s), _read(t)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    good = 100 * both >= percent * (len(x) + len(y) - both)
+                keep.append(good)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x = texts.select(F.col("doc_id").alias("x_id"), F.col("text").alias("x"))
-    y = texts.select(F.col("doc_id").alias("y_id"), F.col("text").alias("y"))
-    joined = likely.join(x, F.col("a_id").eqNullSafe(F.col("x_id"))).join(y, F.col("b_id").eqNullSafe(F.col("y_id")))
-    return stage_table(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct(), "near-links")
+    left = sets.select(F.col("cls").alias("a"), F.col("sketch").alias("k"), F.col("s").alias("x"))
+    right = sets.select(F.col("cls").alias("b"), F.col("sketch").alias("l"), F.col("s").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "k", "l", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def _rare_pairs(beyond: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with one hub and different components that share a shingle among the rarest that they have beyond it.
+
+    beyond: (cls, comp, hub, n, inside, rest). Sizes are split into bands; a class looks for partners that are not larger,
+    in each band of its hub from which a partner can come, and the least size there tells how much they must share.
+    """
+    band = F.floor(F.log("n") / F.log(F.lit(1.03)))
+    least = lambda sizes: F.ceil(sizes * percent / (100 + percent))  # noqa: E731  shingles that two sets at the limit share, by the sum of their sizes
+    rows = beyond.withColumn("band", band)
+    each = rows.select("cls", "hub", F.explode("rest").alias("h"))
+    common = each.groupBy("hub", "h").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = each.join(common, ["hub", "h"]).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("common"))
+    ready = stage_table(rows.drop("rest").withColumn("m", F.lit(0)).join(ranked, "cls").join(rows.select("cls", F.size("rest").alias("left")), "cls"), "near-ranked")
+    # The first of a class's shingles by frequency: those that no other has (left - size(common) of them), then common.
+    first = lambda needed: F.slice("common", 1, F.greatest(F.lit(0), F.col("left") - F.greatest(needed, F.lit(1)) + 1 - (F.col("left") - F.size("common"))).cast("int"))
+    index = ready.select("hub", "band", F.col("cls").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"), F.explode(first(least(2 * F.col("n")) - F.col("inside"))).alias("t")).select("hub", "band", "a", "a_comp", "a_n", F.col("t.h").alias("h"))
+    bands = ready.groupBy(F.col("hub").alias("b_hub"), F.col("band").alias("b_band")).agg(F.min("n").alias("b_n"), F.max("n").alias("b_most"))
+    reach = ready.join(bands, (F.col("hub") == F.col("b_hub")) & (F.col("b_n") <= F.col("n")) & (100 * F.col("b_most") >= percent * F.col("n")))
+    probe = reach.select("hub", F.col("b_band").alias("band"), F.col("cls").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_size"), F.explode(first(least(F.col("b_n") + F.col("n")) - F.col("inside"))).alias("t"))
+    probe = probe.select("hub", "band", "b", "b_comp", "b_size", F.col("t.h").alias("h"))
+    same = (index["hub"] == probe["hub"]) & (index["band"] == probe["band"]) & (index["h"] == probe["h"]) & (F.col("a_comp") != F.col("b_comp")) & (F.col("a_n") <= F.col("b_size")) & (100 * F.col("a_n") >= percent * F.col("b_size"))
+    return index.join(probe, same).select("a", "b").distinct()
 
 
 def _bits(known: DataFrame) -> DataFrame:
@@ -270,38 +316,33 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     rows = stage_table(_sketched(texts), "near-docs")
     classes = stage_table(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("sketch", ignorenulls=True).alias("sketch")), "near-classes")
     bands = _bands(classes)
-    crowded = bands.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("key", "low")
-    shared = stage_table(bands.join(crowded, "key"), "near-shared")
-    known = stage_table(classes.join(shared.select("cls").distinct(), "cls", "left_semi"), "near-known")
-
-    tries = shared.where("cls <> low").groupBy("cls", "low").agg(F.count("*").alias("n"))
-    tries = tries.groupBy("cls").agg(F.max(F.struct("n", (-F.col("low")).alias("m"))).alias("t")).select(F.col("cls").alias("a"), (-F.col("t.m")).alias("b"))
-    tried = stage_table(tries, "near-tries")
-    links = _confirm(tried, known, texts, percent)
+    crowded = bands.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("members")).where("low <> high")
+    shared = stage_table(bands.join(crowded.select("key", "members"), "key"), "near-shared")
+    met = stage_table(shared.groupBy("cls").agg(F.sum(F.col("members") - 1).alias("met")), "near-met")
+    known = classes.join(met.select("cls"), "cls", "left_semi")
+    seen = shared.select("key", "cls").join(met, "cls")
+    centres = seen.groupBy("key").agg(F.max(F.struct("met", "cls")).alias("top"))
+    hubs = shared.select("key", "cls").join(centres, "key").groupBy("cls").agg(F.max("top").alias("top")).select("cls", F.col("top.cls").alias("hub"))
+    sets = _sets(texts, known)
+    beyond = _beyond_hubs(sets, hubs)
+    reached = 100 * F.col("inside") >= percent * (F.col("n") + F.col("hub_n") - F.col("inside"))
+    links = stage_table(beyond.where(reached & (F.col("cls") != F.col("hub"))).select(F.col("cls").alias("a"), F.col("hub").alias("b")), "near-links")
     labels = components(links)
-    for again in range(ROUNDS + 1):
-        rest = _open_buckets(shared.select("key", "cls"), labels)
-        if rest.isEmpty():
-            break
-        if again < ROUNDS:
-            members = rest.groupBy("key", "comp").agg(F.min("cls").alias("cls"))
-            centres = members.groupBy("key").agg(F.min(F.struct("comp", "cls")).alias("c")).select("key", F.col("c.comp").alias("c_comp"), F.col("c.cls").alias("c_cls"))
-            found = members.join(centres, "key").where("comp <> c_comp").groupBy("comp", "c_comp", "cls", "c_cls").agg(F.count("*").alias("n"))
-            found = found.withColumnsRenamed({"cls": "a", "c_cls": "b"}).join(tried, ["a", "b"], "left_anti")
-            found = found.groupBy("comp", "c_comp").agg(F.max(F.struct("n", "a", "b")).alias("t")).select("t.a", "t.b")
-        else:
-            marked = stage_table(rest.join(_bits(known), "cls"), "near-marked")
-            other = marked.select(*(F.col(c).alias(f"o_{c}") for c in marked.columns))
-            apart = sum(F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"o_w{i}"))) for i in range(REGISTERS // 64))
-            found = marked.join(other, (F.col("key") == F.col("o_key")) & (F.col("comp") < F.col("o_comp")) & (apart <= MOST_BITS)).select(F.col("cls").alias("a"), F.col("o_cls").alias("b")).distinct()
-            found = found.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        found = stage_table(found, "near-tries")
-        more = _confirm(found, known, texts, percent)
-        tried = tried.unionByName(found)
-        if more.isEmpty():
-            continue
-        links = stage_table(links.unionByName(more), "near-links")
-        labels = components(links)
+
+    rest = _open_buckets(shared.select("key", "cls"), labels)
+    if not rest.isEmpty():
+        unsure = stage_table(beyond.join(rest.select("cls", "comp").distinct(), "cls"), "near-unsure")
+        marked = stage_table(rest.join(_bits(known), "cls").join(unsure.select("cls", "hub", "n", "inside"), "cls"), "near-marked")
+        other = marked.select(*(F.col(c).alias(f"o_{c}") for c in marked.columns))
+        apart = sum(F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"o_w{i}"))) for i in range(REGISTERS // 64))
+        # Pairs of which the shingles beyond the hub tell nothing.
+        blind = (F.col("hub") != F.col("o_hub")) | ((100 + percent) * F.least("inside", "o_inside") >= percent * (F.col("n") + F.col("o_n")))
+        fits = (100 * F.col("n") >= percent * F.col("o_n")) & (100 * F.col("o_n") >= percent * F.col("n"))
+        direct = marked.join(other, (F.col("key") == F.col("o_key")) & (F.col("comp") < F.col("o_comp")) & (apart <= MOST_BITS) & fits & blind).select(F.col("cls").alias("a"), F.col("o_cls").alias("b"))
+        found = direct.distinct().unionByName(_rare_pairs(unsure, percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = stage_table(_confirm(stage_table(found, "near-tries"), sets, percent), "near-links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
 
     named = classes.select("cls", "first_id").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

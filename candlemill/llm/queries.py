@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlemill.llm.common import table
+from candlemill.llm.language import identify_pages, train
+from candlemill.llm.licenses import scan
 from candlemill.llm.mixing import mix_sources
 from candlemill.llm.neardup import near_duplicates
 from candlemill.llm.packing import pack
@@ -21,11 +23,25 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = train(table(spark, sf_dir, "documents"))
+    found = identify_pages(table(spark, sf_dir, "pages"), model)
+    return found.select("page_id", "language_id.language", "language_id.posterior")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = round_trip(table(spark, sf_dir, "pages"))
     return read.where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files named source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    found = scan(docs.select("doc_id", "text", path.alias("path")))
+    return found.select("doc_id", "path", "license", F.round("similarity", 6).alias("similarity"), "origin", "line", "from_dir")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,7 +67,9 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_language_id": op2_language_id,
     "op4_warc": op4_warc,
+    "op5_license_scan": op5_license_scan,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
