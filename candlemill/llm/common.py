@@ -37,7 +37,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends there, so a lost executor costs only a re-read."""
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

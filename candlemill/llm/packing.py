@@ -11,6 +11,7 @@ sequence. Texts of any length are cut freely. Only the id and text columns are r
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,9 +24,12 @@ from candlemill.llm.common import running_total, stage_table
 
 SEQ_LEN, END_ID, DIMS, BITS, BUCKET_BITS, SEED = 2048, 1, 3, 16, 10, 20240101
 _SPREAD = 2654435769  # 2**32 over the golden ratio: scatters token ids over the buckets
-#: Words in a generation of those that a Python worker remembers, and their greatest length.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Words that a Python worker remembers, and their greatest length.
+CACHE_WORDS, CACHE_CHARS = 300_000, 64
 _STOPS = b".,"
+_LATIN_END = "\u0250"
+#: The characters by which a byte-level vocabulary writes the bytes that aren't printable in Latin-1.
+_BYTE_CHARS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173]) if b > 127}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -62,8 +66,8 @@ class Encoder:
     """Token ids of texts as little-endian bytes, word by word: the tokenizer drops white space before it merges, so a
     text's ids are those of its words.
 
-    Words are remembered in two generations: when the young one is full it becomes the old one, and what is used again
-    moves back. Words of letters alone are encoded many at once and told apart by the ids that end a word.
+    Words are remembered until a limit, others are encoded again. Words of letters alone are encoded many at once and told
+    apart by the ids that end a word.
     """
 
     def __init__(self, path: str):
@@ -71,73 +75,77 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # The merges alone, for words that are one run of letters: cheaper, as nothing is normalised or split.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.stops: dict[bytes, bytes] = {}
 
     def _encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """(word, ids) for each of words."""
-        texts = [w.decode("utf-8") for w in words]
-        plain = [i for i, t in enumerate(texts) if t.isalpha()]
-        done: dict[int, bytes] = {}
-        for i in range(0, len(plain), 2048):
-            some = plain[i : i + 2048]
-            ids = np.array(self.tokenizer.encode(" ".join([texts[j] for j in some]), add_special_tokens=False).ids, self.width)
+        """(word, ids) for each of words, which are in lower case as far as A-Z goes."""
+        rest = []
+        for i in range(0, len(words), 2048):
+            some = words[i : i + 2048]
+            text = unicodedata.normalize("NFC", b" ".join(some).decode("utf-8"))
+            if not text.isascii():
+                text = text.lower() if max(text) < _LATIN_END else ""
+            texts = text.split(" ")
+            if len(texts) != len(some):
+                rest += some
+                continue
+            if not all(map(str.isalpha, texts)):
+                rest += [w for w, t in zip(some, texts, strict=True) if not t.isalpha()]
+                both = [(w, t) for w, t in zip(some, texts, strict=True) if t.isalpha()]
+                some, texts = [w for w, _ in both], [t for _, t in both]
+                text = " ".join(texts)
+            if not some:
+                continue
+            if not text.isascii():
+                text = text.encode("utf-8").decode("latin-1").translate(_BYTE_CHARS)
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some) and stops[-1] == len(ids):
-                whole, size = ids.tobytes(), self.width.itemsize
-                stops = (stops * size).tolist()
-                done.update(zip(some, (whole[x:y] for x, y in zip([0, *stops], stops, strict=False)), strict=True))
-        rest = [i for i in range(len(words)) if i not in done]
+            if len(stops) != len(some) or stops[-1] != len(ids):
+                rest += some
+                continue
+            whole, stops = ids.tobytes(), (stops * self.width.itemsize).tolist()
+            yield from zip(some, [whole[x:y] for x, y in zip([0, *stops], stops, strict=False)], strict=True)
         for i in range(0, len(rest), 2048):
             some = rest[i : i + 2048]
-            for j, e in zip(some, self.tokenizer.encode_batch([texts[j] for j in some], add_special_tokens=False), strict=True):
-                done[j] = np.array(e.ids, self.width).tobytes()
-        return ((w, done[i]) for i, w in enumerate(words))
-
-    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that the young generation lacks. It keeps them, but for those too long."""
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        found, stems, wanted = {}, [], []
-        old = self.old.get
-        for w in missing:
-            if (ids := old(w)) is not None:
-                found[w] = ids
-            elif w[-1] in _STOPS and w[-2:-1].isalnum():  # a token of its own after an ASCII letter or digit
-                stems.append(w)
-            else:
-                wanted.append(w)
-        known = self.young.get
+            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
+                yield w, np.array(e.ids, self.width).tobytes()
+
+    def _rare(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that aren't remembered; short ones are, until the memory is full: frequent words come early."""
+        if not self.stops:
+            self.stops = dict(self._encode([b"%c" % c for c in _STOPS]))
+        # A comma or full stop after a Latin letter or a digit is a token of its own.
+        ends = [w for w in words if w[-1] in _STOPS and len(w) > 1]
+        stems = [w for w in ends if w[-2:-1].isalnum() or w[-2] > 127 and (c := w.decode("utf-8")[-2]).isalpha() and c < _LATIN_END]
+        found = dict(self._encode(list(set(words).difference(stems)) if stems else words))
         if stems:
-            ends = {x: ids for x, ids in self._encode([b"%c" % c for c in _STOPS])}
-            parts = {w[:-1] for w in stems}
-            wanted += parts.difference(wanted, self.young, found)
-        found.update(self._encode(wanted))
-        for w in stems:
-            x = w[:-1]
-            found[w] = (found.get(x) or known(x)) + ends[w[-1:]]
-        self.young.update(found if max(map(len, found), default=0) <= CACHE_CHARS else {w: ids for w, ids in found.items() if len(w) <= CACHE_CHARS})
+            parts = dict(self._encode([w[:-1] for w in stems]))
+            found.update((w, parts[w[:-1]] + self.stops[w[-1:]]) for w in stems)
+        if len(self.known) < CACHE_WORDS:
+            self.known.update((w, ids) for w, ids in found.items() if len(w) <= CACHE_CHARS)
         return found
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text. Upper case is dropped first, as the tokenizer would."""
+        known = self.known.get
         split = [t.lower().split() for t in texts]
-        every = set().union(*split)
-        found = self._learn(list(every.difference(self.young)))
-        if not self.young.keys() >= every:  # some are too long to keep, or a generation has passed
-            found |= self._learn(list(every.difference(self.young, found)))
-            found = {w: self.young.get(w) or found[w] for w in every}
-        else:
-            found = self.young
-        for words in split:
-            yield b"".join(map(found.__getitem__, words))
+        found = [list(map(known, words)) for words in split]
+        missing = dict.fromkeys([w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None])
+        rare = self._rare(list(missing)) if missing else {}
+        for words, ids in zip(split, found, strict=True):
+            yield b"".join([rare[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids)
 
 
 _encoders: dict[str, Encoder] = {}
