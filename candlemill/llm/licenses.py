@@ -20,7 +20,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LIMIT = 0.6
+from candlemill.llm.common import stage_table
+
+LIMIT = 0.7
 #: Usual notices of common licences.
 TEMPLATES = {
     "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3",
@@ -30,19 +32,23 @@ TEMPLATES = {
     "CC-BY-4.0": "Licensed under CC BY 4.0",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0",
+    "CC0-1.0": "Licensed under CC0 1.0",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "ISC": "Released under the ISC License",
     "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3",
     "MIT": "Released under the MIT License",
-    "MPL-2.0": "Subject to the terms of the Mozilla Public License, version 2.0",
-    "Unlicense": "This is free and unencumbered software released into the public domain",
+    "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0",
+    "Unlicense": "Released under the Unlicense",
 }
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 
 
+#: Words that make poor anchors, as most texts hold them.
+_FREQUENT = frozenset("and by free into is of public terms the this to under version work".split())
+
+
 class Weights:
     """TF-IDF of the templates, computed once on the driver from the few templates."""
 
@@ -60,24 +66,44 @@ class Weights:
         for i in range(len(self.names)):
             left = sorted((self.unit[t][i], t) for t in set(bags[i]) - anchors)
             while left and math.sqrt(sum(w * w for w, _ in left)) >= limit:
-                anchors.add(left.pop()[1])
+                at = max(range(len(left)), key=lambda k: (left[k][1] not in _FREQUENT, left[k][0]))
+                anchors.add(left.pop(at)[1])
         self.anchors = sorted(anchors)
 
 
-def _best(line: Column, w: Weights) -> Column:
-    """struct(similarity, order) of the template nearest to a line; order is smaller for earlier names."""
-    tokens = F.regexp_extract_all(F.lower(line), F.lit(TOKEN), F.lit(0))
+def _hits(lines: Column, w: Weights) -> Column:
+    """For each line (text, at): struct(best: struct(similarity, order), back, notice); order is smaller for later names.
+
+    Each step fills an array that the next one reads, so that nothing is worked out twice. A line's tokens are walked
+    once in sorted order: at the end of a run its weight enters the norm and the products with all templates.
+    """
     idf = F.create_map(*(F.lit(x) for t in w.idf for x in (t, w.idf[t])))
     unit = F.create_map(*(x for t in w.unit for x in (F.lit(t), F.array(*(F.lit(v) for v in w.unit[t])))))
     zero = F.array(*(F.lit(0.0) for _ in w.names))
+    tokens = F.transform(lines, lambda x: F.struct(x["text"].alias("text"), x["at"].alias("at"), F.array_append(F.array_sort(F.regexp_extract_all(F.lower(x["text"]), F.lit(TOKEN), F.lit(0))), F.lit("")).alias("tokens")))
+
+    def close(a: Column) -> Column:
+        return (1.0 + F.log(a["run"].cast("double"))) * F.coalesce(F.try_element_at(idf, a["token"]), F.lit(w.unknown))
 
-    def bag(all_tokens: Column) -> Column:
-        return F.transform(F.array_distinct(all_tokens), lambda t: F.struct(t.alias("t"), ((1.0 + F.log(F.size(F.filter(all_tokens, lambda o: o == t)).cast("double"))) * F.coalesce(F.try_element_at(idf, t), F.lit(w.unknown))).alias("w")))
+    def walk(a: Column, t: Column) -> Column:
+        known = F.try_element_at(unit, a["token"])
+        return F.when(a["token"] == t, F.struct(a["token"].alias("token"), (a["run"] + 1).alias("run"), a["square"].alias("square"), a["dot"].alias("dot"))).otherwise(
+            F.struct(
+                t.alias("token"), F.lit(1).alias("run"),
+                F.when(a["run"] == 0, a["square"]).otherwise(a["square"] + close(a) * close(a)).alias("square"),
+                F.when((a["run"] == 0) | known.isNull(), a["dot"]).otherwise(F.zip_with(a["dot"], known, lambda p, q: p + close(a) * q)).alias("dot"),
+            )
+        )
 
-    weighted = bag(tokens)
-    norm = F.sqrt(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    dot = F.aggregate(weighted, zero, lambda a, x: F.zip_with(a, F.coalesce(F.try_element_at(unit, x["t"]), zero), lambda p, q: p + x["w"] * q))
-    return F.array_max(F.transform(dot, lambda d, i: F.struct((d / F.greatest(norm, F.lit(1e-300))).alias("similarity"), (-i).alias("order"))))
+    start = F.struct(F.lit("").alias("token"), F.lit(0).alias("run"), F.lit(0.0).alias("square"), zero.alias("dot"))
+    walked = F.transform(tokens, lambda x: F.struct(x["text"].alias("text"), x["at"].alias("at"), F.aggregate(x["tokens"], start, walk).alias("sums")))
+    return F.transform(
+        walked,
+        lambda x: F.struct(
+            F.array_max(F.transform(x["sums"]["dot"], lambda d, i: F.struct((d / F.sqrt(F.greatest(x["sums"]["square"], F.lit(1e-300)))).alias("similarity"), (-i).alias("order")))).alias("best"),
+            (-x["at"]).alias("back"), x["text"].alias("notice"),
+        ),
+    )
 
 
 def scan(files: DataFrame, *, templates: dict[str, str] | None = None, limit: float = LIMIT, licence_file: str = LICENCE_FILE) -> DataFrame:
@@ -87,12 +113,12 @@ def scan(files: DataFrame, *, templates: dict[str, str] | None = None, limit: fl
     anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in w.anchors) + r")(?![a-z0-9])"
     keep = [c for c in files.columns if c not in ("text", "license", "similarity", "origin", "line", "notice", "from_dir")]
     lines = F.filter(F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x, i: F.struct(x.alias("text"), i.alias("at"))), lambda x: x["text"].rlike(anchor))
-    hits = F.transform(lines, lambda x: F.struct(_best(x["text"], w).alias("best"), (-x["at"]).alias("back"), x["text"].alias("notice")))
+    hits = _hits(lines, w)
     names = F.array(*(F.lit(n) for n in w.names))
     base = F.regexp_extract(F.col("path"), r"([^/]*)$", 1)
     directory = F.when(F.col("path").isNotNull(), F.regexp_replace(F.col("path"), r"/?[^/]*$", ""))
-    # Lists first, one filter behind another projection: so that the lines are compared once.
     found = files.select(*(F.col(f"`{c}`") for c in keep), directory.alias("__dir"), base.alias("__base"), F.length(F.trim(F.col("text").cast("string"))).alias("__n"), F.array_max(hits).alias("__hit"))
+    found = stage_table(found, "license-hits")  # small rows; the texts are read once
     hit = F.col("__hit.best.similarity") >= limit
     own = found.select(
         *(F.col(f"`{c}`") for c in keep), "__dir",
