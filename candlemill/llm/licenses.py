@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from candlemill.llm.common import stage_table
 
-LIMIT = 0.7
+LIMIT, SALTS = 0.7, 32
 #: Usual notices of common licences.
 TEMPLATES = {
     "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3",
@@ -131,7 +131,10 @@ def scan(files: DataFrame, *, templates: dict[str, str] | None = None, limit: fl
     parts = F.split("__dir", "/")
     ancestors = needy.select("__dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("name")))).alias("a"))
     nearest = ancestors.join(granted, F.col("a.name") == F.col("g_dir")).groupBy(F.col("__dir").alias("i_dir")).agg(F.max(F.struct(F.col("a.depth").alias("depth"), "g_dir", "g_license", "g_similarity")).alias("i"))
-    out = own.join(nearest, (F.col("__dir") == F.col("i_dir")) & F.col("__license").isNull(), "left")
+    # A directory may hold a third of all files: its row is repeated, and files choose one of the copies in turn.
+    spread = nearest.withColumn("i_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = own.withColumn("__salt", F.monotonically_increasing_id() % SALTS)
+    out = salted.join(spread, (F.col("__dir") == F.col("i_dir")) & (F.col("__salt") == F.col("i_salt")) & F.col("__license").isNull(), "left")
     origin = F.when(F.col("__license").isNotNull(), F.when(F.col("__grants"), F.lit("file")).otherwise(F.lit("header"))).when(F.col("i.g_license").isNotNull(), F.lit("inherited"))
     return out.select(
         *(F.col(f"`{c}`") for c in keep), F.coalesce("__license", "i.g_license").alias("license"), F.coalesce("__similarity", "i.g_similarity").alias("similarity"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlemill.llm.common import table
+from candlemill.llm.fingerprints import fingerprint_documents
 from candlemill.llm.language import identify_pages, train
 from candlemill.llm.licenses import scan
 from candlemill.llm.mixing import mix_sources
@@ -42,6 +43,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "path", "license", F.round("similarity", 6).alias("similarity"), "origin", "line", "from_dir")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_warc": op4_warc,
     "op5_license_scan": op5_license_scan,
+    "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
