@@ -25,8 +25,8 @@ from candlemill.llm.common import running_total, stage_table
 SEQ_LEN, END_ID, DIMS, BITS, BUCKET_BITS, SEED = 2048, 1, 3, 16, 10, 20240101
 _SPREAD = 2654435769  # 2**32 over the golden ratio: scatters token ids over the buckets
 #: Words that a Python worker remembers, and their greatest length.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
-_STOPS = b".,"
+CACHE_WORDS, CACHE_CHARS = 500_000, 64
+_SIGNS = b"!#$%&()*+,-./:;<=>?@[]^_`{|}~\"\\"  # all ASCII signs but the apostrophe, which the tokenizer splits in its own way
 _LATIN_END = "\u0250"
 #: The characters by which a byte-level vocabulary writes the bytes that aren't printable in Latin-1.
 _BYTE_CHARS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173]) if b > 127}
@@ -87,65 +87,65 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.stops: dict[bytes, bytes] = {}
+
+    def _merge(self, words: list[bytes], texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """(word, ids) for words that are one run of Latin letters, with their texts in the vocabulary's characters."""
+        for i in range(0, len(words), 2048):
+            ids = np.array(self.merges.encode_batch_fast([" ".join(texts[i : i + 2048])], add_special_tokens=False)[0].ids, self.width)
+            stops, whole = ((np.flatnonzero(self.ends[ids]) + 1) * self.width.itemsize).tolist(), ids.tobytes()
+            yield from zip(words[i : i + 2048], [whole[x:y] for x, y in zip([0, *stops], stops, strict=False)], strict=True)
 
     def _encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(word, ids) for each of words, which are in lower case as far as A-Z goes."""
-        rest = []
-        for i in range(0, len(words), 2048):
-            some = words[i : i + 2048]
-            text = unicodedata.normalize("NFC", b" ".join(some).decode("utf-8"))
-            if not text.isascii():
-                text = text.lower() if max(text) < _LATIN_END else ""
-            texts = text.split(" ")
-            if len(texts) != len(some):
-                rest += some
-                continue
-            if not all(map(str.isalpha, texts)):
-                rest += [w for w, t in zip(some, texts, strict=True) if not t.isalpha()]
-                both = [(w, t) for w, t in zip(some, texts, strict=True) if t.isalpha()]
-                some, texts = [w for w, _ in both], [t for _, t in both]
-                text = " ".join(texts)
-            if not some:
-                continue
-            if not text.isascii():
-                text = text.encode("utf-8").decode("latin-1").translate(_BYTE_CHARS)
-            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some) or stops[-1] != len(ids):
-                rest += some
-                continue
-            whole, stops = ids.tobytes(), (stops * self.width.itemsize).tolist()
-            yield from zip(some, [whole[x:y] for x, y in zip([0, *stops], stops, strict=False)], strict=True)
+        plain = [w for w in words if w.isalpha()]  # ASCII letters alone
+        yield from self._merge(plain, b" ".join(plain).decode().split(" "))
+        other = [w for w in words if not w.isalpha()]
+        texts = unicodedata.normalize("NFC", b" ".join(other).decode("utf-8")).lower().split(" ")
+        latin = [len(texts) == len(other) and t.isalpha() and max(t) < _LATIN_END for t in texts]
+        if some := [w for w, good in zip(other, latin, strict=False) if good]:
+            yield from self._merge(some, " ".join([t for t, good in zip(texts, latin, strict=True) if good]).encode().decode("latin-1").translate(_BYTE_CHARS).split(" "))
+        rest = [w for w, good in zip(other, latin, strict=True) if not good] if len(texts) == len(other) else other
         for i in range(0, len(rest), 2048):
-            some = rest[i : i + 2048]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
+            for w, e in zip(rest[i : i + 2048], self.tokenizer.encode_batch([w.decode("utf-8") for w in rest[i : i + 2048]], add_special_tokens=False), strict=True):
                 yield w, np.array(e.ids, self.width).tobytes()
 
     def _rare(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words that aren't remembered; short ones are, until the memory is full: frequent words come early."""
-        if not self.stops:
-            self.stops = dict(self._encode([b"%c" % c for c in _STOPS]))
-        # A comma or full stop after a Latin letter or a digit is a token of its own.
-        ends = [w for w in words if w[-1] in _STOPS and len(w) > 1]
-        stems = [w for w in ends if w[-2:-1].isalnum() or w[-2] > 127 and (c := w.decode("utf-8")[-2]).isalpha() and c < _LATIN_END]
-        found = dict(self._encode(list(set(words).difference(stems)) if stems else words))
-        if stems:
-            parts = dict(self._encode([w[:-1] for w in stems]))
-            found.update((w, parts[w[:-1]] + self.stops[w[-1:]]) for w in stems)
+        stems: dict[bytes, tuple[bytes, bytes]] = {}
+        parts: dict[bytes, None] = {}
+        for w in words:
+            stem = w.rstrip(_SIGNS)
+            # A run of signs after a Latin letter or a digit is split off.
+            if len(stem) < len(w) and stem and (stem[-1:].isalnum() or stem[-1] > 127 and (c := stem.decode("utf-8")[-1]).isalpha() and c < _LATIN_END):
+                stems[w] = stem, w[len(stem) :]
+                parts[stem] = parts[w[len(stem) :]] = None
+            else:
+                parts[w] = None
+        found = dict(self._encode(list(parts)))
+        found.update({w: found[x] + found[y] for w, (x, y) in stems.items()})
         if len(self.known) < CACHE_WORDS:
             self.known.update((w, ids) for w, ids in found.items() if len(w) <= CACHE_CHARS)
         return found
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text. Upper case is dropped first, as the tokenizer would."""
-        known = self.known.get
         split = [t.lower().split() for t in texts]
-        found = [list(map(known, words)) for words in split]
-        missing = dict.fromkeys([w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None])
+        found = [list(map(self.known.get, words)) for words in split]
+        gaps: list[list[int]] = []
+        for ids in found:
+            at, here = -1, []
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    here.append(at)
+            except ValueError:
+                gaps.append(here)
+        missing = {words[i]: None for words, here in zip(split, gaps, strict=True) for i in here}
         rare = self._rare(list(missing)) if missing else {}
-        for words, ids in zip(split, found, strict=True):
-            yield b"".join([rare[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids)
+        for words, ids, here in zip(split, found, gaps, strict=True):
+            for i in here:
+                ids[i] = rare[words[i]]
+            yield b"".join(ids)
 
 
 _encoders: dict[str, Encoder] = {}
