@@ -48,18 +48,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
 
 
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, quality: Column | None = None, seed: str = SEED) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, epochs (whole ones of its source), drawn, copies, taken.
+    """Per document: doc_id, source, size, source_size, target, epochs (whole ones of its source), drawn, copies, taken,
+    text_hash (xxhash64 of the text).
 
     quality: weight column over docs, above 0; text_quality of the text if none is given.
     """
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     sized = docs.select(
-        "doc_id", "source", n_words(F.col("text")).alias("size"),
+        "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"),
         (-F.log(u) / (text_quality(F.col("text")) if quality is None else quality)).alias("__key"),
     )
     sized = stage_table(sized, "mix-sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
-    ordered = running_total(sized, "mix-order", ["source"], ["__key", "doc_id", "size"], "size", "__before")
+    ordered = running_total(sized, "mix-order", ["source"], ["__key", "doc_id", "size", "text_hash"], "size", "__before")
     goal = targets.select(F.col("source").alias("__source"), "source_size", "target")
     # As many rows as there are sources: every document needs the row of its own. AQE broadcasts it while it is small and splits a hot source otherwise.
     joined = ordered.join(goal, F.col("source").eqNullSafe(F.col("__source")))
@@ -70,5 +71,5 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: f
         .withColumn("drawn", (F.col("size") > 0) & (2 * F.col("__before") + F.col("size") <= 2 * budget))
         .withColumn("copies", F.col("epochs") + F.col("drawn").cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select("doc_id", "source", "size", "source_size", "target", "epochs", "drawn", "copies", "taken")
+        .select("doc_id", "source", "size", "source_size", "target", "epochs", "drawn", "copies", "taken", "text_hash")
     )

@@ -131,7 +131,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cls, sketch) of each row; the sketch comes with the first row of a class in a task, at least."""
+    """(doc_id, n, cls, sketch, text_hash) of each row; the sketch comes with the first row of a class in a task, at least."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(), set()
@@ -158,9 +158,9 @@ def _sketched(docs: DataFrame) -> DataFrame:
                         for row, r in zip(owner[first : last + 1], sketches(sets[first : last + 1]), strict=True):
                             out[row] = r.tobytes()
                         first, size = last + 1, 0
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "cls", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(out, pa.binary()), part.column(2)], ["doc_id", "n", "cls", "sketch", "text_hash"])
 
-    return docs.mapInArrow(compute, "doc_id long, n long, cls long, sketch binary")
+    return docs.mapInArrow(compute, "doc_id long, n long, cls long, sketch binary, text_hash long")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -310,10 +310,12 @@ def _open_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return stage_table(rows.join(mixed, "key"), "near-open")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest id reachable over links), kept (doc_id is component_id)."""
+def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, text_hash: bool = False) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest id reachable over links), kept (doc_id is component_id), and
+    on demand text_hash (xxhash64 of the text), which tells rows apart that share an id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = stage_table(_sketched(texts), "near-docs")
+    hashed = texts.withColumn("text_hash", F.xxhash64("text") if text_hash else F.lit(None).cast("long"))
+    rows = stage_table(_sketched(hashed), "near-docs")
     classes = stage_table(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("sketch", ignorenulls=True).alias("sketch")), "near-classes")
     bands = _bands(classes)
     crowded = bands.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("members")).where("low <> high")
@@ -347,6 +349,6 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     named = classes.select("cls", "first_id").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     placed = stage_table(named.join(least, "root").select("cls", "component_id"), "near-components")
-    out = rows.select("doc_id", "n", "cls").join(placed, "cls", "left")
+    out = rows.select("doc_id", "n", "cls", "text_hash").join(placed, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *(["text_hash"] if text_hash else []))

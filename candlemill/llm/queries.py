@@ -12,6 +12,7 @@ from candlemill.llm.common import table
 from candlemill.llm.fingerprints import fingerprint_documents
 from candlemill.llm.language import identify_pages, train
 from candlemill.llm.licenses import scan
+from candlemill.llm.lm import score_documents
 from candlemill.llm.mixing import mix_sources
 from candlemill.llm.neardup import near_duplicates
 from candlemill.llm.packing import pack
@@ -30,6 +31,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "language_id.language", "language_id.posterior")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = round_trip(table(spark, sf_dir, "pages"))
     return read.where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -73,6 +78,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_language_id": op2_language_id,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_warc": op4_warc,
     "op5_license_scan": op5_license_scan,
     "op6_fingerprints": op6_fingerprints,
