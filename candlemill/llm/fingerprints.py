@@ -23,17 +23,21 @@ SAMPLES = 64
 _SPACE, _MASK = r"[\x20\x09-\x0D]+", (1 << 24) - 1
 
 
-def _sample(h: Column, log_weight: Column, k: int, samples: int) -> Column:
-    """Value and name of a term's k-th sample in one long: ln a in the upper bits, so that the least long is the sample."""
-    draw = [F.xxhash64(h, F.lit(i * samples + k)) for i in range(3)]
+def _draws(h: Column, k: int, samples: int) -> list[Column]:
+    """A term's draws for the k-th sample: r, ln c - r, b and 24 bits of its name."""
+    bits = [F.xxhash64(h, F.lit(i * samples + k)) for i in range(3)]
     high = lambda x: (F.shiftrightunsigned(x, 32).cast("double") + 0.5) / float(1 << 32)
     low = lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) / float(1 << 32)
-    r = -F.log(high(draw[0]) * low(draw[0]))
-    log_c = F.log(-F.log(high(draw[1]) * low(draw[1])))
-    b = high(draw[2])
+    r = -F.log(high(bits[0]) * low(bits[0]))
+    return [r.alias(f"__r{k}"), F.log(-F.log(high(bits[1]) * low(bits[1]))).alias(f"__c{k}"), high(bits[2]).alias(f"__b{k}"), bits[2].bitwiseAND(F.lit(_MASK)).alias(f"__n{k}")]
+
+
+def _sample(log_weight: Column, k: int) -> Column:
+    """Value and name of a term's k-th sample in one long: ln a in the upper bits, so that the least long is the sample."""
+    r, c, b, name = (F.col(f"__{x}{k}") for x in "rcbn")
     t = F.floor(log_weight / r + b)
-    log_a = log_c - r * (t.cast("double") - b) - r
-    return F.shiftleft(((log_a + 128.0) * float(1 << 31)).cast("long"), 24).bitwiseOR(draw[2].bitwiseXOR(t).bitwiseAND(F.lit(_MASK)))
+    log_a = c - r * (t.cast("double") - b + 1.0)
+    return F.shiftleft(((log_a + 128.0) * float(1 << 31)).cast("long"), 24).bitwiseOR(name.bitwiseXOR(t).bitwiseAND(F.lit(_MASK)))
 
 
 def signatures(parts: DataFrame, keys: list[str], versions: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -44,8 +48,9 @@ def signatures(parts: DataFrame, keys: list[str], versions: list[str], samples:
     """
     words = parts.select(*keys, *versions, F.explode(F.split("part", _SPACE)).alias("__word"))
     counted = words.select(*keys, F.xxhash64("__word").alias("__h"), *((F.col(v) * (F.col("__word") != "").cast("int")).alias(v) for v in versions)).groupBy(*keys, "__h").agg(*(F.sum(v).alias(v) for v in versions))
-    logs = counted.select(*keys, "__h", *(F.log(F.when(F.col(v) > 0, F.col(v)).cast("double")).alias(v) for v in versions))
-    each = logs.select(*keys, *(_sample(F.col("__h"), F.col(v), k, samples).alias(f"{v}{k}") for k in range(samples) for v in versions))
+    # Draws first: they are columns that both versions read, not expressions to work out for each.
+    logs = counted.select(*keys, *(F.log(F.when(F.col(v) > 0, F.col(v)).cast("double")).alias(v) for v in versions), *(d for k in range(samples) for d in _draws(F.col("__h"), k, samples)))
+    each = logs.select(*keys, *(_sample(F.col(v), k).alias(f"{v}{k}") for k in range(samples) for v in versions))
     least = each.groupBy(*keys).agg(*(F.min(f"{v}{k}").alias(f"{v}{k}") for v in versions for k in range(samples)))
     return least.select(*keys, *(F.array(*(F.coalesce(F.col(f"{v}{k}"), F.lit(0)).bitwiseAND(F.lit(_MASK)).cast("int") for k in range(samples))).alias(v) for v in versions))
 
@@ -87,7 +92,8 @@ def fingerprint_documents(docs: DataFrame, *, samples: int = SAMPLES) -> DataFra
     own = once.join(ring.drop("n_id", "n_th"), ["id", "th"])
     heads = once.select(F.col("id").alias("n_id"), F.col("th").alias("n_th"), F.col("text").alias("n_text")).join(ring, ["n_id", "n_th"])
     heads = heads.select(F.col("id").alias("h_id"), F.col("th").alias("h_th"), F.col("again").alias("h_again"), F.substring("n_text", F.lit(1), F.floor(F.col("n") / 3).cast("int")).alias("head"))
-    both = own.join(heads, (F.col("id") == F.col("h_id")) & (F.col("th") == F.col("h_th")) & (F.col("again") == F.col("h_again")))
+    # again is compared as a difference, so that it is no key: the texts stay where their id and hash have put them.
+    both = own.join(heads, (F.col("id") == F.col("h_id")) & (F.col("th") == F.col("h_th")) & (F.col("again") - F.col("h_again") == 0))
     kept = F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 3)).cast("int"))
     both = both.select("id", "th", "again", "text", kept.alias("kept"), "head")
     common = F.regexp_extract("kept", r"(?s)^(.*[\x20\x09-\x0D])", 1)
@@ -95,11 +101,12 @@ def fingerprint_documents(docs: DataFrame, *, samples: int = SAMPLES) -> DataFra
     tail = lambda x: F.substring(x, F.length("common") + 1, F.length(x))
     piece = lambda part, a, b: F.struct(part.alias("part"), F.lit(a).alias("own"), F.lit(b).alias("edited"))
     pieces = cut.select("id", "th", "again", F.explode(F.array(piece(F.col("common"), 1, 1), piece(tail(F.col("text")), 1, 0), piece(tail(F.concat("kept", "head")), 0, 1))).alias("p")).select("id", "th", "again", "p.*")
-    prints = stage_table(signatures(pieces, ["id", "th", "again"], ["own", "edited"], samples), "print-samples")
-    hashes = stage_table(both.select("id", "th", "again", F.sha2(F.concat("kept", "head").cast("binary"), 256).alias("edited_sha256")), "print-hashes")
+    hashes = both.select("id", "th", "again", F.sha2(F.concat("kept", "head").cast("binary"), 256).alias("edited_sha256"))
+    # One query for both, so that they share the exchanges of the texts.
+    prints = stage_table(signatures(pieces, ["id", "th", "again"], ["own", "edited"], samples).join(hashes, ["id", "th", "again"]), "print-samples")
 
     following = prints.where("again = 0").select(F.col("id").alias("n_id"), F.col("th").alias("n_th"), F.col("own").alias("n_own"))
-    out = ring.join(prints, ["id", "th", "again"]).join(hashes, ["id", "th", "again"]).join(following, ["n_id", "n_th"])
+    out = ring.join(prints, ["id", "th", "again"]).join(following, ["n_id", "n_th"])
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
         F.when(F.col("known") == 1, F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256",
         as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"),
