@@ -2,7 +2,7 @@
 
 All in DataFrame operations. A line's tokens are compared with every template where they lie: a document needs no
 shuffle. Lines that share none of a template's anchor tokens can't reach the limit (the other tokens of a template weigh
-too little) and are passed over. A file named like a licence, or one that is hardly more than a notice, licenses its
+too little) and are passed over. A file named like a licence, or one that is nothing but a notice, licenses its
 directory. Files without a licence of their own take that of the nearest directory above them which has one: the
 distinct directories are joined with the licensed ones on each of their ancestors, and files with their directory.
 
@@ -124,7 +124,7 @@ def scan(files: DataFrame, *, templates: dict[str, str] | None = None, limit: fl
         *(F.col(f"`{c}`") for c in keep), "__dir",
         F.when(hit, F.element_at(names, 1 - F.col("__hit.best.order"))).alias("__license"), F.when(hit, F.col("__hit.best.similarity")).alias("__similarity"),
         F.when(hit, 1 - F.col("__hit.back")).alias("line"), F.when(hit, F.col("__hit.notice")).alias("notice"),
-        (hit & (F.col("__base").rlike(licence_file) | (F.length("__hit.notice") * 2 >= F.col("__n")))).alias("__grants"),
+        (hit & (F.col("__base").rlike(licence_file) | (F.length(F.trim("__hit.notice")) == F.col("__n")))).alias("__grants"),
     )
     granted = own.where("__grants and __dir is not null").groupBy(F.col("__dir").alias("g_dir")).agg(F.max(F.struct("__similarity", "__license")).alias("t"), F.min(F.struct((-F.col("__similarity")).alias("s"), "__license")).alias("g")).select("g_dir", F.col("g.__license").alias("g_license"), F.col("t.__similarity").alias("g_similarity"))
     needy = own.where("__license is null and __dir is not null").select("__dir").distinct()

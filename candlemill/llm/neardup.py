@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from candlemill.llm.common import stage_table
+from candlemill.llm.common import bound_batches, stage_table
 from candlemill.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -154,7 +154,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 first, size = 0, 0
                 for last in range(len(sets)):
                     size += len(sets[last])
-                    if size > 1 << 20 or last == len(sets) - 1:
+                    if size > 1 << 18 or last == len(sets) - 1:
                         for row, r in zip(owner[first : last + 1], sketches(sets[first : last + 1]), strict=True):
                             out[row] = r.tobytes()
                         first, size = last + 1, 0
@@ -313,6 +313,7 @@ def _open_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, text_hash: bool = False) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable over links), kept (doc_id is component_id), and
     on demand text_hash (xxhash64 of the text), which tells rows apart that share an id."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     hashed = texts.withColumn("text_hash", F.xxhash64("text") if text_hash else F.lit(None).cast("long"))
     rows = stage_table(_sketched(hashed), "near-docs")

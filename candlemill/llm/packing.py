@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlemill.llm.common import running_total, stage_table
+from candlemill.llm.common import bound_batches, running_total, stage_table
 
 SEQ_LEN, END_ID, DIMS, BITS, BUCKET_BITS, SEED = 2048, 1, 3, 16, 10, 20240101
 _SPREAD = 2654435769  # 2**32 over the golden ratio: scatters token ids over the buckets
 #: Words that a Python worker remembers, and their greatest length.
-CACHE_WORDS, CACHE_CHARS = 500_000, 64
+CACHE_WORDS, CACHE_CHARS = 300_000, 64
 _SIGNS = b"!#$%&()*+,-./:;<=>?@[]^_`{|}~\"\\"  # all ASCII signs but the apostrophe, which the tokenizer splits in its own way
 _LATIN_END = "\u0250"
 #: The characters by which a byte-level vocabulary writes the bytes that aren't printable in Latin-1.
@@ -116,7 +116,7 @@ class Encoder:
         for w in words:
             stem = w.rstrip(_SIGNS)
             # A run of signs after a Latin letter or a digit is split off.
-            if len(stem) < len(w) and stem and (stem[-1:].isalnum() or stem[-1] > 127 and (c := stem.decode("utf-8")[-1]).isalpha() and c < _LATIN_END):
+            if len(stem) < len(w) and stem and (stem[-1:].isalnum() or stem[-1] > 127 and (c := unicodedata.normalize("NFC", stem.decode("utf-8")).lower()[-1]).isalpha() and c < _LATIN_END):
                 stems[w] = stem, w[len(stem) :]
                 parts[stem] = parts[w[len(stem) :]] = None
             else:
@@ -186,6 +186,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, end_id: int = END_
 
 def pack(docs: DataFrame, tokenizer_path: str, *, seq_len: int = SEQ_LEN, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of a document: see PIECES."""
+    bound_batches(docs.sparkSession)
     encoded = stage_table(encode_documents(docs, tokenizer_path, end_id=end_id), "pack-ids")
     names = ["key", "doc_id", "crc", "n"]
     groups = encoded.groupBy(*names).agg(F.count("*").alias("copies")).withColumn("span", F.col("n") * F.col("copies"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from candlemill.llm.common import held_out, stage_table
+from candlemill.llm.common import bound_batches, held_out, stage_table
 
 TO_POOLED, TO_IDENTITY, THRESHOLD = 0.1, 0.01, 0.7
 NAMES = ("letters", "upper", "digits", "spaces", "stops", "commas", "shouts", "bars", "odd", "word_length", "long_words", "odd_ends", "variety", "top_word", "line_length", "repeated_lines", "stutter")
@@ -68,6 +68,7 @@ def features(docs: DataFrame, *keep: str) -> DataFrame:
             x = [statistics(t or b"") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
 
+    bound_batches(docs.sparkSession)
     chosen = docs.select(*keep, F.col("text").cast("binary").alias("text"))
     schema = ", ".join(f"`{k}` {t}" for k, t in chosen.dtypes if k in keep) + ", x array<double>"
     return chosen.mapInArrow(compute, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlemill.llm.common import new_path, shuffle_partitions
+from candlemill.llm.common import bound_batches, new_path, shuffle_partitions
 
 MIN_REVISIT_BYTES, ARCHIVE_BYTES, DATE = 100, 32 << 20, "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -62,6 +62,7 @@ def write_archives(pages: DataFrame, path: str, *, compress: bool = True, min_re
     very many pages share lies in many archives' revisit records but in no hot task.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload"))
