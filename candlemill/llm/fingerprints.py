@@ -14,22 +14,60 @@ Only the id and text columns are read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlemill.llm.common import range_staged, stage_table
 
-SAMPLES = 64
+SAMPLES = 52
 _SPACE, _MASK = r"[\x20\x09-\x0D]+", (1 << 24) - 1
 
 
-def _draws(h: Column, k: int, samples: int) -> list[Column]:
-    """A term's draws for the k-th sample: r, ln c - r, b and 24 bits of its name."""
-    bits = [F.xxhash64(h, F.lit(i * samples + k)) for i in range(3)]
-    high = lambda x: (F.shiftrightunsigned(x, 32).cast("double") + 0.5) / float(1 << 32)
-    low = lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) / float(1 << 32)
-    r = -F.log(high(bits[0]) * low(bits[0]))
-    return [r.alias(f"__r{k}"), F.log(-F.log(high(bits[1]) * low(bits[1]))).alias(f"__c{k}"), high(bits[2]).alias(f"__b{k}"), bits[2].bitwiseAND(F.lit(_MASK)).alias(f"__n{k}")]
+def _gamma_quantile(u: float) -> float:
+    """Of Gamma(2, 1), by bisection of 1 - exp(-x) (1 + x)."""
+    low, high = 0.0, 60.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if 1.0 - math.exp(-middle) * (1.0 + middle) < u else (low, middle)
+    return (low + high) / 2
+
+
+def _table(values: list[float]) -> Column:
+    """A constant array; written as text, which the optimizer folds, so that the plan stays small."""
+    return F.split(F.lit(",".join(f"{v:.8g}" for v in values)), ",").cast("array<double>")
+
+
+class _Quantiles:
+    """Draws by inverse distribution: linear between the 255 inner knots of 1/256, by the limiting forms in the outermost two parts.
+
+    Logarithms are what a draw costs; so most take two array reads instead.
+    """
+
+    KNOTS = [_gamma_quantile(i / 256) for i in range(1, 256)]
+
+    def __init__(self, log: bool):
+        v = [math.log(x) for x in self.KNOTS] if log else self.KNOTS
+        self.log, self.at, self.step = log, _table(v), _table([y - x for x, y in zip(v, v[1:], strict=False)] + [0.0])
+
+    def draw(self, bits: Column, shift: int) -> Column:
+        """From 32 bits at shift."""
+        i = F.shiftrightunsigned(bits, shift + 24).bitwiseAND(F.lit(255)).cast("int")
+        part = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0xFFFFFF)).cast("double") / float(1 << 24)
+        # Below the first knot the density is nearly that of x; above the last one nearly that of an exponential.
+        u = (part + 0.5 / (1 << 24)).cast("double")
+        low = F.lit(self.KNOTS[0]) * F.sqrt(u)
+        high = F.lit(self.KNOTS[-1]) - F.log(u)
+        f = F.log if self.log else (lambda x: x)
+        return F.when(i == 0, f(low)).when(i == 255, f(high)).otherwise(F.coalesce(F.get(self.at, i - 1) + part * F.get(self.step, i - 1), F.lit(0.0)))
+
+
+def _draws(h: Column, k: int, samples: int, r: _Quantiles, log_c: _Quantiles) -> list[Column]:
+    """A term's draws for the k-th sample: r, ln c, b and 24 bits of its name."""
+    one, two = (F.xxhash64(h, F.lit(i * samples + k)) for i in range(2))
+    b = (F.shiftrightunsigned(two, 32).cast("double") + 0.5) / float(1 << 32)
+    return [r.draw(one, 32).alias(f"__r{k}"), log_c.draw(one, 0).alias(f"__c{k}"), b.alias(f"__b{k}"), two.bitwiseAND(F.lit(_MASK)).alias(f"__n{k}")]
 
 
 def _sample(log_weight: Column, k: int) -> Column:
@@ -48,8 +86,9 @@ def signatures(parts: DataFrame, keys: list[str], versions: list[str], samples:
     """
     words = parts.select(*keys, *versions, F.explode(F.split("part", _SPACE)).alias("__word"))
     counted = words.select(*keys, F.xxhash64("__word").alias("__h"), *((F.col(v) * (F.col("__word") != "").cast("int")).alias(v) for v in versions)).groupBy(*keys, "__h").agg(*(F.sum(v).alias(v) for v in versions))
+    r, log_c = _Quantiles(False), _Quantiles(True)
     # Draws first: they are columns that both versions read, not expressions to work out for each.
-    logs = counted.select(*keys, *(F.log(F.when(F.col(v) > 0, F.col(v)).cast("double")).alias(v) for v in versions), *(d for k in range(samples) for d in _draws(F.col("__h"), k, samples)))
+    logs = counted.select(*keys, *(F.log(F.when(F.col(v) > 0, F.col(v)).cast("double")).alias(v) for v in versions), *(d for k in range(samples) for d in _draws(F.col("__h"), k, samples, r, log_c)))
     each = logs.select(*keys, *(_sample(F.col(v), k).alias(f"{v}{k}") for k in range(samples) for v in versions))
     least = each.groupBy(*keys).agg(*(F.min(f"{v}{k}").alias(f"{v}{k}") for v in versions for k in range(samples)))
     return least.select(*keys, *(F.array(*(F.coalesce(F.col(f"{v}{k}"), F.lit(0)).bitwiseAND(F.lit(_MASK)).cast("int") for k in range(samples))).alias(v) for v in versions))
