@@ -22,7 +22,9 @@ def by_type(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+    """Doubles to six digits, without a negative zero."""
+    digits = lambda c: F.when(F.round(c, 6) == 0, 0.0).otherwise(F.round(c, 6)).alias(c)
+    return df.select(*(digits(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
 
 def query(sql: str | None = None):
@@ -97,7 +99,7 @@ def indicator(f, columns: dict[str, str], steps: list[str] = ()):  # noqa: B006
     for k, step in enumerate(steps):
         ctes += f", s{k} as (select *, {step} from {src})"
         src = f"s{k}"
-    show = ", ".join(f"round(({e})::double, 6) as {n}" for n, e in columns.items())
+    show = ", ".join(f"case when round(({e})::double, 6) = 0 then 0.0::double else round(({e})::double, 6) end as {n}" for n, e in columns.items())
 
     def run(spark, d):
         return rounded(f(by_type(spark, d)).select("sym", "ts", *(F.col(n).cast("double").alias(n) for n in names)))
