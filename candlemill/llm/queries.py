@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlemill.llm import licenses
 from candlemill.llm.common import table
 from candlemill.llm.fingerprints import fingerprint_documents
 from candlemill.llm.language import identify_pages, train
@@ -75,6 +76,31 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def license_sql() -> str:
+    """The scan as SQL: the templates' weights are constants in it."""
+    w = licenses.Weights(licenses.TEMPLATES, licenses.LIMIT)
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    idf = ", ".join(f"({quote(t)}, {x!r}::double)" for t, x in w.idf.items())
+    unit = ", ".join(f"({quote(t)}, {i}, {x!r}::double)" for t, row in w.unit.items() for i, x in enumerate(row) if x)
+    names = ", ".join(map(quote, w.names))
+    return f"""
+        with idf(token, idf) as (values {idf}), unit(token, i, u) as (values {unit}),
+        l as (select doc_id, text, coalesce(source, '-') || '/' || coalesce(lang, '-') as dir, string_split(text, chr(10)) as lines from documents),
+        x as (select doc_id, unnest(range(1, len(lines) + 1)) as line, unnest(lines) as notice from l),
+        t as (select doc_id, line, unnest(regexp_extract_all(lower(notice), '{licenses.TOKEN}')) as token from x),
+        f as (select doc_id, line, token, (1 + ln(count(*))) * coalesce(any_value(idf), {w.unknown!r}::double) as w from t left join idf using (token) group by 1, 2, 3),
+        n as (select doc_id, line, sqrt(sum(w * w)) as norm from f group by 1, 2),
+        s as (select doc_id, line, i, round(sum(w * u) / any_value(norm), 9) as sim from f join unit using (token) join n using (doc_id, line) group by 1, 2, 3),
+        b as (select *, row_number() over (partition by doc_id order by sim desc, i, line) as r from s),
+        o as (select l.doc_id, l.dir, l.text, x.notice, b.line, b.sim, [{names}][b.i + 1] as license from l left join b on l.doc_id = b.doc_id and b.r = 1 and b.sim >= {licenses.LIMIT} left join x on x.doc_id = b.doc_id and x.line = b.line),
+        p as (select *, license is not null and length(trim(notice, ' ')) = length(trim(text, ' ')) as grants from o),
+        g as (select dir, max(sim) as sim, arg_min(license, (-sim, license)) as license from p where grants group by 1)
+        select p.doc_id, p.dir || '/' || p.doc_id as path, coalesce(p.license, g.license) as license, round(coalesce(p.sim, g.sim), 6) as similarity,
+               case when p.license is not null then case when grants then 'file' else 'header' end when g.license is not null then 'inherited' end as origin,
+               p.line::int as line, case when p.license is null and g.license is not null then g.dir end as from_dir
+        from p left join g on p.dir = g.dir and p.license is null"""
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_language_id": op2_language_id,
@@ -124,4 +150,17 @@ ORACLES = {
         select doc_id, size, source_size, target,
                ((epochs + case when size > 0 and 2 * before + size <= 2 * (target - epochs * source_size) then 1 else 0 end) * size)::bigint as taken
         from o join e on o.source is not distinct from e.source""",
+    "op5_license_scan": license_sql(),
+    "op10_near_dedup": """
+        with recursive w as (
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+        ), s as (
+            select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+                else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w
+        ), x as (select doc_id, len(s) as n, unnest(s) as h from s),
+        p as (select a.doc_id as a, b.doc_id as b, any_value(a.n + b.n) as total, count(*) as i from x a join x b on a.h = b.h and a.doc_id <> b.doc_id group by 1, 2),
+        e as (select a, b from p where 100 * i >= 75 * (total - i)),
+        r(id, seen) as (select doc_id, doc_id from s union select r.id, e.b from r join e on r.seen = e.a),
+        c as (select id, min(seen) as component_id from r group by 1)
+        select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join c on c.id = doc_id""",
 }
