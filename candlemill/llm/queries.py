@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from candlemill.llm import licenses
 from candlemill.llm.common import table
 from candlemill.llm.fingerprints import fingerprint_documents
-from candlemill.llm.language import identify_pages, train
+from candlemill.llm.language import identify_documents, identify_pages, kept, train
 from candlemill.llm.licenses import scan
 from candlemill.llm.lm import score_documents
 from candlemill.llm.mixing import mix_sources
@@ -27,9 +27,13 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = train(table(spark, sf_dir, "documents"))
-    found = identify_pages(table(spark, sf_dir, "pages"), model)
-    return found.select("page_id", "language_id.language", "language_id.posterior")
+    """All pages, with their markup, address and host, and all documents, with their declared language and source."""
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs)
+    pages = identify_pages(table(spark, sf_dir, "pages"), model).select(F.lit(None).cast("long").alias("doc_id"), "page_id", "language_id")
+    texts = identify_documents(docs, model).select("doc_id", F.lit(None).cast("long").alias("page_id"), "language_id")
+    found = texts.unionByName(pages)
+    return found.select("doc_id", "page_id", "language_id.language", "language_id.posterior", kept("language_id").alias("kept"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ from candlemill.llm import language, mixing, neardup, packing, quality
 from candlemill.llm.common import new_path, table
 from candlemill.llm.queries import tokenizer_path
 
-#: A document needs this posterior of its language, and this quality score.
-LEAST_POSTERIOR, LEAST_QUALITY = 0.5, 0.5
+#: A document needs this quality score.
+LEAST_QUALITY = 0.5
 
 
 def _fresh(label: str) -> str:
@@ -36,7 +36,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keeps documents whose language is determined; the text model is trained on the documents' own labels."""
     name = _fresh("language")
     found = language.identify_documents(docs, language.train(docs), out=name)
-    return _only(docs, found.where((F.col(f"{name}.language") != language.UNDETERMINED) & (F.col(f"{name}.posterior") >= LEAST_POSTERIOR)))
+    return _only(docs, found.where(language.kept(name)))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
