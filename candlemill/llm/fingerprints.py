@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from candlemill.llm.common import range_staged, stage_table
 
-SAMPLES = 52
+SAMPLES = 64
 _SPACE, _MASK = r"[\x20\x09-\x0D]+", (1 << 24) - 1
 
 
