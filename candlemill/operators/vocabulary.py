@@ -58,3 +58,46 @@ def lens_facts(all_facts: DataFrame) -> DataFrame:
     spark = all_facts.sparkSession
     table = spark.createDataFrame([(lens, m) for lens, ms in LENSES.items() for m in ms], "lens string, module string")
     return all_facts.join(F.broadcast(table), "module")
+
+
+def standard(df: DataFrame, window: int = 48) -> DataFrame:
+    """Columns over the last window rows: rows since the last large move (|roc_1| > 0.02) and volume spike (volume_accel > 2),
+    null where there was none; distances of the close from the window's high, low and middle and from sma200; its depth."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("sym").orderBy("ts")
+    w = by.rowsBetween(-(window - 1), 0)
+    df = df.withColumn("_i", F.row_number().over(by))
+    since = lambda c: F.col("_i") - F.max(F.when(c, F.col("_i"))).over(w)
+    hi, lo = F.max("high").over(w), F.min("low").over(w)
+    away = lambda level: F.when(F.col("close") != 0, (F.col("close") - level) / F.when(F.col("close") != 0, F.col("close")))
+    return df.withColumns({
+        "since_large_move": since(F.abs(F.col("roc_1")) > 0.02), "since_vol_spike": since(F.col("volume_accel") > 2), "dist_high": away(hi), "dist_low": away(lo),
+        "dist_middle": away((hi + lo) / 2), "dist_sma200": away(F.col("sma200")), "session_depth": F.count("*").over(w),
+    }).drop("_i")
+
+
+def phase_scalars(records: DataFrame) -> DataFrame:
+    """Per closed phase: trend of the mean close, range ratio and spacing ratio against the last phase of the same label."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("sym", "label").orderBy("start_candle")
+    before = lambda c: F.lag(c).over(by)
+    ratio = lambda a, b: F.when(b != 0, a / F.when(b != 0, b))
+    width = F.col("close_max") - F.col("close_min")
+    return records.select(
+        "sym", "label", "start_candle", ratio(F.col("close_avg") - before("close_avg"), before("close_avg")).alias("trend"), ratio(width, before(width)).alias("range_ratio"),
+        ratio(F.col("start_candle") - before("start_candle"), before(F.col("duration"))).alias("spacing_ratio"),
+    )
+
+
+def trade_atoms(df: DataFrame) -> DataFrame:
+    """(sym, ts, paper, entry, direction, price, phase_generation): state of an open paper at each of its rows."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("sym", "paper").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    sign = F.when(F.col("direction") == "Up", 1.0).otherwise(-1.0)
+    move = F.when(F.col("entry") != 0, sign * (F.col("price") - F.col("entry")) / F.when(F.col("entry") != 0, F.col("entry"))).otherwise(0.0)
+    df = df.withColumn("_m", move).withColumns({"age": F.count("*").over(w), "excursion": F.greatest(F.lit(0.0), F.max("_m").over(w)), "heat": F.greatest(F.lit(0.0), -F.min("_m").over(w)), "phases_since": F.col("phase_generation") - F.first("phase_generation").over(w)})
+    back = F.when(F.col("excursion") > 0, (F.col("excursion") - F.col("_m")) / F.when(F.col("excursion") > 0, F.col("excursion"))).otherwise(0.0)
+    return df.withColumn("retracement", back).drop("_m")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlemill.functions import vectors as V
-from candlemill.operators import folds, indicators, simulator, treasury, vocabulary
+from candlemill.operators import folds, indicators, learning, phase_trades, provenance, simulator, treasury, vocabulary
 from candlemill.sources import candles as C
 
 QUERIES: dict = {}
@@ -478,3 +478,156 @@ def soundness_gate(spark, d):
     best = F.greatest(*(V.cosine(F.col("v"), F.array(*(F.lit(x) for x in a))) for a in axioms))
     out = s.where("vec_id >= 10").select(F.col("vec_id").alias("claim"), best.alias("c"))
     return out.select("claim", F.round("c", 6).alias("coherence"), F.when(F.col("c") >= 0.4, "accept").when(F.col("c") >= 0.2, "review").otherwise("reject").alias("verdict"))
+
+
+# --- windows of facts, phases, learners ----------------------------------------------------------------------------
+
+_AWAY = lambda x: f"case when close <> 0 then (close - ({x})) / close end"
+
+
+@query(f"""with {BY_TYPE}, r as (select *, row_number() over (partition by sym order by ts) as i, {prev('close')} as p, avg(volume) {over(20)} as mv, avg(close) {over(200)} as sma200, max(high) {over(48)} as hi, min(low) {over(48)} as lo from c),
+q as (select *, case when p is null then 0 else {div('close - p', 'p')} end as roc, volume / case when mv = 0 then 1 else mv end as va from r)
+select sym, ts, i - max(case when abs(roc) > 0.02 then i end) {over(48)} as since_large_move, i - max(case when va > 2 then i end) {over(48)} as since_vol_spike,
+{', '.join(f"case when round({_AWAY(x)}, 6) = 0 then 0.0::double else round({_AWAY(x)}, 6) end as {n}" for n, x in (('dist_high', 'hi'), ('dist_low', 'lo'), ('dist_middle', '(hi + lo) / 2'), ('dist_sma200', 'sma200')))}, count(*) {over(48)} as session_depth from q""")
+def facts_standard(spark, d):
+    e = vocabulary.standard(indicators.obv(indicators.roc(indicators.sma(by_type(spark, d)))))
+    return rounded(e.select("sym", "ts", F.col("since_large_move").cast("long"), F.col("since_vol_spike").cast("long"), "dist_high", "dist_low", "dist_middle", "dist_sma200", "session_depth"))
+
+
+@query()
+def phase_scalars(spark, d):
+    return rounded(vocabulary.phase_scalars(folds.phase_records(folds.fold(by_type(spark, d)))))
+
+
+@query()
+def trade_atoms(spark, d):
+    """Papers of the always-up runs, joined with the candles that they were open at."""
+    rows = labelled(spark, d).withColumn("at", F.row_number().over(Window.partitionBy("sym").orderBy("ts")))
+    p = outcomes(spark, d).select(F.col("sym").alias("p_sym"), "thinker", "paper_id", "direction", F.explode(F.sequence("opened_at", "resolved_at")).alias("p_at"), "opened_at")
+    entry = rows.select(F.col("sym").alias("e_sym"), F.col("at").alias("e_at"), F.col("close").alias("entry"))
+    open_ = p.join(entry, (F.col("p_sym") == F.col("e_sym")) & (F.col("opened_at") == F.col("e_at")))
+    at = rows.join(open_, (F.col("sym") == F.col("p_sym")) & (F.col("at") == F.col("p_at")))
+    return rounded(vocabulary.trade_atoms(at.select("sym", "ts", F.concat_ws("/", "thinker", F.col("paper_id").cast("string")).alias("paper"), "entry", "direction", F.col("close").alias("price"), "phase_generation")))
+
+
+def found_flips(spark, d) -> DataFrame:
+    return phase_trades.sweep(folds.fold(by_type(spark, d)), (0.5, 1.0, 1.5, 2.0, 3.0))
+
+
+@query()
+def flip_sweep(spark, d):
+    return rounded(phase_trades.trade_summary(phase_trades.flip_trades(found_flips(spark, d))))
+
+
+@query()
+def flip_streaks(spark, d):
+    return phase_trades.streaks(found_flips(spark, d))
+
+
+@query()
+def flip_coverage(spark, d):
+    return phase_trades.coverage(found_flips(spark, d), 6)
+
+
+@query("""with r as (select value, (event_type in ('purchase', 'view', 'click'))::int as ok, row_number() over (order by value, event_id) - 1 as i, count(*) over () as n from events),
+g as (select least(i // greatest(n // 20, 1), 19) as bin, avg(value) as x, avg(ok) as acc from r group by 1)
+select round(exp(regr_intercept(ln(acc - 0.5), x)), 6) as a, round(regr_slope(ln(acc - 0.5), x), 6) as b, count(*) as bins from g where acc > 0.5""")
+def curve_fit(spark, d):
+    e = table(spark, d, "events")
+    n = e.count()
+    r = e.withColumn("i", F.row_number().over(Window.orderBy("value", "event_id")) - 1)
+    b = F.least(F.floor(F.col("i") / max(n // 20, 1)), F.lit(19))
+    return rounded(learning.curve_fit(r.groupBy(b.alias("bin")).agg(F.avg("value").alias("x"), F.avg(F.col("event_type").isin("purchase", "view", "click").cast("int")).alias("acc"))))
+
+
+@query("with g as (select l_suppkey as broker, avg((l_returnflag = 'N')::int) as p, avg(l_extendedprice) / 30000 as odds, count(*) filter (l_returnflag = 'N') as graces, count(*) filter (l_returnflag <> 'N') as violences from lineitem group by 1) select broker, round(greatest(0, 0.5 * (p - (1 - p) / case when odds > 0 then odds end)), 6) as half_kelly, graces < 50 or violences < 50 or p > 0.5 as gate from g")
+def kelly_gate(spark, d):
+    n = F.col("l_returnflag") == "N"
+    g = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("broker")).agg(F.avg(n.cast("int")).alias("p"), (F.avg("l_extendedprice") / 30000).alias("odds"), F.count_if(n).alias("graces"), F.count_if(~n).alias("violences"))
+    return g.select("broker", F.round(learning.kelly(F.col("p"), F.col("odds"), 0.5), 6).alias("half_kelly"), learning.broker_gate(F.col("graces"), F.col("violences"), F.col("p")).alias("gate"))
+
+
+@query(f"""with {BY_TYPE}, g as (select *, case when close > open then 'Up' else 'Down' end as guess, lead(close, 6) over (partition by sym order by ts) as later from c),
+x as (select *, case when later is null or later = close then 'open' when (later > close) = (guess = 'Up') then 'right' else 'wrong' end as grade from g)
+select sym, guess, grade, count(*) as n from x group by 1, 2, 3""")
+def grade_predictions(spark, d):
+    c = by_type(spark, d).withColumn("guess", F.when(F.col("close") > F.col("open"), "Up").otherwise("Down"))
+    return learning.grade_predictions(c, 6).groupBy("sym", "guess", "grade").agg(F.count("*").alias("n"))
+
+
+@query("select l_linenumber::int as epoch, count(*) as n, round(avg((l_discount > 0.04)::int), 6) as accuracy, avg((l_discount > 0.04)::int) >= 0.55 as open from lineitem group by 1")
+def engram_gate(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("epoch"), (F.col("l_discount") > 0.04).alias("correct"))
+    return learning.engram_gate(x, "epoch", "correct").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"""with {SIGNS}, p as (select label, unnest(range(1, len(r) + 1)) as i, unnest(r) as x from e), s as (select label, i, sum(x) as x from p group by 1, 2), t as (select label, list(x order by i) as p from s group by 1),
+m as (select e.vec_id, t.label as guess, list_cosine_similarity(e.r, t.p) as c from e, t), k as (select *, row_number() over (partition by vec_id order by c desc) as place, lead(c) over (partition by vec_id order by c desc) as second from m)
+select vec_id, guess, round(c, 6) as cosine, round(c - second, 6) as margin from k where place = 1""")
+def reckoner(spark, d):
+    s = signs(spark, d)
+    protos = [(r.label, r.prototype) for r in learning.prototypes(s, "r", "label").orderBy("label").collect()]  # one a class
+    out = learning.reckon(s, protos, "r", V.cosine)
+    return rounded(out.select("vec_id", "guess", "cosine", "margin"))
+
+
+@query(f"""with {SIGNS}, q as (select r as q from e where vec_id = 0), w as (select greatest(list_cosine_similarity(r, q), 0) * (1 + vec_id % 3) as w, vec_id % 10 / 100.0 as dist from e, q where vec_id <> 0)
+select round(sum(w * dist) / sum(w), 6) as distance, count(*) filter (w > 0) as used from w""")
+def learned_stop(spark, d):
+    s = signs(spark, d)
+    q = F.array(*(F.lit(float(x)) for x in s.where("vec_id = 0").first()["r"]))
+    m = s.where("vec_id <> 0").select(F.col("r").alias("v"), (F.col("vec_id") % 10 / 100.0).alias("distance"), (1 + F.col("vec_id") % 3).cast("double").alias("weight"))
+    return rounded(learning.learned_stop(m, q, V.cosine))
+
+
+@query()
+def change_points(spark, d):
+    return rounded(learning.change_points(by_type(spark, d)))
+
+
+@query()
+def best_trailing_distance(spark, d):
+    ahead = F.collect_list("close").over(Window.partitionBy("sym").orderBy("ts").rowsBetween(1, 24))
+    e = by_type(spark, d).withColumn("path", ahead).where("close > 0").withColumn("path", F.filter("path", lambda x: x > 0))
+    e = e.select(F.concat_ws("/", "sym", F.col("ts").cast("string")).alias("id"), F.col("close").alias("entry"), F.when(F.minute("ts") % 2 == 0, "Up").otherwise("Down").alias("direction"), "path")
+    return rounded(simulator.best_distance(e))
+
+
+# --- provenance ----------------------------------------------------------------------------------------------------
+
+
+@query("select o.o_orderkey as id, case when max(l_shipdate) is null then 'unanchored' when o.o_orderdate >= max(l_shipdate) then 'possible' else 'impossible' end as verdict from orders o left join lineitem l on o.o_orderkey = l.l_orderkey group by o.o_orderkey, o.o_orderdate")
+def causal_time(spark, d):
+    claims = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("claimed_at"))
+    return provenance.causal(claims, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("publication_time")))
+
+
+@query("""with b as (select s_suppkey as r, s_nationkey as v from supplier), k as (select l_orderkey as id, l_suppkey as r, l_suppkey % 25 as v from lineitem),
+j as (select k.id, coalesce(k.v = b.v, false) as ok from k left join b using (r)) select id, case when bool_and(ok) then 'valid' else 'invalid' end as verdict from j group by 1""")
+def time_witness(spark, d):
+    beacons = table(spark, d, "supplier").select(F.lit("s").alias("name"), F.col("s_suppkey").alias("round"), F.col("s_nationkey").cast("long").alias("value"))
+    claims = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit("s").alias("name"), F.col("l_suppkey").alias("round"), (F.col("l_suppkey") % 25).alias("value"))
+    return provenance.witnesses(claims, beacons)
+
+
+@query("""with recursive p as (select c_custkey as form, case when c_custkey >= 10 then c_custkey // 2 end as next, case when c_custkey < 10 then c_nationkey end as terminal from customer),
+r(form, here, n) as (select form, form, 0 from p union all select r.form, p.next, n + 1 from r join p on r.here = p.form where p.next is not null and n < 16)
+select r.form, max(p.terminal)::bigint as terminal from r left join p on r.here = p.form group by 1""")
+def chain_resolution(spark, d):
+    c = table(spark, d, "customer")
+    p = c.select(F.col("c_custkey").alias("form"), F.when(F.col("c_custkey") >= 10, F.floor(F.col("c_custkey") / 2)).alias("next"), F.when(F.col("c_custkey") < 10, F.col("c_nationkey").cast("long")).alias("terminal"))
+    return provenance.resolve(p)
+
+
+@query("with s as (select l_partkey as part, l_returnflag as flag, sum(l_extendedprice) as score from lineitem group by 1, 2), k as (select *, row_number() over (partition by part order by score desc, flag) as place, lead(score) over (partition by part order by score desc, flag) as second from s) select part, flag, round(score - coalesce(second, 0), 4) as margin from k where place = 1")
+def margin_classification(spark, d):
+    s = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag")).agg(F.sum("l_extendedprice").alias("score"))
+    return provenance.top_two(s, "part", "flag", "score").withColumn("margin", F.round("margin", 4))
+
+
+@query("with m as (select event_type as asset, sum(case when user_id % 2 = 0 then value else -value end) as balance from events group by 1), p as (select event_type as asset, avg(value) as price from events group by 1) select asset, round(balance, 4) as balance, round(price, 6) as price, round(balance * price, 2) as value from m join p using (asset)")
+def asset_balances(spark, d):
+    e = table(spark, d, "events")
+    moves = e.select(F.col("event_type").alias("asset"), F.when(F.col("user_id") % 2 == 0, "deposit").otherwise("withdraw").alias("kind"), F.col("value").alias("amount"))
+    b = treasury.balances(moves, e.groupBy(F.col("event_type").alias("asset")).agg(F.avg("value").alias("price")))
+    return b.select("asset", F.round("balance", 4).alias("balance"), F.round("price", 6).alias("price"), F.round("value", 2).alias("value"))
