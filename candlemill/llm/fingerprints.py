@@ -63,19 +63,20 @@ class _Quantiles:
         return F.when(i == 0, f(low)).when(i == 255, f(high)).otherwise(F.coalesce(F.get(self.at, i - 1) + part * F.get(self.step, i - 1), F.lit(0.0)))
 
 
-def _draws(h: Column, k: int, samples: int, r: _Quantiles, log_c: _Quantiles) -> list[Column]:
-    """A term's draws for the k-th sample: r, ln c, b and 24 bits of its name."""
+def _sample(h: Column, k: int, samples: int, r_of: _Quantiles, log_c_of: _Quantiles, weight: Column | None = None) -> Column:
+    """Value and name of a term's k-th sample in one long: ln a in the upper bits, so that the least long is the sample.
+
+    Without a weight it is 1, with which t is 0 whatever r and b are.
+    """
     one, two = (F.xxhash64(h, F.lit(i * samples + k)) for i in range(2))
+    r, log_c = r_of.draw(one, 32), log_c_of.draw(one, 0)
     b = (F.shiftrightunsigned(two, 32).cast("double") + 0.5) / float(1 << 32)
-    return [r.draw(one, 32).alias(f"__r{k}"), log_c.draw(one, 0).alias(f"__c{k}"), b.alias(f"__b{k}"), two.bitwiseAND(F.lit(_MASK)).alias(f"__n{k}")]
-
-
-def _sample(log_weight: Column, k: int) -> Column:
-    """Value and name of a term's k-th sample in one long: ln a in the upper bits, so that the least long is the sample."""
-    r, c, b, name = (F.col(f"__{x}{k}") for x in "rcbn")
-    t = F.floor(log_weight / r + b)
-    log_a = c - r * (t.cast("double") - b + 1.0)
-    return F.shiftleft(((log_a + 128.0) * float(1 << 31)).cast("long"), 24).bitwiseOR(name.bitwiseXOR(t).bitwiseAND(F.lit(_MASK)))
+    if weight is None:
+        log_a, name = log_c - r * (1.0 - b), two
+    else:
+        t = F.floor(F.log(weight.cast("double")) / r + b)
+        log_a, name = log_c - r * (t.cast("double") - b + 1.0), two.bitwiseXOR(t)
+    return F.shiftleft(F.floor((log_a + 128.0) * float(1 << 31)), 24).bitwiseOR(name.bitwiseAND(F.lit(_MASK)))
 
 
 def signatures(parts: DataFrame, keys: list[str], versions: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -87,9 +88,11 @@ def signatures(parts: DataFrame, keys: list[str], versions: list[str], samples:
     words = parts.select(*keys, *versions, F.explode(F.split("part", _SPACE)).alias("__word"))
     counted = words.select(*keys, F.xxhash64("__word").alias("__h"), *((F.col(v) * (F.col("__word") != "").cast("int")).alias(v) for v in versions)).groupBy(*keys, "__h").agg(*(F.sum(v).alias(v) for v in versions))
     r, log_c = _Quantiles(False), _Quantiles(True)
-    # Draws first: they are columns that both versions read, not expressions to work out for each.
-    logs = counted.select(*keys, *(F.log(F.when(F.col(v) > 0, F.col(v)).cast("double")).alias(v) for v in versions), *(d for k in range(samples) for d in _draws(F.col("__h"), k, samples, r, log_c)))
-    each = logs.select(*keys, *(_sample(F.col(v), k).alias(f"{v}{k}") for k in range(samples) for v in versions))
+    # Most words occur once in a text: their sample is a column that all versions read, and the rest are worked out where they occur.
+    h = F.col("__h")
+    once = counted.select(*keys, "__h", *versions, *(_sample(h, k, samples, r, log_c).alias(f"__s{k}") for k in range(samples)))
+    value = lambda v, k: F.when(F.col(v) == 1, F.col(f"__s{k}")).when(F.col(v) > 1, _sample(h, k, samples, r, log_c, F.col(v)))
+    each = once.select(*keys, *(value(v, k).alias(f"{v}{k}") for k in range(samples) for v in versions))
     least = each.groupBy(*keys).agg(*(F.min(f"{v}{k}").alias(f"{v}{k}") for v in versions for k in range(samples)))
     return least.select(*keys, *(F.array(*(F.coalesce(F.col(f"{v}{k}"), F.lit(0)).bitwiseAND(F.lit(_MASK)).cast("int") for k in range(samples))).alias(v) for v in versions))
 
