@@ -216,6 +216,23 @@ def fold_macd(spark, d):
     return rounded(folds.fold(by_type(spark, d)).select("sym", "ts", "macd_hist"))
 
 
+@query(f"""with {NUMBERED}, m as (select *, high - {prev('high')} as up, {prev('low')} - low as dn from tr), dm as (select *, case when up > dn and up > 0 then up else 0 end as plus, case when dn > up and dn > 0 then dn else 0 end as minus from m),
+{recursive('t', 14, '(13.0/14)', '(1.0/14)', 't', 1, 'dm')}, {recursive('plus', 14, '(13.0/14)', '(1.0/14)', 'p', 1, 'dm')}, {recursive('minus', 14, '(13.0/14)', '(1.0/14)', 'q', 1, 'dm')}
+select n.sym, n.ts, round(coalesce(100 * {div('p.v', 't.v')}, 0), 6) as plus_di, round(coalesce(100 * {div('q.v', 't.v')}, 0), 6) as minus_di
+from n left join t on n.sym = t.sym and n.i = t.i left join p on n.sym = p.sym and n.i = p.i left join q on n.sym = q.sym and n.i = q.i""")
+def fold_directional(spark, d):
+    return rounded(folds.fold(by_type(spark, d)).select("sym", "ts", "plus_di", "minus_di"))
+
+
+@query(f"""with {NUMBERED}, {recursive('t', 14, '(13.0/14)', '(1.0/14)', 'a', 0, 'tr')}, j as (select n.*, a.v as atr from n join a on n.sym = a.sym and n.i = a.i),
+r as (select *, max(high) {over(12)} - min(low) {over(12)} as reach, sum(atr) {over(14)} as total, avg(close) {over(20)} as m, coalesce(stddev_pop(close) {over(20)}, 0) as s from j)
+select sym, ts, round(case when i >= 14 and reach > 0 and total > 0 then 100 * ln(total / reach) / ln(14) else 50 end, 6) as choppiness,
+round({div(div('4 * s', 'm'), div('4 * atr', 'close'))}, 5) as squeeze from r""")
+def fold_choppiness_squeeze(spark, d):
+    out = folds.fold(by_type(spark, d)).select("sym", "ts", "choppiness", F.round("squeeze", 5).alias("squeeze"))
+    return rounded(out)
+
+
 @query()
 def fold_all(spark, d):
     return rounded(folds.fold(by_type(spark, d)))
