@@ -238,7 +238,18 @@ def fold_all(spark, d):
     return rounded(folds.fold(by_type(spark, d)))
 
 
-@query()
+@query(f"""with recursive {NUMBERED}, {recursive('t', 14, '(13.0/14)', '(1.0/14)', 'a', 0, 'tr')}, j as materialized (select n.sym, n.ts, n.i, n.close, 2 * a.v as sm from n join a on n.sym = a.sym and n.i = a.i),
+ph(sym, i, rising, extreme, label, direction, duration, generation) as (
+    select sym, i, false, close, 'Valley', 'None', 1, 0 from j where i = 1
+    union all
+    select sym, i, rising, extreme, new_label, case when near then 'None' when rising then 'Up' else 'Down' end, case when new_label = label then duration + 1 else 1 end, generation + (new_label <> label)::int
+    from (select *, case when near then case when rising then 'Peak' else 'Valley' end else 'Transition' end as new_label
+        from (select *, case when rising then extreme - close else close - extreme end <= sm / 2 as near
+            from (select sym, i, close, sm, label, duration, generation, (was <> turned) as rising, case when turned then close else tracked end as extreme
+                from (select *, case when was then tracked - close else close - tracked end > sm as turned
+                    from (select j.sym, j.i, j.close, j.sm, ph.label, ph.duration, ph.generation, ph.rising as was, case when ph.rising then greatest(ph.extreme, j.close) else least(ph.extreme, j.close) end as tracked
+                        from ph join j on j.sym = ph.sym and j.i = ph.i + 1)))))
+) select j.sym, j.ts, j.close, ph.label as phase_label, ph.direction as phase_direction, ph.duration::bigint as phase_duration, ph.generation::bigint as phase_generation from ph join j on j.sym = ph.sym and j.i = ph.i""")
 def phase_labels(spark, d):
     return folds.phases(folds.fold(by_type(spark, d)))
 
