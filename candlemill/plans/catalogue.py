@@ -305,17 +305,37 @@ def outcomes(spark, d) -> DataFrame:
     return simulator.simulate(labelled(spark, d), deadline=48)
 
 
-@query()
+_SIMULATED = ORACLES["phase_labels"].rsplit(") select j.sym", 1)[0] + f"""),
+sig as materialized (select j.sym, j.i, j.close, ph.label, ph.generation, t.thinker,
+    case when t.thinker = 'always-up' then 'Up' when avg(j.close) over (partition by j.sym, t.thinker order by j.i rows 19 preceding) > avg(j.close) over (partition by j.sym, t.thinker order by j.i rows 49 preceding) * 1.001 then 'Up'
+         when avg(j.close) over (partition by j.sym, t.thinker order by j.i rows 19 preceding) < avg(j.close) over (partition by j.sym, t.thinker order by j.i rows 49 preceding) * 0.999 then 'Down' else 'Hold' end as signal
+    from j join ph on j.sym = ph.sym and j.i = ph.i cross join (values ('always-up'), ('sma-cross')) t(thinker)),
+sim(sym, thinker, i, dir, since, entry, papers, gen, state, gain, was_dir, was_since) as (
+    select sym, thinker, i, case when signal <> 'Hold' then signal end, i, close, (signal <> 'Hold')::int, generation, null::varchar, 0.0::double, null::varchar, 0::bigint from sig where i = 1
+    union all
+    select sym, thinker, i, case when dir is null then case when signal <> 'Hold' then signal end when verdict is null then dir end, case when dir is null then i else since end, case when dir is null then close else entry end,
+        papers + (dir is null and signal <> 'Hold')::int, generation, verdict, g, dir, since
+    from (select *, case when dir is null then null when i >= since + 48 then 'Violence'
+                         when generation <> gen and label = case when dir = 'Up' then 'Peak' else 'Valley' end and signal <> 'Hold' and signal <> dir and g >= 0.01 then 'Grace' end as verdict
+        from (select sig.*, sim.dir, sim.since, sim.entry, sim.papers, sim.gen, (case when sim.entry = 0 then 0 else (sig.close - sim.entry) / sim.entry end) * (case when sim.dir = 'Up' then 1 else -1 end) - 0.007 as g
+            from sim join sig on sig.sym = sim.sym and sig.thinker = sim.thinker and sig.i = sim.i + 1))
+), outcomes as (select sym, thinker, papers::bigint as paper_id, was_dir as direction, was_since::bigint as opened_at, i::bigint as resolved_at, state, case when state = 'Grace' then gain else 0 end as residue, case when state = 'Violence' then abs(gain) else 0 end as loss from sim where state is not null)
+"""
+
+
+@query(_SIMULATED + "select sym, thinker, paper_id, direction, opened_at, resolved_at, state, round(residue::double, 6) as residue, round(loss::double, 6) as loss from outcomes")
 def paper_resolutions(spark, d):
     return rounded(outcomes(spark, d))
 
 
-@query()
+@query(_SIMULATED + "select sym, thinker, count(*) as papers, count(*) filter (state = 'Grace') as grace, count(*) filter (state = 'Violence') as violence, round(sum(residue)::double, 6) as residue, round(sum(loss)::double, 6) as loss from outcomes group by 1, 2")
 def run_aggregates(spark, d):
     return rounded(simulator.aggregate(outcomes(spark, d), "sym", "thinker"))
 
 
-@query()
+@query(_SIMULATED + """, a as (select thinker, count(*) as p, count(*) filter (state = 'Grace') as g from outcomes group by 1),
+b as (select u.g as g0, u.p as p0, v.g as g1, v.p as p1, (u.g + v.g) / (u.p + v.p) as q from a u, a v where u.thinker = 'always-up' and v.thinker = 'sma-cross')
+select g0, p0, g1, p1, round(case when q * (1 - q) > 0 then (g1 / p1 - g0 / p0) / sqrt(q * (1 - q) * (1 / p1 + 1 / p0)) else 0 end, 6) as z from b""")
 def thinker_significance(spark, d):
     a = simulator.aggregate(outcomes(spark, d), "thinker")
     up, cross = (a.where(F.col("thinker") == t).select(F.col("grace").alias(f"g{k}"), F.col("papers").alias(f"p{k}")) for k, t in enumerate(("always-up", "sma-cross")))
