@@ -333,9 +333,9 @@ def run_aggregates(spark, d):
     return rounded(simulator.aggregate(outcomes(spark, d), "sym", "thinker"))
 
 
-@query(_SIMULATED + """, a as (select thinker, count(*) as p, count(*) filter (state = 'Grace') as g from outcomes group by 1),
-b as (select u.g as g0, u.p as p0, v.g as g1, v.p as p1, (u.g + v.g) / (u.p + v.p) as q from a u, a v where u.thinker = 'always-up' and v.thinker = 'sma-cross')
-select g0, p0, g1, p1, round(case when q * (1 - q) > 0 then (g1 / p1 - g0 / p0) / sqrt(q * (1 - q) * (1 / p1 + 1 / p0)) else 0 end, 6) as z from b""")
+@query(_SIMULATED + """, byt as (select thinker, count(*) as p, count(*) filter (state = 'Grace') as g from outcomes group by 1),
+zz as (select u.g as g0, u.p as p0, v.g as g1, v.p as p1, (u.g + v.g) / (u.p + v.p) as q from byt u, byt v where u.thinker = 'always-up' and v.thinker = 'sma-cross')
+select g0, p0, g1, p1, round(case when q * (1 - q) > 0 then (g1 / p1 - g0 / p0) / sqrt(q * (1 - q) * (1 / p1 + 1 / p0)) else 0 end, 6) as z from zz""")
 def thinker_significance(spark, d):
     a = simulator.aggregate(outcomes(spark, d), "thinker")
     up, cross = (a.where(F.col("thinker") == t).select(F.col("grace").alias(f"g{k}"), F.col("papers").alias(f"p{k}")) for k, t in enumerate(("always-up", "sma-cross")))
