@@ -7,9 +7,10 @@ of every class; the soft-max over all classes, from one matrix product for a bat
 Within a class a word has (c + 1) / (N_k + V_k + 1), from its count and the class's tokens and types in training, which
 leaves one part for unknown words. So the probabilities of all words and of the unknown ones of all classes sum up to 1.
 
-All counts are over all training rows. Training goes through all of them too, every STRIDE-th token a target: in each
-round every task starts from the same parameters and trains on its own rows, and the parameters are averaged, weighted
-by tokens, by a grouped aggregate. Small corpora are read several times in a round.
+All counts are over all training rows. Training goes through all of them too, and every token is a target, whatever the
+size of the corpus: a round takes every STRIDE-th token at its offsets, and the rounds share all offsets out among
+them. In each round every task starts from the same parameters and trains on its own rows, and the parameters are
+averaged, weighted by tokens, by a grouped aggregate.
 
 Contract for odd input: null and empty texts consist of their end token alone. Rows are scored as often as they occur.
 Null ids count as the empty text for the split. Without training rows all words are unknown and every class is as
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from candlemill.llm.common import bound_batches, held_out, stage_table
 
 OWN, SHARED, DIM, CONTEXT, BAG = 224, 160, 16, 4, 32
-STRIDE, ROUNDS, BATCH, NOISE, RATE, LEAST_TARGETS = 10, 2, 256, 96, 0.3, 400_000
+STRIDE, ROUNDS, BATCH, NOISE, RATE = 2, 2, 256, 96, 0.3
 #: Words whose counts every task holds; the counts of rarer ones are joined.
 HEAD, COUNTER_LIMIT, CHUNK = 200_000, 400_000, 4096
 END = b"\n"  # no word: words hold no white space
@@ -103,12 +104,22 @@ def log_probabilities(p: Parameters, docs: list[np.ndarray]) -> np.ndarray:
     return mine - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
 
 
+def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by index, at a cost that doesn't depend on n."""
+    return np.bincount((index[:, None] * DIM + np.arange(DIM)).ravel(), rows.ravel(), n * DIM).reshape(n, DIM).astype(np.float32)
+
+
+def offsets(r: int, rounds: int, stride: int) -> range | tuple[int]:
+    """The offsets of round r: those of all rounds are all the offsets below stride."""
+    return range(r, stride, rounds) if r < stride else (r % stride,)
+
+
 class Trainer:
     """Noise-contrastive estimation with Adagrad steps."""
 
     def __init__(self, p: Parameters, unigram: np.ndarray, seed: int):
         self.p, self.g = p, np.random.default_rng(seed)
-        self.noise_p, self.log_noise = unigram, np.log(unigram * NOISE).astype(np.float32)
+        self.noise_cdf, self.log_noise = np.cumsum(unigram) / np.sum(unigram), np.log(unigram * NOISE).astype(np.float32)
         self.sums = {n: np.full_like(getattr(p, n), 0.1) for n in p.NAMES}
 
     def _step(self, name: str, gradient: np.ndarray) -> None:
@@ -118,26 +129,18 @@ class Trainer:
 
     def batch(self, target: np.ndarray, before: np.ndarray, bag: np.ndarray) -> None:
         p, n = self.p, len(target)
-        noise = self.g.choice(len(self.noise_p), NOISE, p=self.noise_p)
+        noise = self.noise_cdf.searchsorted(self.g.random(NOISE), side="right")
         r = hidden(p, before, bag)
         true = (r * p.q[target]).sum(axis=1) + p.b[target] - self.log_noise[target]
         false = r @ p.q[noise].T + p.b[noise] - self.log_noise[noise]
         pull = (1.0 / (1.0 + np.exp(np.clip(true, -30, 30)))).astype(np.float32)
         push = (-1.0 / (1.0 + np.exp(np.clip(-false, -30, 30)))).astype(np.float32)
-        at = np.arange(n)
-        hot = np.zeros((n, len(p.b)), np.float32)
-        hot[at, target] = pull
-        q, b = hot.T @ r, hot.sum(axis=0)
-        np.add.at(q, noise, push.T @ r)
-        np.add.at(b, noise, push.sum(axis=0))
+        classes = len(p.b)
+        q = _sums(target, pull[:, None] * r, classes) + _sums(noise, push.T @ r, classes)
+        b = (np.bincount(target, pull, classes) + np.bincount(noise, push.sum(axis=0), classes)).astype(np.float32)
         back = pull[:, None] * p.q[target] + push @ p.q[noise]
-        e, c = np.zeros_like(p.e), np.empty_like(p.c)
-        hot = np.zeros((n, len(p.e)), np.float32)
-        for i in range(CONTEXT):
-            c[i] = p.e[before[:, i]].T @ back
-            hot[:] = 0
-            hot[at, before[:, i]] = 1
-            e += hot.T @ (back @ p.c[i].T)
+        c = np.stack([p.e[before[:, i]].T @ back for i in range(CONTEXT)])
+        e = _sums(before.T.ravel(), np.concatenate([back @ p.c[i].T for i in range(CONTEXT)]), classes + 1)
         m = bag.T @ back
         scale = np.float32(1.0 / n)
         for name, gradient in (("q", q), ("b", b), ("e", e), ("c", c), ("m", m)):
@@ -273,20 +276,19 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iter
             yield batch, first, run
 
 
-def train(encoded: DataFrame, tokens: np.ndarray, total: int, *, rounds: int = ROUNDS, stride: int = STRIDE) -> Parameters:
+def train(encoded: DataFrame, tokens: np.ndarray, *, rounds: int = ROUNDS, stride: int = STRIDE) -> Parameters:
     """Parameters after rounds over all rows of encoded (ids). Each task sends its parameters; they are averaged by tokens."""
     unigram = (tokens + 1.0) / (tokens.sum() + len(tokens))
     p = Parameters(len(tokens), np.log(unigram))
-    passes = max(1, min(64, -(-LEAST_TARGETS * stride // max(1, total))))
     for r in range(rounds):
         start = p.flat()
 
         def work(batches: Iterator[pa.RecordBatch], r: int = r, start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
             own = Parameters(len(tokens), np.log(unigram)).load(start)
             trainer, seen = Trainer(own, unigram, 100 + r), 0
-            for k, (_, _, docs) in enumerate(_grouped(batches, 0, 16 * CHUNK)):
-                for again in range(passes):
-                    trainer.train(docs, stride, k + r * (stride // 2) + again)
+            for _, _, docs in _grouped(batches, 0, 16 * CHUNK):
+                for offset in offsets(r, rounds, stride):
+                    trainer.train(docs, stride, offset)
                 seen += sum(map(len, docs))
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(start), dtype=np.int32)), pa.array(own.flat().astype(np.float64) * seen), pa.array(np.full(len(start), seen, np.int64))], ["i", "v", "n"])
@@ -306,7 +308,7 @@ def score_documents(docs: DataFrame, *, modulus: int = 7, rounds: int = ROUNDS,
     counts = stage_table(_counts(rows.where("not held_out")), "lm-counts")
     voc, tokens = vocabulary(counts)
     encoded = stage_table(_encoded(rows.withColumn("rid", F.monotonically_increasing_id()), voc), "lm-encoded")
-    model = train(encoded.where("not held_out"), tokens, voc.total, rounds=rounds, stride=stride)
+    model = train(encoded.where("not held_out"), tokens, rounds=rounds, stride=stride)
     base = float(np.log10(voc.total + voc.types + 1.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from candlemill.llm import language, licenses, lm, quality
@@ -78,6 +79,35 @@ def test_lm_probabilities_sum_to_one_and_learn():
     assert np.allclose(lm.log_probabilities(far, docs[:2]), lm.log_probabilities(far, docs[:2])) and np.isfinite(lm.log_probabilities(far, docs[:2])).all()
 
 
+def test_lm_every_training_token_is_a_target(spark, monkeypatch):
+    docs = [np.arange(k * 100, k * 100 + 41 + k, dtype=np.uint16) for k in range(9)]
+    seen = []
+
+    class Local:  # runs a round's function here, over two tasks
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            for part in (docs[:5], docs[5:]):
+                list(f(iter([pa.RecordBatch.from_arrays([pa.array([d.tobytes() for d in part])], ["ids"])])))
+            return self
+
+        def groupBy(self, _):
+            return self
+
+        def agg(self, _):
+            return self
+
+        def toPandas(self):
+            return []
+
+    monkeypatch.setattr(lm.Trainer, "batch", lambda self, target, before, bag: seen.append(target))
+    for more in ({}, {"stride": 5}, {"stride": 1, "rounds": 1}, {"stride": 2, "rounds": 1}):
+        seen.clear()
+        lm.train(Local(), np.ones(1000), **more)
+        assert (np.sort(np.concatenate(seen)) == np.concatenate(docs)).all(), more
+
+
 def test_lm_words_probabilities_sum_to_one(spark):
     data = [(i, fixtures.prose("en", 50, i)) for i in range(20)]
     counts = lm._counts(spark.createDataFrame(data, "doc_id long, text string").select(F.col("text").cast("binary").alias("text")))
