@@ -1,6 +1,7 @@
 """Language model scores: a log-bilinear neural model trained by noise-contrastive estimation in numpy.
 
 Tokens fall into classes: the most frequent words have one each, the others share classes by their last three bytes. The
+number of classes grows with the square root of the number of distinct words, so the model grows with its corpus. The
 model predicts the class of a token from its context: the sum of the embeddings of the last words, each through the
 matrix of its place, and of the mean embedding of the last BAG words, through another, is multiplied with the embedding
 of every class; the soft-max over all classes, from one matrix product for a batch of tokens, is the class's probability.
@@ -19,6 +20,7 @@ likely. Texts may be of any length; only the id and text columns are read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from candlemill.llm.common import bound_batches, held_out, stage_table
 
-OWN, SHARED, DIM, CONTEXT, BAG = 224, 160, 16, 4, 32
+#: Classes of single words and of suffixes that every corpus gets; larger vocabularies get more, see class_numbers.
+OWN, SHARED, DIM, CONTEXT, BAG = 256, 192, 16, 4, 32
 STRIDE, ROUNDS, BATCH, NOISE, RATE = 2, 2, 256, 96, 0.3
 #: Words whose counts every task holds; the counts of rarer ones are joined.
 HEAD, COUNTER_LIMIT, CHUNK = 200_000, 400_000, 4096
@@ -192,9 +195,18 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame, own: int = OWN, shared: int = SHARED, head: int = HEAD) -> tuple[Vocabulary, np.ndarray]:
-    """The vocabulary and the classes' token counts. At most head words and shared suffixes reach the driver."""
+def class_numbers(types: int) -> tuple[int, int]:
+    """How many words have classes of their own and how many suffixes have one: together the root of types, four to three."""
+    root = math.isqrt(types)
+    return max(OWN, root * 4 // 7), max(SHARED, root * 3 // 7)
+
+
+def vocabulary(counts: DataFrame, own: int | None = None, shared: int | None = None, head: int = HEAD) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary and the classes' token counts. At most head words and shared suffixes reach the driver;
+    without own and shared the corpus's number of types decides."""
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    grown = class_numbers(sums.v)
+    own, shared = grown[0] if own is None else own, grown[1] if shared is None else shared
     # The least count of a head word, from a histogram of counts by eighths of octaves: a few hundred rows, no sort.
     step = F.floor(F.log2("n") * 8)
     least, room = None, head

@@ -108,6 +108,17 @@ def test_lm_every_training_token_is_a_target(spark, monkeypatch):
         assert (np.sort(np.concatenate(seen)) == np.concatenate(docs)).all(), more
 
 
+def test_lm_classes_grow_with_the_vocabulary(spark):
+    sizes = []
+    for types in (20_000, 360_000):
+        word = F.lpad(F.lower(F.hex("id")), 6, "0").cast("binary")
+        counts = spark.range(types).select(word.alias("word"), (1 + F.floor(types / (F.col("id") + 1))).cast("long").alias("n")).unionByName(spark.createDataFrame([(lm.END, 9)], "word binary, n long"))
+        voc, tokens = lm.vocabulary(counts, head=5000)
+        assert voc.classes == len(tokens) == sum(lm.class_numbers(types + 1)) + 2 and voc.own == lm.class_numbers(types + 1)[0]
+        sizes.append(voc.classes)
+    assert sizes == [450, 342 + 257 + 2]
+
+
 def test_lm_words_probabilities_sum_to_one(spark):
     data = [(i, fixtures.prose("en", 50, i)) for i in range(20)]
     counts = lm._counts(spark.createDataFrame(data, "doc_id long, text string").select(F.col("text").cast("binary").alias("text")))
