@@ -4,7 +4,8 @@ Archives are written through Spark's own writer, so they may lie in any file sys
 record, and the row separator ends it. Compressed archives hold one gzip member a record and, as separator, an empty
 gzip member; plain ones end each record with the two line ends that the format asks for.
 
-The reader checks gzip's own sums, the record's declared length, the line ends after it and the payload's digest. After
+The reader asks for what WARC requires: version, type, length and line ends. It checks gzip's own sums, and digests where
+present and of a known algorithm; all record types pass. The whole records of a faulty member come before its gap. After
 a failed check it searches for the next gzip member or version line at which a whole record starts, goes on from there,
 and reports the bytes in between as a gap row with offset, length and reason.
 
@@ -15,6 +16,7 @@ with the same type. Payloads may be of any length; an archive holds about archiv
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
@@ -95,6 +97,16 @@ def write_archives(pages: DataFrame, path: str, *, compress: bool = True, min_re
     built.select(F.col("value").cast("string")).write.option("lineSep", ends).option("encoding", "ISO-8859-1").text(path)
 
 
+def _agrees(digest: str, payload: bytes) -> bool:
+    """Whether a labelled digest, in hex or base32, is the payload's; one of an unknown algorithm can't be told."""
+    name, _, value = digest.partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return True
+    made = hashlib.new(name, payload)
+    return value.lower() == made.hexdigest() or value.upper().rstrip("=") == base64.b32encode(made.digest()).decode().rstrip("=")
+
+
 def _record(data: bytes, at: int) -> tuple[dict, int]:
     """The record that starts at data[at] and the position after it; ValueError says which check failed."""
     if not data.startswith(b"WARC/1.", at):
@@ -104,15 +116,19 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
         raise ValueError("header without end")
     fields = {}
     for line in data[at:stop].split(b"\r\n")[1:]:
+        if line[:1] in (b" ", b"\t") and fields:  # a folded line
+            fields[last] += " " + line.strip().decode("utf-8", "replace")
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("bad header line")
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        last = name.strip().lower().decode("latin-1")
+        fields[last] = value.strip().decode("utf-8", "replace")
     try:
-        length = int(fields["content-length"])
-        digest = fields["warc-payload-digest"].removeprefix("sha256:")
+        length, kind = int(fields["content-length"]), fields["warc-type"]
+        digest, size = fields.get("warc-payload-digest"), fields.get("x-payload-length")
         out = {
-            "record_type": fields["warc-type"], "url": fields.get("warc-target-uri"), "payload_digest": digest, "payload_bytes": int(fields["x-payload-length"]),
+            "record_type": kind, "url": fields.get("warc-target-uri"), "payload_digest": digest and digest.removeprefix("sha256:"), "payload_bytes": int(size) if size else None,
             "page_id": int(fields["x-page"]) if "x-page" in fields else None, "refers_to": int(fields["x-refers-to-page"]) if "x-refers-to-page" in fields else None,
         }
     except (KeyError, ValueError):
@@ -123,31 +139,48 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
         raise ValueError("record cut off")
     if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("no line ends after the record")
-    if out["record_type"] == "response":
-        payload = block.partition(b"\r\n\r\n")[2]
-        if len(payload) != out["payload_bytes"] or hashlib.sha256(payload).hexdigest() != digest:
+    if kind != "revisit":  # the digest of a revisit is that of a payload elsewhere
+        http = fields.get("content-type", "").lower().startswith("application/http")
+        head, _, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+        # Of encoded transfers and segments writers take digests of other bytes than these.
+        plain = b"transfer-encoding:" not in head.lower() and "warc-segment-number" not in fields
+        if out["payload_bytes"] not in (None, len(body)) or (plain and digest and not _agrees(digest, body)):
             raise ValueError("payload differs from its digest")
-        out["payload"] = payload
+        out |= {"payload": body, "payload_bytes": len(body)}
     return out, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[list[dict], int]:
-    """The records of the gzip member that starts at data[at] and the position after it."""
-    z, parts, end = zlib.decompressobj(31), [], at
+def _member(data: bytes, at: int) -> tuple[list[dict], int | None, str]:
+    """The whole records of the gzip member that starts at data[at], the position after it (None where it is broken or
+    cut off) and the first fault."""
+    z, parts, end, why = zlib.decompressobj(31), [], at, ""
     try:
         while not z.eof and end < len(data):
             parts.append(z.decompress(data[end : end + _CHUNK]))
             end = min(end + _CHUNK, len(data))
     except zlib.error as e:
-        raise ValueError(f"bad member: {e}") from None
-    if not z.eof:
-        raise ValueError("member cut off")
-    plain, end = b"".join(parts), end - len(z.unused_data)
-    found, i = [], 0
-    while i < len(plain):
-        r, i = _record(plain, i)
-        found.append(r)
-    return found, end
+        why = f"bad member: {e}"
+        z, parts = zlib.decompressobj(31), []
+        try:  # once more, the failing chunk byte by byte, for what comes out before the fault
+            if end > at:
+                parts.append(z.decompress(data[at:end]))
+            for i in range(end, min(end + _CHUNK, len(data))):
+                parts.append(z.decompress(data[i : i + 1]))
+        except zlib.error:
+            pass
+    after = None
+    if not why and z.eof:
+        after = end - len(z.unused_data)
+    plain, found, i = b"".join(parts), [], 0
+    why = why or ("" if after else "member cut off")
+    while 0 <= i < len(plain):
+        try:
+            r, i = _record(plain, i)
+            found.append(r)
+        except ValueError as e:
+            why = why or str(e)
+            i = plain.find(b"WARC/1.", i + 1)
+    return found, after, why
 
 
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
@@ -159,10 +192,12 @@ def salvage(data: bytes) -> Iterator[dict]:
     while at < len(data):
         try:
             if data.startswith(b"\x1f\x8b\x08", at):
-                found, end = _member(data, at)
+                found, end, fault = _member(data, at)
+                if fault and not found:
+                    raise ValueError(fault)
             else:
                 one, end = _record(data, at)
-                found = [one]
+                found, fault = [one], ""
         except ValueError as e:
             if bad is None:
                 bad, why = at, str(e)
@@ -172,8 +207,12 @@ def salvage(data: bytes) -> Iterator[dict]:
         if bad is not None:
             yield {"offset": bad, "length": at - bad, "gap": why}
             bad = None
+        m = None if end else _START.search(data, at + 1)
+        end = end or (m.start() if m else len(data))
         for r in found:
             yield r | {"offset": at, "length": end - at}
+        if fault:
+            yield {"offset": at, "length": end - at, "gap": fault}
         at = end
     if bad is not None:
         yield {"offset": bad, "length": len(data) - bad, "gap": why}

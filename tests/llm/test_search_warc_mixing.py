@@ -102,6 +102,28 @@ def test_salvage_recovers_later_records(compress):
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_reads_foreign_records_and_faulty_members():
+    import base64
+    import gzip
+
+    def foreign(kind, block, *more):
+        return "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", *more, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    sha1 = base64.b32encode(hashlib.sha1(b"body").digest()).decode()
+    http = "Content-Type: application/http; msgtype=response"
+    block = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    parts = [foreign("warcinfo", b"software: x"), foreign("response", block, http, f"WARC-Payload-Digest: sha1:{sha1}"), foreign("response", block, http), foreign("metadata", b"m", "WARC-Payload-Digest: odd:1")]
+    for whole in (b"".join(parts), gzip.compress(b"".join(parts)), b"".join(map(gzip.compress, parts))):
+        found = list(warc.salvage(whole))
+        assert [r["record_type"] for r in found] == ["warcinfo", "response", "response", "metadata"] and [r["payload"] for r in found] == [b"software: x", b"body", b"body", b"m"]
+    wrong = foreign("response", block, http, f"WARC-Payload-Digest: sha1:{sha1[::-1]}")
+    found = list(warc.salvage(gzip.compress(parts[0] + wrong + parts[3])))
+    assert [r.get("record_type", "gap") for r in found] == ["warcinfo", "metadata", "gap"]
+    noise = foreign("resource", hashlib.shake_256(b"x").digest(5000))
+    found = list(warc.salvage(gzip.compress(parts[0] + parts[1] + noise)[:-2000]))
+    assert [r.get("record_type", "gap") for r in found] == ["warcinfo", "response", "gap"]
+
+
 def test_mixing_targets_and_epochs(spark):
     data = fixtures.rows()
     got = mixing.mix_sources(fixtures.documents(spark)).collect()
