@@ -3,18 +3,23 @@
 The text gives a likelihood for each language from hashed byte trigrams, counted over all labelled training documents.
 Each row votes with the language that its text alone makes likeliest. Grouped counts of the votes give the chance of each
 declared language and of each address suffix under a language, and priors of hosts, smoothed towards the prior of their
-domain, which is smoothed towards that of all rows; a row's own vote is taken out of the counts that judge it. The
-posterior multiplies the four. A text whose trigrams no language makes likelier than chance is "und" (undetermined).
+registered domain, which is smoothed towards that of all rows; a row's own vote is taken out of the counts that judge
+it. A host that is its own domain is one level, not two, and so are rows without domains. The posterior multiplies the
+four. A text whose trigrams no language makes likelier than chance is "und" (undetermined).
+
+All counts are over all rows and all values. The counts of a row's values come by one join with the distinct combinations
+of values; the rows are written with their text evidence before it, so that it is worked out once.
 
 Contract for odd input: null and empty texts and texts without letters carry no text evidence: they cast no vote and
-are "und" with posterior 0. Missing declared languages, suffixes and hosts each count as a value of their own that says
-nothing of the host. Repeated rows vote as often as they occur. Without training rows every row is "und". The result
+are "und" with posterior 0. A missing host or domain says nothing; a missing declared language or suffix counts as a value
+of its own. Repeated rows vote as often as they occur. Without training rows every row is "und". The result
 has the rows and columns of the input and one more, a struct named by a parameter; a column of that name is replaced.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,82 +104,90 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
+#: Labels that are no registered domain below a country's suffix.
+_GENERIC = ("ac", "co", "com", "edu", "gov", "net", "org")
+
+
+def registered_domain(host: Column) -> Column:
+    """The last two labels of a host, or three where the last but one is a generic label below a country's suffix."""
+    return F.regexp_extract(host, rf"([^.]+\.(?:(?:{'|'.join(_GENERIC)})\.[a-z][a-z]|[^.]+)|[^.]+)$", 1)
+
+
 def identify(df: DataFrame, model: TextModel, *, text: Column, declared: Column, host: Column, suffix: Column, domain: Column, out: str = "language_id") -> DataFrame:
-    """df with out: struct(language, posterior, votes: the languages' posteriors in the order of model.languages)."""
+    """df with out: struct(language, posterior, votes: the languages' posteriors in the order of model.languages).
+
+    host, suffix and domain may be empty or null, where rows have none.
+    """
     spark = df.sparkSession
     bound_batches(spark)
-    languages = model.languages
+    languages, k = model.languages, len(model.languages)
     shared = spark.sparkContext.broadcast(model)
 
     @pandas_udf("array<double>")
     def evidence(texts: pd.Series) -> pd.Series:
         return pd.Series([shared.value.evidence(t or b"") for t in texts], dtype=object)
 
+    mark = uuid.uuid4().hex[:12]  # of columns that clash with none
+    name = lambda x: f"__{x}_{mark}"
     clean = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    said, place, end, over = "__lid_declared", "__lid_host", "__lid_suffix", "__lid_domain"
-    rows = df.withColumns({said: clean(declared), place: clean(host), end: clean(suffix), over: clean(domain), "__lid_text": evidence(text.cast("binary"))})
-    vote = (F.array_position("__lid_text", F.array_max("__lid_text")) - 1).cast("int")
-    rows = rows.withColumn("__lid_vote", vote)
+    kinds = {"declared": clean(declared), "suffix": clean(suffix), "host": clean(host), "domain": clean(domain)}
+    kept = [c for c in df.columns if c != out]
+    rows = df.withColumns({name(c): x for c, x in kinds.items()} | {name("text"): evidence(text.cast("binary"))})
+    rows = stage_table(rows.select(*(F.col(f"`{c}`") for c in kept), *(name(c) for c in (*kinds, "text"))), "lid-rows")
 
-    votes = rows.where("__lid_vote is not null").groupBy(place, over, said, end, "__lid_vote").agg(F.count("*").alias("n")).select(*(F.col(c).alias(c[6:]) for c in (place, over, said, end)), F.col("__lid_vote").alias("v"), "n")
+    vote = (F.array_position(name("text"), F.array_max(name("text"))) - 1).cast("int")
+    votes = rows.select(*(F.col(name(c)).alias(c) for c in kinds), vote.alias("v")).where("v is not null").groupBy(*kinds, "v").agg(F.count("*").alias("n"))
     votes = stage_table(votes, "lid-votes")
-    k = len(languages)
-    each = [F.coalesce(F.sum(F.when(F.col("v") == i, F.col("n"))), F.lit(0)).alias(f"v{i}") for i in range(k)]
-    counted = lambda *by: votes.groupBy(*by).agg(F.array(*each).cast("array<double>").alias("c")) if k else votes.groupBy(*by).agg(F.array().cast("array<double>").alias("c"))
+    each = F.array(*(F.coalesce(F.sum(F.when(F.col("v") == i, F.col("n"))), F.lit(0)).cast("double") for i in range(k))).cast("array<double>")
     overall = np.zeros(k)
     for r in votes.groupBy("v").agg(F.sum("n").alias("n")).collect():  # a row for each language
         overall[r.v] = r.n
-    kinds = {name: [(r[0], r[1]) for r in counted(name).withColumn("t", F.aggregate("c", F.lit(0.0), lambda a, x: a + x)).orderBy(F.desc("t"), name).limit(MOST_VALUES).collect()] for name in ("declared", "suffix")}
-    tables = {name: {v: np.array(c) for v, c in found} for name, found in kinds.items()}
-    bound = spark.sparkContext.broadcast((overall, tables))
-    hosts = counted("host", "domain").select(F.col("host").alias("__lid_h"), F.col("domain").alias("__lid_d"), F.col("c").alias("__lid_hc"))
-    domains = counted("domain").select(F.col("domain").alias("__lid_d2"), F.col("c").alias("__lid_dc"))
-    priors = hosts.join(domains, F.col("__lid_d") == F.col("__lid_d2")).drop("__lid_d2")
-    joined = rows.join(priors, (F.col(place) == F.col("__lid_h")) & (F.col(over) == F.col("__lid_d")), "left")
+    values = votes.agg(F.count_distinct("declared").alias("d"), F.count_distinct("suffix").alias("s")).first()
+    combined = votes.select(*kinds).distinct()
+    for c in kinds:
+        counts = votes.groupBy(c).agg(each.alias(f"n_{c}"))
+        combined = combined.join(counts, c)
+    combined = combined.select(*(F.col(c).alias(name(f"c_{c}")) for c in kinds), *(F.col(f"n_{c}").alias(name(f"n_{c}")) for c in kinds))
+    same = [F.col(name(c)) == F.col(name(f"c_{c}")) for c in kinds]
+    joined = rows.join(combined, same[0] & same[1] & same[2] & same[3], "left")
 
     @pandas_udf("array<double>")
-    def fuse(likelihood: pd.Series, said: pd.Series, end: pd.Series, host_counts: pd.Series, domain_counts: pd.Series, named: pd.Series) -> pd.Series:
-        overall, tables = bound.value
-        result = []
-        for x, d, s, h, o, own in zip(likelihood, said, end, host_counts, domain_counts, named, strict=True):
-            if x is None:
-                result.append(None)
-                continue
-            x = np.asarray(x, float)
-            result.append(posterior(x, overall, tables["declared"].get(d), tables["suffix"].get(s), h if own else None, o if own else None, len(tables["declared"]), len(tables["suffix"])))
-        return pd.Series(result, dtype=object)
-
-    done = joined.withColumn("__lid_post", fuse("__lid_text", said, end, "__lid_hc", "__lid_dc", F.col(place) != ""))
-    best = F.array_max("__lid_post")
+    def fuse(likelihood: pd.Series, said: pd.Series, end: pd.Series, host: pd.Series, domain: pd.Series, levels: pd.Series) -> pd.Series:
+        result = pd.Series([None] * len(likelihood), dtype=object)
+        found = np.flatnonzero(likelihood.notna().to_numpy())
+        if len(found):
+            x, d, s, h, o = (np.array([np.asarray(v, float) for v in c.iloc[found]]) for c in (likelihood, said, end, host, domain))
+            level = levels.iloc[found].to_numpy()
+            post = posterior(x, overall, d, s, h, o, level % 2 > 0, level > 1, values.d, values.s)
+            for at, p in zip(found, post.tolist(), strict=True):
+                result.iat[at] = p
+        return result
+
+    # A row with evidence has voted, so it is among the combinations.
+    levels = F.when(F.col(name("host")) != "", F.lit(1)).otherwise(F.lit(0)) + F.when((F.col(name("domain")) != "") & (F.col(name("domain")) != F.col(name("host"))), F.lit(2)).otherwise(F.lit(0))
+    done = joined.withColumn(name("post"), fuse(name("text"), *(name(f"n_{c}") for c in ("declared", "suffix", "host", "domain")), levels))
+    best = F.array_max(name("post"))
     names = F.array(*(F.lit(x) for x in languages)) if languages else F.array(F.lit(UNDETERMINED))
-    label = F.when(F.col("__lid_post").isNull(), F.lit(UNDETERMINED)).otherwise(F.element_at(names, F.array_position("__lid_post", best).cast("int")))
-    result = F.struct(label.alias("language"), F.coalesce(best, F.lit(0.0)).alias("posterior"), F.col("__lid_post").alias("votes"))
-    kept = [c for c in df.columns if c != out]
+    label = F.when(F.col(name("post")).isNull(), F.lit(UNDETERMINED)).otherwise(F.element_at(names, F.array_position(name("post"), best).cast("int")))
+    result = F.struct(label.alias("language"), F.coalesce(best, F.lit(0.0)).alias("posterior"), F.col(name("post")).alias("votes"))
     return done.select(*(F.col(f"`{c}`") for c in kept), result.alias(out))
 
 
-#: Declared languages and suffixes that are told apart by their counts, the most frequent ones; any rarer value counts as unseen and says nothing.
-MOST_VALUES = 10_000
-
-
-def posterior(x: np.ndarray, overall: np.ndarray, declared: np.ndarray | None, suffix: np.ndarray | None, host: np.ndarray | None, domain: np.ndarray | None, n_declared: int, n_suffix: int) -> list[float]:
-    """Posterior of each language from text evidence x and counts of votes; the row's own vote (argmax x) is taken out."""
-    own = np.zeros(len(x))
-    own[int(np.argmax(x))] = 1.0
+def posterior(x: np.ndarray, overall: np.ndarray, declared: np.ndarray, suffix: np.ndarray, host: np.ndarray, domain: np.ndarray, has_host: np.ndarray, has_domain: np.ndarray, n_declared: int, n_suffix: int) -> np.ndarray:
+    """Posteriors of the languages, a row each, from text evidence x and the counts of votes for each row's values; the row's
+    own vote (argmax x) is taken out. has_host and has_domain say which levels of the prior a row has."""
+    own = np.zeros_like(x)
+    own[np.arange(len(x)), x.argmax(axis=1)] = 1.0
     base = overall - own
-    prior = (base + 1.0) / (base.sum() + len(x))
-    if domain is not None:
-        c = np.maximum(np.asarray(domain, float) - own, 0.0)
-        prior = (c + HOST_KAPPA * prior) / (c.sum() + HOST_KAPPA)
-    if host is not None:
-        c = np.maximum(np.asarray(host, float) - own, 0.0)
-        prior = (c + HOST_KAPPA * prior) / (c.sum() + HOST_KAPPA)
+    prior = (base + 1.0) / (base.sum(axis=1, keepdims=True) + x.shape[1])
+    for counts, has in ((domain, has_domain), (host, has_host)):
+        c = np.maximum(counts - own, 0.0)
+        prior = np.where(has[:, None], (c + HOST_KAPPA * prior) / (c.sum(axis=1, keepdims=True) + HOST_KAPPA), prior)
     score = x + np.log(prior)
     for counts, values in ((declared, n_declared), (suffix, n_suffix)):
-        if counts is not None:
-            score = score + np.log((np.maximum(counts - own, 0.0) + KAPPA / values) / (base + KAPPA))
-    p = np.exp(score - score.max())
-    return (p / p.sum()).tolist()
+        score = score + np.log((np.maximum(counts - own, 0.0) + KAPPA / values) / (base + KAPPA))
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
 
 def kept(found: str, least: float = LEAST_POSTERIOR) -> Column:
@@ -186,11 +199,10 @@ def identify_pages(pages: DataFrame, model: TextModel, out: str = "language_id")
     """identify for pages (url, html)."""
     host = host_of(F.col("url").cast("string"))
     suffix = F.regexp_extract(host, r"\.([^.]+)$", 1)
-    domain = F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+|[^.]+\.[^.]+|[^.]+)$", 1)
     html = F.col("html").cast("string")
-    return identify(pages, model, text=markup_text(html), declared=declared_language(html), host=host, suffix=suffix, domain=domain, out=out)
+    return identify(pages, model, text=markup_text(html), declared=declared_language(html), host=host, suffix=suffix, domain=registered_domain(host), out=out)
 
 
 def identify_documents(docs: DataFrame, model: TextModel, out: str = "language_id") -> DataFrame:
-    """identify for documents (text, lang, source): the declared language is lang, the host is source."""
-    return identify(docs, model, text=F.col("text").cast("string"), declared=F.col("lang"), host=F.col("source"), suffix=F.lit(""), domain=F.col("source"), out=out)
+    """identify for documents (text, lang, source): the declared language is lang, the host is source; they have neither suffix nor domain."""
+    return identify(docs, model, text=F.col("text").cast("string"), declared=F.col("lang"), host=F.col("source"), suffix=F.lit(""), domain=F.lit(""), out=out)

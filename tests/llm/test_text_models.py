@@ -27,16 +27,65 @@ def test_language_from_text_and_priors(spark):
     assert all(0 <= r.posterior <= 1.0000001 for r in rows)
 
 
-def test_posterior_by_hand():
-    x = np.array([0.0, 1.0])
-    overall, host, domain, declared = np.array([6.0, 5.0]), np.array([3.0, 1.0]), np.array([4.0, 2.0]), np.array([2.0, 4.0])
-    own = np.array([0.0, 1.0])  # the row's own vote is taken out
-    base = overall - own
-    prior = (base + 1) / (base.sum() + 2)
-    for c in (domain, host):
-        prior = ((c - own) + language.HOST_KAPPA * prior) / ((c - own).sum() + language.HOST_KAPPA)
-    p = np.exp(x) * prior * ((declared - own) + language.KAPPA / 3) / (base + language.KAPPA)
-    assert np.allclose(language.posterior(x, overall, declared, None, host, domain, 3, 1), p / p.sum())
+def _posterior(x, own, overall, declared, suffix, levels, n_declared, n_suffix):
+    """One row's posterior, language by language; levels: counts of the domain, then of the host, where there are any."""
+    k = len(x)
+    base = [overall[i] - own[i] for i in range(k)]
+    prior = [(base[i] + 1) / (sum(base) + k) for i in range(k)]
+    for c in levels:
+        c = [max(c[i] - own[i], 0) for i in range(k)]
+        prior = [(c[i] + language.HOST_KAPPA * prior[i]) / (sum(c) + language.HOST_KAPPA) for i in range(k)]
+    p = [math.exp(x[i]) * prior[i] for i in range(k)]
+    for c, n in ((declared, n_declared), (suffix, n_suffix)):
+        p = [p[i] * (max(c[i] - own[i], 0) + language.KAPPA / n) / (base[i] + language.KAPPA) for i in range(k)]
+    return [y / sum(p) for y in p]
+
+
+def test_language_matches_brute_force(spark):
+    """Hosts of two, three and more labels, domains under generic labels, and none at all."""
+    model = language.train(fixtures.documents(spark))
+    hosts = ["example.com", "www.example.com", "a.b.example.com", "shop.co.uk", "www.shop.co.uk", "h", "", "lone.de"]
+    domains = ["example.com", "example.com", "example.com", "shop.co.uk", "shop.co.uk", "h", "", "lone.de"]
+    data = []
+    for i in range(60):
+        lang, h = ("en", "de", "fr")[i % 3 if i % 5 else 0], hosts[i * 7 % 8]
+        data.append((i, f"http://{h}/x" if h else "none", f'<html lang="{("en", "de", "fr", "xx")[i * 5 % 4]}"><p>{fixtures.prose(lang, 2 + i % 5, i)}</p>', "d", 1))
+    got = {r.page_id: r.language_id for r in language.identify_pages(fixtures.pages(spark, data).repartition(3), model).collect()}
+    text = lambda html: html.split("<p>")[1].replace("</p>", "").encode()
+    rows = []
+    for i, url, html, *_ in data:
+        x = model.evidence(b" " + text(html) + b" ")
+        h = hosts[i * 7 % 8]
+        rows.append((i, x, x and max(range(3), key=lambda j: (x[j], -j)), html[12:14], h.rpartition(".")[2] if "." in h else "", h, domains[hosts.index(h)]))
+    count = lambda at, value: [sum(1 for r in rows if r[1] and r[2] == j and r[at] == value) for j in range(3)]
+    overall = [sum(1 for r in rows if r[1] and r[2] == j) for j in range(3)]
+    n = [len({r[at] for r in rows if r[1]}) for at in (3, 4)]
+    assert sum(overall) > 40
+    for i, x, v, said, end, host, domain in rows:
+        if x is None:
+            assert got[i].language == "und" and got[i].posterior == 0
+            continue
+        levels = ([count(6, domain)] if domain and domain != host else []) + ([count(5, host)] if host else [])
+        want = _posterior(x, [float(j == v) for j in range(3)], overall, count(3, said), count(4, end), levels, *n)
+        assert np.allclose(got[i].votes, want, atol=1e-9), (i, host, got[i].votes, want)
+
+
+def test_language_held_out_accuracy(spark):
+    data = [(i, fixtures.prose(lang, 12, 900 + i), lang) for i, lang in enumerate(["en", "de", "fr"] * 40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language.train(docs.where("doc_id % 4 <> 2"))
+    # Neither the declared language nor the source helps here.
+    held = docs.where("doc_id % 4 = 2").withColumn("truth", F.col("lang")).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
+    got = language.identify_documents(held, model).select("truth", "language_id.language").collect()
+    assert len(got) == 30 and sum(r.truth == r.language for r in got) >= 29
+
+
+def test_language_counts_every_value(spark):
+    """Values that occur once say as much as they do among few."""
+    model = language.train(fixtures.documents(spark))
+    rows = fixtures.documents(spark, [(i, fixtures.prose("en", 20, 1), f"l{i}", f"s{i}", 1, 1, 0.0, 1, "k", 1, 1, "z", 1, 1, "p") for i in range(300)])
+    votes = {tuple(round(v, 12) for v in r[0]) for r in language.identify_documents(rows, model).select("language_id.votes").collect()}
+    assert len(votes) == 1
 
 
 def test_language_documents_keep_rows_and_columns(spark):
