@@ -3,15 +3,18 @@
 Tokens fall into classes: the most frequent words have one each, the others share classes by their last three bytes. The
 number of classes grows with the square root of the number of distinct words, so the model grows with its corpus. The
 model predicts the class of a token from its context: the sum of the embeddings of the last words, each through the
-matrix of its place, and of the mean embedding of the last BAG words, through another, is multiplied with the embedding
-of every class; the soft-max over all classes, from one matrix product for a batch of tokens, is the class's probability.
+matrix of its place, and of the mean embedding of the last BAG words, through another. Classes lie in groups of about
+equal shares of the tokens, as many as the root of the number of classes; a class has the probability of its group, by
+the soft-max over all groups, times its own within the group, by the soft-max over the group's classes. Both come from
+matrix products for a batch of tokens and sum up to 1, and a token costs the root of the number of classes.
 Within a class a word has (c + 1) / (N_k + V_k + 1), from its count and the class's tokens and types in training, which
 leaves one part for unknown words. So the probabilities of all words and of the unknown ones of all classes sum up to 1.
 
-All counts are over all training rows. Training goes through all of them too, and every token is a target, whatever the
-size of the corpus: a round takes every STRIDE-th token at its offsets, and the rounds share all offsets out among
-them. In each round every task starts from the same parameters and trains on its own rows, and the parameters are
-averaged, weighted by tokens, by a grouped aggregate.
+All counts are over all training rows. Training goes through all of them too, and every token is a target once, whatever
+the size of the corpus: the rounds share the rows out among them. In each round every task starts from the same
+parameters and trains on its own rows, for classes and groups alike against noise drawn from their frequencies, and the
+parameters are averaged, weighted by tokens. So scores depend a little on how rows fall into tasks; the order of rows
+and the files of a table decide that, and the same files give the same scores.
 
 Contract for odd input: null and empty texts consist of their end token alone. Rows are scored as often as they occur.
 Null ids count as the empty text for the split. Without training rows all words are unknown and every class is as
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +38,10 @@ from candlemill.llm.common import bound_batches, held_out, stage_table
 
 #: Classes of single words and of suffixes that every corpus gets; larger vocabularies get more, see class_numbers.
 OWN, SHARED, DIM, CONTEXT, BAG = 256, 192, 16, 4, 32
-STRIDE, ROUNDS, BATCH, NOISE, RATE = 2, 2, 256, 96, 0.3
-#: Words whose counts every task holds; the counts of rarer ones are joined.
-HEAD, COUNTER_LIMIT, CHUNK = 200_000, 400_000, 4096
+#: Rounds of training; targets of a step; classes and groups drawn as noise for a step; step width.
+ROUNDS, BATCH, NOISE, GROUP_NOISE, RATE = 2, 512, 64, 32, 0.4
+#: Words whose counts every task holds; the counts of rarer ones are joined. Parameters in a block; tasks averaged at once.
+HEAD, COUNTER_LIMIT, CHUNK, BLOCK, TASKS = 200_000, 400_000, 8192, 4096, 64
 END = b"\n"  # no word: words hold no white space
 
 
@@ -44,23 +49,39 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+class Groups:
+    """Classes by falling frequency in groups of about equal shares of the tokens, as many as the root of their number at most."""
+
+    def __init__(self, unigram: np.ndarray):
+        order = np.argsort(-unigram, kind="stable")
+        share = (np.cumsum(unigram[order]) - unigram[order]) / unigram.sum()
+        _, found = np.unique((share * math.ceil(math.sqrt(len(unigram)))).astype(int), return_inverse=True)
+        self.count = int(found.max()) + 1
+        self.of = np.empty(len(unigram), np.int64)
+        self.of[order] = found
+        self.members = [order[found == g] for g in range(self.count)]
+        self.place = np.empty(len(unigram), np.int64)
+        for m in self.members:
+            self.place[m] = np.arange(len(m))
+
+
 class Parameters:
-    """Embeddings e of context classes (one more for places before the text), q of predicted classes, biases, matrices."""
+    """Embeddings e of context classes (one more for places before the text), q of predicted classes and their biases b, the
+    same of groups (gq, gb), matrices c of places and m of the mean."""
 
-    NAMES = ("e", "q", "b", "c", "m")
+    NAMES = ("e", "q", "b", "gq", "gb", "c", "m")
 
-    def __init__(self, classes: int, log_unigram: np.ndarray, seed: int = 7):
-        g = np.random.default_rng(seed)
+    def __init__(self, unigram: np.ndarray, seed: int = 7):
+        g, classes = np.random.default_rng(seed), len(unigram)
+        self.groups = Groups(unigram)
         self.e = (g.standard_normal((classes + 1, DIM)) * 0.3).astype(np.float32)
         self.q = (g.standard_normal((classes, DIM)) * 0.05).astype(np.float32)
-        self.b = log_unigram.astype(np.float32)
+        self.b = np.log(unigram).astype(np.float32)
+        self.gq = (g.standard_normal((self.groups.count, DIM)) * 0.05).astype(np.float32)
+        self.gb = np.log(np.bincount(self.groups.of, unigram)).astype(np.float32)
         self.c = np.stack([np.eye(DIM, dtype=np.float32) * (0.5 / (i + 1)) for i in range(CONTEXT)])
         self.m = np.eye(DIM, dtype=np.float32)
 
-    @property
-    def top_bias(self) -> int:
-        return int(np.argmax(self.b))
-
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
 
@@ -73,84 +94,154 @@ class Parameters:
         return self
 
 
-def contexts(p: Parameters, docs: list[np.ndarray], stride: int = 1, offset: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every stride-th token of docs in a row: its class, the classes before it (CONTEXT columns), the mean embedding of the BAG before."""
-    start = len(p.e) - 1
+def contexts(e: np.ndarray, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every token of docs in a row: its class, the classes before it (CONTEXT columns), the mean row of e of the BAG before."""
+    start = len(e) - 1
     lengths = np.array([len(d) for d in docs])
     ids = np.concatenate(docs).astype(np.int64)
-    at = np.arange(offset, len(ids), stride)
-    place = at - np.repeat(np.cumsum(lengths) - lengths, lengths)[at]
-    before = np.stack([np.where(place > i, ids[np.maximum(at - i - 1, 0)], start) for i in range(CONTEXT)], axis=1)
-    total = np.zeros((len(ids) + 1, DIM), np.float32)
-    np.cumsum(p.e[ids], axis=0, out=total[1:])
-    span = np.minimum(place, BAG)
-    bag = (total[at] - total[at - span]) / np.maximum(span, 1)[:, None].astype(np.float32)
-    return ids[at], before, bag
-
-
-def hidden(p: Parameters, before: np.ndarray, bag: np.ndarray) -> np.ndarray:
-    r = bag @ p.m
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    before = np.empty((len(ids), CONTEXT), np.int64)
     for i in range(CONTEXT):
-        r += p.e[before[:, i]] @ p.c[i]
-    return r
-
-
-def log_probabilities(p: Parameters, docs: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each token's class, all docs in a row."""
-    ids, before, bag = contexts(p, docs)
-    r = hidden(p, before, bag)
-    scores = np.hstack([r, np.ones((len(r), 1), np.float32)]) @ np.hstack([p.q, p.b[:, None]]).T
-    mine = scores[np.arange(len(ids)), ids]
-    if -60 < scores[:, p.top_bias].min(initial=0) and scores.max(initial=0) < 60:  # sums neither vanish nor overflow
-        return mine - np.log(np.exp(scores, out=scores).sum(axis=1))
-    top = scores.max(axis=1)
-    return mine - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
-
-
-def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by index, at a cost that doesn't depend on n."""
-    return np.bincount((index[:, None] * DIM + np.arange(DIM)).ravel(), rows.ravel(), n * DIM).reshape(n, DIM).astype(np.float32)
-
-
-def offsets(r: int, rounds: int, stride: int) -> range | tuple[int]:
-    """The offsets of round r: those of all rounds are all the offsets below stride."""
-    return range(r, stride, rounds) if r < stride else (r % stride,)
+        before[i + 1 :, i] = ids[: max(len(ids) - i - 1, 0)]
+        before[place <= i, i] = start
+    total = np.zeros((len(ids) + 1, e.shape[1]), np.float32)
+    np.cumsum(e[ids], axis=0, out=total[1:])
+    span = np.minimum(place, BAG)
+    at = np.arange(len(ids))
+    bag = total[at]
+    bag -= total[at - span]
+    bag /= np.maximum(span, 1)[:, None].astype(np.float32)
+    return ids, before, bag
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials of each row; overwrites x."""
+    top = x.max(axis=1)
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return top + np.log(x.sum(axis=1))
+
+
+class Scorer:
+    """Log probabilities under fixed parameters: the matrices of places are applied to all classes once."""
+
+    def __init__(self, p: Parameters):
+        self.p = p
+        self.bag, self.places = p.e @ p.m, [p.e @ c for c in p.c]
+        self.q = [np.vstack([p.q[m].T, p.b[m]]) for m in p.groups.members]
+        self.gq = np.vstack([p.gq.T, p.gb])
+
+    def log_probabilities(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Natural log probability of each token's class, all docs in a row."""
+        ids, before, r = contexts(self.bag, docs)
+        for i, t in enumerate(self.places):
+            r += t[before[:, i]]
+        r = np.hstack([r, np.ones((len(r), 1), np.float32)])
+        groups = self.p.groups
+        mine = groups.of[ids]
+        scores = r @ self.gq
+        out = scores[np.arange(len(ids)), mine]
+        out -= _log_sum(scores)
+        order = np.argsort(mine.astype(np.uint16), kind="stable")
+        ends = np.searchsorted(mine[order], np.arange(groups.count + 1))
+        for g in np.flatnonzero(np.diff(ends)):
+            if len(groups.members[g]) > 1:
+                at = order[ends[g] : ends[g + 1]]
+                scores = r[at] @ self.q[g]
+                own = scores[np.arange(len(at)), groups.place[ids[at]]]
+                out[at] += own - _log_sum(scores)
+        return out
 
 
 class Trainer:
-    """Noise-contrastive estimation with Adagrad steps."""
+    """Noise-contrastive estimation with Adagrad steps. A step costs nothing for the rows of parameters that it doesn't touch,
+    and its larger arrays are kept from step to step, as fresh memory costs more than the arithmetic in it."""
 
     def __init__(self, p: Parameters, unigram: np.ndarray, seed: int):
         self.p, self.g = p, np.random.default_rng(seed)
-        self.noise_cdf, self.log_noise = np.cumsum(unigram) / np.sum(unigram), np.log(unigram * NOISE).astype(np.float32)
+        groups = np.bincount(p.groups.of, unigram)
+        self.draw = [np.cumsum(x) / np.sum(x) for x in (unigram, groups)]
+        self.log_noise = [np.log(x / x.sum() * n).astype(np.float32) for x, n in ((unigram, NOISE), (groups, GROUP_NOISE))]
         self.sums = {n: np.full_like(getattr(p, n), 0.1) for n in p.NAMES}
-
-    def _step(self, name: str, gradient: np.ndarray) -> None:
-        s = self.sums[name]
-        s += gradient * gradient
-        getattr(self.p, name).__iadd__(RATE * gradient / np.sqrt(s))
+        self.kept: dict[str, np.ndarray] = {}
+        self.touched, self.where = np.zeros(len(p.e), bool), np.zeros(len(p.e), np.int64)
+
+    def _space(self, name: str, rows: int, columns: int, kind: type = np.float32) -> np.ndarray:
+        a = self.kept.get(name)
+        if a is None or a.size < rows * columns:
+            a = self.kept[name] = np.empty(rows * columns, kind)
+        return a[: rows * columns].reshape(rows, columns)
+
+    def _step(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+        a, x = self.sums[name], getattr(self.p, name)
+        s = a[rows] + gradient * gradient
+        a[rows] = s
+        x[rows] += np.float32(RATE) * gradient / np.sqrt(s)
+
+    def _rows(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct values of index, and where each value of index lies among them."""
+        self.touched[index] = True
+        rows = np.flatnonzero(self.touched)
+        self.touched[rows] = False
+        self.where[rows] = np.arange(len(rows))
+        return rows, self.where[index]
+
+    def _summed(self, at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        """Sums of the rows of values by at, which is below n."""
+        index = self._space("index", len(at), DIM, np.int64)
+        np.multiply(at[:, None], DIM, out=index)
+        index += np.arange(DIM)
+        weights = self._space("weights", len(at), DIM, np.float64)
+        weights[:] = values
+        return np.bincount(index.ravel(), weights.ravel(), n * DIM).reshape(n, DIM).astype(np.float32)
+
+    def _contrast(self, level: int, r: np.ndarray, target: np.ndarray, q: np.ndarray, b: np.ndarray, names: tuple[str, str]) -> np.ndarray:
+        """Steps q and b of a level against fresh noise; returns the gradient of r."""
+        n, k, log_noise = len(target), (NOISE, GROUP_NOISE)[level], self.log_noise[level]
+        noise = self.draw[level].searchsorted(self.g.random(k), side="right")
+        mine, others = q[target], q[noise]
+        true = np.einsum("ij,ij->i", r, mine) + b[target] - log_noise[target]
+        pull = 1.0 / (1.0 + np.exp(np.minimum(true, 30)))
+        push = np.matmul(r, others.T, out=self._space(names[0], n, k))
+        push += b[noise] - log_noise[noise]
+        np.negative(push, out=push)
+        np.minimum(push, 30, out=push)
+        np.exp(push, out=push)
+        push += 1
+        np.divide(-1, push, out=push)
+        mine *= pull[:, None]
+        mine += push @ others
+        both = self._space(names[0] + "values", n + k, DIM)
+        np.multiply(pull[:, None], r, out=both[:n])
+        np.matmul(push.T, r, out=both[n:])
+        rows, at = self._rows(np.concatenate([target, noise]))
+        scale = np.float32(1.0 / n)
+        self._step(names[0], self._summed(at, both, len(rows)) * scale, rows)
+        self._step(names[1], np.bincount(at, np.concatenate([pull, push.sum(axis=0)]), len(rows)).astype(np.float32) * scale, rows)
+        return mine
 
     def batch(self, target: np.ndarray, before: np.ndarray, bag: np.ndarray) -> None:
         p, n = self.p, len(target)
-        noise = self.noise_cdf.searchsorted(self.g.random(NOISE), side="right")
-        r = hidden(p, before, bag)
-        true = (r * p.q[target]).sum(axis=1) + p.b[target] - self.log_noise[target]
-        false = r @ p.q[noise].T + p.b[noise] - self.log_noise[noise]
-        pull = (1.0 / (1.0 + np.exp(np.clip(true, -30, 30)))).astype(np.float32)
-        push = (-1.0 / (1.0 + np.exp(np.clip(-false, -30, 30)))).astype(np.float32)
-        classes = len(p.b)
-        q = _sums(target, pull[:, None] * r, classes) + _sums(noise, push.T @ r, classes)
-        b = (np.bincount(target, pull, classes) + np.bincount(noise, push.sum(axis=0), classes)).astype(np.float32)
-        back = pull[:, None] * p.q[target] + push @ p.q[noise]
-        c = np.stack([p.e[before[:, i]].T @ back for i in range(CONTEXT)])
-        e = _sums(before.T.ravel(), np.concatenate([back @ p.c[i].T for i in range(CONTEXT)]), classes + 1)
-        m = bag.T @ back
+        x = self._space("x", n, (CONTEXT + 1) * DIM)
+        places = self._space("places", n * CONTEXT, DIM)
+        np.take(p.e, before.ravel(), 0, out=places, mode="clip")
+        x[:, : CONTEXT * DIM] = places.reshape(n, -1)
+        x[:, CONTEXT * DIM :] = bag
+        matrix = np.concatenate([p.c.reshape(-1, DIM), p.m])
+        r = x @ matrix
+        back = self._contrast(0, r, target, p.q, p.b, ("q", "b"))
+        back += self._contrast(1, r, p.groups.of[target], p.gq, p.gb, ("gq", "gb"))
+        gradient = x.T @ back
+        e = np.matmul(back, matrix[: CONTEXT * DIM].T, out=self._space("e", n, CONTEXT * DIM)).reshape(-1, DIM)
+        rows, at = self._rows(before.ravel())
         scale = np.float32(1.0 / n)
-        for name, gradient in (("q", q), ("b", b), ("e", e), ("c", c), ("m", m)):
-            self._step(name, gradient * scale)
+        self._step("e", self._summed(at, e, len(rows)) * scale, rows)
+        gradient *= scale
+        self._step("c", gradient[: CONTEXT * DIM].reshape(p.c.shape))
+        self._step("m", gradient[CONTEXT * DIM :])
 
-    def train(self, docs: list[np.ndarray], stride: int, offset: int) -> None:
-        target, before, bag = contexts(self.p, docs, stride, offset % stride)
+    def train(self, docs: list[np.ndarray]) -> None:
+        target, before, bag = contexts(self.p.e, docs)
         order = self.g.permutation(len(target))
         for i in range(0, len(order), BATCH):
             some = order[i : i + BATCH]
@@ -196,9 +287,9 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 
 def class_numbers(types: int) -> tuple[int, int]:
-    """How many words have classes of their own and how many suffixes have one: together the root of types, four to three."""
+    """How many words have classes of their own and how many suffixes have one: together twice the root of types, three to one."""
     root = math.isqrt(types)
-    return max(OWN, root * 4 // 7), max(SHARED, root * 3 // 7)
+    return max(OWN, root * 3 // 2), max(SHARED, root // 2)
 
 
 def vocabulary(counts: DataFrame, own: int | None = None, shared: int | None = None, head: int = HEAD) -> tuple[Vocabulary, np.ndarray]:
@@ -233,6 +324,7 @@ def _encoded(docs: DataFrame, voc: Vocabulary) -> DataFrame:
     """docs (rid, doc_id, held_out, text) -> classes as bytes, and what needs no context: sums over the head words, sizes of
     classes, and hashes of the words whose counts are to be joined."""
     shared = docs.sparkSession.sparkContext.broadcast(voc)
+    kind = class_type(voc.classes)
     fields = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "head", "sizes", "ids", "tail"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +349,7 @@ def _encoded(docs: DataFrame, voc: Vocabulary) -> DataFrame:
                                 found[at] = suffix(w[-3:], other), 0.0
                         except ValueError:
                             pass
-                    ids = np.array([f[0] for f in found] + [v.own], np.uint16)
+                    ids = np.array([f[0] for f in found] + [v.own], kind)
                     logs = np.array([f[1] for f in found])
                     n.append(len(ids))
                     known.append(len(ids) - len(tail) - 1 + known_end)
@@ -273,12 +365,16 @@ def _encoded(docs: DataFrame, voc: Vocabulary) -> DataFrame:
     return docs.select("rid", "doc_id", "held_out", "text").mapInArrow(encode, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, head array<double>, sizes double, ids binary, tail array<long>")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
+def class_type(classes: int) -> type:
+    return np.uint16 if classes <= 1 << 16 else np.uint32
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], column: int, limit: int, kind: type) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
     """Runs of rows with about limit tokens: (batch, first row, their classes); a longer text is a run of its own."""
     for batch in batches:
         first, size, run = 0, 0, []
         for i, ids in enumerate(batch.column(column)):
-            a = np.frombuffer(ids.as_py(), np.uint16)
+            a = np.frombuffer(ids.as_py(), kind)
             if run and size + len(a) > limit:
                 yield batch, first, run
                 first, size, run = i, 0, []
@@ -288,55 +384,70 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iter
             yield batch, first, run
 
 
-def train(encoded: DataFrame, tokens: np.ndarray, *, rounds: int = ROUNDS, stride: int = STRIDE) -> Parameters:
-    """Parameters after rounds over all rows of encoded (ids). Each task sends its parameters; they are averaged by tokens."""
+SENT = "i int, part int, v binary, n long"
+
+
+def _average(rows: pa.Table) -> pa.Table:
+    """The mean of v, float32 arrays, weighted by n."""
+    total, n = 0.0, 0
+    for v, w in zip(rows["v"], rows["n"].to_pylist(), strict=True):
+        total, n = total + np.frombuffer(v.as_py(), np.float32).astype(np.float64) * w, n + w
+    return pa.table({"i": rows["i"][:1], "part": rows["part"][:1], "v": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
+
+
+def train(encoded: DataFrame, tokens: np.ndarray, *, rounds: int = ROUNDS) -> Parameters:
+    """Parameters after rounds over encoded (rid, ids); a round takes the rows whose rid leaves its number. Each task sends its
+    parameters in blocks; a block is averaged by tokens, first over every TASKS tasks, then over what these give."""
     unigram = (tokens + 1.0) / (tokens.sum() + len(tokens))
-    p = Parameters(len(tokens), np.log(unigram))
+    kind = class_type(len(tokens))
+    p = Parameters(unigram)
     for r in range(rounds):
         start = p.flat()
 
         def work(batches: Iterator[pa.RecordBatch], r: int = r, start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
-            own = Parameters(len(tokens), np.log(unigram)).load(start)
+            own = Parameters(unigram).load(start)
             trainer, seen = Trainer(own, unigram, 100 + r), 0
-            for _, _, docs in _grouped(batches, 0, 16 * CHUNK):
-                for offset in offsets(r, rounds, stride):
-                    trainer.train(docs, stride, offset)
+            for _, _, docs in _grouped(batches, 0, 8 * CHUNK, kind):
+                trainer.train(docs)
                 seen += sum(map(len, docs))
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(start), dtype=np.int32)), pa.array(own.flat().astype(np.float64) * seen), pa.array(np.full(len(start), seen, np.int64))], ["i", "v", "n"])
-
-        mean = encoded.select("ids").mapInArrow(work, "i int, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()  # a row for each parameter
-        if len(mean):
-            values = np.empty(len(start))
-            values[mean["i"].to_numpy()] = mean["v"].to_numpy()
-            p.load(values)
+                values = own.flat()
+                blocks = [values[i : i + BLOCK].tobytes() for i in range(0, len(values), BLOCK)]
+                part = TaskContext.get().partitionId() // TASKS
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array(blocks, pa.binary()), pa.array([seen] * len(blocks), pa.int64())], ["i", "part", "v", "n"])
+
+        sent = encoded.where(F.pmod("rid", F.lit(rounds)) == r).select("ids").mapInArrow(work, SENT)
+        near = sent.groupBy("i", "part").applyInArrow(_average, SENT)
+        mean = sorted((x.i, bytes(x.v)) for x in near.groupBy("i").applyInArrow(_average, SENT).select("i", "v").collect())  # the model
+        if mean:
+            p.load(np.frombuffer(b"".join(v for _, v in mean), np.float32))
     return p
 
 
-def score_documents(docs: DataFrame, *, modulus: int = 7, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
+def score_documents(docs: DataFrame, *, modulus: int = 7, rounds: int = ROUNDS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", modulus).alias("held_out"), F.col("text").cast("binary").alias("text"))
     counts = stage_table(_counts(rows.where("not held_out")), "lm-counts")
     voc, tokens = vocabulary(counts)
     encoded = stage_table(_encoded(rows.withColumn("rid", F.monotonically_increasing_id()), voc), "lm-encoded")
-    model = train(encoded.where("not held_out"), tokens, rounds=rounds, stride=stride)
+    model = train(encoded.where("not held_out"), tokens, rounds=rounds)
     base = float(np.log10(voc.total + voc.types + 1.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, kind = docs.sparkSession.sparkContext.broadcast(model), class_type(voc.classes)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        for batch, first, run in _grouped(batches, 1, CHUNK):
+        p = Scorer(shared.value)
+        for batch, first, run in _grouped(batches, 1, CHUNK, kind):
             lengths = np.array([len(d) for d in run])
             out = []
             if len(run) == 1 and lengths[0] > CHUNK:  # a long text in pieces that overlap by what the model looks back
                 text, total = run[0], 0.0
                 for i in range(0, len(text), CHUNK):
                     back = min(i, BAG)
-                    total += float(log_probabilities(p, [text[i - back : i + CHUNK]])[back:].sum())
+                    total += float(p.log_probabilities([text[i - back : i + CHUNK]])[back:].sum())
                 out.append(total)
             else:
-                logs = log_probabilities(p, run).astype(np.float64)
+                logs = p.log_probabilities(run).astype(np.float64)
                 out = np.add.reduceat(logs, np.cumsum(lengths) - lengths).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(run)), pa.array(np.array(out) / np.log(10.0))], ["rid", "neural"])
 

@@ -99,7 +99,7 @@ def test_language_documents_keep_rows_and_columns(spark):
 
 def test_lm_base_scores_and_normalisation(spark):
     data = fixtures.rows()
-    got = lm.score_documents(fixtures.documents(spark), stride=2).collect()
+    got = lm.score_documents(fixtures.documents(spark)).collect()
     assert len(got) == len(data)
     tokens = lambda t: [*(t or "").encode().lower().split(), b"\n"]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
@@ -111,50 +111,118 @@ def test_lm_base_scores_and_normalisation(spark):
     assert lm.score_documents(fixtures.empty(spark)).count() == 0
 
 
+def _log_probability(p, doc, at):
+    """Of one token, by loops over numbers."""
+    start, k = len(p.e) - 1, lm.DIM
+    r = [0.0] * k
+    span = min(at, lm.BAG)
+    rows = [(p.e[int(doc[at - i - 1])] if at > i else p.e[start], p.c[i]) for i in range(lm.CONTEXT)]
+    if span:
+        rows.append(([sum(float(p.e[int(c)][j]) for c in doc[at - span : at]) / span for j in range(k)], p.m))
+    for x, m in rows:
+        r = [r[j] + sum(float(x[i]) * float(m[i][j]) for i in range(k)) for j in range(k)]
+    score = lambda q, b: sum(float(q[j]) * r[j] for j in range(k)) + float(b)
+    log_sum = lambda x: max(x) + math.log(sum(math.exp(y - max(x)) for y in x))
+    c = int(doc[at])
+    g = int(p.groups.of[c])
+    members = [i for i in range(len(p.b)) if p.groups.of[i] == g]
+    groups = [score(p.gq[i], p.gb[i]) for i in range(p.groups.count)]
+    return groups[g] - log_sum(groups) + score(p.q[c], p.b[c]) - log_sum([score(p.q[i], p.b[i]) for i in members])
+
+
 def test_lm_probabilities_sum_to_one_and_learn():
     g = np.random.default_rng(1)
     docs = [np.array([(s + i) % 6 + 6 * (s % 2) for i in range(60)], np.uint16) for s in g.integers(0, 100, 300)]
     tokens = np.bincount(np.concatenate(docs), minlength=12).astype(float)
-    p = lm.Parameters(12, np.log(tokens / tokens.sum()))
+    p = lm.Parameters(tokens / tokens.sum())
+    assert p.groups.count > 1 and sorted(np.concatenate(p.groups.members)) == list(range(12))
     trainer = lm.Trainer(p, tokens / tokens.sum(), 0)
-    before = lm.log_probabilities(p, docs).mean()
-    for k in range(6):
-        trainer.train(docs, 1, k)
-    assert lm.log_probabilities(p, docs).mean() > before + 0.5
-    _, context, bag = lm.contexts(p, [docs[0]])
-    each = [lm.log_probabilities(p, [np.r_[docs[0][:5], c].astype(np.uint16)])[5] for c in range(12)]
+    before = lm.Scorer(p).log_probabilities(docs).mean()
+    for _ in range(4):
+        trainer.train(docs)
+    scorer = lm.Scorer(p)
+    assert scorer.log_probabilities(docs).mean() > before + 0.5
+    each = [scorer.log_probabilities([np.r_[docs[0][:5], c].astype(np.uint16)])[5] for c in range(12)]
     assert math.isclose(sum(map(math.exp, each)), 1.0, rel_tol=1e-4)
-    far = lm.Parameters(12, np.full(12, 100.0))  # sums that would overflow
-    assert np.allclose(lm.log_probabilities(far, docs[:2]), lm.log_probabilities(far, docs[:2])) and np.isfinite(lm.log_probabilities(far, docs[:2])).all()
+    got = scorer.log_probabilities(docs[:2])
+    assert np.allclose(got, [_log_probability(p, d, i) for d in docs[:2] for i in range(len(d))], atol=1e-4)
+    p.b += 300.0  # sums that would overflow
+    assert np.allclose(lm.Scorer(p).log_probabilities(docs[:2]), got, atol=1e-2)
+
+
+def test_lm_step_is_the_gradient_of_the_contrast():
+    """One step against a brute-force one over the same noise."""
+    g = np.random.default_rng(3)
+    u = np.arange(1.0, 10.0) / 45
+    p, q = lm.Parameters(u), lm.Parameters(u)
+    trainer = lm.Trainer(p, u, 5)
+    target, before, bag = g.integers(0, 9, 7), g.integers(0, 10, (7, lm.CONTEXT)), g.random((7, lm.DIM)).astype(np.float32)
+    draws = np.random.default_rng(5)
+    trainer.batch(target, before, bag)
+    groups = np.bincount(q.groups.of, u)
+    grads = {n: np.zeros(getattr(q, n).shape) for n in q.NAMES}
+    noises = [np.searchsorted(np.cumsum(x) / x.sum(), draws.random(k), side="right") for x, k in ((u, lm.NOISE), (groups, lm.GROUP_NOISE))]
+    for t, b, m in zip(target, before, bag, strict=True):
+        r = m @ q.m + sum(q.e[b[i]] @ q.c[i] for i in range(lm.CONTEXT))
+        back = np.zeros(lm.DIM)
+        for (w, bias), x, k, noise, c in ((("q", "b"), u, lm.NOISE, noises[0], t), (("gq", "gb"), groups, lm.GROUP_NOISE, noises[1], q.groups.of[t])):
+            for i, true in [(c, True), *((j, False) for j in noise)]:
+                s = float(r @ getattr(q, w)[i] + getattr(q, bias)[i] - math.log(k * x[i] / x.sum()))
+                d = float(true) - 1 / (1 + math.exp(-s))
+                grads[w][i] += d * r / 7
+                grads[bias][i] += d / 7
+                back += d * getattr(q, w)[i]
+        for i in range(lm.CONTEXT):
+            grads["c"][i] += np.outer(q.e[b[i]], back) / 7
+            grads["e"][b[i]] += q.c[i] @ back / 7
+        grads["m"] += np.outer(m, back) / 7
+    for n in q.NAMES:
+        assert np.allclose(getattr(p, n), getattr(q, n) + lm.RATE * grads[n] / np.sqrt(0.1 + grads[n] ** 2), atol=2e-4), n
 
 
 def test_lm_every_training_token_is_a_target(spark, monkeypatch):
     docs = [np.arange(k * 100, k * 100 + 41 + k, dtype=np.uint16) for k in range(9)]
     seen = []
+    monkeypatch.setattr(lm.Trainer, "batch", lambda self, target, before, bag: seen.append(target))
+    monkeypatch.setattr(lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+
+    class Local:  # runs a round's function here, on the rows that the round takes
+        def __init__(self):
+            self.round = -1
+
+        def where(self, condition):
+            self.round += 1
+            return self
 
-    class Local:  # runs a round's function here, over two tasks
         def select(self, *_):
             return self
 
         def mapInArrow(self, f, _):
-            for part in (docs[:5], docs[5:]):
+            mine = docs[self.round % rounds :: rounds]
+            for part in (mine[:3], mine[3:]):
                 list(f(iter([pa.RecordBatch.from_arrays([pa.array([d.tobytes() for d in part])], ["ids"])])))
             return self
 
-        def groupBy(self, _):
+        def groupBy(self, *_):
             return self
 
-        def agg(self, _):
+        def applyInArrow(self, *_):
             return self
 
-        def toPandas(self):
+        def collect(self):
             return []
 
-    monkeypatch.setattr(lm.Trainer, "batch", lambda self, target, before, bag: seen.append(target))
-    for more in ({}, {"stride": 5}, {"stride": 1, "rounds": 1}, {"stride": 2, "rounds": 1}):
+    for rounds in (1, 2, 3):
         seen.clear()
-        lm.train(Local(), np.ones(1000), **more)
-        assert (np.sort(np.concatenate(seen)) == np.concatenate(docs)).all(), more
+        lm.train(Local(), np.ones(1000), rounds=rounds)
+        assert (np.sort(np.concatenate(seen)) == np.concatenate(docs)).all(), rounds
+
+
+def test_lm_averages_by_tokens(spark):
+    rows = [(0, k // 64, np.array([float(k), 1.0], np.float32).tobytes(), 1 + k % 3) for k in range(130)]
+    got = spark.createDataFrame(rows, lm.SENT).groupBy("i", "part").applyInArrow(lm._average, lm.SENT).groupBy("i").applyInArrow(lm._average, lm.SENT).first()
+    want = sum(k * (1 + k % 3) for k in range(130)) / sum(1 + k % 3 for k in range(130))
+    assert np.allclose(np.frombuffer(got.v, np.float32), [want, 1.0], rtol=1e-5)
 
 
 def test_lm_classes_grow_with_the_vocabulary(spark):
@@ -165,7 +233,7 @@ def test_lm_classes_grow_with_the_vocabulary(spark):
         voc, tokens = lm.vocabulary(counts, head=5000)
         assert voc.classes == len(tokens) == sum(lm.class_numbers(types + 1)) + 2 and voc.own == lm.class_numbers(types + 1)[0]
         sizes.append(voc.classes)
-    assert sizes == [450, 342 + 257 + 2]
+    assert sizes == [450, 900 + 300 + 2]
 
 
 def test_lm_words_probabilities_sum_to_one(spark):
