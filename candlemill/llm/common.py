@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset and all tasks run here, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _own[app] = _own.get(app) or f"file://{tempfile.mkdtemp(prefix='candlemill-')}"
     return base.rstrip("/")

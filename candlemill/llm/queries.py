@@ -41,8 +41,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fails if the reader reports a gap: what has just been written must come back whole."""
     read = round_trip(table(spark, sf_dir, "pages"))
-    return read.where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("gap in"), "archive", F.lit("at"), F.col("offset").cast("string"), "gap")).cast("long")
+    return read.select(F.when(F.col("gap").isNull(), F.col("page_id")).otherwise(lost).alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

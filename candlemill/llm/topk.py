@@ -137,6 +137,8 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     asked = vectors.where(is_query).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    asked = asked.where(whole).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))  # a repeated id asks once
     blocks = max(1, math.ceil(asked.count() / query_block))
 
     def norm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +153,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str
     path = new_path(spark, "topk")
     spark.createDataFrame([], schema).write.parquet(path)
     for b in range(blocks):
-        found: dict[int, list[float]] = {}
-        for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect():
-            v = [x if x is not None else math.nan for x in r.embedding]
-            if all(map(math.isfinite, v)):
-                found[r.vec_id] = min(found.get(r.vec_id, v), v)
+        found = {r.vec_id: r.embedding for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()}
         if not found:
             continue
         ids = np.array(sorted(found), dtype=np.int64)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlemill.llm.common import bound_batches, new_path, shuffle_partitions
+from candlemill.llm.common import bound_batches, new_path
 
 MIN_REVISIT_BYTES, ARCHIVE_BYTES, DATE = 100, 32 << 20, "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -60,7 +60,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
 def write_archives(pages: DataFrame, path: str, *, compress: bool = True, min_revisit_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write a record for each row of pages (page_id, url, html) to archives below path.
 
-    The rows' digests decide who revisits whom; payloads move once, dealt out by id and digest, so that a payload that
+    The rows' digests decide who revisits whom; payloads move once at most, by id and digest, so that a payload that
     very many pages share lies in many archives' revisit records but in no hot task.
     """
     spark = pages.sparkSession
@@ -72,10 +72,11 @@ def write_archives(pages: DataFrame, path: str, *, compress: bool = True, min_re
     light = rows.select("page_id", "digest", "n", "record").where(F.col("n") >= min_revisit_bytes)
     groups = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("members")).where("members > 1 and refers_to is not null")
     revisits = light.select("page_id", "digest", "record").distinct().join(groups, "digest").where("page_id is null or page_id > refers_to").select("record", "refers_to")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    n = max(shuffle_partitions(spark), math.ceil(total / archive_bytes))
-    # One plain key for both, so that the join needs no second exchange of the payloads.
-    typed = rows.repartition(n, "record").join(revisits, "record", "left")
+    # A plain join by one key: where few payloads repeat it needs no exchange of the payloads, and a row repeated very often
+    # makes a skewed partition that Spark splits. The number of records bounds the archives.
+    typed = rows.join(revisits, "record", "left")
+    total, count = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    records = max(1, math.ceil(count * archive_bytes / max(total, archive_bytes)))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +95,7 @@ def write_archives(pages: DataFrame, path: str, *, compress: bool = True, min_re
 
     built = typed.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(build, "value binary")
     ends = _EMPTY_MEMBER.decode("latin-1") if compress else "\r\n\r\n"
-    built.select(F.col("value").cast("string")).write.option("lineSep", ends).option("encoding", "ISO-8859-1").text(path)
+    built.select(F.col("value").cast("string")).write.option("lineSep", ends).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records).text(path)
 
 
 def _agrees(digest: str, payload: bytes) -> bool:
