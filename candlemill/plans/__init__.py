@@ -1 +1,8 @@
-"""See README.md."""
+"""Registered queries; load() imports every module that registers some."""
+
+
+def load() -> tuple[dict, dict]:
+    """(name -> callable, name -> SQL)."""
+    from candlemill.plans import catalogue, trades  # noqa: F401
+
+    return catalogue.QUERIES, catalogue.ORACLES

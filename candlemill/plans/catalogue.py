@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlemill.functions import vectors as V
-from candlemill.operators import folds, indicators, learning, phase_trades, provenance, simulator, treasury, vocabulary
+from candlemill.operators import folds, indicators, learning, provenance, simulator, treasury, vocabulary
 from candlemill.sources import candles as C
 
 QUERIES: dict = {}
@@ -558,25 +558,6 @@ def trade_atoms(spark, d):
     return rounded(vocabulary.trade_atoms(at.select("sym", "ts", F.concat_ws("/", "thinker", F.col("paper_id").cast("string")).alias("paper"), "entry", "direction", F.col("close").alias("price"), "phase_generation")))
 
 
-def found_flips(spark, d) -> DataFrame:
-    return phase_trades.sweep(folds.fold(by_type(spark, d)), (0.5, 1.0, 1.5, 2.0, 3.0))
-
-
-@query()
-def flip_sweep(spark, d):
-    return rounded(phase_trades.trade_summary(phase_trades.flip_trades(found_flips(spark, d))))
-
-
-@query()
-def flip_streaks(spark, d):
-    return phase_trades.streaks(found_flips(spark, d))
-
-
-@query()
-def flip_coverage(spark, d):
-    return phase_trades.coverage(found_flips(spark, d), 6)
-
-
 @query("""with r as (select value, (event_type in ('purchase', 'view', 'click'))::int as ok, row_number() over (order by value, event_id) - 1 as i, count(*) over () as n from events),
 g as (select least(i // greatest(n // 20, 1), 19) as bin, avg(value) as x, avg(ok) as acc from r group by 1)
 select round(exp(regr_intercept(ln(acc - 0.5), x)), 6) as a, round(regr_slope(ln(acc - 0.5), x), 6) as b, count(*) as bins from g where acc > 0.5""")
