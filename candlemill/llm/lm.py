@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlemill.llm.common import bound_batches, held_out, stage_table
+from candlemill.llm.common import bound_batches, held_out, settle_worker, stage_table
 
 #: Classes of single words and of suffixes that every corpus gets; larger vocabularies get more, see class_numbers.
 OWN, SHARED, DIM, CONTEXT, BAG = 256, 192, 16, 4, 32
@@ -405,6 +405,7 @@ def train(encoded: DataFrame, tokens: np.ndarray, *, rounds: int = ROUNDS) -> Pa
         start = p.flat()
 
         def work(batches: Iterator[pa.RecordBatch], r: int = r, start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
+            settle_worker()
             own = Parameters(unigram).load(start)
             trainer, seen = Trainer(own, unigram, 100 + r), 0
             for _, _, docs in _grouped(batches, 0, 8 * CHUNK, kind):
@@ -436,6 +437,7 @@ def score_documents(docs: DataFrame, *, modulus: int = 7, rounds: int = ROUNDS)
     shared, kind = docs.sparkSession.sparkContext.broadcast(model), class_type(voc.classes)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle_worker()
         p = Scorer(shared.value)
         for batch, first, run in _grouped(batches, 1, CHUNK, kind):
             lengths = np.array([len(d) for d in run])
