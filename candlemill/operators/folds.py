@@ -225,19 +225,3 @@ def phase_records(folded: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["sym", "label", "start_candle", "end_candle", "duration", "close_min", "close_max", "close_avg", "close_open", "close_final", "volume_avg"])
 
     return folded.select("sym", "ts", "close", "volume", "atr").groupBy("sym").applyInPandas(close, "sym string, label string, start_candle long, end_candle long, duration long, close_min double, close_max double, close_avg double, close_open double, close_final double, volume_avg double")
-
-
-def scale_tracker(facts: DataFrame) -> DataFrame:
-    """Per (sym, name) in time order: ema of |value| with weight 1 / max(n, 100), and the scale max(2 ema, 0.001) rounded to cents."""
-
-    def track(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        level, out = 0.0, []
-        for n, v in enumerate(pdf["value"], 1):
-            a = 1.0 / max(n, 100)
-            level = (1.0 - a) * level + a * abs(v)
-            out.append(level)
-        e = np.array(out)
-        return pdf[["sym", "name", "ts", "value"]].assign(ema_abs=e, scale=np.floor(np.maximum(2 * e, 0.001) * 100 + 0.5) / 100)
-
-    return facts.groupBy("sym", "name").applyInPandas(track, "sym string, name string, ts timestamp, value double, ema_abs double, scale double")

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlemill.functions import vectors as V
-from candlemill.operators import folds, indicators, learning, provenance, simulator, treasury, vocabulary
+from candlemill.operators import folds, indicators, learning, provenance, simulator, treasury
 from candlemill.sources import candles as C
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Of each windowed indicator its SQL without rounding, for the SQL of what is built on it.
+RAW: dict[str, str] = {}
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -99,6 +101,7 @@ def indicator(f, columns: dict[str, str], steps: list[str] = ()):  # noqa: B006
     for k, step in enumerate(steps):
         ctes += f", s{k} as (select *, {step} from {src})"
         src = f"s{k}"
+    RAW[f.__name__] = f"(with {ctes} select sym, ts, {', '.join(f'({e})::double as {n}' for n, e in columns.items())} from {src})"
     show = ", ".join(f"case when round(({e})::double, 6) = 0 then 0.0::double else round(({e})::double, 6) end as {n}" for n, e in columns.items())
 
     def run(spark, d):
@@ -233,11 +236,6 @@ def fold_choppiness_squeeze(spark, d):
     return rounded(out)
 
 
-@query()
-def fold_all(spark, d):
-    return rounded(folds.fold(by_type(spark, d)))
-
-
 @query(f"""with recursive {NUMBERED}, {recursive('t', 14, '(13.0/14)', '(1.0/14)', 'a', 0, 'tr')}, j as materialized (select n.sym, n.ts, n.i, n.close, 2 * a.v as sm from n join a on n.sym = a.sym and n.i = a.i),
 ph(sym, i, rising, extreme, label, direction, duration, generation) as (
     select sym, i, false, close, 'Valley', 'None', 1, 0 from j where i = 1
@@ -254,44 +252,6 @@ def phase_labels(spark, d):
     return folds.phases(folds.fold(by_type(spark, d)))
 
 
-@query()
-def phase_records(spark, d):
-    return rounded(folds.phase_records(folds.fold(by_type(spark, d))))
-
-
-@query()
-def scale_tracker(spark, d):
-    e = indicators.range_position(indicators.roc(by_type(spark, d)))
-    return rounded(folds.scale_tracker(e.select("sym", "ts", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in ("roc_1", "roc_3", "range_pos_12")))).alias("f")).select("sym", "ts", "f.name", "f.value")))
-
-
-# --- facts ---------------------------------------------------------------------------------------------------------
-
-
-@query()
-def vocabulary_facts(spark, d):
-    return rounded(vocabulary.facts(indicators.time_parts(indicators.enrich(by_type(spark, d)))))
-
-
-def _simple_facts(module: str) -> str:
-    return " union all ".join(f"select sym, ts, '{module}' as module, '{n}' as name, '{k}' as kind, round(({e})::double, 6) as value, {float(lo)}::double as lo, {float(hi)}::double as hi from x where ({e}) is not null" for n, k, e, lo, hi in vocabulary.MODULES[module])
-
-
-@query(f"with {BY_TYPE}, x as (select *, " + ", ".join(div(f"close - min(low) {over(n)}", f"max(high) {over(n)} - min(low) {over(n)}", "0.5") + f" as range_pos_{n}" for n in (12, 24, 48)) + f" from c) {_simple_facts('fibonacci')}")
-def facts_fibonacci(spark, d):
-    return rounded(vocabulary.facts(indicators.range_position(by_type(spark, d)), ("fibonacci",)))
-
-
-@query(f"with {BY_TYPE}, x as (select *, " + ", ".join(f"avg(close) {over(n)} as sma{n}" for n in (20, 50, 200)) + f" from c) {_simple_facts('momentum')}")
-def facts_momentum(spark, d):
-    return rounded(vocabulary.facts(indicators.sma(by_type(spark, d)), ("momentum",)))
-
-
-@query()
-def lens_fact_counts(spark, d):
-    return vocabulary.lens_facts(vocabulary.facts(indicators.time_parts(indicators.enrich(by_type(spark, d))))).groupBy("lens", "module").agg(F.count("*").alias("n"))
-
-
 # --- simulation and ledger -----------------------------------------------------------------------------------------
 
 
@@ -530,34 +490,6 @@ def soundness_gate(spark, d):
 
 # --- windows of facts, phases, learners ----------------------------------------------------------------------------
 
-_AWAY = lambda x: f"case when close <> 0 then (close - ({x})) / close end"
-
-
-@query(f"""with {BY_TYPE}, r as (select *, row_number() over (partition by sym order by ts) as i, {prev('close')} as p, avg(volume) {over(20)} as mv, avg(close) {over(200)} as sma200, max(high) {over(48)} as hi, min(low) {over(48)} as lo from c),
-q as (select *, case when p is null then 0 else {div('close - p', 'p')} end as roc, volume / case when mv = 0 then 1 else mv end as va from r)
-select sym, ts, i - max(case when abs(roc) > 0.02 then i end) {over(48)} as since_large_move, i - max(case when va > 2 then i end) {over(48)} as since_vol_spike,
-{', '.join(f"case when round({_AWAY(x)}, 6) = 0 then 0.0::double else round({_AWAY(x)}, 6) end as {n}" for n, x in (('dist_high', 'hi'), ('dist_low', 'lo'), ('dist_middle', '(hi + lo) / 2'), ('dist_sma200', 'sma200')))}, count(*) {over(48)} as session_depth from q""")
-def facts_standard(spark, d):
-    e = vocabulary.standard(indicators.obv(indicators.roc(indicators.sma(by_type(spark, d)))))
-    return rounded(e.select("sym", "ts", F.col("since_large_move").cast("long"), F.col("since_vol_spike").cast("long"), "dist_high", "dist_low", "dist_middle", "dist_sma200", "session_depth"))
-
-
-@query()
-def phase_scalars(spark, d):
-    return rounded(vocabulary.phase_scalars(folds.phase_records(folds.fold(by_type(spark, d)))))
-
-
-@query()
-def trade_atoms(spark, d):
-    """Papers of the always-up runs, joined with the candles that they were open at."""
-    rows = labelled(spark, d).withColumn("at", F.row_number().over(Window.partitionBy("sym").orderBy("ts")))
-    p = outcomes(spark, d).select(F.col("sym").alias("p_sym"), "thinker", "paper_id", "direction", F.explode(F.sequence("opened_at", "resolved_at")).alias("p_at"), "opened_at")
-    entry = rows.select(F.col("sym").alias("e_sym"), F.col("at").alias("e_at"), F.col("close").alias("entry"))
-    open_ = p.join(entry, (F.col("p_sym") == F.col("e_sym")) & (F.col("opened_at") == F.col("e_at")))
-    at = rows.join(open_, (F.col("sym") == F.col("p_sym")) & (F.col("at") == F.col("p_at")))
-    return rounded(vocabulary.trade_atoms(at.select("sym", "ts", F.concat_ws("/", "thinker", F.col("paper_id").cast("string")).alias("paper"), "entry", "direction", F.col("close").alias("price"), "phase_generation")))
-
-
 @query("""with r as (select value, (event_type in ('purchase', 'view', 'click'))::int as ok, row_number() over (order by value, event_id) - 1 as i, count(*) over () as n from events),
 g as (select least(i // greatest(n // 20, 1), 19) as bin, avg(value) as x, avg(ok) as acc from r group by 1)
 select round(exp(regr_intercept(ln(acc - 0.5), x)), 6) as a, round(regr_slope(ln(acc - 0.5), x), 6) as b, count(*) as bins from g where acc > 0.5""")

@@ -162,8 +162,13 @@ def test_indicator_quirks(spark):
     assert (got.roc_12 == 0).all() and got.roc_12_whole.abs().sum() > 0
     assert (got.stoch_k[:13] == 50).all() and (got.williams_r[:13] == -50).all() and (got.kama_er[:9] == 0.5).all() and (got.aroon_up[:24] == 50).all()
     assert math.isclose(got.sma20[2], np.mean(got.close[:3]))
-    modules = vocabulary.facts(indicators.enrich(indicators.time_parts(df))).select("module").distinct().count()
-    assert modules == len(vocabulary.MODULES)
+    rich = vocabulary.standard(indicators.enrich(indicators.time_parts(folds.fold(df))))
+    found = vocabulary.facts(rich).toPandas()
+    assert set(found.module) >= set(vocabulary.MODULES) - {"divergence"}
+    scales = found[found.kind == "scaled"]
+    assert (scales.hi >= 0).all() and (scales.lo == -scales.hi).all() and ((scales.hi * 100).round(6) % 1 == 0).all()
+    since = found[found.name == "since-rsi-extreme"].sort_values("ts").value.to_list()
+    assert since[0] == 1.0 and min(since) >= 1.0  # the first row's rsi is 100
 
 
 def test_streams_equal_batches(spark, tmp_path):
