@@ -390,18 +390,6 @@ def conviction_curve(spark, d):
     return r.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("x"), F.round(F.avg(F.col("event_type").isin("purchase", "view").cast("int")), 6).alias("acc"))
 
 
-@query(f"""with {BY_TYPE}, r as (select *, {prev('close')} as p from c), x as (select sym, ts, {div('close - p', 'p')} as ret, sum(close) over (partition by sym order by ts rows unbounded preceding) as eq from r),
-y as (select *, max(eq) over (partition by sym order by ts rows unbounded preceding) as peak, avg((ret > 0)::int) {over(10)} as w10, avg((ret > 0)::int) {over(50)} as w50, avg(ret) {over(50)} as m, stddev_pop(ret) {over(50)} as s from x)
-select sym, ts, round(1 - eq / case when peak = 0 then 1 else peak end, 6) as drawdown, round(w10, 6) as win_10, round(w50, 6) as win_50, round({div('m', 's')}, 6) as sharpe from y where ts is not null""")
-def risk_branches(spark, d):
-    by = Window.partitionBy("sym").orderBy("ts")
-    ever, w10, w50 = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(-9, 0), by.rowsBetween(-49, 0)
-    x = by_type(spark, d).withColumn("p", F.lag("close").over(by)).withColumns({"ret": F.when(F.col("p") != 0, (F.col("close") - F.col("p")) / F.when(F.col("p") != 0, F.col("p"))).otherwise(0.0), "eq": F.sum("close").over(ever)})
-    won = (F.col("ret") > 0).cast("int")
-    y = x.withColumns({"peak": F.max("eq").over(ever), "win_10": F.avg(won).over(w10), "win_50": F.avg(won).over(w50), "m": F.avg("ret").over(w50), "s": F.stddev_pop("ret").over(w50)})
-    return rounded(y.select("sym", "ts", (1 - F.col("eq") / F.when(F.col("peak") == 0, 1.0).otherwise(F.col("peak"))).alias("drawdown"), "win_10", "win_50", F.when(F.col("s") != 0, F.col("m") / F.when(F.col("s") != 0, F.col("s"))).otherwise(0.0).alias("sharpe")))
-
-
 @query("""with t as (select l_orderkey as id, l_extendedprice as entry, l_extendedprice * (1 + l_tax - l_discount) as close from lineitem)
 select id, count(*) as n, round(sum((close / entry) * (1 - 0.0035) * (1 - 0.0035) - 1), 6) as pnl, round(sum((close > entry)::int) / (count(*) + 0.001), 6) as allocation from t where entry > 0 group by 1""")
 def trade_pnl(spark, d):
