@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -114,8 +115,11 @@ def contexts(e: np.ndarray, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return ids, before, bag
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials of each row; overwrites x."""
+def _log_sum(x: np.ndarray, small: bool) -> np.ndarray:
+    """Log of the sum of exponentials of each row; overwrites x. Small values, below 60 in size, need no shift."""
+    if small:
+        np.exp(x, out=x)
+        return np.log(x.sum(axis=1))
     top = x.max(axis=1)
     x -= top[:, None]
     np.exp(x, out=x)
@@ -130,18 +134,21 @@ class Scorer:
         self.bag, self.places = p.e @ p.m, [p.e @ c for c in p.c]
         self.q = [np.vstack([p.q[m].T, p.b[m]]) for m in p.groups.members]
         self.gq = np.vstack([p.gq.T, p.gb])
+        longest = lambda q: float(np.sqrt((q * q).sum(axis=1)).max())
+        self.reach, self.bias = max(longest(p.q), longest(p.gq)), max(float(np.abs(p.b).max()), float(np.abs(p.gb).max()))
 
     def log_probabilities(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each token's class, all docs in a row."""
         ids, before, r = contexts(self.bag, docs)
         for i, t in enumerate(self.places):
             r += t[before[:, i]]
+        small = float(np.sqrt(np.einsum("ij,ij->i", r, r).max(initial=0))) * self.reach + self.bias < 60
         r = np.hstack([r, np.ones((len(r), 1), np.float32)])
         groups = self.p.groups
         mine = groups.of[ids]
         scores = r @ self.gq
         out = scores[np.arange(len(ids)), mine]
-        out -= _log_sum(scores)
+        out -= _log_sum(scores, small)
         order = np.argsort(mine.astype(np.uint16), kind="stable")
         ends = np.searchsorted(mine[order], np.arange(groups.count + 1))
         for g in np.flatnonzero(np.diff(ends)):
@@ -149,7 +156,7 @@ class Scorer:
                 at = order[ends[g] : ends[g + 1]]
                 scores = r[at] @ self.q[g]
                 own = scores[np.arange(len(at)), groups.place[ids[at]]]
-                out[at] += own - _log_sum(scores)
+                out[at] += own - _log_sum(scores, small)
         return out
 
 
@@ -174,9 +181,13 @@ class Trainer:
 
     def _step(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
         a, x = self.sums[name], getattr(self.p, name)
-        s = a[rows] + gradient * gradient
+        s = gradient * gradient
+        s += a[rows]
         a[rows] = s
-        x[rows] += np.float32(RATE) * gradient / np.sqrt(s)
+        np.sqrt(s, out=s)
+        np.divide(gradient, s, out=s)
+        s *= np.float32(RATE)
+        x[rows] += s
 
     def _rows(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct values of index, and where each value of index lies among them."""
@@ -202,10 +213,9 @@ class Trainer:
         mine, others = q[target], q[noise]
         true = np.einsum("ij,ij->i", r, mine) + b[target] - log_noise[target]
         pull = 1.0 / (1.0 + np.exp(np.minimum(true, 30)))
-        push = np.matmul(r, others.T, out=self._space(names[0], n, k))
-        push += b[noise] - log_noise[noise]
-        np.negative(push, out=push)
-        np.minimum(push, 30, out=push)
+        push = np.matmul(r, -others.T, out=self._space(names[0], n, k))
+        push -= b[noise] - log_noise[noise]
+        np.minimum(push, 30, out=push)  # denormal numbers beyond it would slow the products down
         np.exp(push, out=push)
         push += 1
         np.divide(-1, push, out=push)
@@ -260,7 +270,10 @@ class Vocabulary:
         sizes = [1.0] * (own + 1) + [float(n + v + 1) for _, n, v in shared]
         self.log_size = np.log10(sizes)
         # Class own is the end token, which is in every training text.
-        self.words = {w: (i if i < own else self.suffix.get(w[-3:], self.other), float(np.log10(c + 1.0))) for i, (w, c) in enumerate(head)}
+        self.words = {w: i for i, (w, _) in enumerate(head)}
+        # The last entry stands for words that aren't in the head.
+        self.word_class = np.array([i if i < own else self.suffix.get(w[-3:], self.other) for i, (w, _) in enumerate(head)] + [self.other], np.int64)
+        self.word_log = np.append(np.log10(np.array([c for _, c in head], float) + 1.0), 0.0)
         self.own = own
 
 
@@ -329,7 +342,7 @@ def _encoded(docs: DataFrame, voc: Vocabulary) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        get, suffix, other, log_size = v.words.get, v.suffix.get, v.other, v.log_size
+        get, suffix, other, log_size, absent = v.words.get, v.suffix.get, v.other, v.log_size, len(v.words)
         known_end = int(v.total > 0)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
@@ -337,26 +350,18 @@ def _encoded(docs: DataFrame, voc: Vocabulary) -> DataFrame:
                 n, known, head, sizes, classes, tails = [], [], [], [], [], []
                 for text in part.column(3).to_pylist():
                     words = words_of(text or b"")
-                    found = list(map(get, words))
-                    tail = []
-                    if None in found:
-                        at = -1
-                        try:
-                            while True:
-                                at = found.index(None, at + 1)
-                                w = words[at]
-                                tail.append(xxhash.xxh64_intdigest(w, 42))
-                                found[at] = suffix(w[-3:], other), 0.0
-                        except ValueError:
-                            pass
-                    ids = np.array([f[0] for f in found] + [v.own], kind)
-                    logs = np.array([f[1] for f in found])
+                    at = np.fromiter(map(get, words, repeat(absent)), np.int64, len(words))
+                    ids = np.append(v.word_class[at], v.own)
+                    rare = np.flatnonzero(at == absent)
+                    tail = [words[i] for i in rare]
+                    ids[rare] = [suffix(w[-3:], other) for w in tail]
+                    logs = v.word_log[at]
                     n.append(len(ids))
                     known.append(len(ids) - len(tail) - 1 + known_end)
                     head.append((float(logs.sum()), float(logs[ids[:-1] > v.own].sum())))
                     sizes.append(float(log_size[ids].sum()))
-                    classes.append(ids.tobytes())
-                    tails.append(np.array(tail, np.uint64).view(np.int64))
+                    classes.append(ids.astype(kind).tobytes())
+                    tails.append(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in tail), np.uint64, len(tail)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([list(h) for h in head], pa.list_(pa.float64())), pa.array(sizes, pa.float64()), pa.array(classes, pa.binary()), pa.array(tails, pa.list_(pa.int64()))],
                     fields,

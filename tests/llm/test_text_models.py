@@ -243,7 +243,7 @@ def test_lm_words_probabilities_sum_to_one(spark):
     c = {bytes(r.word): r.n for r in counts.collect()}
     mass = Counter()
     for w, n in c.items():
-        k = voc.own if w == lm.END else voc.words[w][0]
+        k = voc.own if w == lm.END else voc.word_class[voc.words[w]]
         mass[k] += 1.0 if k <= voc.own else (n + 1) / 10 ** voc.log_size[k]
     for k in range(voc.own + 1, voc.classes):
         assert math.isclose(mass[k] + 1 / 10 ** voc.log_size[k], 1.0)  # with the part of unknown words
