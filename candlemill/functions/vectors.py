@@ -152,27 +152,29 @@ def from_hex(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text), F.lit(2)), lambda i: F.substring(text, i, F.lit(2)).cast("double") - 1)
 
 
-def rhythm(values: Column, lo: float, hi: float, delta: float, d: int) -> Column:
-    """Values as thermometers with their change, bound to trigrams, trigrams to pairs, the last pairs bundled; null below four values.
+def rhythm(values: Column, lo: float, hi: float, delta: float, d: int, name: str = "rhythm") -> Column:
+    """Values as thermometers, each bundled with its change (a thermometer bound to the atom of changes, with equal weight: where
+    they differ the sum is 0; the first has none); bound to trigrams, trigrams to pairs, the last pairs bundled, bound to the
+    name's atom. Below four values it is the name bound to a sentinel.
 
     Each step reads the one before several times, so this is one Arrow-batched pass in numpy and not nested lambdas.
     """
     budget = capacity(d)
 
     @pandas_udf("array<double>")
-    def encode(lists: pd.Series) -> pd.Series:
+    def encode(lists: pd.Series, change_atom: pd.Series, sentinel: pd.Series) -> pd.Series:
         place = np.arange(1, d + 1)
         gauge = lambda v, a, b: np.where(place <= np.floor(np.clip((v - a) / (b - a), 0, 1)[:, None] * d + 0.5), 1.0, -1.0)
         out = []
-        for values in lists:
+        for values, change, short in zip(lists, change_atom, sentinel, strict=True):
             if values is None or len(values) < 4:
-                out.append(None)
+                out.append(list(short))
                 continue
             x = np.asarray(values, float)[-(budget + 3) :]
-            change = np.vstack([np.zeros(d), gauge(np.diff(x), -delta, delta)])
-            facts = np.sign(gauge(x, lo, hi) + 0.5 * change)
+            facts = gauge(x, lo, hi)
+            facts[1:] = np.sign(facts[1:] + gauge(np.diff(x), -delta, delta) * np.asarray(change, float))
             three = facts[:-2] * np.roll(facts[1:-1], 1, axis=1) * np.roll(facts[2:], 2, axis=1)
-            out.append(np.sign((three[:-1] * three[1:]).sum(axis=0)).tolist())
+            out.append(np.sign((three[:-1] * three[1:])[-budget:].sum(axis=0)).tolist())
         return pd.Series(out, dtype=object)
 
-    return encode(values)
+    return bind(encode(values, atom(F.lit("delta"), d), atom(F.lit("short-window-sentinel"), d)), atom(F.lit(name), d))

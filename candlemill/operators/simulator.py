@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEADLINE, MIN_RESIDUE, FEE_BPS = 288, 0.01, 35.0
@@ -73,20 +73,37 @@ def two_proportion_z(df: DataFrame, a: str, n_a: str, b: str, n_b: str) -> DataF
     return df.withColumn("z", F.when(se > 0, (F.col(a) / F.col(n_a) - F.col(b) / F.col(n_b)) / F.when(se > 0, se)).otherwise(0.0))
 
 
-def best_distance(entries: DataFrame, steps: int = 20, step: float = 0.005, fee: float = 0.0035) -> DataFrame:
-    """For each entry with its later closes (id, entry, direction, path array): the trailing distance that nets most; ties keep the smaller.
+def best_distances(entries: DataFrame, steps: int = 20, step: float = 0.005, fee: float = 0.0035) -> DataFrame:
+    """For each entry with its later closes (id, entry, direction, path array): the trailing distance and the fixed one that net
+    most, ties to the smaller, and what they net.
 
-    A trail ends at the first close that falls the distance from the best one so far; otherwise at the last close.
+    A trail ends at the first close that is the distance below the best one so far, a stop at the first that is below
+    the entry by it; otherwise at the last close. The fee is taken from the entry and from what the exit brings.
     """
     tried = entries.withColumn("distance", F.explode(F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: i * step)))
-    price = F.when(F.col("direction") == "Up", F.col("path")).otherwise(F.transform("path", lambda x: 1.0 / x))
-    start = F.when(F.col("direction") == "Up", F.col("entry")).otherwise(1.0 / F.col("entry"))
-    tried = tried.withColumns({"_p": price, "_e": start})
+    up = F.col("direction") == "Up"
+    tried = tried.withColumns({"_p": F.when(up, F.col("path")).otherwise(F.transform("path", lambda x: 1.0 / x)), "_e": F.when(up, F.col("entry")).otherwise(1.0 / F.col("entry"))})
     state = F.struct(F.col("_e").alias("best"), F.col("_e").alias("exit"), F.lit(False).alias("done"))
 
     def walk(s, x):
-        top = F.greatest(s["best"], x)
-        return F.when(s["done"], s).otherwise(F.struct(top.alias("best"), x.alias("exit"), (x <= top * (1 - F.col("distance"))).alias("done")))
-
-    net = tried.withColumn("net", F.aggregate("_p", state, walk)["exit"] / F.col("_e") - 1 - 2 * fee)
-    return net.groupBy("id").agg(F.max_by("distance", F.struct("net", -F.col("distance"))).alias("distance"), F.max("net").alias("net"))
+        return F.when(s["done"], s).otherwise(F.struct(F.greatest(s["best"], x).alias("best"), x.alias("exit"), (x <= s["best"] * (1 - F.col("distance"))).alias("done")))
+
+    below = F.filter("_p", lambda x: x <= F.col("_e") * (1 - F.col("distance")))
+    exits = {"trail": F.aggregate("_p", state, walk)["exit"], "stop": F.coalesce(F.get(below, F.lit(0)), F.element_at("_p", -1))}
+    gross = {k: x / F.col("_e") - 1 for k, x in exits.items()}
+    net = tried.where(F.size("_p") > 0).select("id", "distance", *((g - fee - (1 + g) * fee).alias(f"_{k}") for k, g in gross.items()))
+    return net.groupBy("id").agg(*(a for k in exits for a in (F.max_by("distance", F.struct(f"_{k}", -F.col("distance"))).alias(k), F.max(f"_{k}").alias(f"{k}_net"))))
+
+
+def label_trails(outcomes: DataFrame, labelled: DataFrame) -> DataFrame:
+    """outcomes: of simulate; labelled: its input with at, the number of the row from 1. The triggers of each paper, rows at which a
+    new phase began while it was open: Exit at the one that closed it in grace and at all of a paper that failed, else Hold;
+    and the directed move of the price until then, without fees."""
+    before = F.lag("phase_generation").over(Window.partitionBy("sym").orderBy("at"))
+    turns = labelled.withColumn("_before", before).where("phase_generation <> _before").select(F.col("sym").alias("t_sym"), F.col("at").alias("t_at"), "phase_label", "close")
+    entry = labelled.select(F.col("sym").alias("e_sym"), F.col("at").alias("e_at"), F.col("close").alias("entry"))
+    rows = outcomes.withColumn("t", F.explode(F.sequence(F.col("opened_at") + 1, F.col("resolved_at"))))
+    rows = rows.join(turns, (F.col("sym") == F.col("t_sym")) & (F.col("t") == F.col("t_at"))).join(entry, (F.col("sym") == F.col("e_sym")) & (F.col("opened_at") == F.col("e_at")))
+    move = F.when(F.col("entry") != 0, (F.col("close") - F.col("entry")) / F.when(F.col("entry") != 0, F.col("entry"))).otherwise(0.0)
+    out = F.when((F.col("state") == "Violence") | (F.col("t") == F.col("resolved_at")), "Exit").otherwise("Hold")
+    return rows.select("sym", "thinker", "paper_id", F.col("t").alias("at"), "phase_label", out.alias("label"), F.when(F.col("direction") == "Up", move).otherwise(-move).alias("price_move"))

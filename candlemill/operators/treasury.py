@@ -1,29 +1,20 @@
-"""Treasury ledger: papers and reals of many proposers, a gate on their record, deadlines, and balances by asset."""
+"""Treasury: papers and reals of many proposers, a gate on their record, deadlines, and balances by asset."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NOTIONAL, FEE_BPS, GATE_PAPERS, GATE_RATE, REAL_AMOUNT = 10_000.0, 35.0, 50, 0.5, 50.0
 
 
-def units_for(amount: Column, price: Column, fee_bps: float = FEE_BPS) -> Column:
-    return F.when(price > 0, amount * (1 - fee_bps / 1e4) / F.when(price > 0, price)).otherwise(0.0)
-
-
 def gate_open(submitted: Column, survived: Column, failed: Column) -> Column:
     """At least GATE_PAPERS papers, and more than half of the settled ones survived."""
     settled = survived + failed
     return (submitted >= GATE_PAPERS) & (F.when(settled > 0, survived / F.when(settled > 0, settled)).otherwise(0.0) > GATE_RATE)
 
 
-def exit_residue(units: Column, price: Column, amount: Column, fee_bps: float = FEE_BPS) -> Column:
-    """What an exit would leave after the fee; it is valid where this is above 0."""
-    return units * price - amount - units * price * fee_bps / 1e4
-
-
 def proposer_records(papers: DataFrame) -> DataFrame:
     """papers (owner, state, residue): the record of each owner and whether its gate is open."""
     r = papers.groupBy("owner").agg(
@@ -73,10 +64,78 @@ def balances(moves: DataFrame, prices: DataFrame) -> DataFrame:
     return b.join(prices, "asset").withColumn("value", F.col("balance") * F.col("price"))
 
 
-def fund(proposals: DataFrame, capital: float, venue_cost: float) -> DataFrame:
-    """proposals (id, edge, amount): by falling edge, those above the cost as long as the capital lasts."""
-    from pyspark.sql import Window
+def fund(proposals: DataFrame, capital: DataFrame, cost: float) -> DataFrame:
+    """proposals (id, source, edge), capital (source, amount): by falling edge, each that covers both swaps' cost reserves all that is
+    left of its source's capital, less the cost: amount, else the reason.
+
+    What is left shrinks by the same factor with each, so the k-th amount is known from its place.
+    """
+    both = 2 * cost
+    by = Window.partitionBy("source").orderBy(F.desc("edge"), "id")
+    ranked = proposals.withColumn("_ok", F.col("edge") >= both).withColumn("_k", F.sum(F.col("_ok").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    held = ranked.join(capital.withColumnRenamed("amount", "_capital"), "source", "left")
+    left = F.coalesce("_capital", F.lit(0.0)) * F.pow(F.lit(both / (1 + both)), F.col("_k") - 1)
+    funded = F.col("_ok") & (left > 0)
+    return held.select("id", "source", "edge", F.when(funded, left / (1 + both)).alias("amount"), F.when(~F.col("_ok"), "edge below venue cost").when(~funded, "insufficient capital").alias("reason"))
+
+
+RESPONSES = "treasury long, event_id long, owner long, kind string, issued long, amount double, residue double, states string"
+SERVICE_DEADLINE = 288
+
+
+def serve(requests: DataFrame, balances: dict[str, float], fee_bps: float = FEE_BPS) -> DataFrame:
+    """requests (treasury, event_id, owner, kind, candle, price, asset, paper_id, paper_ids) in order of event_id: a response to each
+    but ticks, which resolve papers at their deadline.
+
+    SubmitPaper issues a paper; SubmitReal, for owners whose papers pass the gate, a real of at most REAL_AMOUNT from the
+    asset's balance; SubmitExit names a paper, whosever it is, and resolves it if something is left after the fee;
+    BatchGetPaperStates tells states. Papers are issued at candle 0, whatever the time: the deadline is the same for all.
+    A treasury is a group; each has balances of its own.
+    """
+    fee = fee_bps / 1e4
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        papers: dict[int, dict] = {}
+        record: dict[int, list[int]] = {}
+        left, reals, active, out = dict(balances), 0, set(), []
+        for r in pdf.sort_values("event_id", kind="stable").itertuples():
+            own = record.get(r.owner)
+            issued = amount = residue = states = None
+            if r.kind == "Tick":
+                if r.candle >= SERVICE_DEADLINE:
+                    for i in active:
+                        papers[i]["state"] = "Violence"
+                        record[papers[i]["owner"]][2] += 1
+                    active.clear()
+                continue
+            if r.kind == "SubmitPaper":
+                issued, amount = len(papers) + 1, NOTIONAL
+                papers[issued] = {"owner": r.owner, "units": NOTIONAL * (1 - fee) / r.price if r.price > 0 else 0.0, "state": "Active"}
+                active.add(issued)
+                record.setdefault(r.owner, [0, 0, 0])[0] += 1
+            elif r.kind == "SubmitReal":
+                settled = own[1] + own[2] if own else 0
+                if own and own[0] >= GATE_PAPERS and settled and own[1] / settled > GATE_RATE and left.get(r.asset, 0.0) > 0:
+                    amount = min(REAL_AMOUNT, left[r.asset])
+                    left[r.asset] -= amount
+                    reals += 1
+                    issued = reals
+            elif r.kind == "SubmitExit" and r.paper_id in active:
+                p = papers[r.paper_id]
+                gain = p["units"] * r.price - NOTIONAL - p["units"] * r.price * fee
+                if gain > 0:
+                    residue, p["state"] = gain, "Grace"
+                    active.discard(r.paper_id)
+                    record[p["owner"]][1] += 1
+            elif r.kind == "BatchGetPaperStates":
+                states = ",".join(f"{i}:{papers[i]['state'] if i in papers else 'None'}" for i in r.paper_ids)
+            out.append((r.treasury, r.event_id, r.owner, r.kind, issued, amount, residue, states))
+        return pd.DataFrame(out, columns=["treasury", "event_id", "owner", "kind", "issued", "amount", "residue", "states"]).astype({"issued": "Int64", "amount": "float64", "residue": "float64"})
+
+    return requests.groupBy("treasury").applyInPandas(run, RESPONSES)
+
 
-    worth = proposals.where(F.col("edge") >= venue_cost)
-    spent = F.sum("amount").over(Window.orderBy(F.desc("edge"), "id").rowsBetween(Window.unboundedPreceding, 0))
-    return worth.withColumn("reserved", spent).where(F.col("reserved") <= capital)
+def scaled_deadline(base: int, reference_atr: Column, current_atr: Column) -> Column:
+    """A deadline that is longer in calm and shorter in wild times; base until both ranges are known."""
+    known = (current_atr > 0) & (reference_atr > 0)
+    return F.when(known, F.floor(base * (reference_atr / F.when(known, current_atr)) + 0.5)).otherwise(F.lit(base)).cast("long")

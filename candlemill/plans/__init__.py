@@ -3,6 +3,6 @@
 
 def load() -> tuple[dict, dict]:
     """(name -> callable, name -> SQL)."""
-    from candlemill.plans import accounts, catalogue, facts, trades  # noqa: F401
+    from candlemill.plans import accounts, catalogue, facts, learned, trades  # noqa: F401
 
     return catalogue.QUERIES, catalogue.ORACLES

@@ -327,14 +327,6 @@ def gate_predicate(spark, d):
     return rounded(treasury.proposer_records(e.select(F.col("user_id").alias("owner"), state.alias("state"), F.col("value").alias("residue"))))
 
 
-@query("""with r as (select o_orderkey as id, o_totalprice / 1000000 as edge, o_totalprice as amount from orders where o_totalprice / 1000000 >= 0.0035),
-s as (select *, sum(amount) over (order by edge desc, id rows unbounded preceding) as reserved from r) select id, round(edge, 6) as edge, round(amount, 6) as amount, round(reserved, 3) as reserved from s where reserved <= 5000000""")
-def proposal_funding(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1_000_000).alias("edge"), F.col("o_totalprice").alias("amount"))
-    f = treasury.fund(o, 5_000_000.0, 0.0035)
-    return f.select("id", F.round("edge", 6).alias("edge"), F.round("amount", 6).alias("amount"), F.round("reserved", 3).alias("reserved"))
-
-
 # --- result analytics ----------------------------------------------------------------------------------------------
 
 
@@ -367,29 +359,6 @@ def ledger_join(spark, d):
     return o.join(table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_shipdate"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.count("*").alias("facts"), F.round(F.sum("l_extendedprice"), 4).alias("total"), F.max("l_shipdate").alias("shipped"))
 
 
-@query("""with s as (select stddev_pop(value) as s from events), b as (select k, k * s as lo, (k + 4) * s as hi from s, (select unnest(range(12)) as k))
-select k::int as k, count(*) as n, round(avg((event_type = 'purchase')::int), 6) as acc from b join events on value >= lo and value < hi group by 1 having count(*) >= 200""")
-def proven_bands(spark, d):
-    """A row's bands follow from its value: the range join is an explode."""
-    e = table(spark, d, "events")
-    s = e.agg(F.stddev_pop("value").alias("s")).first()["s"] or 1.0
-    at = F.floor(F.col("value") / s).cast("int")
-    rows = e.withColumn("k", F.explode(F.sequence(F.greatest(F.lit(0), at - 5), F.least(F.lit(11), at + 1))))
-    rows = rows.where((F.col("value") >= F.col("k") * F.lit(s)) & (F.col("value") < (F.col("k") + 4) * F.lit(s)))
-    return rows.groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg((F.col("event_type") == "purchase").cast("int")), 6).alias("acc")).where("n >= 200")
-
-
-@query("""with r as (select value, (event_type in ('purchase', 'view'))::int as ok, row_number() over (order by value, event_id) - 1 as i, count(*) over () as n from events),
-b as (select least(i // greatest(n // 20, 1), 19) as bin, value, ok from r), g as (select bin, avg(value) as x, avg(ok) as acc, count(*) as n from b group by 1)
-select bin::int as bin, n, round(x, 6) as x, round(acc, 6) as acc from g""")
-def conviction_curve(spark, d):
-    e = table(spark, d, "events")
-    n = e.count()
-    r = e.withColumn("i", F.row_number().over(Window.orderBy("value", "event_id")) - 1)
-    b = F.least(F.floor(F.col("i") / max(n // 20, 1)), F.lit(19)).cast("int")
-    return r.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("x"), F.round(F.avg(F.col("event_type").isin("purchase", "view").cast("int")), 6).alias("acc"))
-
-
 @query("""with t as (select l_orderkey as id, l_extendedprice as entry, l_extendedprice * (1 + l_tax - l_discount) as close from lineitem)
 select id, count(*) as n, round(sum((close / entry) * (1 - 0.0035) * (1 - 0.0035) - 1), 6) as pnl, round(sum((close > entry)::int) / (count(*) + 0.001), 6) as allocation from t where entry > 0 group by 1""")
 def trade_pnl(spark, d):
@@ -478,24 +447,6 @@ def soundness_gate(spark, d):
 
 # --- windows of facts, phases, learners ----------------------------------------------------------------------------
 
-@query("""with r as (select value, (event_type in ('purchase', 'view', 'click'))::int as ok, row_number() over (order by value, event_id) - 1 as i, count(*) over () as n from events),
-g as (select least(i // greatest(n // 20, 1), 19) as bin, avg(value) as x, avg(ok) as acc from r group by 1)
-select round(exp(regr_intercept(ln(acc - 0.5), x)), 6) as a, round(regr_slope(ln(acc - 0.5), x), 6) as b, count(*) as bins from g where acc > 0.5""")
-def curve_fit(spark, d):
-    e = table(spark, d, "events")
-    n = e.count()
-    r = e.withColumn("i", F.row_number().over(Window.orderBy("value", "event_id")) - 1)
-    b = F.least(F.floor(F.col("i") / max(n // 20, 1)), F.lit(19))
-    return rounded(learning.curve_fit(r.groupBy(b.alias("bin")).agg(F.avg("value").alias("x"), F.avg(F.col("event_type").isin("purchase", "view", "click").cast("int")).alias("acc"))))
-
-
-@query("with g as (select l_suppkey as broker, avg((l_returnflag = 'N')::int) as p, avg(l_extendedprice) / 30000 as odds, count(*) filter (l_returnflag = 'N') as graces, count(*) filter (l_returnflag <> 'N') as violences from lineitem group by 1) select broker, round(greatest(0, 0.5 * (p - (1 - p) / case when odds > 0 then odds end)), 6) as half_kelly, graces < 50 or violences < 50 or p > 0.5 as gate from g")
-def kelly_gate(spark, d):
-    n = F.col("l_returnflag") == "N"
-    g = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("broker")).agg(F.avg(n.cast("int")).alias("p"), (F.avg("l_extendedprice") / 30000).alias("odds"), F.count_if(n).alias("graces"), F.count_if(~n).alias("violences"))
-    return g.select("broker", F.round(learning.kelly(F.col("p"), F.col("odds"), 0.5), 6).alias("half_kelly"), learning.broker_gate(F.col("graces"), F.col("violences"), F.col("p")).alias("gate"))
-
-
 @query(f"""with {BY_TYPE}, g as (select *, case when close > open then 'Up' else 'Down' end as guess, lead(close, 6) over (partition by sym order by ts) as later from c),
 x as (select *, case when later is null or later = close then 'open' when (later > close) = (guess = 'Up') then 'right' else 'wrong' end as grade from g)
 select sym, guess, grade, count(*) as n from x group by 1, 2, 3""")
@@ -504,12 +455,6 @@ def grade_predictions(spark, d):
     return learning.grade_predictions(c, 6).groupBy("sym", "guess", "grade").agg(F.count("*").alias("n"))
 
 
-@query("select l_linenumber::int as epoch, count(*) as n, round(avg((l_discount > 0.04)::int), 6) as accuracy, avg((l_discount > 0.04)::int) >= 0.55 as open from lineitem group by 1")
-def engram_gate(spark, d):
-    x = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("epoch"), (F.col("l_discount") > 0.04).alias("correct"))
-    return learning.engram_gate(x, "epoch", "correct").withColumn("accuracy", F.round("accuracy", 6))
-
-
 @query(f"""with {SIGNS}, p as (select label, unnest(range(1, len(r) + 1)) as i, unnest(r) as x from e), s as (select label, i, sum(x) as x from p group by 1, 2), t as (select label, list(x order by i) as p from s group by 1),
 m as (select e.vec_id, t.label as guess, list_cosine_similarity(e.r, t.p) as c from e, t), k as (select *, row_number() over (partition by vec_id order by c desc) as place, lead(c) over (partition by vec_id order by c desc) as second from m)
 select vec_id, guess, round(c, 6) as cosine, round(c - second, 6) as margin from k where place = 1""")
@@ -520,28 +465,6 @@ def reckoner(spark, d):
     return rounded(out.select("vec_id", "guess", "cosine", "margin"))
 
 
-@query(f"""with {SIGNS}, q as (select r as q from e where vec_id = 0), w as (select greatest(list_cosine_similarity(r, q), 0) * (1 + vec_id % 3) as w, vec_id % 10 / 100.0 as dist from e, q where vec_id <> 0)
-select round(sum(w * dist) / sum(w), 6) as distance, count(*) filter (w > 0) as used from w""")
-def learned_stop(spark, d):
-    s = signs(spark, d)
-    q = F.array(*(F.lit(float(x)) for x in s.where("vec_id = 0").first()["r"]))
-    m = s.where("vec_id <> 0").select(F.col("r").alias("v"), (F.col("vec_id") % 10 / 100.0).alias("distance"), (1 + F.col("vec_id") % 3).cast("double").alias("weight"))
-    return rounded(learning.learned_stop(m, q, V.cosine))
-
-
-@query()
-def change_points(spark, d):
-    return rounded(learning.change_points(by_type(spark, d)))
-
-
-@query()
-def best_trailing_distance(spark, d):
-    ahead = F.collect_list("close").over(Window.partitionBy("sym").orderBy("ts").rowsBetween(1, 24))
-    e = by_type(spark, d).withColumn("path", ahead).where("close > 0").withColumn("path", F.filter("path", lambda x: x > 0))
-    e = e.select(F.concat_ws("/", "sym", F.col("ts").cast("string")).alias("id"), F.col("close").alias("entry"), F.when(F.minute("ts") % 2 == 0, "Up").otherwise("Down").alias("direction"), "path")
-    return rounded(simulator.best_distance(e))
-
-
 # --- provenance ----------------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlemill.functions import scalars, vectors
-from candlemill.operators import folds, indicators, simulator, treasury, vocabulary
+from candlemill.operators import folds, indicators, learning, phase_trades, simulator, treasury, vocabulary
 from candlemill.sources import candles
 from candlemill.streaming import live
 
@@ -95,24 +95,87 @@ def test_treasury_rules(spark):
     assert out.state.tolist() == ["Grace", "Violence", "Active"] and out.resolved_at.tolist()[:2] == [3, 290]
     gate = spark.createDataFrame([(50, 26, 24), (49, 49, 0), (60, 30, 30), (60, 0, 0)], "a long, b long, c long").select(treasury.gate_open(F.col("a"), F.col("b"), F.col("c")).alias("g"))
     assert [r.g for r in gate.collect()] == [True, False, False, False]
-    funded = treasury.fund(spark.createDataFrame([(1, 0.9, 50.0), (2, 0.8, 60.0), (3, 0.001, 1.0), (4, 0.7, 10.0)], "id long, edge double, amount double"), 120.0, 0.01)
-    assert {r.id for r in funded.collect()} == {1, 2, 4}
-
-
-def test_best_distance_by_hand(spark):
-    path = [101.0, 103.0, 100.0, 104.0, 90.0]
-    got = simulator.best_distance(spark.createDataFrame([(1, 100.0, "Up", path)], "id int, entry double, direction string, path array<double>")).first()
-
-    def net(d):
-        best = exit_ = 100.0
+    made = spark.createDataFrame([(1, "a", 0.9), (2, "a", 0.8), (3, "a", 0.001), (4, "b", 0.7), (5, "c", 0.5)], "id long, source string, edge double")
+    capital = spark.createDataFrame([("a", 120.0), ("b", 0.0)], "source string, amount double")
+    funded = {r.id: r for r in treasury.fund(made, capital, 0.01).collect()}
+    assert math.isclose(funded[1].amount, 120 / 1.02) and math.isclose(funded[2].amount, (120 - 120 / 1.02) / 1.02)
+    assert funded[3].reason == "edge below venue cost" and funded[4].reason == funded[5].reason == "insufficient capital"
+
+
+def test_service_by_hand(spark):
+    rows = [(1, e, 7, "SubmitPaper", 0, 100.0, "USDC", None, None) for e in range(60)]
+    rows += [(1, 60 + e, 8, "SubmitExit", 0, 120.0, "USDC", 1 + e, None) for e in range(40)]  # any owner may name a paper
+    rows += [(1, 100, 7, "SubmitReal", 0, 10.0, "USDC", None, None), (1, 101, 9, "SubmitReal", 0, 10.0, "USDC", None, None), (1, 102, 7, "SubmitReal", 0, 10.0, "USDC", None, None), (1, 103, 7, "SubmitReal", 0, 10.0, "ETH", None, None)]
+    rows += [(1, 104, 7, "SubmitExit", 0, 100.0, "USDC", 41, None), (1, 105, 7, "SubmitExit", 0, 200.0, "USDC", 1, None), (1, 106, 0, "Tick", 287, 1.0, "", None, None), (1, 107, 7, "BatchGetPaperStates", 0, 1.0, "", None, [1, 60, 61])]
+    rows += [(1, 108, 0, "Tick", 288, 1.0, "", None, None), (1, 109, 7, "BatchGetPaperStates", 0, 1.0, "", None, [1, 60, 61]), (1, 110, 7, "SubmitExit", 0, 200.0, "USDC", 60, None), (2, 111, 7, "SubmitReal", 0, 1.0, "USDC", None, None)]
+    df = spark.createDataFrame(rows, "treasury long, event_id long, owner long, kind string, candle long, price double, asset string, paper_id long, paper_ids array<long>")
+    got = {r.event_id: r for r in treasury.serve(df, {"USDC": 70.0}).collect()}
+    assert got[59].issued == 60 and got[59].amount == 10_000 and math.isclose(got[60].residue, 10_000 * 0.9965 / 100 * 120 * 0.9965 - 10_000)
+    assert (got[100].issued, got[100].amount) == (1, 50.0) and got[101].issued is None and (got[102].issued, got[102].amount) == (2, 20.0) and got[103].issued is None
+    assert got[104].residue is None and got[105].residue is None and got[107].states == "1:Grace,60:Active,61:None" and got[109].states == "1:Grace,60:Violence,61:None"
+    assert got[110].residue is None and got[111].issued is None and 106 not in got
+
+
+def test_best_distances_by_hand(spark):
+    path = [101.0, 103.0, 100.0, 104.0, 90.0, 97.0]
+    got = simulator.best_distances(spark.createDataFrame([(1, 100.0, "Up", path), (2, 100.0, "Up", [])], "id int, entry double, direction string, path array<double>")).collect()
+    assert len(got) == 1
+
+    def net(d, trailing):
+        level, best = 100.0 * (1 - d), 100.0
         for x in path:
-            best, exit_ = max(best, x), x
-            if x <= best * (1 - d):
+            if x <= level:
                 break
-        return exit_ / 100.0 - 1 - 0.007
-
-    want = max((net(i * 0.005), -i * 0.005) for i in range(1, 21))
-    assert math.isclose(got.distance, -want[1]) and math.isclose(got.net, want[0])
+            if trailing and x > best:
+                best, level = x, x * (1 - d)
+        g = x / 100.0 - 1
+        return g - 0.0035 - (1 + g) * 0.0035
+
+    for name, trailing in (("trail", True), ("stop", False)):
+        want = max((net(i * 0.005, trailing), -i * 0.005) for i in range(1, 21))
+        assert math.isclose(got[0][name], -want[1]) and math.isclose(got[0][f"{name}_net"], want[0])
+
+
+def test_flips_start_with_the_low_and_trade_both_ways(spark):
+    closes, atr = np.array([10.0, 9.0, 11.0, 14.0, 13.0, 10.0, 12.5]), np.array([0.0, 1, 1, 1, 1, 1, 1])
+    assert phase_trades.flips(closes, atr, 1.5) == [("rising", 1, 2, 11.0, 9.0), ("falling", 2, 5, 10.0, 14.0), ("rising", 5, 6, 12.5, 10.0)]
+    found = spark.createDataFrame([("a", 1.5, i, *x) for i, x in enumerate(phase_trades.flips(closes, atr, 1.5), 1)], phase_trades.FLIPS)
+    trades = [tuple(r) for r in phase_trades.flip_trades(found).orderBy("flip").select("direction", "entry", "exit", "held").collect()]
+    assert trades == [("short", 11.0, 10.0, 3), ("long", 10.0, 12.5, 1)]
+    nets = spark.createDataFrame([(x,) for x in (-0.5, -0.03, -0.01, 0.0, 0.01, 0.03)], "net double")
+    assert [r[0] for r in nets.select(phase_trades.bucket(F.col("net"))).collect()] == [0, 1, 2, 3, 4, 5]
+
+
+def test_change_points_of_flat_and_stepped_series():
+    assert all(learning.pelt(np.full(n, v)) == [] for n in (1, 2, 3, 50, 720) for v in (0.1, 1 / 3, 1000.1))
+    assert learning.pelt(np.r_[np.zeros(30), np.ones(30) * 5, np.zeros(30)]) == [30, 60]
+
+
+def test_rhythm_hears_changes(spark):
+    d, a = 1024, F.array(*(F.lit(float(x)) for x in (1, 4, 2, 8, 5, 7, 1)))
+    rhythm = lambda r, name="x": vectors.rhythm(a, 0, 10, r, d, name)
+    short = vectors.rhythm(F.array(F.lit(1.0), F.lit(2.0)), 0, 10, 5, d, "x")
+    r = spark.range(1).select(vectors.cosine(rhythm(1.0), rhythm(1.0)).alias("same"), vectors.cosine(rhythm(1.0), rhythm(20.0)).alias("ranges"), vectors.cosine(rhythm(5.0), rhythm(5.0, "y")).alias("names"), vectors.cosine(short, vectors.bind(vectors.atom(F.lit("x"), d), vectors.atom(F.lit("short-window-sentinel"), d))).alias("short")).first()
+    assert math.isclose(r["same"], 1.0) and r.ranges < 0.95 and abs(r.names) < 0.2 and math.isclose(r.short, 1.0)
+
+
+def test_phase_scalars_by_hand(spark):
+    rows = [("a", lab, s, s + 4, n, lo, hi, avg, 1.0, 1.0, 1.0) for lab, s, n, lo, hi, avg in (("Valley", 0, 4, 9.0, 10.0, 9.5), ("Transition", 4, 2, 10.0, 14.0, 12.0), ("Peak", 6, 8, 13.0, 15.0, 14.0), ("Valley", 14, 3, 8.0, 8.5, 8.2), ("Transition", 17, 3, 8.0, 8.0, 8.0))]
+    df = spark.createDataFrame(rows, "sym string, label string, start_candle long, end_candle long, duration long, close_min double, close_max double, close_avg double, close_open double, close_final double, volume_avg double")
+    got = [tuple(r) for r in vocabulary.phase_scalars(df).orderBy("start_candle").select("valley_trend", "peak_trend", "range_trend", "spacing_trend").collect()]
+    assert got == [(None, None, None, None), (None, None, 4.0, 0.5), (None, None, 0.5, 4.0), (-0.1368, None, 0.25, 0.38), (-0.1368, None, 0.0, 1.0)]
+
+
+def test_anomaly_matches_numpy(spark):
+    g = np.random.default_rng(2)
+    data = [(i, "ab"[i % 2], (g.standard_normal(6) * [5, 3, 1, 0.1, 0.1, 0.1]).tolist()) for i in range(80)]
+    got = {r.i: r.residual for r in learning.anomaly(spark.createDataFrame(data, "i int, c string, v array<double>").repartition(3), "c", "v", 2).collect()}
+    for c in "ab":
+        x = np.array([v for _, k, v in data if k == c])
+        ids = [i for i, k, _ in data if k == c]
+        _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+        rest = (x - x.mean(axis=0)) - (x - x.mean(axis=0)) @ axes[:2].T @ axes[:2]
+        assert np.allclose([got[i] for i in ids], np.linalg.norm(rest, axis=1), atol=1e-8)
 
 
 def test_two_proportion_z(spark):
