@@ -1,21 +1,24 @@
-"""License scan: sparse TF-IDF cosine of lines and licence files to templates, then inheritance along directories.
+"""License scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
-All in DataFrame operations. A line's tokens are compared with every template where they lie: a document needs no
-shuffle. Lines that share none of a template's anchor tokens can't reach the limit (the other tokens of a template weigh
-too little) and are passed over. A file named like a licence, or one that is nothing but a notice, licenses its
-directory. Files without a licence of their own take that of the nearest directory above them which has one: the
-distinct directories are joined with the licensed ones on each of their ancestors, and files with their directory.
+All in DataFrame operations. A text's units are its lines, their sentences, two and three lines in a row, and the whole
+text. The short ones are compared with notices, titles and identifiers, the whole text with the texts of licences, where
+they lie: a document needs no shuffle. Units that share none of a set's anchor tokens, and texts with too few of its
+rarer ones, can't reach the limit (the other tokens of a template weigh too little) and are passed over. A file named like a licence, or one that is nothing but a
+notice or a licence's text, licenses its directory. Files without a licence of their own take that of the nearest
+directory above them which has one: the distinct directories are joined with the licensed ones on each of their
+ancestors, and files with their directory.
 
 Contract for odd input: a null or empty text has no licence of its own; a null path has no directory and inherits
-nothing. Of equal similarities the template that comes first by name wins, then the earlier line; of several licence
-files in a directory the most similar, then the first licence by name. Repeated rows get a row each. Whole texts are
-read, whatever their length.
+nothing. Of equal similarities the licence that comes first by name wins, then the whole text, then the earlier line, then
+the longer unit; of several licence files in a directory the most similar, then the first licence by name. Repeated rows
+get a row each. Whole texts are read, whatever their length. Other columns may have any names but those returned.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,38 +26,136 @@ from pyspark.sql import functions as F
 from candlemill.llm.common import stage_table
 
 LIMIT, SALTS = 0.7, 32
-#: Usual notices of common licences.
-TEMPLATES = {
-    "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-2-Clause": "Licensed under the BSD 2-Clause License",
-    "BSD-3-Clause": "Licensed under the BSD 3-Clause License",
-    "CC-BY-4.0": "Licensed under CC BY 4.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "CC0-1.0": "Licensed under CC0 1.0",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "ISC": "Released under the ISC License",
-    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0",
-    "Unlicense": "Released under the Unlicense",
-}
+#: Identifiers of common licences, their usual notices and titles, and the texts of the short ones and usual headers.
+IDENTIFIERS = ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
+NOTICES = [
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC0-1.0", "Licensed under CC0 1.0"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "Released under the ISC License"),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", "Released under the MIT License"),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "Released under the Unlicense"),
+    *((x, f"SPDX-License-Identifier: {x}") for x in IDENTIFIERS),
+]
+TEXTS = [
+    ("AGPL-3.0", (
+        'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the '
+        'Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will '
+        'be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero '
+        'General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program.'
+    )),
+    ("Apache-2.0", (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy '
+        'of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the '
+        'License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific '
+        'language governing permissions and limitations under the License.'
+    )),
+    ("BSD-2-Clause", (
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. '
+        'Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in '
+        'binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other '
+        'materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+        'WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT '
+        'SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, '
+        'BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY '
+        'THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS '
+        'SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+    )),
+    ("BSD-3-Clause", (
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. '
+        'Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in '
+        'binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other '
+        'materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or '
+        'promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND '
+        'CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A '
+        'PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, '
+        'EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR '
+        'BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR '
+        'OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+    )),
+    ("GPL-2.0", (
+        'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free '
+        'Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be '
+        'useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public '
+        'License for more details. You should have received a copy of the GNU General Public License along with this program.'
+    )),
+    ("GPL-3.0", (
+        'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free '
+        'Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be '
+        'useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public '
+        'License for more details. You should have received a copy of the GNU General Public License along with this program.'
+    )),
+    ("ISC", (
+        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above '
+        'copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD '
+        'TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, '
+        'INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE '
+        'OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+    )),
+    ("LGPL-3.0", (
+        'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the '
+        'Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will '
+        'be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser '
+        'General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program.'
+    )),
+    ("MIT", (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to '
+        'deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or '
+        'sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above '
+        'copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", '
+        'WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND '
+        'NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF '
+        'CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+    )),
+    ("MPL-2.0", (
+        'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can '
+        'obtain one at http://mozilla.org/MPL/2.0/.'
+    )),
+    ("Unlicense", (
+        'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute '
+        'this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions '
+        'that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We '
+        'make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt '
+        'act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT '
+        'WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND '
+        'NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR '
+        'OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+    )),
+]
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 
 
 #: Words that make poor anchors, as most texts hold them.
-_FREQUENT = frozenset("and by free into is of public terms the this to under version work".split())
+_FREQUENT = frozenset("a above all and any are as at be but by copy file following for free from if in into is it its may must name no not of on one or other out public shall terms that the this to under use version was we will with without work you".split())
 
 
 class Weights:
-    """TF-IDF of the templates, computed once on the driver from the few templates."""
+    """TF-IDF of a set of templates (licence, text), computed once on the driver from the few templates."""
 
-    def __init__(self, templates: dict[str, str], limit: float):
-        self.names = sorted(templates)
-        bags = [re.findall(TOKEN, templates[n].lower()) for n in self.names]
+    def __init__(self, templates: list[tuple[str, str]], limit: float):
+        templates = sorted(templates)
+        self.names = [n for n, _ in templates]
+        bags = [re.findall(TOKEN, x.lower()) for _, x in templates]
         tokens = sorted({t for b in bags for t in b})
         self.idf = {t: math.log((1 + len(bags)) / (1 + sum(t in b for b in bags))) + 1.0 for t in tokens}
         self.unknown = math.log(1 + len(bags)) + 1.0
@@ -66,13 +167,28 @@ class Weights:
         for i in range(len(self.names)):
             left = sorted((self.unit[t][i], t) for t in set(bags[i]) - anchors)
             while left and math.sqrt(sum(w * w for w, _ in left)) >= limit:
-                at = max(range(len(left)), key=lambda k: (left[k][1] not in _FREQUENT, left[k][0]))
+                at = max(range(len(left)), key=lambda k: (left[k][1] not in _FREQUENT, len(left[k][1]) > 3, left[k][0]))
                 anchors.add(left.pop(at)[1])
         self.anchors = sorted(anchors)
+        any_of = lambda words: r"(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in words) + r")(?![a-z0-9])"
+        self.pattern = "(?i)" + any_of(self.anchors)
+        # A cosine is at most the root of the shared tokens' squared weights in the template. So a unit needs at least so many
+        # different ones of the rarer tokens, even if it has all others.
+        rare = [t for t in tokens if t not in _FREQUENT and len(t) > 3]
+        self.rare_pattern, counts = any_of(rare), []
+        for i in range(len(self.names)):
+            squares = {t: self.unit[t][i] ** 2 for t in set(bags[i])}
+            need, k = limit * limit - sum(w for t, w in squares.items() if t not in set(rare)), 0
+            for w in sorted((w for t, w in squares.items() if t in set(rare)), reverse=True):
+                if need <= 0:
+                    break
+                need, k = need - w, k + 1
+            counts.append(k)
+        self.least_rare = min(counts)
 
 
 def _hits(lines: Column, w: Weights) -> Column:
-    """For each line (text, at): struct(best: struct(similarity, order), back, notice); order is smaller for later names.
+    """For each unit (text, at): struct(best: struct(similarity, order), back, notice); order is smaller for later templates.
 
     Each step fills an array that the next one reads, so that nothing is worked out twice. A line's tokens are walked
     once in sorted order: at the end of a run its weight enters the norm and the products with all templates.
@@ -106,25 +222,50 @@ def _hits(lines: Column, w: Weights) -> Column:
     )
 
 
-def scan(files: DataFrame, *, templates: dict[str, str] | None = None, limit: float = LIMIT, licence_file: str = LICENCE_FILE) -> DataFrame:
+BLANK = r"[\x20\x09-\x0D]"
+
+
+def _short_units(text: Column) -> Column:
+    """Lines, where they hold several sentences these, and two and three lines in a row: (text, at)."""
+    lines = F.split(text, "\n")
+    unit = lambda x, at: F.struct(x.alias("text"), at.alias("at"))
+    rows = lambda n: F.filter(F.transform(lines, lambda x, i: unit(F.array_join(F.slice(lines, i + 1, F.lit(n)), " "), i)), lambda u: u["at"] <= F.size(lines) - n)
+    pieces = F.flatten(F.transform(lines, lambda x, i: F.when(x.rlike(r"[.;!?]\s+\S"), F.transform(F.split(x, r"[.;!?]\s+"), lambda p: unit(p, i))).otherwise(F.array())))
+    return F.concat(F.transform(lines, unit), rows(2), rows(3), pieces)
+
+
+def scan(files: DataFrame, *, notices: list[tuple[str, str]] | None = None, texts: list[tuple[str, str]] | None = None, limit: float = LIMIT, licence_file: str = LICENCE_FILE) -> DataFrame:
     """files (path, text and any others but the names returned): the columns but text, and license, similarity, origin
-    ('header', 'file', 'inherited' or null), line (its number from 1, for headers), notice (the line) and from_dir."""
-    w = Weights(templates or TEMPLATES, limit)
-    anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in w.anchors) + r")(?![a-z0-9])"
-    keep = [c for c in files.columns if c not in ("text", "license", "similarity", "origin", "line", "notice", "from_dir")]
-    lines = F.filter(F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x, i: F.struct(x.alias("text"), i.alias("at"))), lambda x: x["text"].rlike(anchor))
-    hits = _hits(lines, w)
-    names = F.array(*(F.lit(n) for n in w.names))
+    ('header', 'file', 'inherited' or null), line (its number from 1, for headers; null for whole texts), notice (the unit) and from_dir."""
+    sets = [Weights(notices or NOTICES, limit), Weights(texts or TEXTS, limit)]
+    returned = ("license", "similarity", "origin", "line", "notice", "from_dir")
+    mark = uuid.uuid4().hex[:12]  # of columns that clash with none
+    keep = [c for c in files.columns if c != "text" and c not in returned]
+    columns = {c: f"c{i}_{mark}" for i, c in enumerate(keep)}
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    all_names = sorted({n for w in sets for n in w.names})
+    # Units first hold an anchor; of a text without any none is made.
+    short = F.when(text.rlike(sets[0].pattern), F.filter(_short_units(text), lambda u: u["text"].rlike(sets[0].pattern))).otherwise(F.array().cast("array<struct<text:string,at:int>>"))
+    rare = F.size(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(sets[1].rare_pattern), F.lit(0))))
+    whole = F.when(rare >= sets[1].least_rare, F.array(F.struct(text.alias("text"), F.lit(-1).alias("at")))).otherwise(F.array().cast("array<struct<text:string,at:int>>"))
+
+    def hits(units: Column, w: Weights) -> Column:
+        places = F.array(*(F.lit(-all_names.index(n)) for n in w.names))
+        return F.transform(_hits(units, w), lambda h: F.struct(F.round(h["best"]["similarity"], 9).alias("similarity"), F.element_at(places, 1 - h["best"]["order"]).alias("order"), h["back"].alias("back"), F.length(h["notice"]).alias("length"), h["notice"].alias("notice")))
+
+    names = F.array(*(F.lit(n) for n in all_names))
     base = F.regexp_extract(F.col("path"), r"([^/]*)$", 1)
     directory = F.when(F.col("path").isNotNull(), F.regexp_replace(F.col("path"), r"/?[^/]*$", ""))
-    found = files.select(*(F.col(f"`{c}`") for c in keep), directory.alias("__dir"), base.alias("__base"), F.length(F.trim(F.col("text").cast("string"))).alias("__n"), F.array_max(hits).alias("__hit"))
+    best = F.array_max(F.concat(hits(short, sets[0]), hits(whole, sets[1])))
+    trimmed = lambda c: F.length(F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", ""))
+    found = files.select(*(F.col(f"`{c}`").alias(n) for c, n in columns.items()), directory.alias("__dir"), base.alias("__base"), trimmed(text).alias("__n"), best.alias("__hit"))
     found = stage_table(found, "license-hits")  # small rows; the texts are read once
-    hit = F.col("__hit.best.similarity") >= limit
+    hit = F.col("__hit.similarity") >= limit
     own = found.select(
-        *(F.col(f"`{c}`") for c in keep), "__dir",
-        F.when(hit, F.element_at(names, 1 - F.col("__hit.best.order"))).alias("__license"), F.when(hit, F.col("__hit.best.similarity")).alias("__similarity"),
-        F.when(hit, 1 - F.col("__hit.back")).alias("line"), F.when(hit, F.col("__hit.notice")).alias("notice"),
-        (hit & (F.col("__base").rlike(licence_file) | (F.length(F.trim("__hit.notice")) == F.col("__n")))).alias("__grants"),
+        *columns.values(), "__dir",
+        F.when(hit, F.element_at(names, 1 - F.col("__hit.order"))).alias("__license"), F.when(hit, F.col("__hit.similarity")).alias("__similarity"),
+        F.when(hit & (F.col("__hit.back") <= 0), 1 - F.col("__hit.back")).alias("__line"), F.when(hit, F.col("__hit.notice")).alias("__notice"),
+        (hit & (F.col("__base").rlike(licence_file) | (trimmed(F.col("__hit.notice")) == F.col("__n")))).alias("__grants"),
     )
     granted = own.where("__grants and __dir is not null").groupBy(F.col("__dir").alias("g_dir")).agg(F.max(F.struct("__similarity", "__license")).alias("t"), F.min(F.struct((-F.col("__similarity")).alias("s"), "__license")).alias("g")).select("g_dir", F.col("g.__license").alias("g_license"), F.col("t.__similarity").alias("g_similarity"))
     needy = own.where("__license is null and __dir is not null").select("__dir").distinct()
@@ -137,6 +278,6 @@ def scan(files: DataFrame, *, templates: dict[str, str] | None = None, limit: fl
     out = salted.join(spread, (F.col("__dir") == F.col("i_dir")) & (F.col("__salt") == F.col("i_salt")) & F.col("__license").isNull(), "left")
     origin = F.when(F.col("__license").isNotNull(), F.when(F.col("__grants"), F.lit("file")).otherwise(F.lit("header"))).when(F.col("i.g_license").isNotNull(), F.lit("inherited"))
     return out.select(
-        *(F.col(f"`{c}`") for c in keep), F.coalesce("__license", "i.g_license").alias("license"), F.coalesce("__similarity", "i.g_similarity").alias("similarity"),
-        origin.alias("origin"), "line", "notice", F.col("i.g_dir").alias("from_dir"),
+        *(F.col(n).alias(c) for c, n in columns.items()), F.coalesce("__license", "i.g_license").alias("license"), F.coalesce("__similarity", "i.g_similarity").alias("similarity"),
+        origin.alias("origin"), F.col("__line").alias("line"), F.col("__notice").alias("notice"), F.col("i.g_dir").alias("from_dir"),
     )

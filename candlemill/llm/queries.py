@@ -83,28 +83,32 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def license_sql() -> str:
-    """The scan as SQL: the templates' weights are constants in it."""
-    w = licenses.Weights(licenses.TEMPLATES, licenses.LIMIT)
+    """The scan as SQL, weights included: only the templates' texts come from the operator. A directory inherits from itself or,
+    as its names have three parts, from one of the two above it."""
     quote = lambda t: "'" + t.replace("'", "''") + "'"
-    idf = ", ".join(f"({quote(t)}, {x!r}::double)" for t, x in w.idf.items())
-    unit = ", ".join(f"({quote(t)}, {i}, {x!r}::double)" for t, row in w.unit.items() for i, x in enumerate(row) if x)
-    names = ", ".join(map(quote, w.names))
+    rows = ", ".join(f"({k}, {quote(n)}, {quote(x)})" for k, part in enumerate((licenses.NOTICES, licenses.TEXTS)) for n, x in part)
+    blank = r"[\x20\x09-\x0D]"
+    trimmed = lambda x: f"length(regexp_replace({x}, '^{blank}+|{blank}+$', '', 'g'))"
     return f"""
-        with idf(token, idf) as (values {idf}), unit(token, i, u) as (values {unit}),
-        l as (select doc_id, text, coalesce(source, '-') || '/' || coalesce(lang, '-') as dir, string_split(text, chr(10)) as lines from documents),
-        x as (select doc_id, unnest(range(1, len(lines) + 1)) as line, unnest(lines) as notice from l),
-        t as (select doc_id, line, unnest(regexp_extract_all(lower(notice), '{licenses.TOKEN}')) as token from x),
-        f as (select doc_id, line, token, (1 + ln(count(*))) * coalesce(any_value(idf), {w.unknown!r}::double) as w from t left join idf using (token) group by 1, 2, 3),
-        n as (select doc_id, line, sqrt(sum(w * w)) as norm from f group by 1, 2),
-        s as (select doc_id, line, i, round(sum(w * u) / any_value(norm), 9) as sim from f join unit using (token) join n using (doc_id, line) group by 1, 2, 3),
-        b as (select *, row_number() over (partition by doc_id order by sim desc, i, line) as r from s),
-        o as (select l.doc_id, l.dir, l.text, x.notice, b.line, b.sim, [{names}][b.i + 1] as license from l left join b on l.doc_id = b.doc_id and b.r = 1 and b.sim >= {licenses.LIMIT} left join x on x.doc_id = b.doc_id and x.line = b.line),
-        p as (select *, license is not null and length(trim(notice, ' ')) = length(trim(text, ' ')) as grants from o),
-        g as (select dir, max(sim) as sim, arg_min(license, (-sim, license)) as license from p where grants group by 1)
-        select p.doc_id, p.dir || '/' || p.doc_id as path, coalesce(p.license, g.license) as license, round(coalesce(p.sim, g.sim), 6) as similarity,
-               case when p.license is not null then case when grants then 'file' else 'header' end when g.license is not null then 'inherited' end as origin,
-               p.line::int as line, case when p.license is null and g.license is not null then g.dir end as from_dir
-        from p left join g on p.dir = g.dir and p.license is null"""
+        with t as (select k, license, text, row_number() over (partition by k order by license, text) as i from (values {rows}) v(k, license, text)),
+        tt as (select k, i, unnest(regexp_extract_all(lower(text), '{licenses.TOKEN}')) as token from t), tf as (select k, i, token, count(*) as n from tt group by 1, 2, 3),
+        sz as (select k, count(*) as n from t group by 1), idf as (select tf.k, token, ln((1 + any_value(sz.n)) / (1 + count(*))) + 1 as w from tf join sz using (k) group by 1, 2),
+        tw as (select tf.k, i, token, (1 + ln(n)) * w as w from tf join idf using (k, token)), tn as (select k, i, sqrt(sum(w * w)) as norm from tw group by 1, 2), u as materialized (select k, i, token, w / norm as u from tw join tn using (k, i)),
+        d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, coalesce(source, '-') as source, coalesce(lang, '-') as lang, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+        l1 as (select r, lines, unnest(range(1, len(lines) + 1)) as pos, unnest(lines) as x from d),
+        un as materialized (select r, 0 as k, pos, x from l1 union all select r, 0, pos, x || ' ' || lines[pos + 1] from l1 where pos < len(lines) union all select r, 0, pos, x || ' ' || lines[pos + 1] || ' ' || lines[pos + 2] from l1 where pos < len(lines) - 1
+            union all select r, 0, pos, unnest(regexp_split_to_array(x, '[.;!?]\\s+')) from l1 where regexp_matches(x, '[.;!?]\\s+\\S') union all select r, 1, 0, text from d),
+        ui as materialized (select *, row_number() over () as id from un), ut as (select id, k, unnest(regexp_extract_all(lower(x), '{licenses.TOKEN}')) as token from ui), uf as (select id, k, token, 1 + ln(count(*)) as f from ut group by 1, 2, 3),
+        uw as materialized (select uf.id, uf.k, uf.token, f * coalesce(idf.w, ln(1 + sz.n) + 1) as w from uf join sz using (k) left join idf on idf.k = uf.k and idf.token = uf.token),
+        nm as (select id, sqrt(sum(w * w)) as norm from uw group by 1), sc as (select uw.id, u.i, u.k, sum(uw.w * u.u) as dot from uw join u on u.k = uw.k and u.token = uw.token group by 1, 2, 3),
+        bt as (select id, k, i, round(dot / norm, 9) as sim from sc join nm using (id)), bu as (select *, row_number() over (partition by id order by sim desc, i) as p from bt),
+        sm as (select ui.r, ui.pos, ui.x, ui.k, bu.sim, t.license, row_number() over (partition by ui.r order by bu.sim desc, t.license, ui.pos, length(ui.x) desc, ui.x desc) as p from bu join ui using (id) join t on t.k = bu.k and t.i = bu.i where bu.p = 1 and bu.sim >= {licenses.LIMIT}),
+        o as (select d.*, sm.license, sm.sim, sm.pos, sm.license is not null and {trimmed("sm.x")} = {trimmed("d.text")} as grants from d left join sm on sm.r = d.r and sm.p = 1),
+        g as (select source || '/' || lang as dir, max(sim) as sim, arg_min(license, (-sim, license)) as license from o where grants group by 1)
+        select o.doc_id, o.source || '/' || o.lang || '/' || coalesce(o.doc_id::varchar, '-') as path, coalesce(o.license, g.license) as license, round(coalesce(o.sim, g.sim), 6) as similarity,
+               case when o.license is not null then case when grants then 'file' else 'header' end when g.license is not null then 'inherited' end as origin,
+               case when o.pos > 0 then o.pos end::int as line, case when o.license is null and g.license is not null then g.dir end as from_dir
+        from o left join g on g.dir = o.source || '/' || o.lang and o.license is null"""
 
 
 QUERIES = {
