@@ -108,13 +108,13 @@ hw as (select *, list_position(list_transform(range(1, len(p) + 1), lambda k: p[
 g as (select sym, ts, dist, (case when coalesce(ft, 0) > 0 then p[ft] else p[len(p)] end) / e - 1 as gt, (case when coalesce(fs, 0) > 0 then p[fs] else p[len(p)] end) / e - 1 as gs from hw),
 v as (select *, gt - 0.0035 - (1 + gt) * 0.0035 as nt, gs - 0.0035 - (1 + gs) * 0.0035 as ns from g),
 k as (select *, row_number() over (partition by sym, ts order by nt desc, dist) as rt, row_number() over (partition by sym, ts order by ns desc, dist) as rs from v)
-select sym || '/' || strftime(ts, '%Y-%m-%d %H:%M:%S') as id, round(max(dist) filter (rt = 1), 6) as trail, round(max(nt), 2) as trail_net, round(max(dist) filter (rs = 1), 6) as stop, round(max(ns), 2) as stop_net from k group by sym, ts""")
+select sym || '/' || strftime(ts, '%Y-%m-%d %H:%M:%S') as id, round(max(dist) filter (rt = 1), 6) as trail, round(max(nt) + 1e-9, 4) as trail_net, round(max(dist) filter (rs = 1), 6) as stop, round(max(ns) + 1e-9, 4) as stop_net from k group by sym, ts""")
 def best_distances(spark, d):
     ahead = F.collect_list("close").over(Window.partitionBy("sym").orderBy("ts").rowsBetween(1, 24))
     e = by_type(spark, d).withColumn("path", ahead).where("close > 0").withColumn("path", F.filter("path", lambda x: x > 0))
     e = e.select(F.concat_ws("/", "sym", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("id"), F.col("close").alias("entry"), F.when((F.minute("ts") % 2 == 0) & (F.hour("ts") % 2 == 0), "Up").otherwise("Down").alias("direction"), "path")
     b = simulator.best_distances(e)
-    return rounded(b.withColumns({c: F.round(c, 2) for c in ("trail_net", "stop_net")}))
+    return rounded(b.withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in ("trail_net", "stop_net")}))
 
 
 @query(_SIMULATED + """, tg as (select s.sym, s.thinker, s.i, s.close, s.label, s.generation <> lag(s.generation) over (partition by s.sym, s.thinker order by s.i) as turned from sig s)

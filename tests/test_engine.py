@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlemill.functions import scalars, vectors
-from candlemill.operators import folds, indicators, learning, phase_trades, simulator, treasury, vocabulary
-from candlemill.sources import candles
+from candlemill.operators import batch, folds, indicators, learning, phase_trades, simulator, treasury, vocabulary
+from candlemill.sources import candles, sinks
 from candlemill.streaming import live
 
 START = pd.Timestamp("2024-01-01")
@@ -178,6 +178,39 @@ def test_anomaly_matches_numpy(spark):
         assert np.allclose([got[i] for i in ids], np.linalg.norm(rest, axis=1), atol=1e-8)
 
 
+def test_segment_divergences_by_hand(spark):
+    up = [10.0 * 1.05**k for k in range(15)]
+    wave = up + up[::-1] + [x * 1.2 for x in up] + [x * 1.2 for x in up[::-1]]
+    rsi = [80.0] * 30 + [60.0] * 30  # the second peak is higher, its strength is not
+    df = spark.createDataFrame([("a", (START + pd.Timedelta(hours=i)).to_pydatetime(), float(c), r) for i, (c, r) in enumerate(zip(wave, rsi, strict=True))], "sym string, ts timestamp, close double, rsi double")
+    logs = np.log(wave)
+    cuts = [0, *learning.pelt(logs), len(logs)]
+    ways = [np.sign(logs[b - 1] - logs[a]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    peaks = [cuts[i + 1] - 1 for i in range(len(ways) - 1) if ways[i] == 1 and ways[i + 1] == -1]
+    want = sum(wave[b] > wave[a] and rsi[b] < rsi[a] for a, b in zip(peaks, peaks[1:], strict=False))
+    got = batch.segment_divergences(df).collect()
+    assert sum(r.kind == "bearish" for r in got) == want
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    rows = [(i, 10.0 + i, "Peak", "Up", 3, 2, 1, "extra") for i in range(5)]
+    df = spark.createDataFrame(rows, "candle int, close double, phase_label string, phase_direction string, phase_duration long, phase_count long, phase_history_len long, more string")
+    sinks.append(df, str(tmp_path), "phase_snapshots", "one")
+    sinks.append(df.limit(2), str(tmp_path), "phase_snapshots", "two")
+    back = spark.read.parquet(f"{tmp_path}/phase_snapshots")
+    assert back.where("run_name = 'one'").count() == 5 and back.count() == 7 and "more" not in back.columns and dict(back.dtypes)["candle"] == "bigint"
+    with pytest.raises(ValueError, match="lens"):
+        sinks.append(df, str(tmp_path), "regime_observer_snapshots", "one")
+    df.drop("more").write.parquet(f"{tmp_path}/in")
+    q = sinks.append_stream(spark.readStream.schema(df.drop("more").schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/s", "phase_snapshots", "live", f"{tmp_path}/cp", "0 seconds")
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.parquet(f"{tmp_path}/s/phase_snapshots").count() == 5
+    for name in sinks.TABLES:
+        empty = spark.createDataFrame([], ", ".join(f"{n} {t.replace(';', ',')}" for n, t in sinks._fields(sinks.TABLES[name])))
+        assert sinks.conform(empty, name).columns == empty.columns
+
+
 def test_two_proportion_z(spark):
     r = simulator.two_proportion_z(spark.createDataFrame([(69, 354, 1, 340)], "a int, n int, b int, m int"), "a", "n", "b", "m").first()
     p = 70 / 694
