@@ -152,7 +152,7 @@ def from_hex(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text), F.lit(2)), lambda i: F.substring(text, i, F.lit(2)).cast("double") - 1)
 
 
-def rhythm(values: Column, lo: float, hi: float, delta: float, d: int, name: str = "rhythm") -> Column:
+def rhythm(values: Column, lo: Column | float, hi: Column | float, delta: Column | float, d: int, name: Column | str = "rhythm") -> Column:
     """Values as thermometers, each bundled with its change (a thermometer bound to the atom of changes, with equal weight: where
     they differ the sum is 0; the first has none); bound to trigrams, trigrams to pairs, the last pairs bundled, bound to the
     name's atom. Below four values it is the name bound to a sentinel.
@@ -162,19 +162,43 @@ def rhythm(values: Column, lo: float, hi: float, delta: float, d: int, name: str
     budget = capacity(d)
 
     @pandas_udf("array<double>")
-    def encode(lists: pd.Series, change_atom: pd.Series, sentinel: pd.Series) -> pd.Series:
+    def encode(lists: pd.Series, low: pd.Series, high: pd.Series, most: pd.Series, change_atom: pd.Series, sentinel: pd.Series) -> pd.Series:
         place = np.arange(1, d + 1)
         gauge = lambda v, a, b: np.where(place <= np.floor(np.clip((v - a) / (b - a), 0, 1)[:, None] * d + 0.5), 1.0, -1.0)
         out = []
-        for values, change, short in zip(lists, change_atom, sentinel, strict=True):
+        for values, a, b, m, change, short in zip(lists, low, high, most, change_atom, sentinel, strict=True):
             if values is None or len(values) < 4:
                 out.append(list(short))
                 continue
             x = np.asarray(values, float)[-(budget + 3) :]
-            facts = gauge(x, lo, hi)
-            facts[1:] = np.sign(facts[1:] + gauge(np.diff(x), -delta, delta) * np.asarray(change, float))
+            facts = gauge(x, a, b)
+            facts[1:] = np.sign(facts[1:] + gauge(np.diff(x), -m, m) * np.asarray(change, float))
             three = facts[:-2] * np.roll(facts[1:-1], 1, axis=1) * np.roll(facts[2:], 2, axis=1)
             out.append(np.sign((three[:-1] * three[1:])[-budget:].sum(axis=0)).tolist())
         return pd.Series(out, dtype=object)
 
-    return bind(encode(values, atom(F.lit("delta"), d), atom(F.lit("short-window-sentinel"), d)), atom(F.lit(name), d))
+    number = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    label = name if isinstance(name, Column) else F.lit(name)
+    return bind(encode(values, number(lo), number(hi), number(delta), atom(F.lit("delta"), d), atom(F.lit("short-window-sentinel"), d)), atom(label, d))
+
+
+def map_bundle(keys: Column, values: Column) -> Column:
+    """Arrays of key and of value vectors as one vector: the bundle of each key bound to its value."""
+    return bundle(F.zip_with(keys, values, bind))
+
+
+def map_get(bundled: Column, key: Column) -> Column:
+    """What a map holds under key, with the noise of its other entries: compare it with candidates."""
+    return bind(bundled, key)
+
+
+def list_bundle(values: Column, d: int) -> Column:
+    """A map whose keys are the places, as integers."""
+    return map_bundle(F.transform(values, lambda v, i: atom(i, d, "i")), values)
+
+
+def nearest(v: Column, names: Column, candidates: Column) -> Column:
+    """struct(name, cosine) of the candidate most like v, the first of equal ones."""
+    scored = F.zip_with(names, candidates, lambda n, c: F.struct((-cosine(v, c)).alias("s"), n.alias("name")))
+    best = F.array_min(scored)
+    return F.struct(best["name"].alias("name"), (-best["s"]).alias("cosine"))

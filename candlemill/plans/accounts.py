@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from candlemill.operators import folds, papers, portfolio, vocabulary
+from candlemill.functions import vectors as V
+from candlemill.operators import folds, papers, portfolio, rhythms, vocabulary
 from candlemill.plans.catalogue import BY_TYPE, by_type, query, rounded
 
 HORIZON, EVERY, TRAIL, STOP, ATR = 48, 24, 0.05, 0.3, 0.02
@@ -175,3 +176,20 @@ def position_fractions(spark, d):
 def table_of(spark, d):
     t = spark.read.parquet(f"{d}/lineitem.parquet")
     return t.select("l_orderkey", "l_linenumber", F.get(F.array(F.lit("Observe"), F.lit("Tentative"), F.lit("Confident")), (F.col("l_linenumber") % 3).cast("int")).alias("phase"), (0.45 + 2 * F.col("l_tax")).alias("accuracy"), (F.col("l_quantity") / 50.0).alias("conviction"), F.lit(0.1).alias("least"), F.when(F.col("l_returnflag") == "R", 0.0).otherwise(0.3).alias("flip"))
+
+
+@query(_TRAIL + f""", lv as (select *, pos - paper as age, case when direction = 'Up' then 1 else -1 end * (price - entry) / entry as gain from w where not ended), fn as (select sym, pos, count(*) as done, sum(grace::int) as ok from w where ended group by 1, 2),
+cm as (select n.sym, n.pos, coalesce(sum(done) over h, 0) as done, coalesce(sum(ok) over h, 0) as ok from n left join fn using (sym, pos) window h as (partition by n.sym order by n.pos))
+select sym, pos as at, round(avg(age), 6) as avg_age, round(avg(age / {HORIZON}), 6) as avg_tp, round(avg(gain), 6) + 0 as avg_unrealized, round(any_value(case when done > 0 then ok / done else 0 end), 6) as grace_rate, count(*) as active from lv join cm using (sym, pos) group by 1, 2""")
+def portfolio_snapshots(spark, d):
+    return rounded(snapshots(spark, d))
+
+
+def snapshots(spark, d):
+    return rhythms.snapshots(papers.trailing(walked(spark, d)), numbered(spark, d).select("sym", "at"), HORIZON)
+
+
+@query()
+def portfolio_rhythms(spark, d):
+    r = rhythms.portfolio_rhythms(snapshots(spark, d), 256)
+    return r.select("sym", "at", "name", F.sha2(V.to_hex(F.col("rhythm")), 256).alias("rhythm"))

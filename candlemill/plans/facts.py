@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from candlemill.operators import folds, indicators, simulator, vocabulary
+from candlemill.functions import vectors as V
+from candlemill.operators import folds, indicators, rhythms, vocabulary
 from candlemill.plans.catalogue import NUMBERED, ORACLES, RAW, by_type, div, over, query, recursive, rounded
 
 _W = "(13.0/14)", "(1.0/14)"
@@ -236,3 +237,22 @@ select sym, ts, 'phase-current' as module, name, 'scaled' as kind, round(case wh
 union all select sym, ts, 'phase-current', 'phase-' || lower(label) || case when label = 'Transition' then '-' || lower(direction) else '' end, 'atom', 1.0::double, 0.0::double, 0.0::double from pl""")
 def facts_phase_current(spark, d):
     return rounded(vocabulary.phase_current(folds.phases(folds.fold(by_type(spark, d)))))
+
+
+# --- rhythms -------------------------------------------------------------------------------------------------------
+
+_SPECS = "momentum 7, oscillators 9, flow 3, persistence 3, regime 8, keltner 4, timeframe 3, divergence 2, price-action 4, fibonacci 3".split(", ")
+
+
+@query(f"""with m(module, n) as (values {', '.join(f"('{x.split()[0]}', {x.split()[1]})" for x in _SPECS)}), l(lens, ms) as (values {_LENS_ROWS}), u as (select lens, unnest(string_split(ms, ' ')) as module from l)
+select lens, (sum(n) + (lens = 'full')::int)::bigint as specs from u join m using (module) group by 1""")
+def lens_rhythm_specs(spark, d):
+    return rhythms.specs(spark).groupBy("lens").agg(F.count("*").alias("specs"))
+
+
+@query()
+def indicator_rhythms(spark, d):
+    """Every indicator's rhythm at every candle, 64 wide, as digests."""
+    e = enriched(spark, d).join(folds.phases(folds.fold(by_type(spark, d))).select("sym", "ts", "phase_duration"), ["sym", "ts"])
+    r = rhythms.indicator_rhythms(e, 64)
+    return r.select("sym", "ts", "name", F.sha2(V.to_hex(F.col("rhythm")), 256).alias("rhythm"))

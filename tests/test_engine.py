@@ -159,6 +159,18 @@ def test_rhythm_hears_changes(spark):
     assert math.isclose(r["same"], 1.0) and r.ranges < 0.95 and abs(r.names) < 0.2 and math.isclose(r.short, 1.0)
 
 
+def test_bundles_answer_for_their_keys(spark):
+    d = 1024
+    name = lambda n: vectors.atom(F.lit(n), d)
+    keys, values = [name(f"k{i}") for i in range(5)], [name(f"v{i}") for i in range(5)]
+    m = vectors.map_bundle(F.array(*keys), F.array(*values))
+    near = lambda v: vectors.nearest(v, F.array(*(F.lit(f"v{i}") for i in range(5))), F.array(*values))
+    seq = vectors.list_bundle(F.array(*values[:3]), d)
+    df = spark.range(1).select(m.alias("m"), seq.alias("s"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    r = df.select(*(near(vectors.map_get(F.col("m"), F.col(f"k{i}")))["name"].alias(f"a{i}") for i in range(5)), near(vectors.map_get(F.col("s"), vectors.atom(F.lit(1), d, "i"))).alias("b"), near(vectors.map_get(F.col("m"), name("other")))["cosine"].alias("c")).first()
+    assert [r[f"a{i}"] for i in range(5)] == [f"v{i}" for i in range(5)] and r.b["name"] == "v1" and r.c < vectors.noise_floor(d)
+
+
 def test_phase_scalars_by_hand(spark):
     rows = [("a", lab, s, s + 4, n, lo, hi, avg, 1.0, 1.0, 1.0) for lab, s, n, lo, hi, avg in (("Valley", 0, 4, 9.0, 10.0, 9.5), ("Transition", 4, 2, 10.0, 14.0, 12.0), ("Peak", 6, 8, 13.0, 15.0, 14.0), ("Valley", 14, 3, 8.0, 8.5, 8.2), ("Transition", 17, 3, 8.0, 8.0, 8.0))]
     df = spark.createDataFrame(rows, "sym string, label string, start_candle long, end_candle long, duration long, close_min double, close_max double, close_avg double, close_open double, close_final double, volume_avg double")
