@@ -170,16 +170,16 @@ class Weights:
                 at = max(range(len(left)), key=lambda k: (left[k][1] not in _FREQUENT, len(left[k][1]) > 3, left[k][0]))
                 anchors.add(left.pop(at)[1])
         self.anchors = sorted(anchors)
-        any_of = lambda words: r"(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in words) + r")(?![a-z0-9])"
-        self.pattern = "(?i)" + any_of(self.anchors)
+        self.pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in self.anchors) + r")(?![a-z0-9])"
+        self.anchor_words = sorted({max(re.split("[.-]", a), key=len) for a in self.anchors})
         # A cosine is at most the root of the shared tokens' squared weights in the template. So a unit needs at least so many
         # different ones of the rarer tokens, even if it has all others.
-        rare = [t for t in tokens if t not in _FREQUENT and len(t) > 3]
-        self.rare_pattern, counts = any_of(rare), []
+        self.rare = [t for t in tokens if t not in _FREQUENT and len(t) > 3 and t.isalnum()]
+        known, counts = set(self.rare), []
         for i in range(len(self.names)):
             squares = {t: self.unit[t][i] ** 2 for t in set(bags[i])}
-            need, k = limit * limit - sum(w for t, w in squares.items() if t not in set(rare)), 0
-            for w in sorted((w for t, w in squares.items() if t in set(rare)), reverse=True):
+            need, k = limit * limit - sum(w for t, w in squares.items() if t not in known), 0
+            for w in sorted((w for t, w in squares.items() if t in known), reverse=True):
                 if need <= 0:
                     break
                 need, k = need - w, k + 1
@@ -225,13 +225,15 @@ def _hits(lines: Column, w: Weights) -> Column:
 BLANK = r"[\x20\x09-\x0D]"
 
 
-def _short_units(text: Column) -> Column:
-    """Lines, where they hold several sentences these, and two and three lines in a row: (text, at)."""
-    lines = F.split(text, "\n")
+def _short_units(lines: Column, hit: Column) -> Column:
+    """Of lines that hit, or are next to one that does: lines, where they hold several sentences these, and two and three lines in
+    a row: (text, at)."""
     unit = lambda x, at: F.struct(x.alias("text"), at.alias("at"))
-    rows = lambda n: F.filter(F.transform(lines, lambda x, i: unit(F.array_join(F.slice(lines, i + 1, F.lit(n)), " "), i)), lambda u: u["at"] <= F.size(lines) - n)
-    pieces = F.flatten(F.transform(lines, lambda x, i: F.when(x.rlike(r"[.;!?]\s+\S"), F.transform(F.split(x, r"[.;!?]\s+"), lambda p: unit(p, i))).otherwise(F.array())))
-    return F.concat(F.transform(lines, unit), rows(2), rows(3), pieces)
+    places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(hit, i) | F.coalesce(F.get(hit, i + 1), F.lit(False)) | F.coalesce(F.get(hit, i + 2), F.lit(False)))
+    rows = lambda n: F.transform(F.filter(places, lambda i: i <= F.size(lines) - n), lambda i: unit(F.array_join(F.slice(lines, i + 1, F.lit(n)), " "), i))
+    split = F.filter(places, lambda i: F.get(lines, i).rlike(r"[.;!?]\s+\S"))
+    pieces = F.flatten(F.transform(split, lambda i: F.transform(F.split(F.get(lines, i), r"[.;!?]\s+"), lambda p: unit(p, i))))
+    return F.concat(rows(1), rows(2), rows(3), pieces)
 
 
 def scan(files: DataFrame, *, notices: list[tuple[str, str]] | None = None, texts: list[tuple[str, str]] | None = None, limit: float = LIMIT, licence_file: str = LICENCE_FILE) -> DataFrame:
@@ -244,10 +246,15 @@ def scan(files: DataFrame, *, notices: list[tuple[str, str]] | None = None, text
     columns = {c: f"c{i}_{mark}" for i, c in enumerate(keep)}
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     all_names = sorted({n for w in sets for n in w.names})
-    # Units first hold an anchor; of a text without any none is made.
-    short = F.when(text.rlike(sets[0].pattern), F.filter(_short_units(text), lambda u: u["text"].rlike(sets[0].pattern))).otherwise(F.array().cast("array<struct<text:string,at:int>>"))
-    rare = F.size(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(sets[1].rare_pattern), F.lit(0))))
-    whole = F.when(rare >= sets[1].least_rare, F.array(F.struct(text.alias("text"), F.lit(-1).alias("at")))).otherwise(F.array().cast("array<struct<text:string,at:int>>"))
+    none = F.array().cast("array<struct<text:string,at:int>>")
+    # A text's words say whether any of its units can reach a limit; its lines, which ones.
+    words, lines, hit_lines = f"words_{mark}", f"lines_{mark}", f"hits_{mark}"
+    literal = lambda xs: F.array(*(F.lit(x) for x in xs))
+    files = files.withColumn(words, F.split(F.lower(text), "[^a-z0-9]+"))
+    files = files.withColumn(lines, F.when(F.arrays_overlap(words, literal(sets[0].anchor_words)), F.split(text, "\n")))
+    files = files.withColumn(hit_lines, F.transform(lines, lambda x: x.rlike(sets[0].pattern)))
+    short = F.when(F.exists(hit_lines, lambda x: x), F.filter(_short_units(F.col(lines), F.col(hit_lines)), lambda u: u["text"].rlike(sets[0].pattern))).otherwise(none)
+    whole = F.when(F.size(F.array_intersect(words, literal(sets[1].rare))) >= sets[1].least_rare, F.array(F.struct(text.alias("text"), F.lit(-1).alias("at")))).otherwise(none)
 
     def hits(units: Column, w: Weights) -> Column:
         places = F.array(*(F.lit(-all_names.index(n)) for n in w.names))
