@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from candlemill.llm.common import stage_table
 
 LIMIT, SALTS = 0.7, 32
-#: Identifiers of common licences, their usual notices and titles, and the texts of the short ones and usual headers.
+#: Identifiers of common licences, their usual notices, headers and titles, and the texts of the short ones.
 IDENTIFIERS = ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
 NOTICES = [
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
@@ -54,21 +55,14 @@ NOTICES = [
     ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Unlicense", "Released under the Unlicense"),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License"),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     *((x, f"SPDX-License-Identifier: {x}") for x in IDENTIFIERS),
 ]
 TEXTS = [
-    ("AGPL-3.0", (
-        'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the '
-        'Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will '
-        'be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero '
-        'General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program.'
-    )),
-    ("Apache-2.0", (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy '
-        'of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the '
-        'License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific '
-        'language governing permissions and limitations under the License.'
-    )),
     ("BSD-2-Clause", (
         'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. '
         'Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in '
@@ -92,18 +86,6 @@ TEXTS = [
         'BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR '
         'OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
     )),
-    ("GPL-2.0", (
-        'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free '
-        'Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be '
-        'useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public '
-        'License for more details. You should have received a copy of the GNU General Public License along with this program.'
-    )),
-    ("GPL-3.0", (
-        'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free '
-        'Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be '
-        'useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public '
-        'License for more details. You should have received a copy of the GNU General Public License along with this program.'
-    )),
     ("ISC", (
         'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above '
         'copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD '
@@ -111,12 +93,6 @@ TEXTS = [
         'INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE '
         'OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
     )),
-    ("LGPL-3.0", (
-        'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the '
-        'Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will '
-        'be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser '
-        'General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program.'
-    )),
     ("MIT", (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to '
         'deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or '
@@ -126,10 +102,6 @@ TEXTS = [
         'NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF '
         'CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
     )),
-    ("MPL-2.0", (
-        'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can '
-        'obtain one at http://mozilla.org/MPL/2.0/.'
-    )),
     ("Unlicense", (
         'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute '
         'this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions '
@@ -153,7 +125,7 @@ class Weights:
     """TF-IDF of a set of templates (licence, text), computed once on the driver from the few templates."""
 
     def __init__(self, templates: list[tuple[str, str]], limit: float):
-        templates = sorted(templates)
+        templates, self.limit = sorted(templates), limit
         self.names = [n for n, _ in templates]
         bags = [re.findall(TOKEN, x.lower()) for _, x in templates]
         tokens = sorted({t for b in bags for t in b})
@@ -172,19 +144,26 @@ class Weights:
         self.anchors = sorted(anchors)
         self.pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in self.anchors) + r")(?![a-z0-9])"
         self.anchor_words = sorted({max(re.split("[.-]", a), key=len) for a in self.anchors})
-        # A cosine is at most the root of the shared tokens' squared weights in the template. So a unit needs at least so many
-        # different ones of the rarer tokens, even if it has all others.
-        self.rare = [t for t in tokens if t not in _FREQUENT and len(t) > 3 and t.isalnum()]
-        known, counts = set(self.rare), []
+        # A cosine is at most the root of the shared tokens' squared weights in the template. So a text needs at least so many
+        # different ones of a template's rarer words, even if it has all its others.
+        self.rare: list[tuple[list[str], int]] = []
         for i in range(len(self.names)):
             squares = {t: self.unit[t][i] ** 2 for t in set(bags[i])}
-            need, k = limit * limit - sum(w for t, w in squares.items() if t not in known), 0
-            for w in sorted((w for t, w in squares.items() if t in known), reverse=True):
-                if need <= 0:
-                    break
-                need, k = need - w, k + 1
-            counts.append(k)
-        self.least_rare = min(counts)
+            rare = sorted((t for t in squares if t not in _FREQUENT and t.isalnum()), key=lambda t: (-squares[t], t))
+            need, k = limit * limit - sum(w for t, w in squares.items() if t not in rare), 0
+            while need > 0:
+                need, k = need - squares[rare[k]], k + 1
+            self.rare.append((rare, k))
+
+
+def _worthwhile(units: Column, w: Weights) -> Column:
+    """Units with their tokens, without those that can't reach the limit: known tokens must make up its square of the sum of squared
+    weights. No token weighs more than an unknown one, and none occurs more often than the tokens beyond the distinct ones allow."""
+    listed = F.transform(units, lambda u: F.struct(u["text"].alias("text"), u["at"].alias("at"), F.regexp_extract_all(F.lower(u["text"]), F.lit(TOKEN), F.lit(0)).alias("tokens")))
+    counted = F.transform(listed, lambda u: F.struct(u["text"].alias("text"), u["at"].alias("at"), u["tokens"].alias("tokens"), F.size(F.array_distinct(u["tokens"])).alias("d"), F.size(F.array_intersect(u["tokens"], F.array(*(F.lit(t) for t in w.idf)))).alias("k")))
+    often = lambda u: 1.0 + F.log((F.size(u["tokens"]) - u["d"] + 1).cast("double"))
+    least = w.limit * w.limit
+    return F.filter(counted, lambda u: (u["k"] > 0) & (u["k"] * often(u) * often(u) * (1.0 - least) >= least * (u["d"] - u["k"])))
 
 
 def _hits(lines: Column, w: Weights) -> Column:
@@ -196,7 +175,7 @@ def _hits(lines: Column, w: Weights) -> Column:
     idf = F.create_map(*(F.lit(x) for t in w.idf for x in (t, w.idf[t])))
     unit = F.create_map(*(x for t in w.unit for x in (F.lit(t), F.array(*(F.lit(v) for v in w.unit[t])))))
     zero = F.array(*(F.lit(0.0) for _ in w.names))
-    tokens = F.transform(lines, lambda x: F.struct(x["text"].alias("text"), x["at"].alias("at"), F.array_append(F.array_sort(F.regexp_extract_all(F.lower(x["text"]), F.lit(TOKEN), F.lit(0))), F.lit("")).alias("tokens")))
+    tokens = F.transform(_worthwhile(lines, w), lambda x: F.struct(x["text"].alias("text"), x["at"].alias("at"), F.array_append(F.array_sort(x["tokens"]), F.lit("")).alias("tokens")))
 
     def close(a: Column) -> Column:
         return (1.0 + F.log(a["run"].cast("double"))) * F.coalesce(F.try_element_at(idf, a["token"]), F.lit(w.unknown))
@@ -254,7 +233,10 @@ def scan(files: DataFrame, *, notices: list[tuple[str, str]] | None = None, text
     files = files.withColumn(lines, F.when(F.arrays_overlap(words, literal(sets[0].anchor_words)), F.split(text, "\n")))
     files = files.withColumn(hit_lines, F.transform(lines, lambda x: x.rlike(sets[0].pattern)))
     short = F.when(F.exists(hit_lines, lambda x: x), F.filter(_short_units(F.col(lines), F.col(hit_lines)), lambda u: u["text"].rlike(sets[0].pattern))).otherwise(none)
-    whole = F.when(F.size(F.array_intersect(words, literal(sets[1].rare))) >= sets[1].least_rare, F.array(F.struct(text.alias("text"), F.lit(-1).alias("at")))).otherwise(none)
+    shared = f"shared_{mark}"
+    files = files.withColumn(shared, F.array_intersect(words, literal(sorted({t for rare, _ in sets[1].rare for t in rare}))))
+    likely = reduce(lambda a, b: a | b, (F.size(F.array_intersect(shared, literal(rare))) >= k for rare, k in sets[1].rare))
+    whole = F.when(likely, F.array(F.struct(text.alias("text"), F.lit(-1).alias("at")))).otherwise(none)
 
     def hits(units: Column, w: Weights) -> Column:
         places = F.array(*(F.lit(-all_names.index(n)) for n in w.names))

@@ -301,10 +301,10 @@ def test_license_texts_titles_identifiers_and_wrapped_notices(spark):
         ("m/LICENSE", mit), ("m/deep/er/x.py", "nothing"), ("b/LICENSE", of["BSD-3-Clause"].replace("; ", ";\n") + "\n"), ("b2/COPYING", of["BSD-2-Clause"]),
         ("p/LICENSE", "                                 Apache License\n                           Version 2.0, January 2004\n" + "many terms and conditions of use\n" * 200), ("g/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + "words of the licence\n" * 300),
         ("s/a.c", "// SPDX-License-Identifier: Apache-2.0\nint main() {}"), ("s/b.c", "/* SPDX-License-Identifier: MIT */"), ("w/x.py", "# Licensed under the Mozilla\n# Public License, version 2.0\ncode"), ("w/y.py", "This file is one of many that we wrote. Released under the ISC License. It has more to say about itself and others."),
-        ("n/note", "Released under the MIT License\n"), ("n/other.py", "x = 1"), ("q/h.py", "\n".join("# " + x for x in of["Apache-2.0"].split(". ")) + "\nimport os\n"), ("z/z.txt", "data code software files even form conditions copies notice"),
+        ("n/note", "Released under the MIT License\n"), ("n/other.py", "x = 1"), ("q/h.py", '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\nimport os\n'), ("q/i.py", "# You can redistribute it\n# under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# any later version.\nx = 1"), ("z/z.txt", "data code software files even form conditions copies notice"),
     ]
     files = spark.createDataFrame([(p, t, i, 7, 1, 2) for i, (p, t) in enumerate(rows)], "path string, text string, n int, i int, i_dir int, j int")
     got = {r.path: r for r in licenses.scan(files).collect()}
-    want = ["MIT", "MIT", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "GPL-3.0", "Apache-2.0", "MIT", "MPL-2.0", "ISC", "MIT", "MIT", "Apache-2.0", None]
+    want = ["MIT", "MIT", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "GPL-3.0", "Apache-2.0", "MIT", "MPL-2.0", "ISC", "MIT", "MIT", "Apache-2.0", "GPL-3.0", None]
     assert [got[p].license for p, _ in rows] == want
     assert got["m/deep/er/x.py"].from_dir == "m" and got["n/other.py"].origin == "inherited" and got["b2/COPYING"].line is None and got["w/x.py"].line == 1 and got["w/y.py"].origin == "header"
