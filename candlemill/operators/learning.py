@@ -117,11 +117,13 @@ def prototypes(df: DataFrame, vector: str, label: str) -> DataFrame:
     return sums.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("prototype"), F.max("n").alias("experience"))
 
 
-def reckon(df: DataFrame, protos: list[tuple], vector: str, similarity) -> DataFrame:
-    """Class of the most similar prototype, and the margin to the next one; protos are one (label, vector) a class."""
-    scored = F.array_sort(F.array(*(F.struct((-similarity(F.col(vector), F.array(*(F.lit(float(x)) for x in p)))).alias("s"), F.lit(label).alias("label")) for label, p in protos)))
-    top = df.withColumn("_s", scored)
-    return top.withColumns({"guess": F.col("_s")[0]["label"], "cosine": -F.col("_s")[0]["s"], "margin": F.col("_s")[1]["s"] - F.col("_s")[0]["s"]}).drop("_s")
+def reckon(df: DataFrame, protos: DataFrame, vector: str, similarity) -> DataFrame:
+    """Class of the most similar prototype, and the margin to the next one. protos (label, prototype): a row a class, which all
+    rows are joined with as one array."""
+    one = protos.agg(F.array_sort(F.collect_list(F.struct("label", "prototype"))).alias("_p"))
+    scored = F.array_sort(F.transform("_p", lambda p: F.struct((-similarity(F.col(vector), p["prototype"])).alias("s"), p["label"].alias("label"))))
+    top = df.crossJoin(F.broadcast(one)).withColumn("_s", scored).where(F.size("_s") > 0)
+    return top.withColumns({"guess": F.col("_s")[0]["label"], "cosine": -F.col("_s")[0]["s"], "margin": F.get("_s", F.lit(1))["s"] - F.col("_s")[0]["s"]}).drop("_s", "_p")
 
 
 def anomaly(df: DataFrame, key: str, vector: str, k: int = 8) -> DataFrame:

@@ -376,6 +376,11 @@ def signs(spark, d) -> DataFrame:
     return e.select("vec_id", "label", F.transform("embedding", lambda x: F.signum(x.cast("double"))).alias("v"), F.transform("embedding", lambda x: x.cast("double")).alias("r"))
 
 
+def with_query(s: DataFrame) -> DataFrame:
+    """s with q, the vector 0: one row, or none, joined with all."""
+    return s.crossJoin(F.broadcast(s.where("vec_id = 0").select(F.col("r").alias("q")).limit(1)))
+
+
 @query(f"with {SIGNS}, x as (select vec_id, v, list_transform(range(1, len(v) + 1), lambda i: v[((i - 1 - 3) % len(v) + len(v)) % len(v) + 1]) as p from e) select vec_id, list_aggregate(list_transform(range(1, len(v) + 1), lambda i: (v[i] * p[i])::int::varchar), 'string_agg', ',') as bound from x")
 def vector_bind_permute(spark, d):
     s = signs(spark, d)
@@ -390,17 +395,15 @@ def vector_bundle(spark, d):
 
 @query(f"with {SIGNS}, q as (select r as q from e where vec_id = 0) select vec_id, round(list_cosine_similarity(r, q), 6) as cosine, list_cosine_similarity(r, q) > 5 / sqrt(len(r)) as present from e, q")
 def vector_cosine(spark, d):
-    s = signs(spark, d)
-    q = [float(x) for x in s.where("vec_id = 0").first()["r"]]  # one query vector
-    c = V.cosine(F.col("r"), F.array(*(F.lit(x) for x in q)))
-    return s.select("vec_id", F.round(c, 6).alias("cosine"), (c > V.noise_floor(len(q))).alias("present"))
+    s = with_query(signs(spark, d))
+    c = V.cosine(F.col("r"), F.col("q"))
+    return s.select("vec_id", F.round(c, 6).alias("cosine"), (c > 5.0 / F.sqrt(F.size("r"))).alias("present"))
 
 
 @query(f"with {SIGNS}, q as (select r as q from e where vec_id = 0), w as (select vec_id, r, q, list_inner_product(r, q) / list_inner_product(q, q) as w from e, q) select vec_id, round(list_sum(list_transform(range(1, len(r) + 1), lambda i: (r[i] - w * q[i]) * (r[i] - w * q[i]))), 6) as rejected, round(list_sum(list_transform(q, lambda x: w * x * w * x)), 6) as projected from w")
 def vector_reject_project(spark, d):
-    s = signs(spark, d)
-    q = F.array(*(F.lit(float(x)) for x in s.where("vec_id = 0").first()["r"]))
-    a, b = V.reject(F.col("r"), q), V.project(F.col("r"), q)
+    s = with_query(signs(spark, d))
+    a, b = V.reject(F.col("r"), F.col("q")), V.project(F.col("r"), F.col("q"))
     return s.select("vec_id", F.round(V.dot(a, a), 6).alias("rejected"), F.round(V.dot(b, b), 6).alias("projected"))
 
 
@@ -437,11 +440,11 @@ def cache_lookup(spark, d):
 @query(f"""with {SIGNS}, a as (select label as axiom, v from e where vec_id < 10), k as (select vec_id as claim, v from e where vec_id >= 10),
 m as (select claim, max(list_cosine_similarity(k.v, a.v)) as coherence from k, a group by 1) select claim, round(coherence, 6) as coherence, case when coherence >= 0.4 then 'accept' when coherence >= 0.2 then 'review' else 'reject' end as verdict from m""")
 def soundness_gate(spark, d):
-    """Ten axioms against all claims: the axioms, a stated few, travel as constants."""
+    """Ten axioms against all claims: the axioms, a stated few, are one row that all claims are joined with."""
     s = signs(spark, d)
-    axioms = [r.v for r in s.where("vec_id < 10").select("v").collect()]
-    best = F.greatest(*(V.cosine(F.col("v"), F.array(*(F.lit(x) for x in a))) for a in axioms))
-    out = s.where("vec_id >= 10").select(F.col("vec_id").alias("claim"), best.alias("c"))
+    axioms = s.where("vec_id < 10").agg(F.collect_list("v").alias("axioms"))
+    best = F.array_max(F.transform("axioms", lambda a: V.cosine(F.col("v"), a)))
+    out = s.where("vec_id >= 10").crossJoin(F.broadcast(axioms)).select(F.col("vec_id").alias("claim"), best.alias("c")).where("c is not null")
     return out.select("claim", F.round("c", 6).alias("coherence"), F.when(F.col("c") >= 0.4, "accept").when(F.col("c") >= 0.2, "review").otherwise("reject").alias("verdict"))
 
 
@@ -460,8 +463,7 @@ m as (select e.vec_id, t.label as guess, list_cosine_similarity(e.r, t.p) as c f
 select vec_id, guess, round(c, 6) as cosine, round(c - second, 6) as margin from k where place = 1""")
 def reckoner(spark, d):
     s = signs(spark, d)
-    protos = [(r.label, r.prototype) for r in learning.prototypes(s, "r", "label").orderBy("label").collect()]  # one a class
-    out = learning.reckon(s, protos, "r", V.cosine)
+    out = learning.reckon(s, learning.prototypes(s, "r", "label"), "r", V.cosine)
     return rounded(out.select("vec_id", "guess", "cosine", "margin"))
 
 
