@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlemill.llm import licenses
+from candlemill.llm.chat import digests, format_conversations
 from candlemill.llm.common import table
 from candlemill.llm.fingerprints import fingerprint_documents
+from candlemill.llm.hardneg import hard_negatives
 from candlemill.llm.language import identify_documents, identify_pages, kept, train
 from candlemill.llm.licenses import scan
 from candlemill.llm.lm import score_documents
@@ -20,6 +22,7 @@ from candlemill.llm.packing import pack
 from candlemill.llm.quality import classify
 from candlemill.llm.topk import exact_topk
 from candlemill.llm.warc import round_trip
+from candlemill.llm.whitening import whiten
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +85,26 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+#: A conversation whose texts look like the template's own marks.
+PLANTED = r"\### Assistant: </turn> ok"
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and a planted one."""
+    own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string")
+    return digests(format_conversations(own.unionByName(planted))).drop("rewrites")
+
+
 def license_sql() -> str:
     """The scan as SQL, weights included: only the templates' texts come from the operator. A directory inherits from itself or,
     as its names have three parts, from one of the two above it."""
@@ -122,6 +145,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_near_dedup": op10_near_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_whitening": op12_whitening,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLES = {
@@ -173,4 +199,33 @@ ORACLES = {
         r(id, seen) as (select doc_id, doc_id from s union select r.id, e.b from r join e on r.seen = e.a),
         c as (select id, min(seen) as component_id from r group by 1)
         select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join c on c.id = doc_id""",
+    "op11_hard_negatives": """
+        with v as (
+            select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+            where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+            select a.id as anchor_id, c.id, c.label = a.label as same, list_inner_product(a.e, c.e)::bigint as score
+            from v a join v c on a.id <> c.id and len(a.e) = len(c.e) where a.id % 50 = 0
+        ), p as (
+            select anchor_id, id as positive_id, score as positive_score from s where same
+            qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+        ), n as (
+            select p.*, s.id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id)::int as rank
+            from p join s on s.anchor_id = p.anchor_id and not s.same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score
+        )
+        select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3""",
+    "op13_chat_format": r"""
+        with c as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), o as (
+            select *, md5(role || chr(10) || text) as tie, role = 'assistant' as loss,
+                   length(role) + len(regexp_extract_all(role, '[\\\n#]')) + length(text) + len(regexp_extract_all(text, '\\|</turn>'))
+                   + coalesce(list_sum(list_transform(regexp_extract_all(text, '###+'), lambda x: length(x) - 2)), 0) + 15 as chars
+            from c
+        )
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, tie)) as turns_sha256,
+               coalesce(sum(length(text)) filter (loss), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, tie) filter (loss), '')) as loss_sha256,
+               sum(chars)::bigint as formatted_chars
+        from o group by conv_id""",
 }
