@@ -1,16 +1,24 @@
 """Order-dependent recursions: one grouped pass over each series computes every one of them.
 
-A row needs the previous row's output, so no window frame expresses these. Series are the unit of parallelism.
+A row needs the previous row's output, so no window frame expresses these. A long series is cut into chunks of time, each
+folded behind WARM rows that come before it. What a fold remembers shrinks by 13/14 a row at least, so WARM rows leave less
+of a wrong start than a double can hold (1e-22), behind the 2016 rows of the longest window; the columns equal those of one pass to about
+1e-14 of their size. (The one exception is held: after WARM rows without any movement ADX starts anew.)
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from candlemill.operators.series import CHUNK, copies, numbered
+
+#: Rows folded ahead of a chunk: those of the longest window and as many as make a fold forget its start.
+WARM = 2016 + 700
 COLUMNS = ("ema20", "atr", "rsi", "macd_hist", "plus_di", "minus_di", "adx", "kelt_upper", "kelt_lower", "kelt_pos", "squeeze", "atr_ratio", "choppiness", "atr_median", "hurst", "dfa_alpha", "fractal_dim", "rsi_divergence_bull", "rsi_divergence_bear")
 
 
@@ -55,10 +63,11 @@ def rsi(close: np.ndarray, period: int = 14) -> np.ndarray:
     return np.where(loss == 0, 100.0, 100.0 - 100.0 / (1.0 + divide(gain, loss)))
 
 
-def macd_hist(close: np.ndarray) -> np.ndarray:
-    """The signal line starts when both averages are ready; until then it is 0."""
-    macd = ema(close, 12) - ema(close, 26)
-    return macd - ema(macd, 9, 25)
+def macd(close: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Histogram, line and signal. The signal starts when both averages are ready; until then it is 0, and so is the line that is shown."""
+    line = ema(close, 12) - ema(close, 26)
+    signal = ema(line, 9, 25)
+    return line - signal, np.where(np.arange(len(close)) >= 25, line, 0.0), signal
 
 
 def directional(high: np.ndarray, low: np.ndarray, close: np.ndarray, period: int = 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,34 +146,55 @@ def rolling(x: np.ndarray, n: int, f) -> np.ndarray:
     return np.array([f(x[max(0, i - n + 1) : i + 1]) for i in range(len(x))])
 
 
-def series(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All recursive columns of one series, in time order."""
+#: The lines behind macd_hist, for those who ask for them.
+LINES = ("macd_line", "macd_signal")
+
+
+def series(pdf: pd.DataFrame, columns: Sequence[str] = COLUMNS) -> pd.DataFrame:
+    """Recursive columns of one series, in time order; the costly ones only where asked for."""
     pdf = pdf.sort_values("ts", kind="stable")
     h, l, c = (pdf[x].to_numpy(float) for x in ("high", "low", "close"))
     tr = true_range(h, l, c)
     e, a = ema(c, 20), wilder(tr, 14)
-    upper, lower = e + 2 * a, e - 2 * a
-    window = pdf["close"].rolling(20, min_periods=1)
-    mean, spread = window.mean().to_numpy(), window.std(ddof=0).fillna(0.0).to_numpy()
-    span = divide(upper - lower, c)
-    strength = rsi(c)
-    p, m, adx = directional(h, l, c)
-    reach = pdf["high"].rolling(12, min_periods=1).max().to_numpy() - pdf["low"].rolling(12, min_periods=1).min().to_numpy()
-    total = pd.Series(a).rolling(14, min_periods=1).sum().to_numpy()
-    chop = np.where((np.arange(len(c)) >= 13) & (reach > 0) & (total > 0), 100.0 * np.log(np.where((reach > 0) & (total > 0), divide(total, reach), 1.0)) / math.log(14.0), 50.0)
-    both = [divergence(c[max(0, i - 19) : i + 1], strength[max(0, i - 19) : i + 1]) for i in range(len(c))]
-    out = dict(zip(COLUMNS, (
-        e, a, strength, macd_hist(c), p, m, adx, upper, lower, divide(c - lower, upper - lower, 0.5), divide(divide(4 * spread, mean), span), divide(a, c), chop,
-        pd.Series(a).rolling(2016, min_periods=1).median().to_numpy(), rolling(c, 48, hurst), rolling(c, 48, dfa_alpha), rolling(c, 30, fractal_dim), np.array([x for x, _ in both]), np.array([x for _, x in both]),
-    ), strict=True))
-    return pdf[["sym", "ts", "open", "high", "low", "close", "volume"]].assign(**out)
-
-
-FOLDED = "sym string, ts timestamp, open double, high double, low double, close double, volume double, " + ", ".join(f"{c} double" for c in COLUMNS)
-
-
-def fold(candles: DataFrame) -> DataFrame:
-    return candles.select("sym", "ts", "open", "high", "low", "close", "volume").groupBy("sym").applyInPandas(series, FOLDED)
+    out = {"ema20": e, "atr": a, "atr_ratio": divide(a, c)}
+    if {"kelt_upper", "kelt_lower", "kelt_pos", "squeeze"} & {*columns}:
+        upper, lower = e + 2 * a, e - 2 * a
+        window = pdf["close"].rolling(20, min_periods=1)
+        mean, spread = window.mean().to_numpy(), window.std(ddof=0).fillna(0.0).to_numpy()
+        out |= {"kelt_upper": upper, "kelt_lower": lower, "kelt_pos": divide(c - lower, upper - lower, 0.5), "squeeze": divide(divide(4 * spread, mean), divide(upper - lower, c))}
+    if {"rsi", "rsi_divergence_bull", "rsi_divergence_bear"} & {*columns}:
+        out["rsi"] = rsi(c)
+    if {"macd_hist", *LINES} & {*columns}:
+        out |= dict(zip(("macd_hist", *LINES), macd(c), strict=True))
+    if {"plus_di", "minus_di", "adx"} & {*columns}:
+        out |= dict(zip(("plus_di", "minus_di", "adx"), directional(h, l, c), strict=True))
+    if "choppiness" in columns:
+        reach = pdf["high"].rolling(12, min_periods=1).max().to_numpy() - pdf["low"].rolling(12, min_periods=1).min().to_numpy()
+        total = pd.Series(a).rolling(14, min_periods=1).sum().to_numpy()
+        out["choppiness"] = np.where((np.arange(len(c)) >= 13) & (reach > 0) & (total > 0), 100.0 * np.log(np.where((reach > 0) & (total > 0), divide(total, reach), 1.0)) / math.log(14.0), 50.0)
+    if "atr_median" in columns:
+        out["atr_median"] = pd.Series(a).rolling(2016, min_periods=1).median().to_numpy()
+    for name, n, f in (("hurst", 48, hurst), ("dfa_alpha", 48, dfa_alpha), ("fractal_dim", 30, fractal_dim)):
+        if name in columns:
+            out[name] = rolling(c, n, f)
+    if {"rsi_divergence_bull", "rsi_divergence_bear"} & {*columns}:
+        both = np.array([divergence(c[max(0, i - 19) : i + 1], out["rsi"][max(0, i - 19) : i + 1]) for i in range(len(c))]).reshape(-1, 2)
+        out |= {"rsi_divergence_bull": both[:, 0], "rsi_divergence_bear": both[:, 1]}
+    return pdf[[*CANDLE]].assign(**{name: out[name] for name in columns})
+
+
+CANDLE = ("sym", "ts", "open", "high", "low", "close", "volume")
+
+
+def fold(candles: DataFrame, columns: Sequence[str] = COLUMNS, size: int = CHUNK) -> DataFrame:
+    """Candles with recursive columns; a series of more than size rows is folded in chunks."""
+
+    def chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.set_index("ts")["own"].sort_index(kind="stable").to_numpy()
+        return series(pdf, columns)[own]
+
+    schema = "sym string, ts timestamp, open double, high double, low double, close double, volume double, " + ", ".join(f"{c} double" for c in columns)
+    return copies(numbered(candles.select(*CANDLE)), WARM, 0, size).groupBy("sym", "chunk").applyInPandas(chunk, schema)
 
 
 class Phases:

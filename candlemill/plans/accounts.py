@@ -47,7 +47,7 @@ def trailing_papers(spark, d):
 
 def paper_states(spark, d):
     """Live papers with the phases that closed before each row, as the atoms read them."""
-    records = folds.phase_records(folds.fold(by_type(spark, d)))
+    records = folds.phase_records(folds.fold(by_type(spark, d), ("atr",)))
     live = papers.trailing(walked(spark, d)).where("resolved_at is null or at < resolved_at")
     closed = records.select(F.col("sym").alias("r_sym"), "label", "start_candle", F.col("end_candle").alias("closed_at"), "close_avg")
     # Of all phases closed by a row: a running mean. Of those since the entry: phases that start and close within the paper's rows.

@@ -201,7 +201,7 @@ NUMBERED = BY_TYPE + f", n as (select *, row_number() over (partition by sym ord
 select n.sym, n.ts, round(e.v, 6) as ema20, round(a.v, 6) as atr, round(e.v + 2 * a.v, 6) as kelt_upper, round(e.v - 2 * a.v, 6) as kelt_lower, round({div('n.close - (e.v - 2 * a.v)', '4 * a.v', '0.5')}, 6) as kelt_pos, round({div('a.v', 'n.close')}, 6) as atr_ratio
 from n join e on n.sym = e.sym and n.i = e.i join a on n.sym = a.sym and n.i = a.i""")
 def fold_ema_atr_keltner(spark, d):
-    df = folds.fold(by_type(spark, d))
+    df = folds.fold(by_type(spark, d), ("ema20", "atr", "kelt_upper", "kelt_lower", "kelt_pos", "atr_ratio"))
     near = lambda c: F.when(F.abs(F.col("kelt_upper") - F.col("kelt_lower")) > 1e-12, F.col(c)).otherwise(0.5)
     return rounded(df.select("sym", "ts", "ema20", "atr", "kelt_upper", "kelt_lower", near("kelt_pos").alias("kelt_pos"), "atr_ratio"))
 
@@ -209,14 +209,14 @@ def fold_ema_atr_keltner(spark, d):
 @query(f"""with {NUMBERED}, {recursive('gain', 14, '(13.0/14)', '(1.0/14)', 'g', 1, 'tr')}, {recursive('fall', 14, '(13.0/14)', '(1.0/14)', 'f', 1, 'tr')}
 select n.sym, n.ts, round(case when coalesce(f.v, 0) = 0 then 100 else 100 - 100 / (1 + g.v / f.v) end, 6) as rsi from n left join g on n.sym = g.sym and n.i = g.i left join f on n.sym = f.sym and n.i = f.i""")
 def fold_rsi(spark, d):
-    return rounded(folds.fold(by_type(spark, d)).select("sym", "ts", "rsi"))
+    return rounded(folds.fold(by_type(spark, d), ("rsi",)).select("sym", "ts", "rsi"))
 
 
 @query(f"""with {NUMBERED}, {recursive('close', 12, '(1 - 2.0/13)', '(2.0/13)', 'p')}, {recursive('close', 26, '(1 - 2.0/27)', '(2.0/27)', 'q')},
 m as (select p.sym, p.i, p.v - q.v as macd from p join q on p.sym = q.sym and p.i = q.i), {recursive('macd', 9, '(1 - 2.0/10)', '(2.0/10)', 's', 25, 'm')}
 select n.sym, n.ts, round(macd - coalesce(s.v, 0), 6) as macd_hist from n join m on n.sym = m.sym and n.i = m.i left join s on n.sym = s.sym and n.i = s.i""")
 def fold_macd(spark, d):
-    return rounded(folds.fold(by_type(spark, d)).select("sym", "ts", "macd_hist"))
+    return rounded(folds.fold(by_type(spark, d), ("macd_hist",)).select("sym", "ts", "macd_hist"))
 
 
 @query(f"""with {NUMBERED}, m as (select *, high - {prev('high')} as up, {prev('low')} - low as dn from tr), dm as (select *, case when up > dn and up > 0 then up else 0 end as plus, case when dn > up and dn > 0 then dn else 0 end as minus from m),
@@ -224,7 +224,7 @@ def fold_macd(spark, d):
 select n.sym, n.ts, round(coalesce(100 * {div('p.v', 't.v')}, 0), 6) as plus_di, round(coalesce(100 * {div('q.v', 't.v')}, 0), 6) as minus_di
 from n left join t on n.sym = t.sym and n.i = t.i left join p on n.sym = p.sym and n.i = p.i left join q on n.sym = q.sym and n.i = q.i""")
 def fold_directional(spark, d):
-    return rounded(folds.fold(by_type(spark, d)).select("sym", "ts", "plus_di", "minus_di"))
+    return rounded(folds.fold(by_type(spark, d), ("plus_di", "minus_di")).select("sym", "ts", "plus_di", "minus_di"))
 
 
 @query(f"""with {NUMBERED}, {recursive('t', 14, '(13.0/14)', '(1.0/14)', 'a', 0, 'tr')}, j as (select n.*, a.v as atr from n join a on n.sym = a.sym and n.i = a.i),
@@ -232,7 +232,7 @@ r as (select *, max(high) {over(12)} - min(low) {over(12)} as reach, sum(atr) {o
 select sym, ts, round(case when i >= 14 and reach > 0 and total > 0 then 100 * ln(total / reach) / ln(14) else 50 end, 6) as choppiness,
 round({div(div('4 * s', 'm'), div('4 * atr', 'close'))}, 5) as squeeze from r""")
 def fold_choppiness_squeeze(spark, d):
-    out = folds.fold(by_type(spark, d)).select("sym", "ts", "choppiness", F.round("squeeze", 5).alias("squeeze"))
+    out = folds.fold(by_type(spark, d), ("choppiness", "squeeze")).select("sym", "ts", "choppiness", F.round("squeeze", 5).alias("squeeze"))
     return rounded(out)
 
 
@@ -249,7 +249,7 @@ ph(sym, i, rising, extreme, label, direction, duration, generation) as (
                         from ph join j on j.sym = ph.sym and j.i = ph.i + 1)))))
 ) select j.sym, j.ts, j.close, ph.label as phase_label, ph.direction as phase_direction, ph.duration::bigint as phase_duration, ph.generation::bigint as phase_generation from ph join j on j.sym = ph.sym and j.i = ph.i""")
 def phase_labels(spark, d):
-    return folds.phases(folds.fold(by_type(spark, d)))
+    return folds.phases(folds.fold(by_type(spark, d), ("atr",)))
 
 
 # --- simulation and ledger -----------------------------------------------------------------------------------------
@@ -257,7 +257,7 @@ def phase_labels(spark, d):
 
 def labelled(spark, d) -> DataFrame:
     base = by_type(spark, d)
-    p = folds.phases(folds.fold(base)).select("sym", "ts", "phase_label", "phase_generation")
+    p = folds.phases(folds.fold(base, ("atr",))).select("sym", "ts", "phase_label", "phase_generation")
     return indicators.sma(base).join(p, ["sym", "ts"])
 
 

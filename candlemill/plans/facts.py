@@ -215,7 +215,7 @@ rc as materialized (select en.sym, en.generation, en.label, en.a - 1 as start_ca
 
 @query(_RECORDS + "select sym, label, start_candle, end_candle, duration, " + ", ".join(f"round({c}, 6) as {c}" for c in ("close_min", "close_max", "close_avg", "close_open", "close_final", "volume_avg")) + " from rc")
 def phase_records(spark, d):
-    return rounded(folds.phase_records(folds.fold(by_type(spark, d))))
+    return rounded(folds.phase_records(folds.fold(by_type(spark, d), ("atr",))))
 
 
 _CHANGE = "case when p > 0 then " + _r("((close_avg - p) / p)", 4) + " end"
@@ -228,7 +228,7 @@ def _last_pair(label: str) -> str:
 @query(_RECORDS + f""", lb as (select *, lag(close_avg) over (partition by sym, label order by start_candle, end_candle) as p, lag(close_max - close_min) over (partition by sym order by start_candle, end_candle) as w, lag(duration) over (partition by sym order by start_candle, end_candle) as q from rc)
 select sym, label, start_candle, round(({_last_pair('Valley')}).t, 6) as valley_trend, round(({_last_pair('Peak')}).t, 6) as peak_trend, case when w > 0 then {_r('((close_max - close_min) / w)')} end as range_trend, case when q > 0 then {_r('(duration / q)')} end as spacing_trend from lb""")
 def phase_scalars(spark, d):
-    return rounded(vocabulary.phase_scalars(folds.phase_records(folds.fold(by_type(spark, d)))))
+    return rounded(vocabulary.phase_scalars(folds.phase_records(folds.fold(by_type(spark, d), ("atr",)))))
 
 
 @query(ORACLES["phase_labels"].rsplit(" select j.sym", 1)[0] + f""", pl as materialized (select j.sym, j.ts, ph.label, ph.direction, ph.duration from ph join j on j.sym = ph.sym and j.i = ph.i), v as (select sym, ts, 'phase-duration' as name, duration::double as value from pl), {scale_sql('v', 'sym, name')},
@@ -236,7 +236,7 @@ sc as (select *, {_r('greatest(round(2 * level, 10), 0.001::double)')} as s from
 select sym, ts, 'phase-current' as module, name, 'scaled' as kind, round(case when s > 0 then {_r('(value / (s * 0.05::double))', 0)} * (s * 0.05::double) else value end, 6) as value, round(-s, 6) as lo, round(s, 6) as hi from sc
 union all select sym, ts, 'phase-current', 'phase-' || lower(label) || case when label = 'Transition' then '-' || lower(direction) else '' end, 'atom', 1.0::double, 0.0::double, 0.0::double from pl""")
 def facts_phase_current(spark, d):
-    return rounded(vocabulary.phase_current(folds.phases(folds.fold(by_type(spark, d)))))
+    return rounded(vocabulary.phase_current(folds.phases(folds.fold(by_type(spark, d), ("atr",)))))
 
 
 # --- rhythms -------------------------------------------------------------------------------------------------------
@@ -253,6 +253,6 @@ def lens_rhythm_specs(spark, d):
 @query()
 def indicator_rhythms(spark, d):
     """Every indicator's rhythm at every candle, 64 wide, as digests."""
-    e = enriched(spark, d).join(folds.phases(folds.fold(by_type(spark, d))).select("sym", "ts", "phase_duration"), ["sym", "ts"])
+    e = enriched(spark, d).join(folds.phases(folds.fold(by_type(spark, d), ("atr",))).select("sym", "ts", "phase_duration"), ["sym", "ts"])
     r = rhythms.indicator_rhythms(e, 64)
     return r.select("sym", "ts", "name", F.sha2(V.to_hex(F.col("rhythm")), 256).alias("rhythm"))

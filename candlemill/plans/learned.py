@@ -169,7 +169,7 @@ def treasury_service(spark, d):
 
 @query(f"with {FOLDS}, f as (select sym, ts, i, atr, first_value(case when atr > 0 then atr end ignore nulls) over (partition by sym order by i) as ref from fo) select sym, ts, case when atr > 0 and ref > 0 then floor(288 * (ref / atr) + 0.5)::bigint else 288 end as deadline from f")
 def atr_deadlines(spark, d):
-    f = folds.fold(by_type(spark, d)).select("sym", "ts", "atr")
+    f = folds.fold(by_type(spark, d), ("atr",)).select("sym", "ts", "atr")
     first = F.first(F.when(F.col("atr") > 0, F.col("atr")), True).over(Window.partitionBy("sym").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
     return f.withColumn("ref", first).select("sym", "ts", treasury.scaled_deadline(288, F.coalesce("ref", F.lit(0.0)), F.col("atr")).alias("deadline"))
 

@@ -30,7 +30,7 @@ cv as materialized (select distinct sym, multiplier, case when kind = 'rising' t
 
 
 def found(spark, d):
-    return phase_trades.sweep(folds.fold(by_type(spark, d)))
+    return phase_trades.sweep(folds.fold(by_type(spark, d), ("atr",)))
 
 
 @query(_FLIPS + 'select sym, multiplier, flip, kind, start, "end", round(price, 6) as price, round(extreme, 6) as extreme from f')
@@ -99,7 +99,7 @@ su as (select ou.sym, stop, count(*) filter (grace) as grace, count(*) filter (s
 al as (select distinct z.sym, s.stop::double as stop from z, (select unnest([0.005, 0.01, 0.015, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.3]) as stop) s)
 select sym, stop, coalesce(grace, 0) as grace, coalesce(stopped, 0) as stopped, coalesce(held, 0) as held, coalesce(open, 0) as open, """ + ", ".join(f"round(coalesce({c}, 0)::double, 4) as {c}" for c in ("deployed", "recovered", "residue", "lost", "fees", "worth")) + """, round(coalesce(recovered + residue - deployed + worth, 0)::double, 4) as net from al left join su using (sym, stop) left join hl using (sym, stop)""")
 def accumulation_stops(spark, d):
-    folded = folds.fold(by_type(spark, d))
+    folded = folds.fold(by_type(spark, d), ("atr",))
     candles = folded.withColumn("at", F.row_number().over(Window.partitionBy("sym").orderBy("ts")).cast("long") - 1)
     two = phase_trades.sweep(folded, (2.0,))
     out = phase_trades.accumulate(phase_trades.positions(two, candles), phase_trades.breaks(two), candles)

@@ -57,6 +57,11 @@ def daily_lineitem(lineitem: DataFrame) -> DataFrame:
     return bucketed(lineitem, F.col("l_returnflag"), F.date_trunc("day", "l_shipdate"), "l_extendedprice", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], F.sum("l_quantity"))
 
 
+def daily_orders(orders: DataFrame, groups: int = 20) -> DataFrame:
+    """Prices of orders by day, a series for each of groups groups of customers."""
+    return bucketed(orders, F.pmod("o_custkey", F.lit(groups)).cast("string"), F.date_trunc("day", "o_orderdate"), "o_totalprice", ["o_orderdate", "o_orderkey"], F.count("*"))
+
+
 def open_bounded(candles: DataFrame, n: int) -> DataFrame:
     """The first n candles in time; none where n <= 0."""
     return candles.orderBy("ts", "sym").limit(max(n, 0))
