@@ -194,7 +194,7 @@ def fold(candles: DataFrame, columns: Sequence[str] = COLUMNS, size: int = CHUNK
         return series(pdf, columns)[own]
 
     schema = "sym string, ts timestamp, open double, high double, low double, close double, volume double, " + ", ".join(f"{c} double" for c in columns)
-    return copies(numbered(candles.select(*CANDLE)), WARM, 0, size).groupBy("sym", "chunk").applyInPandas(chunk, schema)
+    return copies(numbered(candles.select(*CANDLE), total="n"), WARM, 0, size, "n").groupBy("sym", "chunk").applyInPandas(chunk, schema)
 
 
 class Phases:
@@ -216,12 +216,13 @@ class Phases:
         if (self.extreme - close) * sign > smoothing:
             self.rising, self.extreme, sign = not self.rising, close, -sign
         near = (self.extreme - close) * sign <= smoothing / 2
+        was = self.direction
         self.label = ("Peak" if self.rising else "Valley") if near else "Transition"
         self.direction = "None" if near else "Up" if self.rising else "Down"
         if self.label == self.phase:
             return None
         c = self.closes
-        done = {"label": self.phase, "start_candle": self.start, "end_candle": i, "duration": len(c), "close_min": min(c), "close_max": max(c), "close_avg": sum(c) / len(c), "close_open": c[0], "close_final": c[-1], "volume_avg": sum(self.volumes) / len(c)}
+        done = {"label": self.phase, "direction": was, "start_candle": self.start, "end_candle": i, "duration": len(c), "close_min": min(c), "close_max": max(c), "close_avg": sum(c) / len(c), "close_open": c[0], "close_final": c[-1], "volume_avg": sum(self.volumes) / len(c)}
         self.phase, self.start, self.closes, self.volumes = self.label, i, [close], [volume]
         self.generation += 1
         return done
@@ -252,6 +253,6 @@ def phase_records(folded: DataFrame) -> DataFrame:
         for i, (c, v, a) in enumerate(zip(pdf["close"], pdf["volume"], pdf["atr"], strict=True)):
             if (done := state.step(i, c, v, 2.0 * a)) is not None:
                 out.append({"sym": pdf["sym"].iloc[0]} | done)
-        return pd.DataFrame(out, columns=["sym", "label", "start_candle", "end_candle", "duration", "close_min", "close_max", "close_avg", "close_open", "close_final", "volume_avg"])
+        return pd.DataFrame(out, columns=["sym", "label", "direction", "start_candle", "end_candle", "duration", "close_min", "close_max", "close_avg", "close_open", "close_final", "volume_avg"])
 
-    return folded.select("sym", "ts", "close", "volume", "atr").groupBy("sym").applyInPandas(close, "sym string, label string, start_candle long, end_candle long, duration long, close_min double, close_max double, close_avg double, close_open double, close_final double, volume_avg double")
+    return folded.select("sym", "ts", "close", "volume", "atr").groupBy("sym").applyInPandas(close, "sym string, label string, direction string, start_candle long, end_candle long, duration long, close_min double, close_max double, close_avg double, close_open double, close_final double, volume_avg double")

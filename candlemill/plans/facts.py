@@ -205,15 +205,15 @@ def scale_tracker(spark, d):
 # --- phases --------------------------------------------------------------------------------------------------------
 
 # A phase takes in the row that ends it: the rows of one generation and the first of the next.
-_RECORDS = ORACLES["phase_labels"].rsplit(") select j.sym", 1)[0] + """), pr as (select j.sym, j.i, j.close, ph.label, ph.generation from ph join j on j.sym = ph.sym and j.i = ph.i),
+_RECORDS = ORACLES["phase_labels"].rsplit(") select j.sym", 1)[0] + """), pr as (select j.sym, j.i, j.close, ph.label, ph.direction, ph.generation from ph join j on j.sym = ph.sym and j.i = ph.i),
 vo as (select sym, row_number() over (partition by sym order by ts) as i, volume from c), pv as (select pr.*, vo.volume from pr join vo using (sym, i)),
 sp as (select sym, generation, any_value(label) as label, min(i) as a from pv group by 1, 2), en as (select sp.*, lead(a) over (partition by sym order by generation) as b from sp),
-rc as materialized (select en.sym, en.generation, en.label, en.a - 1 as start_candle, en.b - 1 as end_candle, count(*) as duration, min(pv.close) as close_min, max(pv.close) as close_max, avg(pv.close) as close_avg, arg_min(pv.close, pv.i) as close_open, arg_max(pv.close, pv.i) as close_final, avg(pv.volume) as volume_avg
+rc as materialized (select en.sym, en.generation, en.label, arg_max(pv.direction, pv.i) filter (pv.i < en.b) as direction, en.a - 1 as start_candle, en.b - 1 as end_candle, count(*) as duration, min(pv.close) as close_min, max(pv.close) as close_max, avg(pv.close) as close_avg, arg_min(pv.close, pv.i) as close_open, arg_max(pv.close, pv.i) as close_final, avg(pv.volume) as volume_avg
     from en join pv on pv.sym = en.sym and pv.i between en.a and en.b where en.b is not null group by en.sym, en.generation, en.label, en.a, en.b)
 """
 
 
-@query(_RECORDS + "select sym, label, start_candle, end_candle, duration, " + ", ".join(f"round({c}, 6) as {c}" for c in ("close_min", "close_max", "close_avg", "close_open", "close_final", "volume_avg")) + " from rc")
+@query(_RECORDS + "select sym, label, direction, start_candle, end_candle, duration, " + ", ".join(f"round({c}, 6) as {c}" for c in ("close_min", "close_max", "close_avg", "close_open", "close_final", "volume_avg")) + " from rc")
 def phase_records(spark, d):
     return rounded(folds.phase_records(folds.fold(by_type(spark, d), ("atr",))))
 

@@ -4,9 +4,11 @@ the definitions: swings are range-joined to each candle and runs are numbered an
 from __future__ import annotations
 
 
-from candlemill.operators import patterns, predicates
+from pyspark.sql import functions as F
+
+from candlemill.operators import folds, patterns, phase_rhythm, predicates
 from candlemill.plans.catalogue import BY_TYPE, by_type, over, query, rounded, table
-from candlemill.plans.facts import FOLDS
+from candlemill.plans.facts import _RECORDS, FOLDS
 from candlemill.sources.candles import daily_orders
 
 _LEGS = ("ab_xa", "bc_ab", "cd_ab", "ad_xa")
@@ -106,3 +108,38 @@ _CROSSED = " union all ".join(
 @query(f"{_RICH}, ev as ({_CROSSED}) select rc.sym, rc.ts, predicate, a, b, (rc.i - ev.i)::int as bars from ev join rc on rc.sym = ev.sym and rc.i between ev.i + 1 and ev.i + 12")
 def predicate_since(spark, d):
     return predicates.since(predicates.fields(by_type(spark, d)))
+
+
+# --- rhythm of phases ----------------------------------------------------------------------------------------------
+
+
+def _delta(a: str, b: str) -> str:
+    return f"case when abs({b}) > 0.0001 then ({a} - {b}) / abs({b}) when {b} is not null then 0 end"
+
+
+_FACTS_SQL = _RECORDS + f""", fx as (select *, case when label <> 'Transition' then lower(label) when direction = 'None' then 'transition' else 'transition-' || lower(direction) end as kind,
+    case when close_open > 0 then (close_final - close_open) / close_open else 0 end as mv, case when close_avg > 0 then (close_max - close_min) / close_avg else 0 end as rg, end_candle - 2016 as cut from rc),
+pq as (select a.*, (select count(*) from fx m where m.sym = a.sym and m.start_candle <= a.start_candle and m.start_candle >= a.cut) as phases,
+    lag(start_candle) over p >= cut as has_p, lag(duration) over p as pd, lag(mv) over p as pm, lag(volume_avg) over p as pv, lag(start_candle) over s >= cut as has_s, lag(duration) over s as sd, lag(mv) over s as sm, lag(volume_avg) over s as sv
+    from fx a window p as (partition by sym order by start_candle), s as (partition by sym, kind order by start_candle)),
+ff as (select sym, end_candle, phases, kind, duration::double as rec_duration, mv as rec_move, rg as rec_range, volume_avg as rec_volume,
+    case when has_p then {_delta('duration', 'pd')} end as prior_duration_delta, case when has_p then mv - pm end as prior_move_delta, case when has_p then {_delta('volume_avg', 'pv')} end as prior_volume_delta,
+    case when has_s then mv - sm end as same_move_delta, case when has_s then {_delta('duration', 'sd')} end as same_duration_delta, case when has_s then {_delta('volume_avg', 'sv')} end as same_volume_delta from pq)
+select n.sym, n.ts, phases, kind, {', '.join(f'round({x}::double, 6) + 0 as {x}' for x in phase_rhythm.NAMES)} from n asof left join ff on ff.sym = n.sym and n.i - 1 >= ff.end_candle"""
+
+
+@query(_FACTS_SQL)
+def phase_rhythm_facts(spark, d):
+    """At each candle the facts of the phase that closed last, and how many phases are in memory."""
+    base = by_type(spark, d)
+    h = phase_rhythm.histories(folds.phase_records(folds.fold(base, ("atr",)))).withColumn("last", F.element_at("history", -1))
+    facts = h.select("sym", "end_candle", F.size("history").alias("phases"), "last.*")
+    return rounded(phase_rhythm.at_candles(base, facts, ["phases", "kind", *phase_rhythm.NAMES]))
+
+
+@query()
+def phase_rhythms(spark, d):
+    """At each candle the rhythm of the phases closed by then, at the full width, as a digest."""
+    base = by_type(spark, d)
+    r = phase_rhythm.rhythms(folds.phase_records(folds.fold(base, ("atr",))))
+    return phase_rhythm.at_candles(base, r.select("sym", "end_candle", "phases", F.sha2("rhythm", 256).alias("rhythm")), ["phases", "rhythm"])

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from candlemill.operators import folds, patterns, predicates, series
 
@@ -94,7 +95,7 @@ def test_chunks_of_a_series_change_nothing(spark):
     g = np.random.default_rng(4)
     closes = (100 + g.normal(size=700).cumsum() + 8 * np.sin(np.arange(700) / 7)).tolist()
     df = candles(spark, closes)
-    numbered = series.numbered(df, span=86_400).toPandas().sort_values("ts")
+    numbered = series.numbered(df, slot=F.floor(F.unix_seconds("ts") / 86_400)).toPandas().sort_values("ts")
     assert numbered["i"].tolist() == list(range(700))
     plain = patterns.chunked
     for f in (lambda d: patterns.harmonics(d, window=90), patterns.regime_extras):
@@ -116,7 +117,7 @@ def test_a_long_series_is_folded_in_chunks(spark):
     got = folds.fold(df, columns, size=1000).toPandas().sort_values("ts").reset_index(drop=True)
     pd.testing.assert_frame_equal(got.drop(columns="squeeze"), want.drop(columns="squeeze"), rtol=1e-10, atol=1e-12)
     pd.testing.assert_series_equal(got["squeeze"], want["squeeze"], rtol=1e-8)  # a running deviation of pandas, itself inexact
-    chunks = series.copies(series.numbered(df), folds.WARM, 0, 1000).groupBy("chunk").count().toPandas()
+    chunks = series.copies(series.numbered(df, total="n"), folds.WARM, 0, 1000, "n").groupBy("chunk").count().toPandas()
     assert chunks["count"].max() <= 1000 + folds.WARM and len(chunks) == 9  # no task has the series
 
 
