@@ -61,6 +61,15 @@ def histories(records: DataFrame, max_age: int = MAX_AGE, size: int = CHUNK) ->
     return df.select("sym", "end_candle", kept.alias("history"))
 
 
+def means(records: DataFrame, max_age: int = MAX_AGE, size: int = CHUNK) -> DataFrame:
+    """sym, end_candle, phase_avg: as of each closed phase, the mean of close_avg over the phases in memory."""
+    df = copies(records.select("sym", "start_candle", "end_candle", "close_avg", F.col("start_candle").alias("i")), max_age, 0, size)
+    near = Window.partitionBy("sym", "chunk").orderBy("start_candle").rangeBetween(-max_age, 0)
+    df = df.withColumn("_all", F.collect_list(F.struct("start_candle", "close_avg")).over(near)).where("own")
+    kept = F.filter("_all", lambda r: r["start_candle"] >= F.col("end_candle") - max_age)
+    return df.select("sym", "end_candle", F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda s, r: s + r["close_avg"]) / F.nullif(F.size(kept), F.lit(0))).alias("phase_avg"))
+
+
 def _atoms(df: DataFrame, d: int) -> dict[str, np.ndarray]:
     """The atoms of all names, one row of them."""
     names = ["phase", "phase-rhythm", "phase-rhythm-empty", *LABELS, *(n for n, _, _ in FACTS)]

@@ -3,12 +3,16 @@ windows what Spark folds in part: the account as a recursive query."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from candlemill.functions import vectors as V
-from candlemill.operators import folds, papers, portfolio, rhythms, vocabulary
+from candlemill.operators import folds, papers, phase_rhythm, portfolio, rhythms, vocabulary
+from candlemill.operators.series import as_of
 from candlemill.plans.catalogue import BY_TYPE, by_type, query, rounded
+from candlemill.plans.facts import _RECORDS
 
 HORIZON, EVERY, TRAIL, STOP, ATR = 48, 24, 0.05, 0.3, 0.02
 
@@ -49,16 +53,14 @@ def paper_states(spark, d):
     """Live papers with the phases that closed before each row, as the atoms read them."""
     records = folds.phase_records(folds.fold(by_type(spark, d), ("atr",)))
     live = papers.trailing(walked(spark, d)).where("resolved_at is null or at < resolved_at")
-    closed = records.select(F.col("sym").alias("r_sym"), "label", "start_candle", F.col("end_candle").alias("closed_at"), "close_avg")
-    # Of all phases closed by a row: a running mean. Of those since the entry: phases that start and close within the paper's rows.
-    by = Window.partitionBy("r_sym").orderBy("closed_at").rowsBetween(Window.unboundedPreceding, 0)
-    means = closed.withColumn("phase_avg", F.avg("close_avg").over(by)).withColumn("until", F.coalesce(F.lead("closed_at").over(Window.partitionBy("r_sym").orderBy("closed_at")) - 1, F.col("closed_at") + 1_000_000))
-    spans = means.select("r_sym", F.explode(F.sequence("closed_at", F.least("until", F.col("closed_at") + 5000))).alias("r_at"), "phase_avg")
+    closed = records.select(F.col("sym").alias("r_sym"), "label", "start_candle", F.col("end_candle").alias("closed_at"))
+    # Of phases closed by a row and in memory: their mean as of the last of them. Of those since the entry: phases that start and close within the paper's rows.
+    means = phase_rhythm.means(records).withColumnRenamed("end_candle", "at")
     counts = live.select("sym", "paper", "opened", "at").join(closed, (F.col("sym") == F.col("r_sym")) & (F.col("at") == F.col("closed_at")), "left")
     inside = (F.col("start_candle") >= F.col("opened")).cast("int")
     upto = Window.partitionBy("sym", "paper").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.select("sym", "paper", "at", F.coalesce(F.sum(inside).over(upto), F.lit(0)).alias("phases_since"), F.coalesce(F.sum(inside * (F.col("label") == "Peak").cast("int")).over(upto), F.lit(0)).alias("phases_survived"))
-    out = live.join(counts, ["sym", "paper", "at"]).join(spans, (F.col("sym") == F.col("r_sym")) & (F.col("at") == F.col("r_at")), "left")
+    out = as_of(live.join(counts, ["sym", "paper", "at"]), means, ["phase_avg"], at="at")
     return vocabulary.trade_state(out.withColumn("signaled", F.col("signaled").cast("double")))
 
 
@@ -80,7 +82,14 @@ def trade_atoms(spark, d):
     return rounded(vocabulary.trade_atoms(paper_states(spark, d)).where("place <= 10"))
 
 
-@query()
+_PHASE_ATOMS = [("phases-since-entry", "log", "greatest(since, 1)", 1.0, 100.0), ("phases-survived", "log", "greatest(survived, 1)", 1.0, 100.0), ("entry-vs-phase-avg", "linear", "case when entry = 0 or phase_avg is null then 0 else (entry - phase_avg) / entry end", -1.0, 1.0)]
+_WALK = re.sub(r"\bn\b", "np", _TRAIL[_TRAIL.index("w(sym, paper") :])
+
+
+@query(f"""{_RECORDS}, np as (select sym, i - 1 as pos, close from n), {_WALK}, lv as (select * from w where not ended),
+hm as (select e.sym, e.end_candle, avg(m.close_avg) as phase_avg from rc e join rc m on m.sym = e.sym and m.end_candle <= e.end_candle and m.start_candle >= e.end_candle - 2016 group by 1, 2),
+ct as (select lv.sym, lv.paper, lv.pos, count(rc.sym) as since, count(*) filter (rc.label = 'Peak') as survived from lv left join rc on rc.sym = lv.sym and rc.start_candle >= lv.paper and rc.end_candle <= lv.pos group by 1, 2, 3),
+q as (select lv.*, ct.since, ct.survived, hm.phase_avg from lv join ct using (sym, paper, pos) asof left join hm on hm.sym = lv.sym and lv.pos >= hm.end_candle) """ + " union all ".join(_atom(i, *a) for i, a in enumerate(_PHASE_ATOMS, 11)))
 def trade_atoms_phases(spark, d):
     return rounded(vocabulary.trade_atoms(paper_states(spark, d)).where("place > 10"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from candlemill.functions import vectors as V
 from candlemill.operators import folds, learning, simulator, treasury
+from candlemill.operators.series import numbered
 from candlemill.plans.catalogue import _SIMULATED, BY_TYPE, SIGNS, by_type, labelled, outcomes, query, rounded, signs, table
 from candlemill.plans.facts import FOLDS
 
@@ -77,11 +78,15 @@ def engram_gate(spark, d):
 w as (select query, vec_id % 10 / 100.0 as dist, case when list_cosine_similarity(r, q) > 0 then list_cosine_similarity(r, q) * greatest(vec_id % 3 / 50.0, 0.01) end as w from m where back <= 100)
 select query, round(case when coalesce(sum(w), 0) < 1e-10 then 0.015 else sum(w * dist) / sum(w) end, 6) as distance, count(w) as used from w group by 1""")
 def learned_stop(spark, d):
-    """Each two-hundredth vector asks the hundred last ones of its own two hundred and of those before."""
-    s = signs(spark, d).select("vec_id", "r")
+    """Each two-hundredth vector asks the hundred last ones of its own two hundred and of those before, in the order of ids: they
+    are the rows up to the last of its block, by their numbers, however far back their ids lie."""
+    s = signs(spark, d).select("vec_id", "r").withColumn("all", F.lit(0))
+    s = numbered(s, key="all", order="vec_id", out="place", slot=F.floor(F.col("vec_id") / 10_000))
     block = F.floor(F.col("vec_id") / 200)
-    asked = s.where("vec_id % 200 = 0").select(F.col("vec_id").alias("query"), F.col("r").alias("q"), F.explode(F.array(block - 1, block)).alias("block"))
-    m = s.withColumn("block", block).join(asked, "block").where("vec_id <> query")
+    ends = s.groupBy(block.alias("block")).agg(F.max("place").alias("end"))
+    asked = s.where("vec_id % 200 = 0").select(F.col("vec_id").alias("query"), F.col("r").alias("q"), block.alias("block")).join(ends, "block")
+    reached = asked.select("query", "q", F.explode(F.sequence(F.greatest(F.lit(0), F.col("end") - 100), F.col("end"))).alias("place"))
+    m = s.join(reached, "place").where("vec_id <> query")
     m = m.select("query", F.col("vec_id").alias("i"), (F.col("vec_id") % 10 / 100.0).alias("distance"), (F.col("vec_id") % 3 / 50.0).alias("weight"), "q", "r")
     return rounded(learning.learned_stop(m, V.cosine(F.col("r"), F.col("q")), most=100))
 
@@ -126,17 +131,15 @@ def label_trails(spark, d):
     return rounded(simulator.label_trails(outcomes(spark, d), rows))
 
 
-@query("""with recursive p as (select o_orderkey as id, o_orderpriority as source, o_totalprice / 40000000 as edge from orders), k as (select *, row_number() over (partition by source order by edge desc, id) as k from p where edge >= 0.007),
-f(source, k, id, avail, amount) as (select source, 0::bigint, null::bigint, case source when '1-URGENT' then 1000000.0::double when '2-HIGH' then 0.0::double else 500000.0::double end, null::double from (select distinct source from p where source <> '5-LOW')
-    union all select f.source, k.k, k.id, greatest(f.avail - f.avail / 1.007::double, 0), case when f.avail > 0 then f.avail / 1.007::double end from f join k on k.source = f.source and k.k = f.k + 1 where f.k < 60)
-select p.id, p.source, round(p.edge, 6) as edge, round(f.amount, 6) + 0 as amount, case when p.edge < 0.007 then 'edge below venue cost' when f.amount is null then 'insufficient capital' end as reason from p left join k using (id) left join f on f.id = p.id where k.k is null or k.k <= 60""")
+@query("""with p as (select o_orderkey as id, o_orderpriority as source, o_totalprice / 40000000 as edge from orders),
+c(source, capital) as (values ('1-URGENT', 1000000.0::double), ('2-HIGH', 0.0), ('3-MEDIUM', 500000.0), ('4-NOT SPECIFIED', 500000.0)), k as (select *, case when edge >= 0.007 then row_number() over (partition by source, edge >= 0.007 order by edge desc, id) end as k from p),
+l as (select k.*, coalesce(capital, 0) * pow(0.007::double / 1.007, k - 1) as held from k left join c using (source))
+select id, source, round(edge, 6) as edge, round(case when held > 0 then held / 1.007 end, 6) + 0 as amount, case when edge < 0.007 then 'edge below venue cost' when held > 0 then null else 'insufficient capital' end as reason from l""")
 def proposal_funding(spark, d):
-    """By order priority as source; the sixty best of each."""
+    """By order priority as source."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"), (F.col("o_totalprice") / 40_000_000).alias("edge"))
     capital = spark.createDataFrame([("1-URGENT", 1e6), ("2-HIGH", 0.0), ("3-MEDIUM", 5e5), ("4-NOT SPECIFIED", 5e5)], "source string, amount double")
-    place = F.row_number().over(Window.partitionBy("source", F.col("edge") >= 0.007).orderBy(F.desc("edge"), "id"))
-    f = treasury.fund(o, capital, 0.0035).withColumn("_p", place).where("_p <= 60 or edge < 0.007").drop("_p")
-    return rounded(f)
+    return rounded(treasury.fund(o, capital, 0.0035))
 
 
 def service_requests(spark, d):

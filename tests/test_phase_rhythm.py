@@ -87,3 +87,14 @@ def test_as_of_equals_a_scalar_search_over_chunks(spark):
             past = [(j, v) for t, j, v in events if t == s and j <= i]
             want.append((str(s), i, max(past)[1] if past else -1))
         assert got == sorted(want)
+
+
+def test_phase_means_reach_over_phases_of_any_length_and_forget(spark):
+    """A phase of 6,000 candles: the mean holds to its end, where a span of rows would have run out."""
+    rows = [("s", "Valley", 0, 10, 5.0), ("s", "Peak", 10, 6010, 9.0), ("s", "Valley", 6010, 6020, 2.0), ("s", "Peak", 6020, 6030, 4.0)]
+    records = spark.createDataFrame(rows, "sym string, label string, start_candle long, end_candle long, close_avg double")
+    means = {r.end_candle: r.phase_avg for r in phase_rhythm.means(records, size=500).collect()}
+    assert means == {10: 5.0, 6010: None, 6020: 2.0, 6030: 3.0}  # a phase older than the memory at its own end leaves nothing
+    live = spark.createDataFrame([("s", i) for i in (0, 10, 5900, 6009, 6010, 6025, 9000)], "sym string, at long")
+    got = {r.at: r.phase_avg for r in series.as_of(live, phase_rhythm.means(records).withColumnRenamed("end_candle", "at"), ["phase_avg"], at="at", size=500).collect()}
+    assert got == {0: None, 10: 5.0, 5900: 5.0, 6009: 5.0, 6010: None, 6025: 2.0, 9000: 3.0}
