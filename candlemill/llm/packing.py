@@ -11,6 +11,7 @@ sequence. Texts of any length are cut freely. Only the id and text columns are r
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -66,7 +67,8 @@ class Encoder:
     """Token ids of texts as little-endian bytes, word by word: the tokenizer drops white space before it merges, so a
     text's ids are those of its words.
 
-    Words are remembered until a limit, others are encoded again. Words of letters alone are encoded many at once and told
+    The vocabulary's control strings, such as an end mark in a text, are their own ids, as the tokenizer has it; what stands
+    between them is encoded as a text of its own. Words are remembered until a limit, others are encoded again. Words of letters alone are encoded many at once and told
     apart by the ids that end a word.
     """
 
@@ -78,7 +80,8 @@ class Encoder:
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        controls = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.tokenizer.encode_special_tokens = True  # for words: the texts' own control strings are taken out before
         # The merges alone, for words that are one run of letters: cheaper, as nothing is normalised or split.
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = WhitespaceSplit()
@@ -86,6 +89,8 @@ class Encoder:
         self.width = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.controls = {c: np.array([i], self.width).tobytes() for c, i in controls.items()}
+        self.control = re.compile(b"(" + b"|".join(map(re.escape, sorted(controls, reverse=True))) + b")") if controls else None
         self.known: dict[bytes, bytes] = {}
 
     def _merge(self, words: list[bytes], texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
@@ -128,7 +133,14 @@ class Encoder:
         return found
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text. Upper case is dropped first, as the tokenizer would."""
+        """The ids of each text."""
+        parts = [self.control.split(t) if self.control and self.control.search(t) else [t] for t in texts]
+        made = self._plain([p for split in parts for p in split[::2]])  # every other part is a control string
+        for split in parts:
+            yield b"".join(self.controls[p] if k % 2 else next(made) for k, p in enumerate(split))
+
+    def _plain(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of texts without control strings. Upper case is dropped first, as the tokenizer would."""
         split = [t.lower().split() for t in texts]
         found = [list(map(self.known.get, words)) for words in split]
         gaps: list[list[int]] = []

@@ -5,9 +5,12 @@ record, and the row separator ends it. Compressed archives hold one gzip member
 gzip member; plain ones end each record with the two line ends that the format asks for.
 
 The reader asks for what WARC requires: version, type, length and line ends. It checks gzip's own sums, and digests where
-present and of a known algorithm; all record types pass. The whole records of a faulty member come before its gap. After
-a failed check it searches for the next gzip member or version line at which a whole record starts, goes on from there,
-and reports the bytes in between as a gap row with offset, length and reason.
+present and of a known algorithm; all record types pass. After a failed check it searches for the next gzip member or version
+line at which a whole record starts, goes on from there, and reports the bytes in between as a gap row with offset,
+length and reason. A search takes time in proportion to the bytes it passes. What comes out of a member whose sum fails is
+suspect: such a record keeps its type and, where its digest holds, its payload, but neither ids nor url, which no sum
+protects; it has no length of its own, as the gap row that follows covers the member's bytes. An archive is read whole by a task,
+so one may take up to 2 GB.
 
 Contract for odd input: a null payload is an empty one; a null url is left out; a row without an id is written without
 one and, where its payload has been seen under an id, is a revisit. A row repeated whole is written as often, always
@@ -35,7 +38,7 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + bytes(8)
 _CHUNK = 1 << 15
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-RECORD_SCHEMA = "archive string, offset long, length long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, gap string"
+RECORD_SCHEMA = "archive string, offset long, length long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, gap string, suspect boolean"
 
 
 def _urn(page_id: int | None, digest: str) -> str:
@@ -108,23 +111,69 @@ def _agrees(digest: str, payload: bytes) -> bool:
     return value.lower() == made.hexdigest() or value.upper().rstrip("=") == base64.b32encode(made.digest()).decode().rstrip("=")
 
 
-def _record(data: bytes, at: int) -> tuple[dict, int]:
+_VERSION = re.compile(rb"WARC/1\.[0-9]{1,3}\r\n")
+
+
+class _Seen:
+    """What earlier attempts have found, so that many false starts before one header cost no more than one of them: the next
+    blank line, and up to which place any start before it fails as the last one did."""
+
+    def __init__(self) -> None:
+        self.blank, self.stop, self.until, self.why = -1, -1, -1, ""
+
+
+def _header(data: bytes, at: int, stop: int) -> tuple[dict[str, str], dict[str, int]]:
+    """Fields, and where the line of each begins; ValueError with the place of the first line that is none."""
+    fields: dict[str, str] = {}
+    where: dict[str, int] = {}
+    last = ""
+    while at < stop:
+        end = data.find(b"\r\n", at, stop)
+        end = stop if end < 0 else end
+        line = data[at:end]
+        if line[:1] in (b" ", b"\t") and last:  # a folded line
+            fields[last] += " " + line.strip().decode("utf-8", "replace")
+        else:
+            name, colon, value = line.partition(b":")
+            if not colon:
+                raise ValueError(at)
+            last = name.strip().lower().decode("latin-1")
+            fields[last], where[last] = value.strip().decode("utf-8", "replace"), at
+        at = end + 2
+    return fields, where
+
+
+#: The fields that a record's checks read.
+_READ = ("content-length", "warc-type", "content-type", "warc-payload-digest", "warc-segment-number", "x-payload-length", "x-page", "x-refers-to-page")
+
+
+def _record(data: bytes, at: int, seen: _Seen) -> tuple[dict, int]:
     """The record that starts at data[at] and the position after it; ValueError says which check failed."""
-    if not data.startswith(b"WARC/1.", at):
+    m = _VERSION.match(data, at)
+    if m is None:
         raise ValueError("no version line")
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
+    first = m.end()
+    if seen.blank < first - 2:
+        found = data.find(b"\r\n\r\n", first - 2)
+        seen.blank = len(data) if found < 0 else found
+    stop = seen.blank
+    if stop == len(data):
         raise ValueError("header without end")
-    fields = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
-        if line[:1] in (b" ", b"\t") and fields:  # a folded line
-            fields[last] += " " + line.strip().decode("utf-8", "replace")
-            continue
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise ValueError("bad header line")
-        last = name.strip().lower().decode("latin-1")
-        fields[last] = value.strip().decode("utf-8", "replace")
+    if stop == seen.stop and first <= seen.until:  # the same lines decide
+        raise ValueError(seen.why)
+    try:
+        fields, where = _header(data, first, stop)
+    except ValueError as e:
+        seen.stop, seen.until, seen.why = stop, e.args[0], "bad header line"
+        raise ValueError(seen.why) from None
+    try:
+        return _body(data, stop, fields)
+    except ValueError as e:
+        seen.stop, seen.until, seen.why = stop, min((where[f] for f in _READ if f in where), default=stop), str(e)
+        raise
+
+
+def _body(data: bytes, stop: int, fields: dict[str, str]) -> tuple[dict, int]:
     try:
         length, kind = int(fields["content-length"]), fields["warc-type"]
         digest, size = fields.get("warc-payload-digest"), fields.get("x-payload-length")
@@ -172,11 +221,11 @@ def _member(data: bytes, at: int) -> tuple[list[dict], int | None, str]:
     after = None
     if not why and z.eof:
         after = end - len(z.unused_data)
-    plain, found, i = b"".join(parts), [], 0
+    plain, found, i, seen = b"".join(parts), [], 0, _Seen()
     why = why or ("" if after else "member cut off")
     while 0 <= i < len(plain):
         try:
-            r, i = _record(plain, i)
+            r, i = _record(plain, i, seen)
             found.append(r)
         except ValueError as e:
             why = why or str(e)
@@ -188,8 +237,9 @@ _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 
 
 def salvage(data: bytes) -> Iterator[dict]:
-    """Records and gaps of an archive, in order; their offsets and lengths cover all its bytes but empty members."""
-    at, bad, why = 0, None, ""
+    """Records and gaps of an archive, in order; their offsets and lengths cover all its bytes but empty members, each
+    once; the records of one member share its place."""
+    at, bad, why, seen = 0, None, "", _Seen()
     while at < len(data):
         try:
             if data.startswith(b"\x1f\x8b\x08", at):
@@ -197,7 +247,7 @@ def salvage(data: bytes) -> Iterator[dict]:
                 if fault and not found:
                     raise ValueError(fault)
             else:
-                one, end = _record(data, at)
+                one, end = _record(data, at, seen)
                 found, fault = [one], ""
         except ValueError as e:
             if bad is None:
@@ -211,7 +261,7 @@ def salvage(data: bytes) -> Iterator[dict]:
         m = None if end else _START.search(data, at + 1)
         end = end or (m.start() if m else len(data))
         for r in found:
-            yield r | {"offset": at, "length": end - at}
+            yield r | ({"offset": at, "length": 0, "suspect": True, "page_id": None, "url": None, "refers_to": None} if fault else {"offset": at, "length": end - at, "suspect": False})
         if fault:
             yield {"offset": at, "length": end - at, "gap": fault}
         at = end
@@ -222,7 +272,7 @@ def salvage(data: bytes) -> Iterator[dict]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archives below path, and one for each gap: see RECORD_SCHEMA; gap is null for records."""
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
-    types = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in RECORD_SCHEMA.split(", ")]
+    types = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}[x.split()[1]] for x in RECORD_SCHEMA.split(", ")]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows: list[dict]) -> pa.RecordBatch:

@@ -141,12 +141,11 @@ def reference_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def test_encoder_matches_the_tokenizer():
-    odd = ["a-b. a_b, _x_ __ ~~ é- ñ!! é. x.. 5%%% a5# ΑΣ. ΟΔΟΣ ÄÖ!! ﬁ, ǅ. K. Å, İ. <|endoftext|> a<|startoftext|> ŉ. É’s. ½% 中文. かな, é. ́x", "don't 's 't we'll I'M", "x" * 300 + " " + "ab" * 40 + ",", "\x00\x01 a b c ퟿", "", " \n"]
+    odd = ["a-b. a_b, _x_ __ ~~ é- ñ!! é. x.. 5%%% a5# ΑΣ. ΟΔΟΣ ÄÖ!! ﬁ, ǅ. K. Å, İ. <|endoftext|> a<|startoftext|> ŉ. É’s. ½% 中文. かな, é. ́x", "don't 's 't we'll I'M", "a<|endoftext|>B <|startoftext|><|endoftext|> <|ENDOFTEXT|> é<|endoftext|>\u0301x <|endoftext|>'s <|end<|endoftext|>oftext|>\n", "<|endoftext|>", "x" * 300 + " " + "ab" * 40 + ",", "\x00\x01 a b c ퟿", "", " \n"]
     texts = [r[1] or "" for r in fixtures.rows()] + odd
     e = packing.Encoder(tokenizer_path())
     for some in (texts, texts[::-1]):  # again from memory
