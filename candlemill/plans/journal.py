@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from candlemill.operators import journal, trees
+from candlemill.operators import forms, journal, trees
 from candlemill.operators.series import numbered
-from candlemill.plans.catalogue import query, table
+from candlemill.plans.catalogue import BY_TYPE, by_type, query, table
 
 BLOCK = 256
 
@@ -116,3 +116,45 @@ def tree_texts(spark, d):
 def tree_leaves(spark, d):
     f = trees.flatten(customers(spark, d))
     return f.select("tree", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "value")
+
+
+# --- forms ---------------------------------------------------------------------------------------------------------
+
+
+def form_nodes(spark, d):
+    """Each day of a kind of event as a form: a bundle of when it was, how much came, and the sequence of its closes."""
+    c = by_type(spark, d)
+    day = F.date_trunc("day", "ts")
+    g = c.groupBy("sym", day.alias("day")).agg(F.sum("volume").alias("n"), F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("l"))
+    form = F.concat_ws(" ", "sym", F.date_format("day", "yyyy-MM-dd"))
+    node = lambda n, up, place, kind, name=None, *args: F.struct(F.lit(n).alias("node"), F.lit(up).alias("parent"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), F.lit(name).cast("string").alias("name"), F.array(*args).cast("array<double>").alias("args"))
+    fixed = [
+        node("r", None, 0, "bundle"), node("w", "r", 0, "bind"), node("wn", "w", 0, "atom", "day-of-week"), node("wv", "w", 1, "circular", None, F.dayofweek("day") - 1, F.lit(7)),
+        node("v", "r", 1, "bind"), node("vn", "v", 0, "atom", "volume"), node("vv", "v", 1, "log", None, F.col("n")), node("s", "r", 2, "sequential"), node("q", "r", 3, "bundle"), node("qm", "q", 0, "atom", "mark"), node("qp", "q", 1, "permute", None, F.lit(2)), node("qa", "qp", 0, "atom", "event"),
+    ]
+    closes = F.transform("l", lambda x, i: F.struct(F.concat(F.lit("c"), i.cast("string")).alias("node"), F.lit("s").alias("parent"), i.alias("place"), F.lit("linear").alias("kind"), F.lit(None).cast("string").alias("name"), F.array(x["close"], F.lit(500.0)).alias("args")))
+    return g.select(form.alias("form"), F.explode(F.concat(F.array(*fixed), closes)).alias("x")).select("form", "x.*")
+
+
+_NUM = r"regexp_replace(round({}::double, 4)::decimal(30,4)::varchar, '\.?0+$', '')".format
+_FORMS = f"""with {BY_TYPE}, x as (select sym || ' ' || strftime(ts, '%Y-%m-%d') as form, dayofweek(date_trunc('day', ts)) as w, volume, close, ts from c),
+g as (select form, any_value(w) as w, sum(volume) as n, list('(linear ' || {_NUM('close')} || ' 500)' order by ts) as cl from x group by 1)"""
+_EDN = f"""'(bundle\n  (bind\n    (atom "day-of-week")\n    (circular ' || {_NUM('w')} || ' 7))\n  (bind\n    (atom "volume")\n    (log ' || {_NUM('n')} || '))\n  (sequential' || list_aggregate(list_transform(cl, lambda y: '\n    ' || y), 'string_agg', '') || ')\n  (bundle\n    (atom "mark")\n    (permute\n      (atom "event")\n      2)))'"""
+
+
+@query(f"{_FORMS} select form, length({_EDN}) as chars, sha256({_EDN}) as digest from g")
+def form_texts(spark, d):
+    t = forms.to_edn(form_nodes(spark, d))
+    return t.select("form", F.length("text").cast("long").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+@query(f"""{_FORMS}, f as (select form, unnest(list_concat(cl, ['(bind\n  (atom "day-of-week")\n  (circular ' || {_NUM('w')} || ' 7))', '(bind\n  (atom "volume")\n  (log ' || {_NUM('n')} || '))', '(permute\n  (atom "event")\n  2)'])) as text from g)
+select form, text from f""")
+def form_facts(spark, d):
+    return forms.collect_facts(form_nodes(spark, d)).select("form", "text")
+
+
+@query()
+def form_presence(spark, d):
+    p = forms.presence(form_nodes(spark, d))
+    return p.select("form", "node", F.round("presence", 6).alias("presence"))
