@@ -11,17 +11,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from candlemill.operators.series import numbered
 
 #: Fixed values of sizing: bins of a curve, the least accuracy that enters it, resolved predictions before a curve or a band counts.
 BINS, LEAST_ACCURACY, LEAST_POINTS, LEAST_RESOLVED = 20, 0.505, 3, 500
 BAND_FROM, BAND_TO, BAND_WIDTH, BAND_ROWS, BAND_ACCURACY = 3, 18, 4, 200, 0.51
 
 
+def by_conviction(resolved: DataFrame) -> DataFrame:
+    """resolved with _i, a row's place in its sym by conviction and id, and _n, the rows of the sym; counted in slots of conviction."""
+    slot = F.floor(F.col("conviction") * 4096)
+    return numbered(resolved.withColumn("_o", F.struct("conviction", "id")), key="sym", order="_o", out="_i", total="_n", slot=slot).drop("_o")
+
+
 def conviction_bins(resolved: DataFrame, least: int = 10) -> DataFrame:
     """resolved (sym, id, conviction, correct): twenty bins of equal size by conviction, the last with the remainder; none where
     they would be smaller than least."""
-    by = Window.partitionBy("sym")
-    r = resolved.withColumns({"_i": F.row_number().over(by.orderBy("conviction", "id")) - 1, "_n": F.count("*").over(by)})
+    r = by_conviction(resolved)
     size = F.floor(F.col("_n") / BINS)
     r = r.where(size >= least).withColumn("bin", F.least(F.floor(F.col("_i") / size), F.lit(BINS - 1)).cast("int"))
     return r.groupBy("sym", "bin").agg(F.count("*").alias("n"), F.avg("conviction").alias("x"), F.avg(F.col("correct").cast("int")).alias("acc"))
@@ -51,9 +57,10 @@ def conviction_threshold(a: Column, b: Column, least_edge: float) -> Column:
     return F.when((x > 0) & (x < 1), x)
 
 
-def quantile_threshold(sorted_values: Column, q: float) -> Column:
-    """The value at place q n, cut to a whole number, of a sorted array."""
-    return F.get(sorted_values, F.least((F.size(sorted_values) * F.lit(q)).cast("int"), F.size(sorted_values) - 1))
+def quantile_threshold(resolved: DataFrame, q: float) -> DataFrame:
+    """sym, threshold: the conviction at place q n, cut to a whole number."""
+    place = F.least(F.floor(F.col("_n") * F.lit(q)), F.col("_n") - 1)
+    return by_conviction(resolved).where(F.col("_i") == place).select("sym", F.col("conviction").alias("threshold"))
 
 
 def signal_weight(df: DataFrame, move: str) -> DataFrame:
@@ -69,10 +76,11 @@ def proven_band(resolved: DataFrame, dims: int) -> DataFrame:
     sigma = 1.0 / math.sqrt(dims)
     at = F.floor(F.col("conviction") / sigma).cast("int")
     near = F.sequence(F.greatest(F.lit(BAND_FROM), at - BAND_WIDTH - 1), F.greatest(F.least(F.lit(BAND_TO - 1), at + 1), F.greatest(F.lit(BAND_FROM), at - BAND_WIDTH - 1)))
-    rows = resolved.withColumn("_many", F.count("*").over(Window.partitionBy("sym"))).where(F.col("_many") >= LEAST_RESOLVED).withColumn("k", F.explode(near))
+    many = resolved.groupBy("sym").agg(F.count("*").alias("_many")).where(F.col("_many") >= LEAST_RESOLVED).select("sym")
+    rows = resolved.withColumn("k", F.explode(near))
     rows = rows.where((F.col("k") < BAND_TO) & (F.col("conviction") >= F.col("k") * F.lit(sigma)) & (F.col("conviction") < (F.col("k") + BAND_WIDTH) * F.lit(sigma)))
     bands = rows.groupBy("sym", "k").agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("int")).alias("acc")).where(F.col("n") >= BAND_ROWS)
-    best = bands.groupBy("sym").agg(F.max_by(F.struct("k", "n", "acc"), F.struct("acc", -F.col("k"))).alias("s"))
+    best = bands.join(many, "sym", "left_semi").groupBy("sym").agg(F.max_by(F.struct("k", "n", "acc"), F.struct("acc", -F.col("k"))).alias("s"))
     return best.select("sym", (F.col("s.k") * F.lit(sigma)).alias("low"), ((F.col("s.k") + BAND_WIDTH) * F.lit(sigma)).alias("high"), F.col("s.n").alias("n"), F.col("s.acc").alias("accuracy")).where(F.col("accuracy") > BAND_ACCURACY)
 
 

@@ -41,12 +41,11 @@ select sym, count(*) as n, round(avg(w), 6) as win_rate, round(sum(case when 2 *
 from q join s using (sym) group by 1""".replace("(len(s.l) * 0.85::double)::int", "floor(len(s.l) * 0.85::double)::int"))
 def kelly_sizing(spark, d):
     r = resolved(spark, d)
-    fit = F.broadcast(learning.curve_fit(learning.conviction_bins(r)))  # a row for each sym
+    fit = learning.curve_fit(learning.conviction_bins(r))
     q = r.join(fit, "sym").withColumn("w", learning.win_rate(F.col("conviction"), F.col("a"), F.col("b")))
-    g = q.groupBy("sym").agg(
-        F.count("*").alias("n"), F.avg("w").alias("win_rate"), (F.sum(learning.half_kelly(F.col("w"), 0.01)) / F.count("*")).alias("half_kelly"), F.first("a").alias("a"), F.first("b").alias("b"), F.array_sort(F.collect_list("conviction")).alias("l"),
-    )
-    return rounded(g.select("sym", "n", "win_rate", F.round("half_kelly", 4).alias("half_kelly"), learning.conviction_threshold(F.col("a"), F.col("b"), 0.55).alias("auto_threshold"), learning.quantile_threshold(F.col("l"), 0.85).alias("quantile_threshold")))
+    g = q.groupBy("sym").agg(F.count("*").alias("n"), F.avg("w").alias("win_rate"), (F.sum(learning.half_kelly(F.col("w"), 0.01)) / F.count("*")).alias("half_kelly"), F.first("a").alias("a"), F.first("b").alias("b"))
+    g = g.join(learning.quantile_threshold(r, 0.85), "sym", "left")
+    return rounded(g.select("sym", "n", "win_rate", F.round("half_kelly", 4).alias("half_kelly"), learning.conviction_threshold(F.col("a"), F.col("b"), 0.55).alias("auto_threshold"), F.col("threshold").alias("quantile_threshold")))
 
 
 @query(f"with {BY_TYPE}, m as (select *, abs(close - open) as mv from c) select sym, ts, round(case when avg(mv) over w > 0 then mv / avg(mv) over w end, 6) as weight from m window w as (partition by sym order by ts rows unbounded preceding)")
