@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 PEAK_DECAY, KEPT_DRAWDOWNS, ROLLING = 0.999, 20, 500
 LOOKBACK, RECOVERED, RECENT, DENSITY, LEAST_CORRELATED = 5, 0.005, 50, 20, 20
 HEALTHY_DRAWDOWN, HEALTHY_RATE = 0.02, 0.55
+TRADES_SCALE, DENSITY_SCALE, FREQUENCY_SCALE = 100.0, 1000.0, 30.0
 
 
 def net_return(outcome: Column, direction: Column, fee: float, slippage: float) -> Column:
@@ -75,6 +76,8 @@ def risk_branches(accounts: DataFrame, initial: float = 10_000.0) -> DataFrame:
         F.when(some, F.least("_least", F.lit(0.0))).otherwise(0.0).alias("worst_trade"), F.when(some, F.greatest("_best", F.lit(0.0))).otherwise(0.0).alias("best_trade"),
         auto.alias("autocorrelation"), F.when(paired, F.sum(losing.cast("int")).over(last(DENSITY)) / DENSITY).otherwise(0.0).alias("loss_density"),
         F.when(paired & losing, F.least("_streak", F.lit(RECENT))).otherwise(0).cast("long").alias("losses_in_a_row"),
+        (F.col("since_bottom") / TRADES_SCALE).alias("duration"), (F.col("n") / DENSITY_SCALE).alias("trade_density"), (F.sqrt(F.col("n").cast("double")) / FREQUENCY_SCALE).alias("trade_frequency"),
+        F.when(paired, F.when(F.round(auto, 9) < 0, -1.0).otherwise(1.0)).otherwise(0.0).alias("autocorrelation_sign"),
         (F.col("equity") / initial - 1).alias("gain"), F.when(losing, -F.col("_streak")).otherwise(F.col("_streak")).cast("long").alias("streak"),
         ((F.col("drawdown") < HEALTHY_DRAWDOWN) & (F.col("win_50") > HEALTHY_RATE) & (F.col("_m") > 0)).alias("healthy"),
     )

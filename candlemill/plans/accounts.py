@@ -168,7 +168,7 @@ select sym, i, round(equity, 4) as equity, round(dd, 6) + 0 as drawdown, round(c
     round(w10, 6) as win_10, round(w50, 6) as win_50, round(w200, 6) as win_200, round(wa, 6) as win_all, round(w10 - w50, 6) + 0 as trajectory, round(w10 - w200, 6) + 0 as divergence, round(case when k >= 5 then v else 0 end, 6) as vol, round(case when k >= 5 and v > 1e-10 then m / v else 0 end, 6) + 0 as sharpe,
     round(case when k >= 5 and v > 1e-10 then list_sum(list_transform(r, lambda x: pow((x - m) / v, 3))) / len(r) else 0 end, 6) + 0 as skew, round(case when k >= 5 then least(0, list_min(r)) else 0 end, 6) as worst_trade, round(case when k >= 5 then greatest(0, list_max(r)) else 0 end, 6) as best_trade,
     round(case when k >= 20 and vw > 1e-10 then list_sum(list_transform(range(1, len(w)), lambda j: (w[j] - mw) * (w[j + 1] - mw))) / ((len(w) - 1) * vw) else 0 end, 6) + 0 as autocorrelation, round(case when k >= 20 then ld else 0 end, 6) as loss_density, case when k >= 20 and won = 0 then least(-st, 50) else 0 end as losses_in_a_row,
-    round(equity / 10000 - 1, 6) + 0 as gain, st as streak, dd < 0.02 and w50 > 0.55 and m > 0 as healthy from s""")
+    round(since / 100.0::double, 6) as duration, round(k / 1000.0::double, 6) as trade_density, round(sqrt(k) / 30, 6) as trade_frequency, case when k < 20 then 0.0::double when round(case when k >= 20 and vw > 1e-10 then list_sum(list_transform(range(1, len(w)), lambda j: (w[j] - mw) * (w[j + 1] - mw))) / ((len(w) - 1) * vw) else 0 end, 9) < 0 then -1.0 else 1.0 end as autocorrelation_sign, round(equity / 10000 - 1, 6) + 0 as gain, st as streak, dd < 0.02 and w50 > 0.55 and m > 0 as healthy from s""")
 def risk_branches(spark, d):
     r = portfolio.risk_branches(portfolio.account(trades(spark, d)))
     return rounded(r.drop("peak", "bottom", "since_bottom", "worst").withColumn("equity", F.round("equity", 4)).withColumn("historical", F.round("historical", 5)))
