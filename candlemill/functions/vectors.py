@@ -78,6 +78,23 @@ def checked_bundle(vectors: Column, d: int) -> Column:
     return F.struct(F.when(~over, bundle(vectors)).alias("vector"), over.alias("overflow"))
 
 
+GUARDS = ("silent", "warn", "error", "abort")
+
+
+def guarded_bundle(vectors: Column, d: int, mode: str) -> Column:
+    """struct(vector, overflow) under one of four guards, should there be more children than d places carry: silent bundles them
+    and says nothing, warn bundles and sets the flag, error sets the flag in place of a vector, abort fails the query."""
+    if mode not in GUARDS:
+        raise ValueError(f"one of {', '.join(GUARDS)}")
+    over = F.size(vectors) > capacity(d)
+    held = bundle(vectors)
+    if mode == "error":
+        held = F.when(~over, held)
+    elif mode == "abort":
+        held = F.when(~over, held).otherwise(F.raise_error(F.concat(F.lit("a bundle of "), F.size(vectors).cast("string"), F.lit(f" children exceeds the capacity of {capacity(d)}"))).cast("array<double>"))
+    return F.struct(held.alias("vector"), (F.lit(False) if mode == "silent" else over).alias("overflow"))
+
+
 def bundle_rows(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """One bundle for each group: positions are summed by a grouped aggregate, so no group is gathered."""
     sums = df.select(*keys, F.posexplode(vector).alias("pos", "x")).groupBy(*keys, "pos").agg(F.sum("x").alias("x"))
@@ -125,9 +142,15 @@ def coincident(a: Column, b: Column, d: int) -> Column:
     return 1 - cosine(a, b) < noise_floor(d)
 
 
-def sequential(vectors: Column) -> Column:
-    """Bind of the vectors, each shifted by its place."""
-    shifted = F.transform(vectors, lambda v, i: F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda j: F.get(v, F.pmod(j - i, F.size(v)).cast("int"))))
+def shifted_by_place(vectors: Column) -> Column:
+    return F.transform(vectors, lambda v, i: F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda j: F.get(v, F.pmod(j - i, F.size(v)).cast("int"))))
+
+
+def sequential(vectors: Column, bundled: bool = False) -> Column:
+    """The vectors, each shifted by its place, bound; or bundled, as the older encoder has it."""
+    shifted = shifted_by_place(vectors)
+    if bundled:
+        return bundle(shifted)
     return F.aggregate(F.slice(shifted, 2, F.size(shifted)), F.get(shifted, F.lit(0)), lambda s, v: F.zip_with(s, v, lambda x, y: x * y))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from candlemill.operators import batch, folds, indicators
-from candlemill.plans.catalogue import BY_TYPE, ORACLES, RAW, by_type, div, over, prev, query, rounded
+from candlemill.plans.catalogue import BY_TYPE, NAMES, ORACLES, RAW, by_type, div, over, prev, query, rounded
 from candlemill.plans.facts import FOLDS
 
 
@@ -75,3 +75,17 @@ def segment_divergences(spark, d):
 def row_count(spark, d):
     """From the files' footers: no column is read."""
     return spark.read.parquet(f"{d}/events.parquet").agg(F.count("*").alias("n"))
+
+
+# Every column of the batch builder in one table: the SQL joins that of its parts.
+_PARTS = [f.__name__ for f in (*indicators.ALL, indicators.time_parts) if f is not indicators.timeframe]
+
+
+@query(f"select * replace (round(sma20, 5) as sma20, round(sma50, 5) as sma50, round(sma200, 5) as sma200) from ({ORACLES['fold_all']}) " + " ".join(f"join ({ORACLES[n]}) using (sym, ts)" for n in ("batch_columns", "batch_timeframes", "atr_changes", *(f"ind_{p}" for p in _PARTS))))
+def offline_candles(spark, d):
+    """Candles with all folds, indicators, time parts and columns of the batch builder: the folds' exchange and one by series."""
+    df = indicators.time_parts(indicators.enrich(folds.fold(by_type(spark, d))))
+    df = indicators.batch_columns(batch.atr_changes(batch.timeframe_columns(df)))
+    own = ["trend_consistency_6", "trend_consistency_12", "trend_consistency_24", "range_position_12", "label", *(f"tf_{n}_{k}" for n in ("1h", "4h") for k in ("high", "low", "ret", "body")), "atr_roc_6", "atr_roc_12"]
+    df = rounded(df.withColumn("squeeze", F.round("squeeze", 5)).select(*folds.CANDLE, *folds.COLUMNS, *(c for p in _PARTS for c in NAMES[p]), *own))
+    return df.withColumns({c: F.round(c, 5) for c in ("sma20", "sma50", "sma200")})  # a mean that ends in a five has no sixth digit

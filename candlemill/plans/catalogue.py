@@ -13,6 +13,8 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 #: Of each windowed indicator its SQL without rounding, for the SQL of what is built on it.
 RAW: dict[str, str] = {}
+#: And its columns.
+NAMES: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -96,7 +98,7 @@ def div(a: str, b: str, default: str = "0") -> str:
 
 def indicator(f, columns: dict[str, str], steps: list[str] = ()):  # noqa: B006
     """A query that gives the columns of one indicator; steps are further CTEs, each over the one before."""
-    names = list(columns)
+    names = NAMES[f.__name__] = list(columns)
     src, ctes = "c", BY_TYPE
     for k, step in enumerate(steps):
         ctes += f", s{k} as (select *, {step} from {src})"
