@@ -81,11 +81,12 @@ def row_count(spark, d):
 _PARTS = [f.__name__ for f in (*indicators.ALL, indicators.time_parts) if f is not indicators.timeframe]
 
 
-@query(f"select * replace (round(sma20, 5) as sma20, round(sma50, 5) as sma50, round(sma200, 5) as sma200) from ({ORACLES['fold_all']}) " + " ".join(f"join ({ORACLES[n]}) using (sym, ts)" for n in ("batch_columns", "batch_timeframes", "atr_changes", *(f"ind_{p}" for p in _PARTS))))
+@query(f"select * replace (round(sma20 + 1e-9::double, 5) as sma20, round(sma50 + 1e-9::double, 5) as sma50, round(sma200 + 1e-9::double, 5) as sma200) from ({ORACLES['fold_all']}) " + " ".join(f"join ({ORACLES[n]}) using (sym, ts)" for n in ("batch_columns", "batch_timeframes", "atr_changes", *(f"ind_{p}" for p in _PARTS if p != "sma"))) + f" join {RAW['sma']} using (sym, ts)")
 def offline_candles(spark, d):
     """Candles with all folds, indicators, time parts and columns of the batch builder: the folds' exchange and one by series."""
     df = indicators.time_parts(indicators.enrich(folds.fold(by_type(spark, d))))
     df = indicators.batch_columns(batch.atr_changes(batch.timeframe_columns(df)))
     own = ["trend_consistency_6", "trend_consistency_12", "trend_consistency_24", "range_position_12", "label", *(f"tf_{n}_{k}" for n in ("1h", "4h") for k in ("high", "low", "ret", "body")), "atr_roc_6", "atr_roc_12"]
-    df = rounded(df.withColumn("squeeze", F.round("squeeze", 5)).select(*folds.CANDLE, *folds.COLUMNS, *(c for p in _PARTS for c in NAMES[p]), *own))
-    return df.withColumns({c: F.round(c, 5) for c in ("sma20", "sma50", "sma200")})  # a mean that ends in a five has no sixth digit
+    # a mean that ends in a five is rounded up, whatever its last bit
+    df = df.withColumns({"squeeze": F.round("squeeze", 5), **{c: F.round(F.col(c) + 1e-9, 5) for c in NAMES["sma"]}})
+    return rounded(df.select(*folds.CANDLE, *folds.COLUMNS, *(c for p in _PARTS for c in NAMES[p]), *own))
