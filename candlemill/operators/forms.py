@@ -33,7 +33,7 @@ def leveled(nodes: DataFrame) -> tuple[DataFrame, int]:
         above = found.select("form", F.col("node").alias("parent"))
         found = staged(rows.join(above, ["form", "parent"]).select(*nodes.columns, F.lit(level + 1).alias("level")), "level")
         if found.isEmpty():
-            return made, level + 1
+            return staged(made, "levels"), level + 1
         made, level = made.unionByName(found), level + 1
 
 

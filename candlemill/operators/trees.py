@@ -49,15 +49,18 @@ def key_atoms(nodes: DataFrame, depth: int, base: int, d: int) -> np.ndarray:
     return np.array([[row[f"k{level}_{key}"] for key in range(base)] for level in range(1, depth + 1)], dtype=np.int8)
 
 
-def _bundle(own: np.ndarray):
-    """The vector of a node from its children's, whose keys' atoms are own."""
+def _bundle(own: np.ndarray, keys: Column, vectors: Column) -> Column:
+    """The vector of a node from arrays of its children's keys, whose atoms are own, and vectors: one entry a key at most."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        children = np.array([np.frombuffer(v, np.int8) for v in pdf["vector"]], dtype=np.int32)
-        total = (children * own[pdf["key"].to_numpy()]).sum(axis=0)
-        return pd.DataFrame([(pdf["tree"].iloc[0], pdf["parent"].iloc[0], np.sign(total).astype(np.int8).tobytes())], columns=["tree", "node", "vector"])
+    @pandas_udf("binary")
+    def run(keys: pd.Series, vectors: pd.Series) -> pd.Series:
+        out = []
+        for k, v in zip(keys, vectors, strict=True):
+            children = np.array([np.frombuffer(x, np.int8) for x in v], dtype=np.int32)
+            out.append(np.sign((children * own[np.asarray(k)]).sum(axis=0)).astype(np.int8).tobytes())
+        return pd.Series(out)
 
-    return run
+    return run(keys, vectors)
 
 
 def build(nodes: DataFrame, base: int, d: int = 2048) -> DataFrame:
@@ -76,11 +79,12 @@ def build(nodes: DataFrame, base: int, d: int = 2048) -> DataFrame:
     leaves = staged(leaves, "leaves")
     made, below = [leaves], leaves.where(F.col("level") == depth)
     for level in range(depth - 1, -1, -1):
-        bundled = below.select("tree", "parent", "key", "vector").groupBy("tree", "parent").applyInPandas(_bundle(atoms[level]), "tree string, node string, vector binary")
+        kids = below.groupBy("tree", F.col("parent").alias("node")).agg(F.collect_list("key").alias("_k"), F.collect_list("vector").alias("_v"))
+        bundled = kids.select("tree", "node", _bundle(atoms[level], F.col("_k"), F.col("_v")).alias("vector"))
         inner = staged(nodes.where((F.col("level") == level) & F.col("value").isNull()).join(bundled, ["tree", "node"]).select(*nodes.columns, "vector"), "inner")
         made.append(inner)
         below = inner.unionByName(leaves.where(F.col("level") == level))
-    return reduce(DataFrame.unionByName, made)
+    return staged(reduce(DataFrame.unionByName, made), "tree")
 
 
 def walk(queries: DataFrame, built: DataFrame, depth: int, base: int, d: int = 2048) -> DataFrame:
