@@ -75,11 +75,12 @@ def write_archives(pages: DataFrame, path: str, *, compress: bool = True, min_re
     light = rows.select("page_id", "digest", "n", "record").where(F.col("n") >= min_revisit_bytes)
     groups = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("members")).where("members > 1 and refers_to is not null")
     revisits = light.select("page_id", "digest", "record").distinct().join(groups, "digest").where("page_id is null or page_id > refers_to").select("record", "refers_to")
-    # A plain join by one key: where few payloads repeat it needs no exchange of the payloads, and a row repeated very often
-    # makes a skewed partition that Spark splits. The number of records bounds the archives.
-    typed = rows.join(revisits, "record", "left")
     total, count = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     records = max(1, math.ceil(count * archive_bytes / max(total, archive_bytes)))
+    # A plain join by one key: where few payloads repeat it needs no exchange of the payloads, and a row repeated very often
+    # makes a skewed partition that Spark splits. The number of records bounds the archives; they are no smaller than archive_bytes
+    # asks for, save that every core has one, as a partition each makes many tiny files, for each of which executors start processes.
+    typed = rows.join(revisits, "record", "left").coalesce(max(spark.sparkContext.defaultParallelism, math.ceil(total / archive_bytes)))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -76,6 +76,12 @@ def test_warc_round_trip(spark, compress):
     assert warc.round_trip(fixtures.pages(spark, []), compress=compress).count() == 0
 
 
+def test_small_payloads_in_many_partitions_share_archives(spark):
+    read = warc.round_trip(spark.range(0, 120, 1, 40).selectExpr("id as page_id", "'u' as url", "concat('<p>page ', id, repeat('x', 200)) as html"))
+    assert sorted(r.page_id for r in read.collect()) == list(range(120))
+    assert read.select("archive").distinct().count() <= spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("compress", [True, False])
 def test_salvage_recovers_later_records(compress):
     import zlib
