@@ -142,7 +142,6 @@ class Weights:
                 at = max(range(len(left)), key=lambda k: (left[k][1] not in _FREQUENT, len(left[k][1]) > 3, left[k][0]))
                 anchors.add(left.pop(at)[1])
         self.anchors = sorted(anchors)
-        self.pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in self.anchors) + r")(?![a-z0-9])"
         self.anchor_words = sorted({max(re.split("[.-]", a), key=len) for a in self.anchors})
         # A cosine is at most the root of the shared tokens' squared weights in the template. So a text needs at least so many
         # different ones of a template's rarer words, even if it has all its others.
@@ -156,63 +155,76 @@ class Weights:
             self.rare.append((rare, k))
 
 
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
 def _worthwhile(units: Column, w: Weights) -> Column:
-    """Units with their tokens, without those that can't reach the limit: known tokens must make up its square of the sum of squared
-    weights. No token weighs more than an unknown one, and none occurs more often than the tokens beyond the distinct ones allow."""
-    listed = F.transform(units, lambda u: F.struct(u["text"].alias("text"), u["at"].alias("at"), F.regexp_extract_all(F.lower(u["text"]), F.lit(TOKEN), F.lit(0)).alias("tokens")))
-    counted = F.transform(listed, lambda u: F.struct(u["text"].alias("text"), u["at"].alias("at"), u["tokens"].alias("tokens"), F.size(F.array_distinct(u["tokens"])).alias("d"), F.size(F.array_intersect(u["tokens"], F.array(*(F.lit(t) for t in w.idf)))).alias("k")))
-    often = lambda u: 1.0 + F.log((F.size(u["tokens"]) - u["d"] + 1).cast("double"))
-    least = w.limit * w.limit
-    return F.filter(counted, lambda u: (u["k"] > 0) & (u["k"] * often(u) * often(u) * (1.0 - least) >= least * (u["d"] - u["k"])))
+    """Units (text, at, tokens) without those that can't reach the limit: known tokens must make up its square of the sum of squared
+    weights. Unknown distinct tokens weigh at least as if each occurred once. The known ones' squares are their idf's times
+    (1 + ln count)^2, which is concave: at most the sum of idf^2 times that of their mean count, weighted by idf^2, and the
+    tokens beyond the distinct ones raise this mean most where all of them are of the greatest idf."""
+    known = F.array(*(F.lit(t) for t in w.idf))
+    squares = F.create_map(*(F.lit(x) for t, v in w.idf.items() for x in (t, v * v)))
+    listed = F.transform(units, lambda u: F.struct(u["text"].alias("text"), u["at"].alias("at"), u["tokens"].alias("tokens"), F.size(F.array_distinct(u["tokens"])).alias("d"), F.array_intersect(u["tokens"], known).alias("known")))
+    summed = F.transform(
+        F.filter(listed, lambda u: F.size(u["known"]) > 0),
+        lambda u: F.struct(u["text"].alias("text"), u["at"].alias("at"), u["tokens"].alias("tokens"), (F.size(u["tokens"]) - u["d"]).alias("more"), ((u["d"] - F.size(u["known"])) * w.unknown**2).alias("unknown"), F.aggregate(u["known"], F.lit(0.0), lambda a, t: a + F.element_at(squares, t)).alias("known")),
+    )
+    often = lambda u: 1.0 + F.log(1.0 + u["more"] * max(w.idf.values()) ** 2 / u["known"])
+    least = w.limit * w.limit - 1e-6
+    return F.filter(summed, lambda u: u["known"] * often(u) * often(u) * (1.0 - least) >= least * u["unknown"])
 
 
-def _hits(lines: Column, w: Weights) -> Column:
-    """For each unit (text, at): struct(best: struct(similarity, order), back, notice); order is smaller for later templates.
+def _hits(units: Column, w: Weights) -> Column:
+    """For each unit (text, at, tokens): struct(best: struct(similarity, order), back, notice); order is smaller for later templates.
 
-    Each step fills an array that the next one reads, so that nothing is worked out twice. A line's tokens are walked
-    once in sorted order: at the end of a run its weight enters the norm and the products with all templates.
+    Each step fills an array that the next one reads, so that nothing is worked out twice: sorted tokens, the places where
+    their runs start, each run's weight and number among the known tokens, sums of squares. The products with all
+    templates are only made where known tokens bear enough of the squares, as no cosine is above the root of their share.
     """
-    idf = F.create_map(*(F.lit(x) for t in w.idf for x in (t, w.idf[t])))
-    unit = F.create_map(*(x for t in w.unit for x in (F.lit(t), F.array(*(F.lit(v) for v in w.unit[t])))))
-    zero = F.array(*(F.lit(0.0) for _ in w.names))
-    tokens = F.transform(_worthwhile(lines, w), lambda x: F.struct(x["text"].alias("text"), x["at"].alias("at"), F.array_append(F.array_sort(x["tokens"]), F.lit("")).alias("tokens")))
-
-    def close(a: Column) -> Column:
-        return (1.0 + F.log(a["run"].cast("double"))) * F.coalesce(F.try_element_at(idf, a["token"]), F.lit(w.unknown))
+    number = F.create_map(*(F.lit(x) for i, t in enumerate(w.idf) for x in (t, i)))
+    idf = F.array(*(F.lit(v) for v in w.idf.values()))
+    columns = F.array(*(F.array(*(F.lit(w.unit[t][i]) for t in w.idf)) for i in range(len(w.names))))
+    sorted_ = F.transform(_worthwhile(units, w), lambda u: F.struct(u["text"].alias("text"), u["at"].alias("at"), F.array_sort(u["tokens"]).alias("tokens")))
+    started = F.transform(
+        sorted_, lambda u: F.struct(u["text"].alias("text"), u["at"].alias("at"), u["tokens"].alias("tokens"), F.filter(F.sequence(F.lit(0), F.size(u["tokens"]) - 1), lambda i: (i == 0) | (F.get(u["tokens"], i) != F.get(u["tokens"], i - 1))).alias("starts"))
+    )
 
-    def walk(a: Column, t: Column) -> Column:
-        known = F.try_element_at(unit, a["token"])
-        return F.when(a["token"] == t, F.struct(a["token"].alias("token"), (a["run"] + 1).alias("run"), a["square"].alias("square"), a["dot"].alias("dot"))).otherwise(
-            F.struct(
-                t.alias("token"), F.lit(1).alias("run"),
-                F.when(a["run"] == 0, a["square"]).otherwise(a["square"] + close(a) * close(a)).alias("square"),
-                F.when((a["run"] == 0) | known.isNull(), a["dot"]).otherwise(F.zip_with(a["dot"], known, lambda p, q: p + close(a) * q)).alias("dot"),
-            )
-        )
+    def runs(u: Column) -> Column:
+        run = lambda s, j: F.coalesce(F.get(u["starts"], j + 1), F.size(u["tokens"])) - s
+        return F.transform(u["starts"], lambda s, j: F.struct(F.try_element_at(number, F.get(u["tokens"], s)).alias("known"), (1.0 + F.log(run(s, j).cast("double"))).alias("often")))
 
-    start = F.struct(F.lit("").alias("token"), F.lit(0).alias("run"), F.lit(0.0).alias("square"), zero.alias("dot"))
-    walked = F.transform(tokens, lambda x: F.struct(x["text"].alias("text"), x["at"].alias("at"), F.aggregate(x["tokens"], start, walk).alias("sums")))
+    counted = F.transform(started, lambda u: F.struct(u["text"].alias("text"), u["at"].alias("at"), runs(u).alias("runs")))
+    weighed = F.transform(
+        counted, lambda u: F.struct(u["text"].alias("text"), u["at"].alias("at"), F.transform(u["runs"], lambda r: F.struct(r["known"].alias("known"), (r["often"] * F.coalesce(F.get(idf, r["known"]), F.lit(w.unknown))).alias("weight"))).alias("runs"))
+    )
+    square = lambda rs: F.aggregate(rs, F.lit(0.0), lambda a, r: a + r["weight"] * r["weight"])
+    summed = F.transform(weighed, lambda u: F.struct(u["text"].alias("text"), u["at"].alias("at"), F.filter(u["runs"], lambda r: r["known"].isNotNull()).alias("known"), square(u["runs"]).alias("square")))
+    near = F.filter(summed, lambda u: square(u["known"]) >= (w.limit * w.limit - 1e-6) * u["square"])
+    dot = lambda u, c: F.aggregate(u["known"], F.lit(0.0), lambda a, r: a + r["weight"] * F.get(c, r["known"]))
     return F.transform(
-        walked,
-        lambda x: F.struct(
-            F.array_max(F.transform(x["sums"]["dot"], lambda d, i: F.struct((d / F.sqrt(F.greatest(x["sums"]["square"], F.lit(1e-300)))).alias("similarity"), (-i).alias("order")))).alias("best"),
-            (-x["at"]).alias("back"), x["text"].alias("notice"),
+        near,
+        lambda u: F.struct(
+            F.array_max(F.transform(columns, lambda c, i: F.struct((dot(u, c) / F.sqrt(F.greatest(u["square"], F.lit(1e-300)))).alias("similarity"), (-i).alias("order")))).alias("best"),
+            (-u["at"]).alias("back"), u["text"].alias("notice"),
         ),
     )
 
 
-BLANK = r"[\x20\x09-\x0D]"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
-def _short_units(lines: Column, hit: Column) -> Column:
-    """Of lines that hit, or are next to one that does: lines, where they hold several sentences these, and two and three lines in
-    a row: (text, at)."""
-    unit = lambda x, at: F.struct(x.alias("text"), at.alias("at"))
-    places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(hit, i) | F.coalesce(F.get(hit, i + 1), F.lit(False)) | F.coalesce(F.get(hit, i + 2), F.lit(False)))
-    rows = lambda n: F.transform(F.filter(places, lambda i: i <= F.size(lines) - n), lambda i: unit(F.array_join(F.slice(lines, i + 1, F.lit(n)), " "), i))
-    split = F.filter(places, lambda i: F.get(lines, i).rlike(r"[.;!?]\s+\S"))
-    pieces = F.flatten(F.transform(split, lambda i: F.transform(F.split(F.get(lines, i), r"[.;!?]\s+"), lambda p: unit(p, i))))
-    return F.concat(rows(1), rows(2), rows(3), pieces)
+def _short_units(lines: Column, tokens: Column, hit: Column, w: Weights) -> Column:
+    """Lines that hit, where they hold several sentences those of these that hit, and two and three lines in a row of which one
+    hits: (text, at, tokens). No token goes across lines, so that rows have the tokens of their lines."""
+    unit = lambda x, at, t: F.struct(x.alias("text"), at.alias("at"), t.alias("tokens"))
+    hits = lambda i, n: reduce(lambda a, b: a | b, (F.get(hit, i + k) for k in range(n)))
+    places = lambda n: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i <= F.size(lines) - n) & hits(i, n))
+    rows = lambda n: F.transform(places(n), lambda i: unit(F.array_join(F.slice(lines, i + 1, F.lit(n)), " "), i, F.flatten(F.slice(tokens, i + 1, F.lit(n)))))
+    split = F.filter(places(1), lambda i: F.get(lines, i).rlike(r"[.;!?]\s+\S"))
+    pieces = F.flatten(F.transform(split, lambda i: F.transform(F.split(F.get(lines, i), r"[.;!?]\s+"), lambda p: unit(p, i, _tokens(p)))))
+    return F.concat(rows(1), rows(2), rows(3), F.filter(pieces, lambda u: F.arrays_overlap(u["tokens"], F.array(*(F.lit(a) for a in w.anchors)))))
 
 
 def scan(files: DataFrame, *, notices: list[tuple[str, str]] | None = None, texts: list[tuple[str, str]] | None = None, limit: float = LIMIT, licence_file: str = LICENCE_FILE) -> DataFrame:
@@ -225,18 +237,19 @@ def scan(files: DataFrame, *, notices: list[tuple[str, str]] | None = None, text
     columns = {c: f"c{i}_{mark}" for i, c in enumerate(keep)}
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     all_names = sorted({n for w in sets for n in w.names})
-    none = F.array().cast("array<struct<text:string,at:int>>")
-    # A text's words say whether any of its units can reach a limit; its lines, which ones.
-    words, lines, hit_lines = f"words_{mark}", f"lines_{mark}", f"hits_{mark}"
+    none = F.array().cast("array<struct<text:string,at:int,tokens:array<string>>>")
+    # A text's words say whether any of its units can reach a limit; its lines' tokens, which ones.
+    words, lines, tokens, hit_lines = (f"{x}_{mark}" for x in ("words", "lines", "tokens", "hits"))
     literal = lambda xs: F.array(*(F.lit(x) for x in xs))
     files = files.withColumn(words, F.split(F.lower(text), "[^a-z0-9]+"))
     files = files.withColumn(lines, F.when(F.arrays_overlap(words, literal(sets[0].anchor_words)), F.split(text, "\n")))
-    files = files.withColumn(hit_lines, F.transform(lines, lambda x: x.rlike(sets[0].pattern)))
-    short = F.when(F.exists(hit_lines, lambda x: x), F.filter(_short_units(F.col(lines), F.col(hit_lines)), lambda u: u["text"].rlike(sets[0].pattern))).otherwise(none)
+    files = files.withColumn(tokens, F.transform(lines, _tokens))
+    files = files.withColumn(hit_lines, F.transform(tokens, lambda x: F.arrays_overlap(x, literal(sets[0].anchors))))
+    short = F.when(F.exists(hit_lines, lambda x: x), _short_units(F.col(lines), F.col(tokens), F.col(hit_lines), sets[0])).otherwise(none)
     shared = f"shared_{mark}"
     files = files.withColumn(shared, F.array_intersect(words, literal(sorted({t for rare, _ in sets[1].rare for t in rare}))))
     likely = reduce(lambda a, b: a | b, (F.size(F.array_intersect(shared, literal(rare))) >= k for rare, k in sets[1].rare))
-    whole = F.when(likely, F.array(F.struct(text.alias("text"), F.lit(-1).alias("at")))).otherwise(none)
+    whole = F.when(likely, F.array(F.struct(text.alias("text"), F.lit(-1).alias("at"), _tokens(text).alias("tokens")))).otherwise(none)
 
     def hits(units: Column, w: Weights) -> Column:
         places = F.array(*(F.lit(-all_names.index(n)) for n in w.names))
@@ -246,7 +259,7 @@ def scan(files: DataFrame, *, notices: list[tuple[str, str]] | None = None, text
     base = F.regexp_extract(F.col("path"), r"([^/]*)$", 1)
     directory = F.when(F.col("path").isNotNull(), F.regexp_replace(F.col("path"), r"/?[^/]*$", ""))
     best = F.array_max(F.concat(hits(short, sets[0]), hits(whole, sets[1])))
-    trimmed = lambda c: F.length(F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", ""))
+    trimmed = lambda c: F.length(F.btrim(c, F.lit(BLANKS)))
     found = files.select(*(F.col(f"`{c}`").alias(n) for c, n in columns.items()), directory.alias("__dir"), base.alias("__base"), trimmed(text).alias("__n"), best.alias("__hit"))
     found = stage_table(found, "license-hits")  # small rows; the texts are read once
     hit = F.col("__hit.similarity") >= limit

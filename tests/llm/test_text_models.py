@@ -1,6 +1,8 @@
 """Language identification, language model, quality and license scan."""
 
 import math
+import random
+import re
 import zlib
 from collections import Counter
 
@@ -294,6 +296,28 @@ def test_license_cosine_by_hand(spark):
     assert got.license == w.names[-best[1]] and math.isclose(got.similarity, best[0], abs_tol=1e-8)
 
 
+def test_license_bound_drops_prose_and_nothing_near_the_limit(spark):
+    w, g = licenses.Weights(licenses.NOTICES, licenses.LIMIT), random.Random(5)
+
+    def cosine(bag: Counter) -> float:
+        x = {t: (1 + math.log(n)) * w.idf.get(t, w.unknown) for t, n in bag.items()}
+        return max(sum(v * w.unit[t][i] for t, v in x.items() if t in w.unit) for i in range(len(w.names))) / math.sqrt(sum(v * v for v in x.values()))
+
+    lines = []
+    for k in range(300):
+        bag = re.findall(licenses.TOKEN, g.choice(licenses.NOTICES)[1].lower())
+        bag += g.choices(bag, k=g.choice([0, 0, 3, 30, 200])) + [f"zz{g.randrange(12)}" for _ in range(g.randrange(0, 14))]
+        lines.append(" ".join(g.sample(bag, len(bag))))
+    want = [cosine(Counter(x.split())) for x in lines]
+    assert sum(0.65 < c < 0.75 for c in want) > 20
+    got = {r.i: r.similarity for r in licenses.scan(spark.createDataFrame([(None, x, i) for i, x in enumerate(lines)], "path string, text string, i int")).collect()}
+    for i, c in enumerate(want):
+        assert (got[i] is None and c < licenses.LIMIT) or math.isclose(got[i], c, abs_tol=2e-9)
+    prose = " ".join(["this work is free software under the general terms"] + [f"word{i}" for i in range(70)] + ["word1 word2"] * 15)
+    unit = F.array(F.struct(F.lit(prose).alias("text"), F.lit(0).alias("at"), licenses._tokens(F.lit(prose)).alias("tokens")))
+    assert spark.range(1).select(F.size(licenses._worthwhile(unit, w)).alias("n")).first().n == 0
+
+
 def test_license_texts_titles_identifiers_and_wrapped_notices(spark):
     of = dict(licenses.TEXTS)
     mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + of["MIT"].replace(". ", ".\n")
