@@ -220,6 +220,78 @@ def test_lm_every_training_token_is_a_target(spark, monkeypatch):
         assert (np.sort(np.concatenate(seen)) == np.concatenate(docs)).all(), rounds
 
 
+class _Task:  # keeps the function that an operator would run in tasks
+    def __init__(self):
+        self.sparkSession = self.sparkContext = self
+
+    def broadcast(self, value):
+        return type("Broadcast", (), {"value": value})
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, _):
+        self.run = f
+        return self
+
+
+def test_lm_looks_each_word_of_a_batch_up_once():
+    texts = [b"the cat the dog", None, b"", b" The\x1ccat\x0b\xc2\xa0x \xff\xfe THE rare \x85 rare ", b"\n", b"dog " * 500, b"\xc3\x84 the"]
+    looked_up = []
+
+    class Words(dict):
+        def get(self, word, otherwise=None):
+            looked_up.append(word)
+            return dict.get(self, word, otherwise)
+
+    voc = lm.Vocabulary([(b"the", 9), (b"dog", 5), (b"cat", 3)], [(b"are", 2, 1), (b"", 4, 3)], 30, 8, 2)
+    voc.words = Words(voc.words)
+    task = _Task()
+    lm._encoded(task, voc)
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array([False] * len(texts)), pa.array(texts, pa.binary())], ["rid", "doc_id", "held_out", "text"])
+    got = pa.Table.from_batches(task.run(iter([batch]))).to_pylist()
+    words = [(t or b"").lower().split() for t in texts]
+    assert sorted(looked_up) == sorted({w for ws in words for w in ws})
+    log_of = {b"the": math.log10(10), b"dog": math.log10(6), b"cat": math.log10(4)}
+    for r, ws in zip(got, words, strict=True):
+        classes = [{b"the": 0, b"dog": 1}.get(w, 3 if w.endswith(b"are") else 4) for w in ws] + [2]
+        tail = [w for w in ws if w not in log_of]
+        assert np.frombuffer(r["ids"], np.uint16).tolist() == classes and len(r["tail"]) == len(tail)
+        assert (r["n_tokens"], r["n_known"]) == (len(ws) + 1, len(ws) + 1 - len(tail))
+        assert np.allclose(r["head"], [sum(log_of.get(w, 0) for w in ws), sum(log_of[w] for w in ws if w == b"cat")])
+        assert math.isclose(r["sizes"], sum(voc.log_size[c] for c in classes), abs_tol=1e-9)
+
+
+def test_lm_counts_are_sent_on_in_parts(monkeypatch):
+    monkeypatch.setattr(lm, "COUNTER_LIMIT", 20)
+    run = []
+    monkeypatch.setattr(_Task, "mapInArrow", lambda self, f, _: run.append(f) or self)
+    monkeypatch.setattr(_Task, "groupBy", lambda self, *_: self, raising=False)
+    monkeypatch.setattr(_Task, "agg", lambda self, *_: self, raising=False)
+    monkeypatch.setattr(lm.F, "sum", lambda _: type("Sum", (), {"alias": lambda self, _: self})())
+    lm._counts(_Task())
+    texts = [[" ".join(f"w{(i * k) % 97}" for i in range(30)).encode(), None, b" W1 "] for k in range(40)]
+    parts = list(run[0](pa.RecordBatch.from_arrays([pa.array(t, pa.binary())], ["text"]) for t in texts))
+    sent = [(w, n) for p in parts for w, n in zip(p["word"].to_pylist(), p["n"].to_pylist(), strict=True)]
+    want, got = Counter(w for t in texts for x in t for w in [*(x or b"").lower().split(), lm.END]), Counter()
+    for w, n in sent:
+        got[w] += n
+    assert got == want and len(parts) > 1 and list(run[0](iter([]))) == []
+
+
+def test_lm_step_updates_two_tables(monkeypatch):
+    """Of classes and groups together, and of contexts: a step of its own for each array costs most of a batch."""
+    g = np.random.default_rng(4)
+    u = np.arange(1.0, 60.0) / 1770
+    trainer = lm.Trainer(lm.Parameters(u), u, 5)
+    steps = []
+    step = lm.Trainer._step
+    monkeypatch.setattr(lm.Trainer, "_step", lambda self, *a: steps.append(a[0]) or step(self, *a))
+    trainer.batch(g.integers(0, 59, 40), g.integers(0, 60, (40, lm.CONTEXT)), g.random((40, lm.DIM)).astype(np.float32))
+    assert len(steps) <= 2
+
+
 def test_lm_averages_by_tokens(spark):
     rows = [(0, k // 64, np.array([float(k), 1.0], np.float32).tobytes(), 1 + k % 3) for k in range(130)]
     got = spark.createDataFrame(rows, lm.SENT).groupBy("i", "part").applyInArrow(lm._average, lm.SENT).groupBy("i").applyInArrow(lm._average, lm.SENT).first()
