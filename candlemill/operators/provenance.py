@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlemill.sources.staging import staged
+
 
 def issue(forms: DataFrame, form: str = "form") -> DataFrame:
     return forms.withColumn("receipt", F.sha2(F.col(form).cast("binary"), 256))
@@ -17,15 +19,26 @@ def verify(receipts: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def resolve(pointers: DataFrame, depth: int = 16) -> DataFrame:
-    """pointers (form, next, terminal): the terminal that a chain of at most depth steps reaches. Paths double: each round is
-    one join, and log2(depth) of them do."""
-    now = pointers.select("form", "next", "terminal")
-    steps = 1
-    while steps < depth:
-        hop = now.select(F.col("form").alias("h"), F.col("next").alias("h_next"), F.col("terminal").alias("h_terminal"))
-        now = now.join(hop, F.col("next") == F.col("h"), "left").select("form", F.when(F.col("terminal").isNull(), F.col("h_next")).alias("next"), F.coalesce("terminal", "h_terminal").alias("terminal"))
-        steps *= 2
-    return now.select("form", "terminal")
+    """pointers (form, next, terminal): the terminal that a chain of at most depth steps reaches; of several the largest.
+
+    Paths double: a jump goes over 1, 2, 4 ... forms and knows the terminal among them, and those that make up depth + 1
+    forms, a chain's own first, are put one behind the other. Chains that have ended are in no join."""
+    jump = pointers.groupBy("form", F.when(F.col("terminal").isNull(), F.col("next")).alias("next")).agg(F.max("terminal").alias("terminal"))
+    now, left = None, depth + 1
+    while left:
+        if left % 2:
+            now = jump if now is None else _behind(now, jump)
+        left //= 2
+        if left:
+            jump = staged(_behind(jump, jump), "jumps")
+    return now.groupBy("form").agg(F.max("terminal").alias("terminal"))
+
+
+def _behind(first: DataFrame, then: DataFrame) -> DataFrame:
+    """Jumps over the forms of first and then over those of then."""
+    hop = then.select(F.col("form").alias("h"), F.col("next").alias("h_next"), F.col("terminal").alias("terminal"))
+    on = first.where("next is not null").drop("terminal").join(hop, F.col("next") == F.col("h"), "left")
+    return first.where("next is null").unionByName(on.select("form", F.col("h_next").alias("next"), "terminal"))
 
 
 def witnesses(claims: DataFrame, beacons: DataFrame) -> DataFrame:
