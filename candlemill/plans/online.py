@@ -54,9 +54,10 @@ _DISTINCT = "d as (select min(vec_id) as id, list_transform(embedding, lambda x:
 @query()
 def nearest_by_index(spark, d):
     """Every twentieth vector asks for the one most like it, through the index; the tests measure its recall."""
-    rows, asked = _lookup(spark, d)
-    pairs = retrieval.candidates(asked, retrieval.build_index(rows))
-    return rounded(retrieval.nearest(retrieval.verified(pairs, asked, rows, V.cosine)))
+    rows, _ = _lookup(spark, d)
+    fitted = retrieval.centres(retrieval.valid(table(spark, d, "embeddings"), "vec_id", "embedding"))
+    index = retrieval.build_cells(rows, fitted)
+    return rounded(retrieval.search_cells(index.where("id % 20 = 0"), index, fitted))
 
 
 @query(f"with {_DISTINCT} select query, id, round(cosine, 6) as cosine from s qualify row_number() over (partition by query order by cosine desc, id) = 1")

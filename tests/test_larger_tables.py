@@ -1,6 +1,12 @@
 """What shows only on larger tables, in small: chains of full length, nearest rows, walks and services."""
 
-from candlemill.operators import provenance
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from candlemill.functions import vectors as V
+from candlemill.operators import provenance, retrieval
+from candlemill.plans import load
 
 
 def test_a_chain_is_followed_for_exactly_as_many_steps_as_asked(spark):
@@ -12,3 +18,47 @@ def test_a_chain_is_followed_for_exactly_as_many_steps_as_asked(spark):
         got = {r.form: r.terminal for r in provenance.resolve(df, depth).collect()}
         want = {i: 7 if 20 - i <= depth else None for i in range(21)} | {30: 5, 31: 9, 40: None, 41: None, 50: None, 60: 3, 61: 3 if depth else None, None: None}
         assert got == want, depth
+
+
+def test_nearest_rows_by_cells_equal_comparison_without_pairs(spark):
+    by_index = load()[0]["nearest_by_index"](spark, "/root/testdata/sf0.1")
+    exact = load()[0]["nearest_by_comparison"](spark, "/root/testdata/sf0.1")
+    assert sorted(by_index.collect()) == sorted(exact.collect())  # a table this small is seen whole
+    assert "Join" not in by_index._jdf.queryExecution().toString()  # no row for each pair
+
+
+def test_cells_with_copies_ties_and_odd_rows(spark):
+    g = np.random.default_rng(12)
+    base = g.normal(size=(40, 8))
+    rows = [(i, base[i % 40].tolist()) for i in range(40)] + [(100 + i, base[7].tolist()) for i in range(300)]  # a group of copies
+    rows += [(1000 + i, (base[9] * (i + 2)).tolist()) for i in range(200)]  # all as like each other as can be
+    rows += [(500, (base[3] * 2).tolist()), (501, (base[3] + 0.01).tolist()), (502, None), (503, [None] * 8), (None, base[1].tolist()), (504, []), (505, [1.0]), (506, [0.0] * 8), (507, [1.0, 2.0]), (508, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    e = retrieval.entries(df, "vec_id", "embedding")
+    pairs = e.select(F.col("id").alias("query"), F.size("v").alias("d")).join(e.select("id", F.size("v").alias("d")), "d").select("query", "id").where("query <> id and d > 0")
+    exact = {r.query: (r.id, r.cosine) for r in retrieval.nearest(retrieval.verified(pairs, e, e, V.cosine)).collect()}
+    for cells, fitted in ((256, 4096), (3, 20)):
+        c = retrieval.centres(retrieval.valid(df, "vec_id", "embedding"), cells, fitted)
+        index = retrieval.build_cells(e, c)
+        assert index.count() == e.count() - 1  # the empty vector
+        for block in (8192, 60):
+            got = {r.query: (r.id, r.cosine) for r in retrieval.search_cells(e, index, c, block=block).collect()}
+            assert got == exact and 505 not in got  # to the last bit, so ties go to the smaller id
+    assert retrieval.search_cells(e.limit(0), index, c).count() == 0
+    nothing = retrieval.build_cells(e.limit(0), {})
+    assert retrieval.search_cells(e, nothing, {}).count() == 0
+
+
+def test_half_of_the_cells_hold_nine_tenths_of_the_nearest(spark):
+    v = np.random.default_rng(5).normal(size=(6000, 64))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(6000), "v": v.tolist()}), "id long, v array<double>").repartition(5)
+    c = retrieval.centres(df)
+    index = retrieval.build_cells(df, c)
+    asked = df.where("id % 20 = 0")
+    exact = {r.query: r.id for r in retrieval.search_cells(asked, index, c).collect()}
+    found = {r.query: r.id for r in retrieval.search_cells(asked, index, c, least=1).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u[::20] @ u.T
+    s[np.arange(300), np.arange(0, 6000, 20)] = -2
+    assert exact == {20 * k: int(i) for k, i in enumerate(s.argmax(axis=1))}
+    assert len(found) == 300 and 0.9 <= np.mean([found[q] == i for q, i in exact.items()]) < 1
