@@ -95,9 +95,9 @@ def customers(spark, d):
 @query("select c_custkey as query, c_custkey as value, true as like_it from customer")
 def tree_walks(spark, d):
     """Every customer is found again by its path through the vectors of its nation's tree."""
-    nodes = customers(spark, d)
+    known = trees.steps(table(spark, d, "customer"), F.col("c_nationkey"), F.col("c_custkey"), BASE, DEPTH)
     asked = table(spark, d, "customer").select(F.col("c_custkey").alias("query"), F.col("c_nationkey").cast("string").alias("tree"), F.array(*(F.floor(F.col("c_custkey") / BASE ** (DEPTH - 1 - k)).cast("int") % BASE for k in range(DEPTH))).alias("path"))
-    found = trees.walk(asked, trees.build(nodes, BASE), DEPTH, BASE)
+    found = trees.follow(asked, known, DEPTH, BASE)
     return found.select("query", "value", (F.col("cosine") > 0.2).alias("like_it"))
 
 

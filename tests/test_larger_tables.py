@@ -1,12 +1,17 @@
 """What shows only on larger tables, in small: chains of full length, nearest rows, walks and services."""
 
+import random
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from candlemill.functions import vectors as V
-from candlemill.operators import provenance, retrieval
+from candlemill.operators import provenance, retrieval, trees
 from candlemill.plans import load
+from candlemill.sources import staging
 
 
 def test_a_chain_is_followed_for_exactly_as_many_steps_as_asked(spark):
@@ -62,3 +67,31 @@ def test_half_of_the_cells_hold_nine_tenths_of_the_nearest(spark):
     s[np.arange(300), np.arange(0, 6000, 20)] = -2
     assert exact == {20 * k: int(i) for k, i in enumerate(s.argmax(axis=1))}
     assert len(found) == 300 and 0.9 <= np.mean([found[q] == i for q, i in exact.items()]) < 1
+
+
+@pytest.mark.parametrize(("base", "depth", "held"), [(6, 4, 4096), (6, 4, 40), (3, 5, 9)])
+def test_steps_lead_where_walks_through_the_vectors_lead(spark, monkeypatch, base, depth, held):
+    monkeypatch.setattr(trees, "HELD", held)  # so many levels in a task
+    g, d = random.Random(base), 512
+    numbers = [(t, g.randrange(base**depth)) for t in ("x", "y", None) for _ in range(40)] + [("x", base**depth + 5), ("x", 5), ("z", 7), ("y", None)]
+    df = spark.createDataFrame(numbers, "tree string, n long").repartition(3)
+    digits = lambda n: [n // base ** (depth - 1 - k) % base for k in range(depth)]
+    paths = [(t, digits(n)) for t, n in numbers if n is not None] + [(t, digits(g.randrange(base**depth))) for t in "xyz" for _ in range(60)]  # most of the last leave the tree
+    paths += [("none", digits(1)), ("x", []), ("x", [0]), ("x", digits(5) + [1]), ("x", None)]
+    asked = spark.createDataFrame([(i, *p) for i, p in enumerate(paths)], "query long, tree string, path array<int>")
+    known = trees.steps(df, F.col("tree"), F.col("n"), base, depth, d)
+    assert "vector" not in known.columns
+    got = {r.query: (r.value, r.cosine) for r in trees.follow(asked, known, depth, base).collect()}
+    built = trees.build(trees.trie(df, F.col("tree"), F.col("n"), base, depth), base, d)
+    want = {r.query: (r.value, r.cosine) for r in trees.walk(asked.where("path is not null"), built, depth, base, d).collect()}
+    assert got == want | {len(paths) - 1: (None, None)}
+    assert {got[i] for i in range(len(paths) - 5, len(paths)) if i != len(paths) - 2} == {(None, None)} and got[len(paths) - 2][0] == 5
+
+
+def test_walks_leave_no_vector_of_each_node_on_disk(spark):
+    folder = Path(staging.new_folder(spark, "x").removeprefix("file:")).parent
+    used = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before = used()
+    walks = load()[0]["tree_walks"](spark, "/root/testdata/sf0.01")
+    assert walks.where("like_it and query = value").count() == 1500
+    assert used() - before < 1_000_000  # a vector takes 2,048 bytes, and there are more nodes than customers
